@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -25,7 +26,7 @@ from .shared import column, shared_folder
 BLOCK = 4096
 MAGIC = b"QTOK0001"
 _FOOTER = struct.Struct("<8sIIQQQ")
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 
 
 def width_of(vocabulary: int) -> int:
@@ -70,9 +71,44 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
 
 
+_MARKS = rb"[!-&(-/:-@\[-`{-~]+(?=[ \t\n\r\x0b\x0c]|\Z)"
+_AFTER_ASCII = re.compile(rb"(?<=[a-z])" + _MARKS)
+_AFTER_LATIN = re.compile(rb"(?<=[a-z\x80-\xbf])" + _MARKS)
+_BEYOND_LATIN = re.compile(rb"[\xc2\xc4-\xff]|\xc3[\x97\xb7]").search
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+# the byte-level alphabet: bytes without a printable Latin-1 character get those from U+0100 on, in order
+_HIDDEN = [*range(33), *range(127, 161), 173]
+_ALPHABET = dict(zip(_HIDDEN, map(chr, range(256, 256 + len(_HIDDEN)))))
+
+
+class _Known(dict):
+    """Words to their little-endian 32-bit ids; a new word goes through the library. Two generations of CACHE_WORDS are kept."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.encode, self.tokenize, self.older = tokenizer.encode, tokenizer.model.tokenize, {}
+        self.letters_only = False  # whether words of letters can go to the model without the steps before it
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(word)
+        if ids is None:
+            if self.letters_only and word.isalpha() and word.islower():
+                found = [t.id for t in self.tokenize(word.decode())]
+            elif self.letters_only and _LETTERS(word):
+                found = [t.id for t in self.tokenize(word.decode().lower().encode().decode("latin-1").translate(_ALPHABET))]
+            else:
+                found = self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Whole texts to ids, word by word: the tokenizer never joins characters across ASCII white space, so each distinct
-    word goes through the library once and its ids are kept, up to CACHE_WORDS words."""
+    word goes through the library once while it is known."""
 
     _made: dict[str, "Encoder"] = {}
 
@@ -82,7 +118,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[bytes, bytes] = {}
+        kinds = json.loads(self.tokenizer.to_str())
+        self.folds = "Lowercase" in json.dumps(kinds["normalizer"]) and "\\\\p{L}" in json.dumps(kinds["pre_tokenizer"]) and "ByteLevel" in json.dumps(kinds["pre_tokenizer"])
+        self.known = _Known(self.tokenizer)
+        self.known.letters_only = self.folds
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -90,22 +129,18 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(words)
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+    def words(self, text: bytes) -> list[bytes]:
+        """Pieces that the tokenizer treats apart. One that folds case and splits letters from marks gets lower-cased ASCII, and marks
+        behind a letter apart, which leaves fewer distinct words; a text with a special token's opening stays as it is."""
+        if self.folds and b"<|" not in text:
+            text = text.lower()
+            text = (_AFTER_ASCII if _BEYOND_LATIN(text) else _AFTER_LATIN).sub(rb" \g<0>", text)
+        return text.split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split) if split else set())
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, self.words(t))) for t in texts]
 
 
 class Writer:
