@@ -66,50 +66,85 @@ def _rows(texts: list[str | None], idf: np.ndarray):
             yield words[a:b], term, float(np.sqrt((idf[term] ** 2).sum()))
 
 
-def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK, power: int = 2, seed: int = 11) -> np.ndarray:
-    """TERMS x rank right singular basis of the passages' TF-IDF rows by randomised SVD.
+def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
+    """{key: summed vector} of (key, v), summed in the tasks; as many keys as the sketch has rows, whatever the input."""
 
-    Each pass sends a TERMS x (rank + 8) sketch to the tasks and sums x^T (x Q) over all passages; the sketch depends on
-    the rank, not on the input.
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, v in zip(batch.column("key").to_pylist(), batch.column("v")):
+                v = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                total[key] = total[key] + v if key in total else v
+        if total:
+            yield _vectors(total)
+
+    out = parts.repartition("key").mapInArrow(run, "key long, v array<float>").toArrow()
+    return {k: v.values.to_numpy(zero_copy_only=False) for k, v in zip(out.column("key").to_pylist(), out.column("v"))}
+
+
+def _vectors(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.astype(np.float32) for v in total.values()], pa.list_(pa.float32()))], ["key", "v"])
+
+
+def _projected(passages: DataFrame, idf, place, sketch, gram: bool) -> dict[int, np.ndarray]:
+    """One distributed pass: the rows of X^T (X Q) by term, or of (X Q)^T (X Q) by column, for TF-IDF rows X and a sketch Q."""
+
+    def run(batches):
+        weights, at, q = idf.value, place.value, sketch.value
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for _, term, norm in _rows(batch.column("text").to_pylist(), weights):
+                if norm:
+                    w = weights[term] / norm
+                    y = w @ q[at[term]]
+                    for t, v in zip(range(len(y)), y.tolist()) if gram else zip(term.tolist(), w.tolist()):
+                        total[t] = total[t] + v * y if t in total else v * y
+        if total:
+            yield _vectors(total)
+
+    return _summed(passages.select("text").mapInArrow(run, "key long, v array<float>"))
+
+
+def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK, power: int = 2, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, basis): the terms of the passages and the right singular basis (terms x rank) of their TF-IDF rows, by randomised SVD.
+
+    Each pass sends a sketch of (terms x (rank + 8)) to the tasks and sums X^T (X Q) over all passages there; at most TERMS rows
+    are gathered, whatever the number of passages or documents.
     """
     context = passages.sparkSession.sparkContext
-    weights = context.broadcast(idf)
-    sketch = np.random.default_rng(seed).standard_normal((TERMS, rank + 8)).astype(np.float32)
-    for _ in range(power):
-        shared = context.broadcast(sketch)
 
-        def run(batches):
-            idf_, q = weights.value, shared.value
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for _, term, norm in _rows(batch.column("text").to_pylist(), idf_):
-                    if norm:
-                        w = idf_[term] / norm
-                        y = w @ q[term]
-                        for t, v in zip(term.tolist(), w.tolist()):
-                            total[t] = total[t] + v * y if t in total else v * y
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.astype(np.float32) for v in total.values()], pa.list_(pa.float32()))], ["term", "v"])
-
-        rows = passages.select("text").mapInArrow(run, "term long, v array<float>")
-        columns = rows.select("term", F.posexplode("v").alias("k", "x")).groupBy("term", "k").agg(F.sum("x").alias("x")).toPandas()
-        product = np.zeros((TERMS, rank + 8), np.float32)
-        product[columns["term"].to_numpy(np.int64), columns["k"].to_numpy(np.int64)] = columns["x"]
-        sketch = np.linalg.qr(product)[0].astype(np.float32) if len(columns) else product
+    def terms_of(batches):
+        used = np.zeros(TERMS, bool)
+        for batch in batches:
+            for words, _, _ in _rows(batch.column("text").to_pylist(), idf_shared.value):
+                used[_term(words)] = True
+        yield pa.RecordBatch.from_pydict({"key": np.flatnonzero(used)})
+
+    idf_shared = context.broadcast(idf)
+    terms = np.sort(passages.select("text").mapInArrow(terms_of, "key long").distinct().toArrow().column("key").to_numpy())
+    place = np.zeros(TERMS, np.int32)
+    place[terms] = np.arange(len(terms))
+    place_shared = context.broadcast(place)
+    sketch = np.random.default_rng(seed).standard_normal((len(terms), rank + 8)).astype(np.float32)
+    for _ in range(power if len(terms) else 0):
+        shared = context.broadcast(sketch)
+        sums = _projected(passages, idf_shared, place_shared, shared, False)
+        product = np.zeros_like(sketch)
+        for t, v in sums.items():
+            product[place[t]] = v
+        sketch = np.linalg.qr(product)[0].astype(np.float32)
         shared.unpersist()
-    used = np.flatnonzero(sketch.any(1))
-    product = np.zeros_like(sketch)
-    # the right singular vectors lie in the span found; the strongest directions come first by the norm of the projected passages
-    gram = np.zeros((rank + 8, rank + 8))
-    for r in passages.select("text").toLocalIterator():
-        for _, term, norm in _rows([r["text"]], idf):
-            if norm:
-                y = (idf[term] / norm) @ sketch[term]
-                gram += np.outer(y, y)
-    values, vectors = np.linalg.eigh(gram)
+    if not len(terms):
+        return terms, np.zeros((0, 1), np.float32)
+    # the singular vectors within the span found, strongest first
+    shared = context.broadcast(sketch)
+    rows = _projected(passages, idf_shared, place_shared, shared, True)
+    gram = np.zeros((sketch.shape[1],) * 2)
+    for k, v in rows.items():
+        gram[k] = v
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     keep = [i for i in np.argsort(-values)[:rank] if values[i] > 1e-6]
-    product[used] = sketch[used] @ vectors[:, keep].astype(np.float32) if keep and len(keep) == rank + 8 else np.pad(sketch[used] @ vectors[:, keep].astype(np.float32), ((0, 0), (0, rank + 8 - len(keep))))
-    return product[:, :rank]
+    return terms, (sketch @ vectors[:, keep]).astype(np.float32)
 
 
 def lcs_length(a: list[int], b: list[int]) -> int:
@@ -140,25 +175,23 @@ def answer_of(text: str) -> str:
 class Items:
     """A block of benchmark items with their latent vectors, words and answers, as the tasks need them."""
 
-    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, space: np.ndarray):
+    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, terms: np.ndarray, basis: np.ndarray):
         self.ids, self.words, self.answers, vectors = [], [], [], []
-        self.idf, self.space = idf, space
+        self.square = (idf**2).astype(np.float64)
         self.used = np.zeros(TERMS, bool)
+        self.used[terms] = True
+        self.compact = np.zeros(TERMS, np.int32)
+        self.compact[terms] = np.arange(len(terms))
+        self.rows = basis * idf[terms][:, None]
         for item, text in rows:
             for words, term, norm in _rows([text], idf):
                 if norm:
                     self.ids.append(item)
                     self.words.append(words.tolist())
                     self.answers.append(next(_rows([answer_of(text)], idf))[0].tolist())
-                    vectors.append((idf[term] / norm) @ space[term])
-                    self.used[term] = True
-        v = np.array(vectors, np.float32).reshape(len(vectors), space.shape[1])
+                    vectors.append(self.rows[self.compact[term]].sum(0) / norm)
+        v = np.array(vectors, np.float32).reshape(len(vectors), self.rows.shape[1])
         self.vectors = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        self.used &= space.any(1)
-        self.compact = np.full(TERMS, -1, np.int64)
-        self.compact[self.used] = np.arange(int(self.used.sum()))
-        self.rows = (space * idf[:, None])[self.used].astype(np.float32)
-        self.square = idf.astype(np.float64) ** 2
 
     def search(self, words: np.ndarray, cosine: float, overlap: float, answer: float) -> list[tuple[int, float, float, float, int, int]]:
         """(item, cosine, LCS share, answer share, first word, end word) of the items found in one text's words, best per item."""
@@ -210,18 +243,18 @@ def _item_blocks(docs: DataFrame, benchmark: DataFrame, rank: int):
     documents = docs.count()
     idf = _weights(document_frequencies(docs), documents)
     items = benchmark.select(column(benchmark, "item_id", "bigint").alias("item_id"), column(benchmark, "text", "string").alias("text")).where("item_id is not null and text is not null")
-    space = latent_space(items, idf, rank)
+    terms, basis = latent_space(items, idf, rank)
     block: list[tuple[int, str]] = []
     for r in items.orderBy("item_id", "text").toLocalIterator():
         block.append((r["item_id"], r["text"]))
         if len(block) == ITEM_BLOCK:
-            yield Items(block, idf, space)
+            yield Items(block, idf, terms, basis)
             block = []
     if block:
-        yield Items(block, idf, space)
+        yield Items(block, idf, terms, basis)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, overlap: float = 0.6, answer: float = 0.5, rank: int = RANK) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, overlap: float = 0.6, answer: float = 0.5, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share, first_word, end_word): benchmark items found in documents, the best
     window of each pair.
 
@@ -253,7 +286,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, overlap:
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, overlap: float = 0.6, answer: float = 0.5, rank: int = RANK) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, overlap: float = 0.6, answer: float = 0.5, rank: int = RANK) -> DataFrame:
     """The rows of docs, columns unchanged, in which no benchmark item is found."""
     out = docs
     for items in _item_blocks(docs, benchmark, rank):
