@@ -3,15 +3,18 @@
 Sizes are dealt into bands [2^b, 2^(b+1)). In the band of the smaller set, hashing cuts the universe of shingles into
 m segments. Two sets that link differ in at most H = floor((|r| + |s|) / 9) shingles (Jaccard >= 0.8), so of segments
 allocated weights d (0: unused, 1: equal contents sought, 2: contents at most one shingle apart sought) with a sum above H
-one must be found. Each set allocates by cost, cheapest first: segments with many shingles (cost 1, and rare), all
-non-empty segments, then one-deletion neighbourhoods (cost: the segment's size), and empty segments, which all sets
-share, only when nothing else suffices. Every choice is a function of a segment's content, so if the weaker of two
-sets is sure of a match, the other one has indexed it too.
+one must be found. Each set allocates by cost, cheapest first: segments of several shingles with one among them that few
+documents hold, then the one-deletion neighbourhoods of segments with two such shingles (cost: the segment's size), then
+all non-empty segments, then all their neighbourhoods, and empty segments, which all sets share, only when nothing else suffices. Each choice is a function of a segment's content and
+contains the cheaper ones, so of two sets the one with the narrower choice is sure of a match that the other has
+indexed too. Which shingles are frequent is counted over all documents and changes the cost only, never the result.
 
 Copies collapse first: a set of shingles is a class, known by a 64-bit sum of mixed hashes, and all that follows works on
 classes. A signature shared by many classes gives a star (each class with the smallest), not all pairs; map tasks form their
-stars before the shuffle, so a hot signature sends one row per flush. Stars whose members end in different components
-are taken up again, and pairs of different components are verified, so no link between components is lost. Shingles are
+stars before the shuffle, so a hot signature sends one row per flush. Signatures whose members end in different
+components get further stars around other leaders while they would make many pairs, and in the end all their pairs
+between different components are compared by sketch, in memory, and verified, so no link between components is lost. Before sets are compared, odd sketches (parities of hashed counts) give an exact lower
+bound of the difference, which refuses nearly all pairs that don't link. Shingles are
 compared as 64-bit hashes: within a pair of sets of 10^4 the chance of a wrong match is about 10^-11.
 """
 
@@ -30,6 +33,10 @@ from .words import U, mix, shingle_hashes, word_hashes
 
 FLUSH_ROWS = 1_500_000
 BROADCAST_IDS = 300_000
+FREQUENT_BITS = 22
+MAX_ROUNDS = 2
+BLOCK_ROWS = 4096
+PAIRS_PER_ROW = 8
 _SPREAD = 0.28  # segments per shingle of a band's largest set: above 1/4, so most sets need no empty segment
 
 
@@ -59,35 +66,82 @@ def configurations(n: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def signatures(shingles: np.ndarray) -> np.ndarray:
-    """The index entries of one set: of equal segments, and of one-deletion neighbourhoods where the allocation has them."""
+def _bits(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles, 0x589965CC75374CC3) >> U(64 - FREQUENT_BITS)).astype(np.int64)
+
+
+def signatures(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The index entries of one set: of equal segments, and of one-deletion neighbourhoods where the allocation has them.
+
+    frequent: 2^FREQUENT_BITS booleans by _bits, the same for all sets.
+    """
     out = []
+    rare = ~frequent[_bits(shingles)]
     for band, m, apart in configurations(len(shingles)):
         segment = ((mix(shingles, 0x9FB21C651E98DF25 + band) >> U(32)) * U(m) >> U(32)).astype(np.int64)
         values = mix(shingles, 0xD6E8FEB86659FD93)
         order = np.argsort(segment, kind="stable")
-        segment, values = segment[order], values[order]
         counts = np.bincount(segment, minlength=m)
+        rares = np.bincount(segment[rare], minlength=m)
+        special = rares > 0
+        segment, values = segment[order], values[order]
         used = np.flatnonzero(counts)
         content = np.zeros(m, U)
         content[used] = np.add.reduceat(values, np.concatenate([[0], np.cumsum(counts[used])[:-1]]))
         tag = mix(np.arange(m, dtype=U) + U(band << 40), 0x8EBC6AF09C88C6E3)
         need = apart + 1
-        for least in (4, 3, 2, 1):
-            if np.count_nonzero(counts >= least) >= need:
-                chosen = counts >= least
-                out.append(mix(content[chosen] ^ tag[chosen]))
+        # (equal contents sought, one apart sought as well), each choice within the next; a segment of two rare shingles keeps one
+        # whichever shingle goes, so its neighbours are indexed by the same choice
+        choices = [(special & (counts >= k), None) for k in (4, 3, 2, 1)] + [(special, rares >= 2), (counts >= 1, rares >= 2), (counts >= 1, counts >= 2), (np.ones(m, bool), counts >= 2)]
+        for chosen, wide in choices:
+            if np.count_nonzero(chosen) + (0 if wide is None else np.count_nonzero(wide)) >= need:
                 break
-        else:
-            chosen = counts >= 1
-            wide = counts[segment] >= 2
-            out.append(mix((content[segment] - values)[wide] ^ tag[segment][wide]))
-            if np.count_nonzero(chosen) + np.count_nonzero(counts >= 2) < need:
-                chosen[:] = True
-            out.append(mix(content[chosen] ^ tag[chosen]))
+        if wide is not None:
+            near = wide[segment]
+            out.append(mix((content[segment] - values)[near] ^ tag[segment][near]))
+        out.append(mix(content[chosen] ^ tag[chosen]))
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the counts in hashed buckets, two to four buckets a shingle, as 64-bit words. Buckets go by the low bits of a
+    hash, so XOR-ing the halves of a sketch gives the sketch of half as many buckets."""
+    bits = max(6, int(len(shingles)).bit_length() + 1)
+    at = (mix(shingles, 0x1D8E4E27C47D124F) & U((1 << bits) - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=1 << bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """Booleans by _bits of the shingles that at least 0.04 % of the documents of a task hold (and three of them), over all
+    documents. The table has a fixed size; what doesn't fit shares a place, which costs some selectivity and no result."""
+
+    def run(batches):
+        held, size, documents = [], 0, 0
+
+        def flush():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            places = np.unique(_bits(keys[n >= max(3, documents * 0.0004)]))
+            return pa.RecordBatch.from_pydict({"place": places})
+
+        for batch in batches:
+            for _, shingles in _sets(batch):
+                held.append(shingles)
+                size += len(shingles)
+                documents += 1
+                if size >= 4_000_000:
+                    yield flush()
+                    held, size, documents = [], 0, 0
+        if size:
+            yield flush()
+
+    places = docs.select(column(docs, "text", "string").alias("text")).mapInArrow(run, "place long").distinct()
+    # at most 2^FREQUENT_BITS bits, gathered as words of 32 bits
+    words = places.groupBy(F.shiftright("place", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 32 as int)))").alias("x")).toPandas()
+    packed = np.zeros(1 << (FREQUENT_BITS - 5), np.uint32)
+    packed[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64)
+    return np.packbits(np.unpackbits(packed.view(np.uint8), bitorder="little"))
+
+
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     for row, n, data, offsets in text_buffers(batch.column("text")):
         for i, shingles in enumerate(shingle_hashes(*word_hashes(data, offsets))):
@@ -95,18 +149,23 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def document_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls) per row; cls is null for an empty set, which links with nothing."""
+    """(doc_id, n_shingles, cls, sketch) per row; cls is null for an empty set, which links with nothing."""
 
     def run(batches):
-        for batch in batches:
-            sizes, classes = [0] * batch.num_rows, [None] * batch.num_rows
-            for i, shingles in _sets(batch):
-                if len(shingles):
-                    sizes[i], classes[i] = len(shingles), class_of(shingles)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], ["doc_id", "n_shingles", "cls"])
+        kind = pa.list_(pa.int64())
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                batch = whole.slice(lo, 2000)
+                sizes, classes, sketches = [0] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
+                for i, shingles in _sets(batch):
+                    if len(shingles):
+                        sizes[i], classes[i], sketches[i] = len(shingles), class_of(shingles), odd_sketch(shingles)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, kind)], ["doc_id", "n_shingles", "cls", "sketch"]
+                )
 
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch array<long>")
 
 
 def _star_rows(sig: np.ndarray, ids: np.ndarray):
@@ -128,8 +187,10 @@ def _columns(sig, ids, leader) -> pa.RecordBatch:
 
 def _indexed(docs: DataFrame) -> DataFrame:
     """(sig, id, leader): a null leader marks a task's smallest class of a signature, others already know that class."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))  # 2^FREQUENT_BITS bits
 
     def run(batches):
+        frequent = np.unpackbits(shared.value).astype(bool)
         held, count = [], 0
 
         def flush():
@@ -143,7 +204,7 @@ def _indexed(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for _, shingles in _sets(batch):
-                found = signatures(shingles)
+                found = signatures(shingles, frequent)
                 if len(found):
                     held.append((found, np.full(len(found), class_of(shingles), np.int64)))
                     count += len(found)
@@ -186,8 +247,8 @@ def _linked_to_first(batches):
 
 def stars(docs: DataFrame) -> DataFrame:
     """(sig, id, leader): every class that shares a signature, tied to a smaller class with that signature."""
-    rows = _indexed(docs).withColumn("at", F.when(F.col("leader").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "id")))
-    return rows.repartition("at").sortWithinPartitions("sig", "id").select("sig", "id", "leader").mapInArrow(_linked_to_first, "sig long, id long, leader long")
+    at = F.when(F.col("leader").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "id"))
+    return _indexed(docs).repartition(at).sortWithinPartitions("sig", "id").mapInArrow(_linked_to_first, "sig long, id long, leader long")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -226,6 +287,77 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int
     return pairs.join(left, "b").join(right, "a").where(100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)).select("a", "b").distinct()
 
 
+def _folded(sketch, words):
+    """A sketch of twice as many words folded to `words`."""
+    return F.when(F.size(sketch) <= words, F.col(sketch)).otherwise(F.zip_with(F.slice(sketch, 1, words), F.slice(sketch, words + 1, words), lambda x, y: x.bitwiseXOR(y)))
+
+
+def _apart(a: str, b: str):
+    """A lower bound of the symmetric difference: the differing parities of two odd sketches."""
+    words = F.least(F.size(a), F.size(b))
+    return F.aggregate(F.zip_with(_folded(a, words), _folded(b, words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, id, n, root) of the signatures whose members (sig, id, n) are in several components."""
+    rooted = members.join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    return stored(rooted.join(several, "sig").select("sig", "id", "n", "root"), "open")
+
+
+def _near_in_signatures(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that share a signature and whose sizes and sketches allow the similarity, from members
+    (sig, id, n, root, sketch). Signatures are compared in memory, in pairs of blocks of about BLOCK_ROWS members; only what passes is
+    put out, so a hot signature is spread over tasks and makes no rows."""
+    blocks = F.ceil(F.col("many") / BLOCK_ROWS).cast("int")
+    counts = members.groupBy("sig").agg(F.count("*").alias("many"))
+    rows = members.join(counts, "sig").withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "n", "root", "sketch")
+
+    def compare(group):
+        ids, n, root = (np.concatenate([g[k] for g in group]) for k in range(3))
+        sketches = [np.array(s, np.int64).view(U) for g in group for s in g[3]]
+        width = min(map(len, sketches))
+        for i, s in enumerate(sketches):
+            while len(s) > width:
+                s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+            sketches[i] = s
+        matrix = np.array(sketches)
+        for i in range(len(ids) - 1):
+            total, least, most = n[i] + n[i + 1 :], np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
+            some = np.flatnonzero((root[i + 1 :] != root[i]) & (least * 100 >= most * percent))
+            if len(some):
+                apart = np.bitwise_count(matrix[i + 1 + some] ^ matrix[i]).sum(1, dtype=np.int64)
+                for j in some[apart * (100 + percent) <= total[some] * (100 - percent)]:
+                    yield min(ids[i], ids[i + 1 + j]), max(ids[i], ids[i + 1 + j])
+
+    def run(batches):
+        last, group, seen = None, [], set()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in seen], pa.int64()), pa.array([p[1] for p in seen], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            sig, x, y, ids, n, root = (np.asarray(batch.column(k)) for k in range(6))
+            sketch = batch.column(6).to_pylist()
+            cuts = [0, *(np.flatnonzero((sig[1:] != sig[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist(), len(sig)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                key = (sig[lo], x[lo], y[lo])
+                if key != last:
+                    seen.update(compare(group) if group else ())
+                    last, group = key, []
+                    if len(seen) > 200_000:
+                        yield out()
+                        seen.clear()
+                group.append((ids[lo:hi], n[lo:hi], root[lo:hi], sketch[lo:hi]))
+        seen.update(compare(group) if group else ())
+        yield out()
+
+    return rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs(doc_id, text, ...); other columns are ignored.
 
@@ -236,36 +368,47 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     if percent < 80:
         raise ValueError("the segments are laid out for a similarity of 0.8 or more")
     members = stored(document_classes(docs), "classes")
-    classes = stored(members.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "reps")
+    lowest = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sketch"))
+    classes = stored(members.where("cls is not null and doc_id is not null").groupBy("cls").agg(lowest.alias("x")).select("cls", "x.*"), "reps")
     star = stored(stars(docs), "stars")
     fit = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     sizes = classes.select("cls", "n")
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(fit(F.col("na"), F.col("nb"))).select("a", "b")
+    def likely(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sizes and sketches allow the similarity; neither test refuses a link."""
+        both = pairs.join(classes.select("cls", "n", "sketch").toDF("a", "na", "sa"), "a").join(classes.select("cls", "n", "sketch").toDF("b", "nb", "sb"), "b")
+        return both.where(fit(F.col("na"), F.col("nb")) & (_apart("sa", "sb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))).select("a", "b")
 
-    tried = stored(sized(star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()), "pairs")
+    met = stored(star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "met")
+    tried = stored(likely(met), "pairs")
     links = stored(verified(docs, tried, classes, percent), "links")
     roots = components(links)
     # signatures whose star left its members in several components
-    of = lambda name: roots.toDF(name, f"{name}_root")
-    open_ = (
-        star.join(of("id"), "id", "left").join(of("leader"), "leader", "left")
-        .where(F.coalesce("id_root", "id") != F.coalesce("leader_root", "leader")).select("sig").distinct()
-    )
-    rest = star.join(open_, "sig")
-    rest = rest.select("sig", "id").unionByName(rest.select("sig", F.col("leader").alias("id"))).distinct()
-    rest = rest.join(sizes.toDF("id", "n"), "id").join(of("id"), "id", "left").select("sig", "id", "n", F.coalesce("id_root", "id").alias("root"))
-    rest = stored(rest, "open")
-    a, b = (rest.toDF("sig", x, f"n{x}", f"r{x}") for x in "ab")
-    again = a.join(b, "sig").where("a < b and ra <> rb").where(fit(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    again = stored(again.join(tried, ["a", "b"], "left_anti"), "pairs")
+    members_of = star.select("sig", "id").unionByName(star.select("sig", F.col("leader").alias("id"))).distinct()
+    open_ = _open(members_of.join(sizes.toDF("id", "n"), "id"), roots)
+    for round_ in range(MAX_ROUNDS):
+        size = open_.groupBy("sig").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.expr("count * (count - 1) / 2")), F.lit(0)).alias("pairs")).first()
+        if size["pairs"] <= PAIRS_PER_ROW * size["n"]:
+            break
+        # another leader for each signature: who doesn't link with the smallest class often links with another
+        lead = open_.groupBy("sig").agg(F.min_by(F.struct("id", "root"), F.xxhash64(F.lit(round_), "id")).alias("lead"))
+        pairs = open_.join(lead, "sig").where(F.col("root") != F.col("lead.root"))
+        pairs = pairs.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "met")
+        more = stored(verified(docs, stored(likely(pairs), "pairs"), classes, percent), "links")
+        met, links = met.unionByName(pairs), links.unionByName(more)
+        if not more.limit(1).count():
+            break
+        roots = components(links)
+        open_ = _open(open_.drop("root"), roots)
+    again = _near_in_signatures(open_.join(classes.select(F.col("cls").alias("id"), "sketch"), "id"), percent)
+    again = stored(likely(again.join(met, ["a", "b"], "left_anti")), "pairs")
     more = stored(verified(docs, again, classes, percent), "links")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
     named = classes.join(roots.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(lowest, "root").select("cls", "component_id")
-    return members.join(of_class, "cls", "left").select(
+    return members.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
