@@ -31,11 +31,12 @@ from .components import components
 from .shared import column, stored, text_buffers
 from .words import U, mix, shingle_hashes, word_hashes
 
-FLUSH_ROWS = 1_500_000
+FLUSH_ROWS = 1_000_000
 BROADCAST_IDS = 300_000
 FREQUENT_BITS = 22
 MAX_ROUNDS = 2
 BLOCK_ROWS = 4096
+FEW = 24  # members up to which a signature's pairs are joined, not compared in memory
 PAIRS_PER_ROW = 8
 _SPREAD = 0.28  # segments per shingle of a band's largest set: above 1/4, so most sets need no empty segment
 
@@ -128,7 +129,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
                 held.append(shingles)
                 size += len(shingles)
                 documents += 1
-                if size >= 4_000_000:
+                if size >= 3_000_000:
                     yield flush()
                     held, size, documents = [], 0, 0
         if size:
@@ -306,11 +307,11 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _near_in_signatures(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share a signature and whose sizes and sketches allow the similarity, from members
+    """(a, b) of different components that share a signature of more than FEW members and whose sizes and sketches allow the similarity, from members
     (sig, id, n, root, sketch). Signatures are compared in memory, in pairs of blocks of about BLOCK_ROWS members; only what passes is
     put out, so a hot signature is spread over tasks and makes no rows."""
     blocks = F.ceil(F.col("many") / BLOCK_ROWS).cast("int")
-    counts = members.groupBy("sig").agg(F.count("*").alias("many"))
+    counts = members.groupBy("sig").agg(F.count("*").alias("many")).where(F.col("many") > FEW)
     rows = members.join(counts, "sig").withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "n", "root", "sketch")
 
@@ -401,7 +402,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
             break
         roots = components(links)
         open_ = _open(open_.drop("root"), roots)
-    again = _near_in_signatures(open_.join(classes.select(F.col("cls").alias("id"), "sketch"), "id"), percent)
+    few = open_.groupBy("sig").count().where(F.col("count") <= FEW).select("sig")
+    few = open_.join(few, "sig").select("sig", "id", "n", "root")
+    a, b = (few.toDF("sig", x, f"n{x}", f"r{x}") for x in "ab")
+    again = a.join(b, "sig").where("a < b and ra <> rb").where(fit(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    again = again.unionByName(_near_in_signatures(open_.join(classes.select(F.col("cls").alias("id"), "sketch"), "id"), percent)).distinct()
     again = stored(likely(again.join(met, ["a", "b"], "left_anti")), "pairs")
     more = stored(verified(docs, again, classes, percent), "links")
     if more.limit(1).count():
