@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column, stored, text_buffers
+from .shared import column, released, stored, text_buffers
 from .words import U, mix, word_hashes
 
 TERMS = 1 << 16
@@ -46,7 +46,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         if len(used):
             yield pa.RecordBatch.from_pydict({"term": used, "n": counts[used]})
 
-    sums = docs.select(column(docs, "text", "string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    sums = docs.select(column(docs, "text", "string").alias("text")).mapInArrow(released(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(TERMS)
     out[sums["term"].to_numpy(np.int64)] = sums["n"]
     return out
@@ -78,7 +78,7 @@ def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
         if total:
             yield _vectors(total)
 
-    out = parts.repartition("key").mapInArrow(run, "key long, v array<float>").toArrow()
+    out = parts.repartition("key").mapInArrow(released(run), "key long, v array<float>").toArrow()
     return {k: v.values.to_numpy(zero_copy_only=False) for k, v in zip(out.column("key").to_pylist(), out.column("v"))}
 
 
@@ -102,7 +102,7 @@ def _projected(passages: DataFrame, idf, place, sketch, gram: bool) -> dict[int,
         if total:
             yield _vectors(total)
 
-    return _summed(passages.select("text").mapInArrow(run, "key long, v array<float>"))
+    return _summed(passages.select("text").mapInArrow(released(run), "key long, v array<float>"))
 
 
 def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK, power: int = 2, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +121,7 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK, power:
         yield pa.RecordBatch.from_pydict({"key": np.flatnonzero(used)})
 
     idf_shared = context.broadcast(idf)
-    terms = np.sort(passages.select("text").mapInArrow(terms_of, "key long").distinct().toArrow().column("key").to_numpy())
+    terms = np.sort(passages.select("text").mapInArrow(released(terms_of), "key long").distinct().toArrow().column("key").to_numpy())
     place = np.zeros(TERMS, np.int32)
     place[terms] = np.arange(len(terms))
     place_shared = context.broadcast(place)
@@ -281,7 +281,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, overlap: f
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-        part = rows.mapInArrow(run, SCHEMA)
+        part = rows.mapInArrow(released(run), SCHEMA)
         out = part if out is None else stored(out, "leaks").unionByName(part)
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
@@ -301,5 +301,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, overlap: f
                         keep[row + i] = not shared.value.search(words[a:b], cosine, overlap, answer)
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(released(run), docs.schema)
     return out

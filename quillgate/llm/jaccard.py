@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import column, stored, text_buffers
+from .shared import column, released, stored, text_buffers
 from .words import U, mix, shingle_hashes, word_hashes
 
-FLUSH_ROWS = 1_000_000
+FLUSH_ROWS = 800_000
 BROADCAST_IDS = 300_000
 FREQUENT_BITS = 22
 MAX_ROUNDS = 2
@@ -129,13 +129,13 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
                 held.append(shingles)
                 size += len(shingles)
                 documents += 1
-                if size >= 3_000_000:
+                if size >= 2_500_000:
                     yield flush()
                     held, size, documents = [], 0, 0
         if size:
             yield flush()
 
-    places = docs.select(column(docs, "text", "string").alias("text")).mapInArrow(run, "place long").distinct()
+    places = docs.select(column(docs, "text", "string").alias("text")).mapInArrow(released(run), "place long").distinct()
     # at most 2^FREQUENT_BITS bits, gathered as words of 32 bits
     words = places.groupBy(F.shiftright("place", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 32 as int)))").alias("x")).toPandas()
     packed = np.zeros(1 << (FREQUENT_BITS - 5), np.uint32)
@@ -166,7 +166,7 @@ def document_classes(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch array<long>")
+    return rows.mapInArrow(released(run), "doc_id long, n_shingles long, cls long, sketch array<long>")
 
 
 def _star_rows(sig: np.ndarray, ids: np.ndarray):
@@ -216,7 +216,7 @@ def _indexed(docs: DataFrame) -> DataFrame:
             yield from flush()
 
     rows = docs.where("doc_id is not null").select(column(docs, "text", "string").alias("text"))
-    return rows.mapInArrow(run, "sig long, id long, leader long")
+    return rows.mapInArrow(released(run), "sig long, id long, leader long")
 
 
 def _linked_to_first(batches):
@@ -249,7 +249,7 @@ def _linked_to_first(batches):
 def stars(docs: DataFrame) -> DataFrame:
     """(sig, id, leader): every class that shares a signature, tied to a smaller class with that signature."""
     at = F.when(F.col("leader").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "id"))
-    return _indexed(docs).repartition(at).sortWithinPartitions("sig", "id").mapInArrow(_linked_to_first, "sig long, id long, leader long")
+    return _indexed(docs).repartition(at).sortWithinPartitions("sig", "id").mapInArrow(released(_linked_to_first), "sig long, id long, leader long")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, kind)], ["cls", "shingles"])
 
-    return rows.select("cls", "text").mapInArrow(run, "cls long, shingles array<long>")
+    return rows.select("cls", "text").mapInArrow(released(run), "cls long, shingles array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -356,7 +356,7 @@ def _near_in_signatures(members: DataFrame, percent: int) -> DataFrame:
         seen.update(compare(group) if group else ())
         yield out()
 
-    return rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column
+from .shared import column, released
 
 BUCKETS = 1 << 14
-PIECE = 4096  # words; the path restarts after so many, which bounds the steps of a batch
-CACHE_WORDS = 300_000
+PIECE = 1024  # words; the path restarts after so many, which bounds the steps of a batch
+CACHE_WORDS = 200_000
+SLICE = 1500  # documents decoded together
 WORD = re.compile(r"[^\W\d_]+")
 
 # First code points of script ranges and the script that begins there.
@@ -84,7 +85,7 @@ def train(docs: DataFrame, max_documents: int = 6000) -> Model:
         if out:
             yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in out], "f": [k[1] for k in out], "n": list(out.values())})
 
-    sums = sample.select("text", "lang").mapInArrow(count, "lang string, f long, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toPandas()
+    sums = sample.select("text", "lang").mapInArrow(released(count), "lang string, f long, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums["lang"].unique())
     all_counts = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)))
     all_counts[[langs.index(x) for x in sums["lang"]], sums["f"]] = sums["n"]
@@ -100,6 +101,19 @@ class Scorer:
         self.scores = np.zeros((CACHE_WORDS, k), np.float32)
         self.known = np.zeros(CACHE_WORDS, bool)  # whether some language uses the word's script
 
+    def _add(self, new: list[str]) -> None:
+        at, flat, ends = len(self.rows), [], []
+        for w in new:
+            flat += features(w)
+            ends.append(len(flat))
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        sums = np.add.reduceat(self.model.log_p[:, flat], starts, axis=1).T
+        mean = sums / np.sqrt(np.diff([0, *ends]))[:, None]  # n-grams of a word overlap, so their evidence isn't added in full
+        uses = self.model.uses[:, [script_of(w) for w in new]].T
+        self.known[at : at + len(new)] = uses.any(1)
+        self.scores[at : at + len(new)] = np.where(uses | ~uses.any(1, keepdims=True), mean, -1e4)
+        self.rows.update(zip(new, range(at, at + len(new))))
+
     def index(self, words: list[str]) -> np.ndarray:
         new = set(words).difference(self.rows)
         if len(self.rows) + len(new) > CACHE_WORDS:
@@ -109,18 +123,9 @@ class Scorer:
                 self.scores = np.zeros((len(new), len(self.model.langs)), np.float32)
                 self.known = np.zeros(len(new), bool)
         if new:
-            at, flat, ends = len(self.rows), [], []
             new = list(new)
-            for w in new:
-                flat += features(w)
-                ends.append(len(flat))
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            sums = np.add.reduceat(self.model.log_p[:, flat], starts, axis=1).T
-            mean = sums / np.sqrt(np.diff([0, *ends]))[:, None]  # n-grams of a word overlap, so their evidence isn't added in full
-            uses = self.model.uses[:, [script_of(w) for w in new]].T
-            self.known[at : at + len(new)] = uses.any(1)
-            self.scores[at : at + len(new)] = np.where(uses | ~uses.any(1, keepdims=True), mean, -1e4)
-            self.rows.update(zip(new, range(at, at + len(new))))
+            for lo in range(0, len(new), 8192):  # the features of a part at a time
+                self._add(new[lo : lo + 8192])
         return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
 
 
@@ -188,8 +193,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0, spans: bool =
         scorer = Scorer(shared.value)
         langs, k = scorer.model.langs, len(scorer.model.langs)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 4000):
-                batch = whole.slice(lo, 4000)
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
                 texts = batch.column("text").to_pylist()
                 if not k:
                     found, labels, owner, letters = [[]] * len(texts), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -219,7 +224,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0, spans: bool =
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang_pred", "score", "spans"][: len(out)])
 
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double" + ", spans array<struct<lang: string, first: long, end: long>>" * spans)
+    return rows.mapInArrow(released(run), "doc_id long, lang_pred string, score double" + ", spans array<struct<lang: string, first: long, end: long>>" * spans)
 
 
 def confident(docs: DataFrame, model: Model, least: float = 0.5, penalty: float = 6.0) -> DataFrame:
@@ -231,8 +236,8 @@ def confident(docs: DataFrame, model: Model, least: float = 0.5, penalty: float
         scorer = Scorer(shared.value)
         k = len(scorer.model.langs)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 4000):
-                batch = whole.slice(lo, 4000)
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
                 texts = batch.column("text").to_pylist()
                 if not k:
                     continue
@@ -243,4 +248,4 @@ def confident(docs: DataFrame, model: Model, least: float = 0.5, penalty: float
                 keep = (weight.max(1) >= least * total) & np.array([_has_letter(w) for w in found], bool)
                 yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column, shared_folder
+from .shared import column, released, shared_folder
 
 WHITE = b" \t\n\x0b\x0c\r"
 FLUSH_KEYS = 400_000
@@ -60,7 +60,7 @@ def line_counts(docs: DataFrame, least_points: int = 1) -> DataFrame:
                     counts.clear()
         yield from flush()
 
-    return docs.select(column(docs, "text", "string").alias("text")).mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select(column(docs, "text", "string").alias("text")).mapInArrow(released(run), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 class LineRuns:
@@ -140,9 +140,9 @@ def drop_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
                     found = [(a, _hash(k)) for a, t in zip(at, texts) for k in {line_key(x) for x in t.split(b"\n")} if k]
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["at", "key"])
 
-        bad = rows.select("at", "text").mapInArrow(held, "at binary, key binary").join(frequent, "key", "left_semi").groupBy("at").agg(F.collect_set("key").alias("bad"))
+        bad = rows.select("at", "text").mapInArrow(released(held), "at binary, key binary").join(frequent, "key", "left_semi").groupBy("at").agg(F.collect_set("key").alias("bad"))
         rows = rows.join(bad, "at", "left").select("doc_id", "text", "bad")
-    return rows.mapInArrow(run, "doc_id long, text string, n_lines long, n_dropped long")
+    return rows.mapInArrow(released(run), "doc_id long, text string, n_lines long, n_dropped long")
 
 
 def deduplicate_lines(docs: DataFrame, threshold: int = 10, least_points: int = 1, batches: int = 4) -> DataFrame:

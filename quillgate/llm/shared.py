@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -40,7 +41,20 @@ def column(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def text_buffers(column_, step: int = 2 << 20):
+def released(run):
+    """A mapInArrow function that gives freed memory back to the system at its end, as workers live on for other tasks."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not every C library can
+            pass
+
+    return wrapped
+
+
+def text_buffers(column_, step: int = 1 << 20):
     """Yield (first row, row count, bytes, offsets) over slices of an Arrow string column of about `step` bytes.
 
     Slicing bounds the temporary arrays of the numpy kernels; a single longer text forms a slice of its own.

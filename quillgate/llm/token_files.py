@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import column, shared_folder
+from .shared import column, released, shared_folder
 
 BLOCK = 4096
 MAGIC = b"QTOK0001"
@@ -256,7 +256,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
             store.move(temporary, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"file": [name], "docs": [len(writer.ids)], "ids": [writer.total]})
 
-    made = rows.mapInArrow(run, "file string, docs long, ids long").collect()
+    made = rows.mapInArrow(released(run), "file string, docs long, ids long").collect()
     manifest = sorted((r.file, r.docs, r.ids) for r in made)
     if manifest:
         store, root = filesystem(folder)
@@ -293,4 +293,4 @@ def read_token_files(spark: SparkSession, folder: str, manifest: list[tuple[str,
                             ["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(released(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

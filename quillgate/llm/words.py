@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
