@@ -21,7 +21,7 @@ from .shared import column, released
 BUCKETS = 1 << 14
 PIECE = 1024  # words; the path restarts after so many, which bounds the steps of a batch
 CACHE_WORDS = 200_000
-SLICE = 1500  # documents decoded together
+SLICE = 1200  # documents decoded together
 WORD = re.compile(r"[^\W\d_]+")
 
 # First code points of script ranges and the script that begins there.
@@ -43,9 +43,9 @@ def script_of(word: str) -> int:
 
 def features(word: str) -> list[int]:
     """Buckets of the n-grams of order 1 to 4 of the lower-cased word between marks, and of the word itself."""
-    marked = f"<{word.lower()}>"
-    grams = [marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in (*grams, marked + "=")]
+    marked = f"<{word.lower()}>".encode("utf-32-le", "surrogatepass")  # four bytes a character, so slices need no encoding
+    n, crc = len(marked), zlib.crc32
+    return [crc(marked[i : i + w]) & (BUCKETS - 1) for w in (8, 12, 16) for i in range(0, n - w + 1, 4)] + [crc(marked + b"=") & (BUCKETS - 1)]
 
 
 class Model:
@@ -165,7 +165,7 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.nd
 
 def _decode(scorer: Scorer, texts: list[str | None], penalty: float):
     """(words by text, label by word (-1: a script that no language uses), document of each word, letters of each word)."""
-    found = [WORD.findall(t) if t else [] for t in texts]
+    found = [WORD.findall(t.lower()) if t else [] for t in texts]
     lengths = np.array([len(w) for w in found], np.int64)
     words = [w for f in found for w in f]
     rows = scorer.index(words)
