@@ -74,7 +74,7 @@ def bundle_rows(spark):
 
 
 def test_assembly(spark):
-    files = markers.assemble(markers.Bundle("skillsync-x200", "SkillSync X200 Manual"), bundle_rows(spark)).orderBy("rank", "chapter_pos").collect()
+    files = markers.assemble(markers.Bundle("gadgetize-x200", "Gadgetize X200 Manual"), bundle_rows(spark)).orderBy("rank", "chapter_pos").collect()
     assert [f.est_tokens for f in files] == [117, 78, 59, 42, 64, 30]
     assert files[3].content.endswith("(`chapters/ch01-installation.md`, `chapters/ch02-troubleshooting.md`)\n")
     assert markers.issues(spark.createDataFrame([(f.path, f.content) for f in files], "path string, content string")).count() == 0
