@@ -1,0 +1,35 @@
+"""python -m quillgate report FOLDER | validate FOLDER: reads a bundle; exit 0 if it may be used."""
+
+from __future__ import annotations
+
+import sys
+
+
+def main(arguments: list[str]) -> int:
+    if len(arguments) != 2 or arguments[0] not in ("report", "validate"):
+        print(__doc__, file=sys.stderr)
+        return 2
+    from pyspark.sql import SparkSession
+
+    from .plans import compiling, reports
+    from .sinks import bundle
+
+    spark = SparkSession.builder.getOrCreate()
+    folder = arguments[1]
+    files = bundle.read_bundle(spark, folder)
+    if arguments[0] == "validate":
+        passed, text = reports.validation_report(compiling.validate(files))
+        print(text)
+        return 0 if passed else 1
+    tables = bundle.manifest_tables(spark, folder)
+    broken = compiling.stored_problems(tables).limit(5).collect()
+    if broken:
+        print("The manifest is not consistent: " + "; ".join(f"{r.rule}: {r.subject}" for r in broken))
+        return 1
+    status, text = reports.integrity_report(compiling.integrity(tables, files))
+    print(text or reports.gate_report(tables))
+    return 0 if status == "ok" else 1
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))

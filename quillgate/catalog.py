@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import gate, markers, segment
+from .operators import gate, manifest, markers, rules, segment
+from .sources.files import reflow
 from .sources.html import html_blocks
+from .streaming.incremental import changed_rows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -262,6 +264,72 @@ def assemble_bundle(t):
     return markers.assemble(markers.Bundle("regions", "Regions"), rows.select((F.col("r_regionkey") + 1).alias("chapter_pos"), F.col("r_name").alias("title"), "section_ids", "body")).select("path", "content", "est_tokens")
 
 
+@query()
+def pdf_reflow(t):
+    return t("documents").select("doc_id", reflow(F.array("text")).alias("text"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE 'changed' END AS state FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0""")
+def incremental_rows(t):
+    docs = t("documents").select("doc_id", "text")
+    known = docs.where("doc_id % 3 <> 0").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    arriving = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return changed_rows(known, arriving, "doc_id", "text")
+
+
+@query("""SELECT l_linenumber AS pos, l_orderkey, p_partkey AS id, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45""")
+def chapter_sections(t):
+    plan = t("lineitem").where("l_quantity > 45").select("l_orderkey", F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("id"))
+    return plan.join(t("part").select(F.col("p_partkey").alias("id"), "p_name"), "id").select("pos", "l_orderkey", "id", "p_name")
+
+
+@query("""SELECT doc_id, coalesce(source, '') AS chapter_file FROM labels LEFT JOIN (SELECT doc_id, source FROM documents WHERE lang <> 'de') USING (doc_id)""")
+def question_chapter(t):
+    placed = t("documents").where("lang <> 'de'").select("doc_id", "source")
+    return t("labels").select("doc_id").join(placed, "doc_id", "left").select("doc_id", F.coalesce("source", F.lit("")).alias("chapter_file"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1)
+SELECT 'more correct than asked' AS rule, id::VARCHAR AS subject FROM c WHERE n > 20 UNION ALL
+SELECT 'failure never loaded', c_custkey::VARCHAR FROM customer WHERE c_nationkey = 3 AND c_custkey NOT IN (SELECT id FROM c) UNION ALL
+SELECT 'sections without questions and their failures differ', s_suppkey || '-q0' FROM supplier WHERE s_nationkey = 5 UNION ALL
+SELECT 'asked differs from loads', 'all' WHERE (SELECT count(*) * 20 FROM c) <> (SELECT count(*) FROM c) UNION ALL
+SELECT 'correct differs from asked less failures', 'all' WHERE (SELECT sum(n) FROM c) <> (SELECT count(*) * 20 FROM c) - (SELECT count(*) FROM customer WHERE c_nationkey = 3) UNION ALL
+SELECT 'pass rate differs from the counts', 'all' WHERE abs(0.25 - (SELECT sum(n) / (count(*) * 20)::DOUBLE FROM c)) > 1e-9 UNION ALL
+SELECT 'verdict contradicts the counts', 'all'""")
+def gate_violations(t):
+    seen = t("orders").groupBy(F.col("o_custkey").alias("id")).count()
+    chapters = seen.select(F.col("id").cast("string").alias("file"), F.lit(20).cast("bigint").alias("asked"), F.col("count").alias("correct"))
+    covered = t("supplier").select(F.col("s_suppkey").cast("string").alias("section_id"), F.lit(1).alias("requested"), F.when(F.col("s_nationkey") == 5, 0).otherwise(1).alias("generated"))
+    failures = t("customer").where("c_nationkey = 3").select(F.col("c_custkey").cast("string").alias("qa_id"), F.lit("wrong").alias("reason"))
+    summary = t("region").agg(F.lit(0.25).alias("pass_rate"), F.lit(0.9).alias("threshold"), F.lit(True).alias("passed"))
+    return rules.gate_violations(chapters, covered, failures, seen.select(F.col("id").cast("string").alias("qa_id")), summary)
+
+
+@query("""SELECT 'question listed twice' AS rule, conv_id::VARCHAR AS subject FROM conversations GROUP BY conv_id HAVING count(*) > 1 UNION ALL
+SELECT 'output without hash', url FROM pages WHERE page_id % 7 = 0 UNION ALL SELECT 'question of no section', 'nobody'""")
+def manifest_violations(t):
+    pages, talks = t("pages"), t("conversations")
+    outputs = pages.select(F.col("url").alias("path"))
+    hashes = pages.where("page_id % 7 <> 0").select(F.col("url").alias("path"), F.sha2("html", 256).alias("sha256"))
+    sections = pages.select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("chapter_file"))
+    return manifest.manifest_violations(outputs, hashes, sections, talks.select(F.col("conv_id").cast("string").alias("qa_id"), F.lit("nobody").alias("section_id")))
+
+
+@query("""SELECT page_id, md5(html) LIKE '0%' AS bin FROM pages""")
+def binary_sniff(t):
+    content = F.when(F.md5("html").startswith("0"), F.concat(F.encode("url", "UTF-8"), F.unhex(F.lit("00")))).otherwise(F.encode("html", "UTF-8"))
+    return t("pages").select("page_id", X.is_binary(content).alias("bin"))
+
+
+@query("SELECT source, array_to_string(list_slice(list_sort(list(doc_id)), 1, 5), ', ') || CASE WHEN count(*) > 5 THEN ' … and ' || (count(*) - 5) || ' more' ELSE '' END AS ids FROM documents GROUP BY source")
+def listed_ids(t):
+    docs = t("documents").select("source", "doc_id")
+    first = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 5")  # limited per group before the shuffle
+    first = first.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("a"))
+    return first.join(docs.groupBy("source").agg(F.count("*").alias("total")), "source").select("source", X.listed(F.col("a"), F.col("total")).alias("ids"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

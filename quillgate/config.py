@@ -1,0 +1,40 @@
+"""Settings from the environment. A blank value counts as unset; a value of the wrong kind or range is an error."""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass
+
+
+class ConfigError(ValueError):
+    pass
+
+
+@dataclass(frozen=True)
+class Config:
+    threshold: float = 0.9
+    questions_per_section: int = 3
+    most_calls: int = 300
+    most_tokens: int = 30_000
+
+
+def _number(env: Mapping[str, str], name: str, default, least, most, kind=int):
+    raw = env.get(name, "").strip()
+    if not raw:
+        return default
+    try:
+        value = kind(raw)
+    except ValueError:
+        raise ConfigError(f"{name}={raw!r} is no number") from None
+    if not least <= value <= most:
+        raise ConfigError(f"{name}={raw} is not between {least} and {most}")
+    return value
+
+
+def load(env: Mapping[str, str] | None = None) -> Config:
+    env = os.environ if env is None else env
+    plain = Config()
+    return Config(
+        _number(env, "GATE_THRESHOLD", plain.threshold, 0.5, 1, float), _number(env, "QA_PER_SECTION", plain.questions_per_section, 1, 1000), _number(env, "MAX_LLM_CALLS", plain.most_calls, 1, 10**9)
+    )

@@ -152,3 +152,29 @@ def budget(path: Column) -> Column:
     return (
         F.when(path == "SKILL.md", 4000).when(path.startswith("chapters/"), 1000).when(path == "glossary.md", 1500).when(path == "patterns.md", 2000).when(path == "cheatsheet.md", 1000)
     )
+
+
+def is_binary(content: Column) -> Column:
+    """Whether a NUL stands in the first 8000 bytes."""
+    return F.hex(F.substring(content, 1, 8000)).rlike(r"\A(?:..)*?00")
+
+
+def harmless_stranger(path: Column) -> Column:
+    """Files that no manifest lists and nobody minds: the manifest itself and hidden names."""
+    return (path == "manifest.json") | path.rlike(r"(^|/)\.[^/]*\z")
+
+
+def substantive_line(line: Column) -> Column:
+    bare = trim(line)
+    return (bare != "") & ~bare.startswith("#")
+
+
+def role_tag(c: Column) -> Column:
+    """The role of a request whose system text is marked [quillgate:role]."""
+    return F.nullif(F.regexp_extract(c, r"\[quillgate:([A-Za-z]+)\]", 1), F.lit(""))
+
+
+def listed(ids: Column, total: Column | None = None, most: int = 5, glue: str = ", ") -> Column:
+    """The first entries of an array as text, and how many of `total` (the array's own size) follow."""
+    rest = (F.size(ids) if total is None else total) - most
+    return F.concat(F.array_join(F.slice(ids, 1, most), glue), F.when(rest > 0, F.concat(F.lit(" … and "), rest.cast("string"), F.lit(" more"))).otherwise(F.lit("")))

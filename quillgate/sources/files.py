@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import signal
+import threading
 import zipfile
 from xml.etree import ElementTree
 
@@ -15,6 +17,7 @@ from .html import to_blocks
 
 MOST_FILES, MOST_EACH, MOST_TOTAL = 500, 25 << 20, 100 << 20
 MOST_ENTRIES, MOST_INFLATED = 200, 60 << 20
+DEADLINE = 60.0
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -53,7 +56,47 @@ def docx_text(content: bytes) -> str:
     return "\n\n".join(out)
 
 
-def _extract(kind: str, content: bytes) -> tuple[str | None, str | None]:
+def within(seconds: float, run):
+    """run(), or TimeoutError after so many seconds. On a main thread it is interrupted; elsewhere its late result is dropped."""
+    if threading.current_thread() is threading.main_thread() and hasattr(signal, "setitimer"):
+
+        def stop(*_):
+            raise TimeoutError
+
+        before = signal.signal(signal.SIGALRM, stop)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            return run()
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+    found: list = []
+
+    def work():
+        try:
+            found.append((run(), None))
+        except Exception as e:
+            found.append((None, e))
+
+    thread = threading.Thread(target=work, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not found:
+        raise TimeoutError
+    value, error = found[0]
+    if error is not None:
+        raise error
+    return value
+
+
+def _extract(kind: str, content: bytes, seconds: float = DEADLINE) -> tuple[str | None, str | None]:
+    try:
+        return within(seconds, lambda: _parsed(kind, content))
+    except TimeoutError:
+        return None, "timeout"
+
+
+def _parsed(kind: str, content: bytes) -> tuple[str | None, str | None]:
     if kind is None:
         return None, "unsupported"
     try:
@@ -66,6 +109,8 @@ def _extract(kind: str, content: bytes) -> tuple[str | None, str | None]:
             text = to_blocks(text) if kind == "html" else text
     except UnicodeDecodeError:
         return None, "invalid_utf8"
+    except TimeoutError:
+        raise
     except Exception as e:  # any defect of a file is that file's error
         return None, f"corrupt: {str(e)[:200]}"
     return (text, None) if text.strip() else (None, "empty_text")
@@ -109,3 +154,6 @@ def reflow_pages(pages: list[str]) -> str:
     return "\n\n".join(out)
 
 
+def reflow(pages):
+    """reflow_pages of an array column of page texts; null or empty gives ''."""
+    return F.udf(lambda p: reflow_pages([x or "" for x in p or []]), "string", useArrow=True)(pages)

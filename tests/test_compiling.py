@@ -1,0 +1,129 @@
+"""A whole compile with scripted answers, its bundle on disk, and the rules of what is read back."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillgate import config
+from quillgate.functions import text as X
+from quillgate.operators import rules
+from quillgate.plans import compiling, reports
+from quillgate.plans.questions import Calls
+from quillgate.sinks import bundle
+from quillgate.sources.files import within
+
+DOC = "# Guide\n\nIntro text here.\n\n## Setup\n\nMount the unit flat.\n\n## Care\n\nClean it weekly.\n"
+QUOTES = {"guide": "Intro text", "guide/setup": "Mount the unit flat", "guide/care": "Clean it weekly"}
+
+
+def provider(short="", grade="CORRECT", plan=None):
+    plan = plan or {"slug": "unit-guide", "title": "Unit guide", "chapters": [{"id": "a", "title": "Basics", "sectionIds": ["guide", "[§guide/setup]"]}, {"id": "b", "title": "Care", "sectionIds": ["§guide/care"]}]}
+    quotes = QUOTES
+
+    class Told:
+        def complete(self, role, prompt):
+            if role == "outline":
+                return f"Here: {json.dumps(plan)} Done."
+            if role == "distill":
+                return "\n".join(f"{q}. [§{i}]" for i, q in quotes.items())
+            if role == "qaGen":
+                here = [q for i, q in quotes.items() if f"[§{i}]" in prompt and i != short]
+                return json.dumps({"items": [{"question": "What?", "refAnswer": "That.", "anchorQuote": q} for q in [*here, "not in it"]]})
+            if role == "select":
+                return "chapters/ch01-basics.md"
+            return grade if role == "grade" else "That."
+
+    return Told()
+
+
+@pytest.fixture
+def paths(tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "guide.md").write_text(DOC)
+    return [str(tmp_path / "in")]
+
+
+PLAIN = config.Config(questions_per_section=1)
+
+
+def test_compile_and_publish(spark, paths, tmp_path):
+    calls = Calls(provider())
+    made = compiling.compile_documents(spark, paths, calls, PLAIN)
+    assert made.passed and made.slug == "unit-guide" and calls.made == 1 + 2 + 3 + 3 * 3
+    out = tmp_path / "out" / "bundle"
+    bundle.publish(made.files, made.manifest, out)
+    with pytest.raises(bundle.PublishError) as e:
+        bundle.publish(made.files, made.manifest, out)
+    assert e.value.kind == "already_exists"
+    (out / "old.txt").write_text("x")
+    bundle.publish(made.files, made.manifest, out, force=True)
+    assert not (out / "old.txt").exists() and [p.name for p in out.parent.iterdir()] == ["bundle"]
+    tables, files = bundle.manifest_tables(spark, str(out)), bundle.read_bundle(spark, str(out))
+    assert compiling.stored_problems(tables).collect() == [] and compiling.integrity(tables, files).count() == 0
+    assert "PASSED (100.0% right" in reports.gate_report(tables) and reports.validation_report(compiling.validate(files))[0]
+    again = compiling.evaluate_again(tables, files, Calls(provider(grade="no")), PLAIN)
+    assert again["summary"].first().passed is False and again["failures"].count() == 3
+    (out / "extra.md").write_text("x")
+    (out / "SKILL.md").write_text("changed")
+    found = compiling.integrity(tables, bundle.read_bundle(spark, str(out)))
+    assert reports.integrity_report(found)[0] == "tampered" and {(r.path, r.state) for r in found.collect()} == {("extra.md", "unknown"), ("SKILL.md", "changed")}
+
+
+def test_open_sections_fail(spark, paths):
+    made = compiling.compile_documents(spark, paths, Calls(provider(short="guide/care")), PLAIN)
+    assert made.passed is False and [r.qa_id for r in made.tables["failures"].collect()] == ["guide/care-q0"]
+    assert "unverified" in made.files.where("path = 'SKILL.md'").first().content
+
+
+@pytest.mark.parametrize(
+    "chapters, said",
+    [([], "no chapters"), ([{"id": "a", "title": "T", "sectionIds": ["guide"]}], "missing"), ([{"id": "a", "title": "T", "sectionIds": list(QUOTES) + ["guide"]}], "duplicate"), ([{"id": "a", "title": "T", "sectionIds": [*QUOTES, "x"]}], "unknown"), ([{"id": "a", "title": "T", "sectionIds": []}], "without sections"), ([{"id": "a"}], "lacks")],
+)
+def test_bad_plans(spark, paths, chapters, said):
+    with pytest.raises(compiling.CompileError, match=said):
+        compiling.compile_documents(spark, paths, Calls(provider(plan={"slug": "s", "title": "T", "chapters": chapters})), PLAIN)
+
+
+def test_bounds(spark, paths):
+    with pytest.raises(compiling.CompileError, match="calls"):
+        compiling.compile_documents(spark, paths, Calls(provider(), most=10), PLAIN)
+    with pytest.raises(compiling.CompileError, match="tokens"):
+        compiling.compile_documents(spark, paths, Calls(provider()), config.Config(most_tokens=3))
+
+
+def test_paths():
+    assert bundle.relative_path("a/./b.md") == "a/b.md"
+    for bad in ("", "..", "../a", "/a", "a/../../b", "C:\\a", "."):
+        with pytest.raises(bundle.PublishError):
+            bundle.relative_path(bad)
+    with pytest.raises(bundle.PublishError):
+        bundle.target_folder("agents", "Up/Down")
+    assert str(bundle.target_folder("agents", "a-b", "/home/x")) == "/home/x/.agents/skills/a-b"
+
+
+def test_config():
+    assert config.load({"GATE_THRESHOLD": " ", "QA_PER_SECTION": "5"}) == config.Config(questions_per_section=5)
+    for bad in ({"GATE_THRESHOLD": "0.3"}, {"MAX_LLM_CALLS": "many"}, {"QA_PER_SECTION": "0"}):
+        with pytest.raises(config.ConfigError):
+            config.load(bad)
+
+
+def test_deadline():
+    import threading
+    import time
+
+    with pytest.raises(TimeoutError):
+        within(0.05, lambda: time.sleep(1))
+    got = []
+    t = threading.Thread(target=lambda: got.append(within(5, lambda: 7)))
+    t.start()
+    t.join()
+    assert got == [7] and within(5, lambda: 3) == 3
+
+
+def test_rules(spark):
+    q = spark.createDataFrame([("a", "s", "x" * 2001, "r", "q"), ("a", "s", "x", "", None)], "qa_id string, section_id string, question string, ref_answer string, anchor_quote string")
+    assert sorted(r.rule.split()[0] for r in rules.question_violations(q).collect()) == ["anchor_quote", "question", "question", "ref_answer"]
+    assert compiling.question_items('{"items": [{"question": "a", "refAnswer": "b"}]}') == [] and compiling.question_items(None) == []
+    assert spark.range(1).select(X.listed(F.array(*map(F.lit, "abcdefg")))).first()[0] == "a, b, c, d, e … and 2 more"

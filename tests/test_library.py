@@ -121,7 +121,7 @@ def test_catalogue(spark, name):
         assert rows.count() > 0
         return
     con = duckdb.connect()
-    for t in ("region", "nation", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"):
         con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
     said = con.sql(catalog.SQL[name])
     columns = sorted(said.columns)
