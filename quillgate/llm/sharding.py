@@ -58,15 +58,16 @@ def shard_rows(docs: DataFrame, shards: int = 8, vnodes: int = 128, slack: float
     """(doc_id, size, text_crc32, law, ring_slot, shard, slot) per row of docs(doc_id, text, ...).
 
     size is the text's UTF-8 bytes (null: none) plus 1; the law is `bytes`: sizes near equal. slot counts a shard's
-    rows from 0 without gaps, by ring slot, then doc_id (nulls first), size and text_crc32. Null doc_ids share one ring slot and so one
-    shard. Repeated rows stay apart by their slot. An empty table gives an empty result. Other columns are ignored.
+    rows from 0 without gaps, by ring slot, then doc_id (nulls first), size and text_crc32. A row without doc_id is placed
+    by its size and text_crc32, so that many of them do not meet in one ring slot. Repeated rows stay apart by their slot. An empty table gives an empty result. Other columns are ignored.
     """
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text")).select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1).alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("ring_slot"),
     )
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("size", "text_crc32")).otherwise(F.xxhash64("doc_id"))
+    rows = rows.withColumn("ring_slot", F.pmod(key, F.lit(SLOTS)))
     totals = rows.groupBy("ring_slot").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # at most SLOTS rows
     chosen = walk({r["ring_slot"]: r["size"] for r in totals}, shards, vnodes, slack)
     shard, base, used = [0] * SLOTS, [0] * SLOTS, [0] * shards
