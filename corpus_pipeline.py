@@ -18,9 +18,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays."""
-    found = jaccard.near_duplicates(docs).where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    """The document with the smallest doc_id of each group stays, once where its row (doc_id and text) is repeated. Documents
+    without a doc_id link with nothing and stay."""
+    found = jaccard.near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    found = stored(found, "kept")
+    out = docs.join(found.where("n = 1"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    again = found.where("n > 1")
+    if again.limit(1).count():
+        out = out.unionByName(docs.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    return out
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

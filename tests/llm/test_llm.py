@@ -290,3 +290,31 @@ def test_pipeline(spark):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in table.collect() if not any(b in r.text for b in bench)}
     out = corpus_pipeline.run(spark, d)
     assert {"doc_id", "shard", "slot"} <= set(out.columns) and out.count() > 0
+
+
+def test_stage_keeps_documents_without_id(spark):
+    """Against brute force over exact shingle sets: groups, repeated rows, null ids, and an extra column named like an inner one."""
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w59", "x")
+    given = [(4, base, "a"), (2, near, "b"), (9, "other words stand here in this text", "c"), (9, "other words stand here in this text", "d"), (None, base, "e"), (None, base, "f"), (7, None, "g"), (8, "", "h")]
+    table = spark.createDataFrame(given, "doc_id long, text string, n string")
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    def linked(a, b):
+        x, y = shingles(a), shingles(b)
+        return bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+
+    kept = [r for r in given if r[0] is None or not any(o[0] is not None and o[0] < r[0] and linked(o[1], r[1]) for o in given)]
+    want = sorted({(r[0], r[1]) for r in kept if r[0] is not None}, key=repr) + [(None, base)] * 2
+    got = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, table, "")
+    assert got.columns == table.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_sharding_without_ids(spark):
+    got = sharding.shard_rows(spark.createDataFrame([(None, f"text {i}") for i in range(400)], "doc_id long, text string")).collect()
+    assert len({r.shard for r in got}) == 8 and len({r.ring_slot for r in got}) > 300
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(8) for k in range(sum(r.shard == s for r in got))]
