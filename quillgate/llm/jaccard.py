@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import column, released, stored, text_buffers
+from .shared import release, column, released, stored, text_buffers
 from .words import U, mix, shingle_hashes, word_hashes
 
 FLUSH_ROWS = 800_000
@@ -382,12 +382,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     met = stored(star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "met")
     tried = stored(likely(met), "pairs")
+    release(docs.sparkSession)
     links = stored(verified(docs, tried, classes, percent), "links")
+    release(docs.sparkSession)
     roots = components(links)
     # signatures whose star left its members in several components
     members_of = star.select("sig", "id").unionByName(star.select("sig", F.col("leader").alias("id"))).distinct()
     open_ = _open(members_of.join(sizes.toDF("id", "n"), "id"), roots)
     for round_ in range(MAX_ROUNDS):
+        release(docs.sparkSession)
         size = open_.groupBy("sig").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.expr("count * (count - 1) / 2")), F.lit(0)).alias("pairs")).first()
         if size["pairs"] <= PAIRS_PER_ROW * size["n"]:
             break
