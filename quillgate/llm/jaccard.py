@@ -38,6 +38,9 @@ MAX_ROUNDS = 2
 BLOCK_ROWS = 4096
 FEW = 24  # members up to which a signature's pairs are joined, not compared in memory
 PAIRS_PER_ROW = 8
+SIGNATURE_BITS = 56  # a chance match costs a comparison, never a result
+BUCKET_ROWS = 3_000_000
+PACKED_ROWS = 32768
 _SPREAD = 0.28  # segments per shingle of a band's largest set: above 1/4, so most sets need no empty segment
 
 
@@ -170,7 +173,7 @@ def document_classes(docs: DataFrame) -> DataFrame:
 
 
 def _star_rows(sig: np.ndarray, ids: np.ndarray):
-    """Sorted distinct (sig, id) -> the smallest id of each signature, and (sig, id, leader) for the rest."""
+    """(sig, id) -> the smallest id of each signature, and distinct (sig, id, leader) for the rest, in order of sig."""
     order = np.lexsort((ids, sig))
     sig, ids = sig[order], ids[order]
     keep = np.ones(len(sig), bool)
@@ -182,12 +185,44 @@ def _star_rows(sig: np.ndarray, ids: np.ndarray):
     return sig[first], ids[first], sig[~first], ids[~first], leader[~first]
 
 
-def _columns(sig, ids, leader) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(ids, pa.int64()), leader if isinstance(leader, pa.Array) else pa.array(leader, pa.int64())], ["sig", "id", "leader"])
+def _narrow(values: np.ndarray) -> bytes:
+    """Unsigned numbers in as many bytes each as the largest needs, after a byte with that width."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _indexed(docs: DataFrame) -> DataFrame:
-    """(sig, id, leader): a null leader marks a task's smallest class of a signature, others already know that class."""
+def _wide(data: memoryview, n: int) -> tuple[np.ndarray, memoryview]:
+    """The first n numbers of _narrow's form, and what follows them."""
+    width = data[0]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data[1 : 1 + n * width], np.uint8).reshape(n, width)
+    return out.reshape(-1).view("<u8"), data[1 + n * width :]
+
+
+def pack(sig: np.ndarray, *ids: np.ndarray) -> bytes:
+    """Sorted signatures as their differences, and columns of ids as places in a list of the distinct ones."""
+    every, place = np.unique(np.concatenate(ids), return_inverse=True)
+    steps = sig.copy()
+    steps[1:] -= sig[:-1]
+    head = np.array([len(sig), len(every)], "<u4").tobytes()
+    return head + every.astype("<i8").tobytes() + _narrow(steps) + b"".join(_narrow(x) for x in np.split(place.astype(U), len(ids)))
+
+
+def unpack(data: bytes, columns: int) -> list[np.ndarray]:
+    """What `pack` was given: signatures, then so many columns of ids."""
+    n, many = (int(x) for x in np.frombuffer(data, "<u4", 2))
+    every = np.frombuffer(data, "<i8", many, 8)
+    steps, rest = _wide(memoryview(data)[8 + 8 * many :], n)
+    out = [np.cumsum(steps, dtype=U)]
+    for _ in range(columns):
+        place, rest = _wide(rest, n)
+        out.append(every[place.astype(np.int64)])
+    return out
+
+
+def _indexed(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, packed): a task's smallest class of each signature, packed by ranges of signatures; others, which already know that class,
+    stand as (sig, id, leader) in pieces with buckets below 0, which may go anywhere."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))  # 2^FREQUENT_BITS bits
 
     def run(batches):
@@ -196,12 +231,16 @@ def _indexed(docs: DataFrame) -> DataFrame:
 
         def flush():
             s, i = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            top_sig, top, sig, ids, leader = _star_rows(s.view(np.int64), i)
-            for lo in range(0, len(top), 200_000):
-                part = top[lo : lo + 200_000]
-                yield _columns(top_sig[lo : lo + 200_000], part, pa.nulls(len(part), pa.int64()))
-            for lo in range(0, len(ids), 200_000):
-                yield _columns(sig[lo : lo + 200_000], ids[lo : lo + 200_000], leader[lo : lo + 200_000])
+            top_sig, top, sig, ids, leader = _star_rows(s >> U(64 - SIGNATURE_BITS), i)
+            at = ((top_sig >> U(SIGNATURE_BITS - 32)) * U(buckets) >> U(32)).astype(np.int64)
+            cuts = np.union1d(np.flatnonzero(np.diff(at)) + 1, np.arange(0, len(at) + PACKED_ROWS, PACKED_ROWS).clip(max=len(at)))
+            names = [int(at[lo]) for lo in cuts[:-1]]
+            packed = [pack(top_sig[lo:hi], top[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:])]
+            for lo in range(0, len(sig), PACKED_ROWS):
+                part = slice(lo, lo + PACKED_ROWS)
+                names.append(-1 - int(mix(sig[lo : lo + 1] ^ ids[lo : lo + 1].view(U))[0] >> U(2)))
+                packed.append(pack(sig[part], ids[part], leader[part]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
         for batch in batches:
             for _, shingles in _sets(batch):
@@ -216,40 +255,40 @@ def _indexed(docs: DataFrame) -> DataFrame:
             yield from flush()
 
     rows = docs.where("doc_id is not null").select(column(docs, "text", "string").alias("text"))
-    return rows.mapInArrow(released(run), "sig long, id long, leader long")
+    return rows.mapInArrow(released(run), "bucket long, packed binary")
 
 
 def _linked_to_first(batches):
-    """Rows sorted by (sig, id) -> (sig, id, leader); a signature's rows may span batches."""
-    last_sig = last_id = lead = None
+    """Rows of _indexed sorted by bucket -> (sig, id, leader). What a bucket holds is brought down to one class a signature whenever it has
+    doubled, so memory follows the distinct signatures of a bucket, not how often a hot one comes."""
+
+    def rows(sig, ids, leader):
+        for lo in range(0, len(sig), 200_000):
+            part = slice(lo, lo + 200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[part].astype(np.int64)) for x in (sig, ids, leader)], ["sig", "id", "leader"])
+
+    held, count, most, last = [], 0, BUCKET_ROWS, None
     for batch in batches:
-        sig, ids = (np.asarray(batch.column(k)) for k in (0, 1))
-        known = batch.column(2)
-        have = np.asarray(known.is_valid())
-        if have.any():
-            yield pa.RecordBatch.from_arrays([c.filter(known.is_valid()) for c in batch.columns], ["sig", "id", "leader"])
-        sig, ids = sig[~have], ids[~have]
-        if not len(sig):
-            continue
-        first = np.ones(len(sig), bool)
-        first[1:] = sig[1:] != sig[:-1]
-        leader = ids[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))].copy()
-        again = np.zeros(len(sig), bool)
-        again[1:] = ~first[1:] & (ids[1:] == ids[:-1])
-        if last_sig is not None and sig[0] == last_sig:
-            run = int(np.argmax(sig != last_sig)) if (sig != last_sig).any() else len(sig)
-            leader[:run] = lead
-            again[0] = ids[0] == last_id
-        last_sig, last_id, lead = sig[-1], ids[-1], leader[-1]
-        out = (leader != ids) & ~again
-        if out.any():
-            yield _columns(sig[out], ids[out], leader[out])
-
-
-def stars(docs: DataFrame) -> DataFrame:
-    """(sig, id, leader): every class that shares a signature, tied to a smaller class with that signature."""
-    at = F.when(F.col("leader").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "id"))
-    return _indexed(docs).repartition(at).sortWithinPartitions("sig", "id").mapInArrow(released(_linked_to_first), "sig long, id long, leader long")
+        for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if bucket < 0:
+                yield from rows(*unpack(data.as_py(), 2))
+                continue
+            if held and (bucket != last or count > 2 * most):
+                sig, ids, *star = _star_rows(*(np.concatenate(x) for x in zip(*held)))
+                yield from rows(*star)
+                held, count, most = ([], 0, BUCKET_ROWS) if bucket != last else ([(sig, ids)], len(sig), max(BUCKET_ROWS, len(sig)))
+            last = bucket
+            held.append(tuple(unpack(data.as_py(), 1)))
+            count += len(held[-1][0])
+    if held:
+        yield from rows(*_star_rows(*(np.concatenate(x) for x in zip(*held)))[2:])
+
+
+def stars(docs: DataFrame, shingles: int) -> DataFrame:
+    """(sig, id, leader): every class that shares a signature, tied to a smaller class with that signature. `shingles`, of all
+    documents, sets how finely signatures are dealt out."""
+    packed = _indexed(docs, min(1 << 30, max(16, shingles // BUCKET_ROWS)))
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(_linked_to_first), "sig long, id long, leader long")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -371,7 +410,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     members = stored(document_classes(docs), "classes")
     lowest = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sketch"))
     classes = stored(members.where("cls is not null and doc_id is not null").groupBy("cls").agg(lowest.alias("x")).select("cls", "x.*"), "reps")
-    star = stored(stars(docs), "stars")
+    shingles = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
+    release(docs.sparkSession)
+    star = stored(stars(docs, shingles), "stars")
+    release(docs.sparkSession)
     fit = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     sizes = classes.select("cls", "n")
 
