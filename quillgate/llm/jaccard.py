@@ -345,13 +345,13 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(rooted.join(several, "sig").select("sig", "id", "n", "root"), "open")
 
 
-def _near_in_signatures(members: DataFrame, percent: int) -> DataFrame:
+def _near_in_signatures(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components that share a signature of more than FEW members and whose sizes and sketches allow the similarity, from members
-    (sig, id, n, root, sketch). Signatures are compared in memory, in pairs of blocks of about BLOCK_ROWS members; only what passes is
+    (sig, id, n, root) and (id, sketch), which are joined once the small signatures are out. Signatures are compared in memory, in pairs of blocks of about BLOCK_ROWS members; only what passes is
     put out, so a hot signature is spread over tasks and makes no rows."""
     blocks = F.ceil(F.col("many") / BLOCK_ROWS).cast("int")
     counts = members.groupBy("sig").agg(F.count("*").alias("many")).where(F.col("many") > FEW)
-    rows = members.join(counts, "sig").withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = members.join(counts, "sig").join(sketches, "id").withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "n", "root", "sketch")
 
     def compare(group):
@@ -451,7 +451,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     few = open_.join(few, "sig").select("sig", "id", "n", "root")
     a, b = (few.toDF("sig", x, f"n{x}", f"r{x}") for x in "ab")
     again = a.join(b, "sig").where("a < b and ra <> rb").where(fit(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    again = again.unionByName(_near_in_signatures(open_.join(classes.select(F.col("cls").alias("id"), "sketch"), "id"), percent)).distinct()
+    again = again.unionByName(_near_in_signatures(open_, classes.select(F.col("cls").alias("id"), "sketch"), percent)).distinct()
     again = stored(likely(again.join(met, ["a", "b"], "left_anti")), "pairs")
     more = stored(verified(docs, again, classes, percent), "links")
     if more.limit(1).count():

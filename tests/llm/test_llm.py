@@ -153,6 +153,52 @@ def test_signatures_meet():
             assert len(np.intersect1d(jaccard.signatures(a, frequent), jaccard.signatures(b, frequent)))
 
 
+@pytest.mark.parametrize("n", [1, 2, 700])
+def test_packed_signatures(n):
+    r = np.random.default_rng(n)
+    sig = np.sort(r.integers(0, 1 << jaccard.SIGNATURE_BITS, n, dtype=np.uint64))
+    sig[: n // 2] = sig[0]
+    ids, leader = r.integers(-(2**63), 2**63 - 1, n), np.full(n, -(2**63))
+    for got, want in zip(jaccard.unpack(jaccard.pack(sig, ids, leader), 2), (sig, ids, leader), strict=True):
+        assert (got == want).all()
+
+
+def test_stars_when_a_bucket_doubles(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "BUCKET_ROWS", 4)
+    r = np.random.default_rng(3)
+    parts = [(b, np.sort(r.integers(0, 6, 5).astype(np.uint64)) + np.uint64(10 * b), r.integers(-50, 50, 5)) for b in (0, 0, 0, 0, 1, 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts]), pa.array([jaccard.pack(s, i) for _, s, i in parts], pa.binary())], ["bucket", "packed"])
+    found, want = {}, {}
+    for out in jaccard._linked_to_first([batch]):
+        for sig, i, lead in zip(*(c.to_pylist() for c in out.columns)):
+            assert lead < i
+            found.setdefault(sig, {}).setdefault(i, lead)
+    for _, sig, ids in parts:
+        for s, i in zip(sig.tolist(), ids.tolist()):
+            want.setdefault(s, set()).add(i)
+    for s, members in want.items():
+        up = found.get(s, {})
+        assert set(up) == members - {min(members)}
+        for i in members:
+            while i in up:
+                i = up[i]
+            assert i == min(members)
+
+
+def test_language_slices_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(language, "SLICE", 3)
+    monkeypatch.setattr(language, "SLICE_BYTES", 10)
+    texts = ["x" * 25, None, "", "a", "b", "c" * 9, "d" * 10, "é" * 5, "e"]
+    cut = [b.column("text").to_pylist() for b in language._slices(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}))]
+    assert sum(cut, []) == texts
+    assert all(len(c) <= 3 and (len(c) == 1 or sum(len((t or "").encode()) for t in c) <= 10) for c in cut)
+    assert not list(language._slices(pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())})))
+
+
 def test_components(spark):
     links = [(5, 4), (4, 3), (9, 8), (7, 9), (3, 1), (20, 20), (None, 2)] + [(i, i + 1) for i in range(100, 140)]
     got = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
