@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,8 @@ from .shared import column, released
 BUCKETS = 1 << 14
 PIECE = 1024  # words; the path restarts after so many, which bounds the steps of a batch
 CACHE_WORDS = 200_000
-SLICE = 1200  # documents decoded together
+SLICE = 1200  # documents decoded together, and the bytes of their texts
+SLICE_BYTES = 6_000_000
 WORD = re.compile(r"[^\W\d_]+")
 
 # First code points of script ranges and the script that begins there.
@@ -175,6 +177,17 @@ def _decode(scorer: Scorer, texts: list[str | None], penalty: float):
     return found, labels, np.repeat(np.arange(len(texts)), lengths), np.fromiter(map(len, words), np.int64, len(words))
 
 
+def _slices(whole: pa.RecordBatch):
+    """The batch in slices of up to SLICE rows and SLICE_BYTES of text; a single longer text is a slice of its own."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(whole.column("text")), 0), np.int64))
+    lo = 0
+    while lo < len(ends):
+        room = SLICE_BYTES + (int(ends[lo - 1]) if lo else 0)
+        hi = min(max(lo + 1, int(np.searchsorted(ends, room, "right"))), lo + SLICE)
+        yield whole.slice(lo, hi - lo)
+        lo = hi
+
+
 def _has_letter(words: list[str]) -> bool:
     return any(c.isalpha() for w in words for c in w)
 
@@ -193,8 +206,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0, spans: bool =
         scorer = Scorer(shared.value)
         langs, k = scorer.model.langs, len(scorer.model.langs)
         for whole in batches:
-            for lo in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(lo, SLICE)
+            for batch in _slices(whole):
                 texts = batch.column("text").to_pylist()
                 if not k:
                     found, labels, owner, letters = [[]] * len(texts), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -236,8 +248,7 @@ def confident(docs: DataFrame, model: Model, least: float = 0.5, penalty: float
         scorer = Scorer(shared.value)
         k = len(scorer.model.langs)
         for whole in batches:
-            for lo in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(lo, SLICE)
+            for batch in _slices(whole):
                 texts = batch.column("text").to_pylist()
                 if not k:
                     continue
