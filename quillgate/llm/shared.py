@@ -38,6 +38,7 @@ def release(spark: SparkSession) -> None:
     driver with little to do may not collect for long, and the files stay as long as the plans do."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,15 +50,20 @@ def column(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def trim() -> None:
+    """Gives the memory that this process has freed back to the system."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library can
+        pass
+
+
 def released(run):
     """A mapInArrow function that gives freed memory back to the system at its end, as workers live on for other tasks."""
 
     def wrapped(batches):
         yield from run(batches)
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not every C library can
-            pass
+        trim()
 
     return wrapped
 
