@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import release, column, released, stored, text_buffers
+from .shared import column, release, released, small_batches, stored, text_buffers
 from .words import U, mix, shingle_hashes, word_hashes
 
 FLUSH_ROWS = 800_000
@@ -407,6 +407,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     if percent < 80:
         raise ValueError("the segments are laid out for a similarity of 0.8 or more")
+    small_batches(docs.sparkSession)
     members = stored(document_classes(docs), "classes")
     lowest = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sketch"))
     classes = stored(members.where("cls is not null and doc_id is not null").groupBy("cls").agg(lowest.alias("x")).select("cls", "x.*"), "reps")

@@ -17,13 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column, released
+from .shared import column, released, small_batches
 
 BUCKETS = 1 << 14
 PIECE = 1024  # words; the path restarts after so many, which bounds the steps of a batch
 CACHE_WORDS = 200_000
 SLICE = 1200  # documents decoded together, and the bytes of their texts
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 WORD = re.compile(r"[^\W\d_]+")
 
 # First code points of script ranges and the script that begins there.
@@ -67,6 +67,7 @@ def train(docs: DataFrame, max_documents: int = 6000) -> Model:
     doc_id. `max_documents` bounds the expected sample; feature counts are summed by Spark and at most
     (languages x (buckets + scripts)) sums reach the driver. Only text and lang are features or labels.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text"), column(docs, "lang", "string").alias("lang"))
     rows = rows.where("lang is not null and coalesce(crc32(cast(doc_id as string)) % 5, 1) <> 0")
     share = min(1.0, max_documents / max(1, rows.count()))
@@ -200,6 +201,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0, spans: bool =
     is `und`. Equal shares go to the language first by code point. spans are (lang, first word, end word), in order.
     Repeated rows give repeated results; an empty table an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets numbers, whatever the input
 
     def run(batches):
@@ -241,6 +243,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0, spans: bool =
 
 def confident(docs: DataFrame, model: Model, least: float = 0.5, penalty: float = 6.0) -> DataFrame:
     """The rows of docs, columns unchanged, that are in a learned language by at least the share `least` of their letters."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
 

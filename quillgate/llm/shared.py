@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, limit: str = "16m") -> None:
+    """Bounds what goes to a Python worker at once by bytes; by default only rows are counted, so long texts make batches of any size.
+    A limit that the session already has stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, limit)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files and broadcasts of finished queries now, not at the driver's next collection: a
     driver with little to do may not collect for long, and the files stay as long as the plans do."""
@@ -51,7 +60,8 @@ def column(df: DataFrame, name: str, kind: str):
 
 
 def trim() -> None:
-    """Gives the memory that this process has freed back to the system."""
+    """Gives the memory that this process has freed, in Arrow's pool or the C library's, back to the system."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not every C library can
