@@ -3,13 +3,16 @@
 Terms are hashed words weighted by inverse document frequency over all documents. A randomised SVD of the TF-IDF rows of
 the benchmark's passages, run as distributed passes, gives a latent space. Every window of every document is
 projected into it and compared with every item by cosine; windows with so little weight on benchmark terms that the bound
-on the cosine is below the threshold are passed over. Candidates are checked by the longest common subsequence of
+on the cosine is below the threshold are passed over. Beside these, an exact index of every item's rarest words finds each passage
+of up to twice an item's length that shares enough of its words with it, whatever the number of items or their length, so what the
+latent space loses isn't missed. Candidates are checked by the longest common subsequence of
 words between the item and the text around the window, and by how much of the item's answer (its last sentence, or what follows
 an `Answer:` mark) is there.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -23,6 +26,7 @@ from .words import U, mix, word_hashes
 TERMS = 1 << 16
 WINDOW, STRIDE = 48, 24
 RANK = 192
+HITS = 1 << 20  # pairs of a word and an item looked at together
 ITEM_BLOCK = 4000  # items compared in one pass over the documents; more items take more passes
 
 
@@ -175,7 +179,7 @@ def answer_of(text: str) -> str:
 class Items:
     """A block of benchmark items with their latent vectors, words and answers, as the tasks need them."""
 
-    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, terms: np.ndarray, basis: np.ndarray):
+    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, terms: np.ndarray, basis: np.ndarray, overlap: float):
         self.ids, self.words, self.answers, vectors = [], [], [], []
         self.square = (idf**2).astype(np.float64)
         self.used = np.zeros(TERMS, bool)
@@ -183,6 +187,7 @@ class Items:
         self.compact = np.zeros(TERMS, np.int32)
         self.compact[terms] = np.arange(len(terms))
         self.rows = basis * idf[terms][:, None]
+        self.tf, self.norms, need, keys = [], [], [], []
         for item, text in rows:
             for words, term, norm in _rows([text], idf):
                 if norm:
@@ -190,15 +195,113 @@ class Items:
                     self.words.append(words.tolist())
                     self.answers.append(next(_rows([answer_of(text)], idf))[0].tolist())
                     vectors.append(self.rows[self.compact[term]].sum(0) / norm)
+                    own, times = np.unique(term, return_counts=True)
+                    self.tf.append((own, times))
+                    self.norms.append(float(np.sqrt((self.square[own] * times**2).sum())))
+                    # a passage with `common` of the n words in order lacks at most n - common, so it has `hits` of any n - common + hits
+                    n = len(words)
+                    common = min(n, max(1, math.ceil(overlap * n - 1e-9)))
+                    hits = min(common, max(1, n // 6))
+                    need.append(hits)
+                    keys.append(np.unique(words[np.argsort(-idf[term], kind="stable")[: n - common + hits]]))
         v = np.array(vectors, np.float32).reshape(len(vectors), self.rows.shape[1])
         self.vectors = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-
-    def search(self, words: np.ndarray, cosine: float, overlap: float, answer: float) -> list[tuple[int, float, float, float, int, int]]:
-        """(item, cosine, LCS share, answer share, first word, end word) of the items found in one text's words, best per item."""
-        n = len(words)
-        if not n or not len(self.vectors):
+        self.need = np.array(need, np.int64)
+        self.span = 2 * np.array([len(w) for w in self.words], np.int64)
+        word = np.concatenate(keys) if keys else np.zeros(0, U)
+        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys]).astype(np.uint16)
+        order = np.argsort(word, kind="stable")
+        self.keys, at = np.unique(word[order], return_index=True)
+        self.starts, self.owners = np.append(at, len(word)), owner[order]
+        self.keyed = np.zeros(TERMS, bool)
+        self.keyed[_term(self.keys)] = True
+
+    def passages(self, words: np.ndarray, term: np.ndarray, ends: np.ndarray):
+        """Yield (row, item, place): some `need` of the item's rarest words stand within `span` words of that row, from `place` (in
+        units of the item's length from the row's first word) on."""
+        held = np.flatnonzero(self.keyed[term])
+        if not len(held):
+            return
+        at = np.minimum(np.searchsorted(self.keys, words[held]), len(self.keys) - 1)
+        same = self.keys[at] == words[held]
+        held, at = held[same], at[same]
+        if not len(held):
+            return
+        times = self.starts[at + 1] - self.starts[at]
+        upto = np.concatenate([[0], np.cumsum(times)])
+        row = np.searchsorted(ends, held, "right") - 1
+        lo, reach = 0, int(self.span.max())
+        while lo < len(held):  # pieces of about HITS pairs, overlapping by the longest span
+            end = max(lo + 1, int(np.searchsorted(upto, upto[lo] + HITS, "right")) - 1)
+            hi = int(np.searchsorted(held, held[end - 1] + reach, "right"))
+            n = times[lo:hi]
+            pairs = int(n.sum())
+            item = self.owners[np.repeat(self.starts[at[lo:hi]] - (upto[lo:hi] - upto[lo]), n) + np.arange(pairs)]
+            order = np.argsort(item, kind="stable")
+            item, which = item[order].astype(np.int64), (lo + np.repeat(np.arange(hi - lo), n))[order]
+            last = np.arange(pairs) + self.need[item] - 1
+            ok = last < pairs
+            last = np.minimum(last, pairs - 1)
+            ok &= (item[last] == item) & (row[which[last]] == row[which]) & (held[which[last]] - held[which] < self.span[item])
+            item, which = item[ok], which[ok]
+            place = (held[which] - ends[row[which]]) // (self.span[item] // 2)
+            yield from sorted(set(zip(row[which].tolist(), item.tolist(), place.tolist())))
+            lo = end
+
+    def exact(self, words: np.ndarray, term: np.ndarray, item: int, place: int, cosine: float, overlap: float, answer: float):
+        """(cosine, LCS share, answer share, first word, end word) of an item in one text's words around `place`, or None."""
+        own, n, size = self.words[item], len(words), len(self.words[item])
+        lo, hi = max(0, (place - 2) * size), min(n, (place + 3) * size)
+        near = words[lo:hi].tolist()
+        if lcs_length(own, near) < overlap * size - 1e-9:
+            return None
+        step = max(1, size // 2)  # every passage of 2 * size words lies in one of these
+        width = 2 * size + step
+        share = max(lcs_length(own, near[a : a + width]) for a in range(0, max(1, len(near) - width + step), step)) / size
+        if share < overlap - 1e-9:
+            return None
+        square = self.square[term[lo:hi]]
+        terms, times = self.tf[item]
+        at = np.minimum(np.searchsorted(terms, term[lo:hi]), len(terms) - 1)
+        dot = np.where(terms[at] == term[lo:hi], square * times[at], 0)
+        wide = min(size, hi - lo)
+        rolled = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[wide:] - c[: len(x) - wide + 1]
+        scores = rolled(dot) / (self.norms[item] * np.sqrt(np.maximum(rolled(square), 1e-12)))
+        best = int(np.argmax(scores))
+        if scores[best] < cosine:
+            return None
+        first, end = lo + best, lo + best + wide
+        around = words[max(0, first - size) : end + size].tolist()
+        said = lcs_length(self.answers[item], around) / len(self.answers[item]) if self.answers[item] else 1.0
+        return (float(min(scores[best], 1.0)), share, said, first, end) if said >= answer else None
+
+    def search(self, words: np.ndarray, ends: np.ndarray, cosine: float, overlap: float, answer: float) -> list[tuple]:
+        """(row, item, cosine, LCS share, answer share, first word, end word) of the items found in rows of words, best per row and item."""
+        if not len(words) or not len(self.vectors):
             return []
         term = _term(words)
+        found: dict[tuple[int, int], tuple[float, float, float, int, int]] = {}
+
+        def better(key, new):
+            if new is not None and (key not in found or (new[1], new[0]) > (found[key][1], found[key][0])):
+                found[key] = new
+
+        for row, item, new in self.latent(words, term, ends, cosine, overlap, answer):
+            better((row, item), new)
+        for row, item, place in self.passages(words, term, ends):
+            a, b = ends[row], ends[row + 1]
+            better((row, item), self.exact(words[a:b], term[a:b], item, place, cosine, overlap, answer))
+        return [(row, self.ids[item], *v) for (row, item), v in sorted(found.items())]
+
+    def latent(self, words: np.ndarray, term: np.ndarray, ends: np.ndarray, cosine: float, overlap: float, answer: float):
+        """Yield (row, item, (cosine, LCS share, answer share, first word, end word)) of the windows near an item in the latent space."""
+        for row, (first, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            if first == end:
+                continue
+            yield from ((row, i, v) for i, v in self.windows(words[first:end], term[first:end], cosine, overlap, answer))
+
+    def windows(self, words: np.ndarray, term: np.ndarray, cosine: float, overlap: float, answer: float):
+        n = len(words)
         square = self.square[term]
         mine = self.used[term]
         blocks = np.arange(0, n, STRIDE)
@@ -209,9 +312,6 @@ class Items:
         roll = lambda x: np.convolve(x, np.ones(per), "valid") if len(x) >= per else np.array([x.sum()])
         whole, part = roll(sums), roll(ours)
         live = np.flatnonzero(part >= cosine * cosine * 0.8 * whole)  # the projection can't exceed the weight on benchmark terms
-        if not len(live):
-            return []
-        found: dict[int, tuple[float, float, float, int, int]] = {}
         for k in live:
             lo, hi = int(k) * STRIDE, min(n, int(k) * STRIDE + WINDOW) if k + 1 < count else n
             inside = term[lo:hi][mine[lo:hi]]
@@ -220,26 +320,26 @@ class Items:
             if not size:
                 continue
             scores = self.vectors @ x / max(size, float(np.sqrt(whole[k])))
-            for i in np.flatnonzero(scores >= cosine):
-                item = self.words[i]
-                a, b = max(0, lo - len(item)), min(n, hi + len(item))
-                near = words[a:b].tolist()
-                share = lcs_length(item, near) / len(item)
-                if share < overlap:
-                    continue
-                said = lcs_length(self.answers[i], near) / len(self.answers[i]) if self.answers[i] else 1.0
-                if said < answer:
-                    continue
-                best = found.get(i)
-                if best is None or (share, float(scores[i])) > (best[1], best[0]):
-                    found[i] = (float(min(scores[i], 1.0)), share, said, lo, hi)
-        return [(self.ids[i], *v) for i, v in sorted(found.items())]
+            for i in np.flatnonzero(scores >= cosine).tolist():
+                checked = self.checked(words, i, lo, hi, float(scores[i]), overlap, answer)
+                if checked:
+                    yield i, checked
+
+    def checked(self, words: np.ndarray, i: int, lo: int, hi: int, score: float, overlap: float, answer: float):
+        """(cosine, LCS share, answer share, first word, end word) of item i around a window of one text's words, or None."""
+        item = self.words[i]
+        near = words[max(0, lo - len(item)) : hi + len(item)].tolist()
+        share = lcs_length(item, near) / len(item)
+        if share < overlap:
+            return None
+        said = lcs_length(self.answers[i], near) / len(self.answers[i]) if self.answers[i] else 1.0
+        return (min(score, 1.0), share, said, lo, hi) if said >= answer else None
 
 
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long, end_word long"
 
 
-def _item_blocks(docs: DataFrame, benchmark: DataFrame, rank: int):
+def _item_blocks(docs: DataFrame, benchmark: DataFrame, rank: int, overlap: float):
     documents = docs.count()
     idf = _weights(document_frequencies(docs), documents)
     items = benchmark.select(column(benchmark, "item_id", "bigint").alias("item_id"), column(benchmark, "text", "string").alias("text")).where("item_id is not null and text is not null")
@@ -248,10 +348,10 @@ def _item_blocks(docs: DataFrame, benchmark: DataFrame, rank: int):
     for r in items.orderBy("item_id", "text").toLocalIterator():
         block.append((r["item_id"], r["text"]))
         if len(block) == ITEM_BLOCK:
-            yield Items(block, idf, terms, basis)
+            yield Items(block, idf, terms, basis, overlap)
             block = []
     if block:
-        yield Items(block, idf, terms, basis)
+        yield Items(block, idf, terms, basis, overlap)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, overlap: float = 0.6, answer: float = 0.5, rank: int = RANK) -> DataFrame:
@@ -265,7 +365,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, overlap: f
     spark = docs.sparkSession
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text"))
     out = None
-    for items in _item_blocks(docs, benchmark, rank):
+    for items in _item_blocks(docs, benchmark, rank, overlap):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
@@ -274,8 +374,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, overlap: f
                 found = []
                 for row, _, data, offsets in text_buffers(batch.column("text")):
                     words, ends = word_hashes(data, offsets)
-                    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-                        found += [(ids[row + i], *x) for x in shared.value.search(words[a:b], cosine, overlap, answer)]
+                    found += [(ids[row + i], *x) for i, *x in shared.value.search(words, ends, cosine, overlap, answer)]
                 if found:
                     columns = list(zip(*found))
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
@@ -289,7 +388,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, overlap: f
 def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, overlap: float = 0.6, answer: float = 0.5, rank: int = RANK) -> DataFrame:
     """The rows of docs, columns unchanged, in which no benchmark item is found."""
     out = docs
-    for items in _item_blocks(docs, benchmark, rank):
+    for items in _item_blocks(docs, benchmark, rank, overlap):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
@@ -297,8 +396,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, overlap: f
                 keep = np.ones(batch.num_rows, bool)
                 for row, _, data, offsets in text_buffers(batch.column("text")):
                     words, ends = word_hashes(data, offsets)
-                    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-                        keep[row + i] = not shared.value.search(words[a:b], cosine, overlap, answer)
+                    for i, *_ in shared.value.search(words, ends, cosine, overlap, answer):
+                        keep[row + i] = False
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(released(run), docs.schema)

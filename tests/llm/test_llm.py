@@ -364,3 +364,16 @@ def test_sharding_without_ids(spark):
     got = sharding.shard_rows(spark.createDataFrame([(None, f"text {i}") for i in range(400)], "doc_id long, text string")).collect()
     assert len({r.shard for r in got}) == 8 and len({r.ring_slot for r in got}) > 300
     assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(8) for k in range(sum(r.shard == s for r in got))]
+
+
+@pytest.mark.parametrize("count", [2000, 4000])
+def test_leaks_of_many_items(spark, count):
+    """Far more items than the latent space has dimensions: every planted copy is found."""
+    r = random.Random(count)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(6000)]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(k, say(r.randint(15, 59))) for k in range(count)]
+    planted = r.sample(items, 200)
+    rows = [(k, f"{say(r.randint(20, 90))} {text} {say(40)}", "en", "a") for k, text in planted] + [(count + k, say(150), "en", "a") for k in range(100)]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, k) for k, _ in planted}
