@@ -377,3 +377,15 @@ def test_leaks_of_many_items(spark, count):
     rows = [(k, f"{say(r.randint(20, 90))} {text} {say(40)}", "en", "a") for k, text in planted] + [(count + k, say(150), "en", "a") for k in range(100)]
     got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(k, k) for k, _ in planted}
+
+
+@pytest.mark.parametrize("length", [3, 800, 1200])
+def test_leaks_of_any_length(spark, length):
+    """Verbatim copies of items far shorter or longer than a window."""
+    r = random.Random(length)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(6000)]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(k, say(length if k < 80 else 40)) for k in range(180)]
+    rows = [(k, f"{say(r.randint(20, 90))} {items[k][1]} {say(40)}", "en", "a") for k in range(80)]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got >= {(k, k) for k in range(80)}
