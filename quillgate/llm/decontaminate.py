@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Terms are hashed words weighted by inverse document frequency over all documents. A randomised SVD of the TF-IDF rows of
-the benchmark's passages, run as distributed passes, gives a latent space. Every window of every document is
-projected into it and compared with every item by cosine; windows with so little weight on benchmark terms that the bound
-on the cosine is below the threshold are passed over. Beside these, an exact index of every item's rarest words finds each passage
-of up to twice an item's length that shares enough of its words with it, whatever the number of items or their length, so what the
-latent space loses isn't missed. Candidates are checked by the longest common subsequence of
+Words are compared with case folded and the marks at their edges dropped. Terms are hashed words weighted by inverse document
+frequency over all documents. A randomised SVD of the TF-IDF rows of the benchmark's passages, run as distributed passes, gives a
+latent space. Every window of every document is projected into it and compared with every item by cosine; windows with so little
+weight on benchmark terms that the bound on the cosine is below the threshold are passed over. Beside these, an exact index of every
+item's rarest words finds each passage of up to twice an item's length that shares enough of its words with it, whatever the number of
+items or their length, so what the latent space loses isn't missed. Candidates are checked by the longest common subsequence of
 words between the item and the text around the window, and by how much of the item's answer (its last sentence, or what follows
 an `Answer:` mark) is there.
 """
@@ -17,6 +17,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +35,28 @@ def _term(words: np.ndarray) -> np.ndarray:
     return (mix(words, 0x632BE59BD9B4E019) >> U(48)).astype(np.int64)
 
 
+_MARKS, _INNER, _GAP = r"[\p{P}\p{S}]+", r"[\p{L}\p{M}\p{N}]", r"[\x09-\x0D\x20]"
+
+
+def normal_buffers(column_):
+    """text_buffers of texts with case folded and marks at the edges of words dropped, as copies may differ in both. No word is joined,
+    split or emptied (one of marks only stays), so the n-th word of a text stays its n-th."""
+    for row, _, data, offsets in text_buffers(column_):
+        raw = data.tobytes()
+        folded = [raw[a:b].decode("utf-8", "replace").casefold() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        bare = pc.replace_substring_regex(pa.array(folded, pa.large_string()), f"(^|{_GAP}){_MARKS}({_INNER})", r"\1\2")
+        bare = pc.replace_substring_regex(bare, f"({_INNER}){_MARKS}({_GAP}|$)", r"\1\2")
+        for first, n, data_, offsets_ in text_buffers(bare):
+            yield row + first, n, data_, offsets_
+
+
 def document_frequencies(docs: DataFrame) -> np.ndarray:
     """How many documents hold each of the TERMS hashed terms, over all documents; one dense vector a task is summed."""
 
     def run(batches):
         counts = np.zeros(TERMS, np.int64)
         for batch in batches:
-            for _, _, data, offsets in text_buffers(batch.column("text")):
+            for _, _, data, offsets in normal_buffers(batch.column("text")):
                 words, ends = word_hashes(data, offsets)
                 if len(words):
                     owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
@@ -63,7 +79,7 @@ def _weights(frequencies: np.ndarray, documents: int) -> np.ndarray:
 def _rows(texts: list[str | None], idf: np.ndarray):
     """(words of each text, their terms, sqrt of the summed squared weights)."""
     column_ = pa.array([t or "" for t in texts], pa.string())
-    for _, n, data, offsets in text_buffers(column_):
+    for _, n, data, offsets in normal_buffers(column_):
         words, ends = word_hashes(data, offsets)
         for a, b in zip(ends[:-1], ends[1:]):
             term = _term(words[a:b])
@@ -372,7 +388,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, overlap: f
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 found = []
-                for row, _, data, offsets in text_buffers(batch.column("text")):
+                for row, _, data, offsets in normal_buffers(batch.column("text")):
                     words, ends = word_hashes(data, offsets)
                     found += [(ids[row + i], *x) for i, *x in shared.value.search(words, ends, cosine, overlap, answer)]
                 if found:
@@ -394,7 +410,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, overlap: f
         def run(batches, shared=shared):
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for row, _, data, offsets in text_buffers(batch.column("text")):
+                for row, _, data, offsets in normal_buffers(batch.column("text")):
                     words, ends = word_hashes(data, offsets)
                     for i, *_ in shared.value.search(words, ends, cosine, overlap, answer):
                         keep[row + i] = False

@@ -389,3 +389,20 @@ def test_leaks_of_any_length(spark, length):
     rows = [(k, f"{say(r.randint(20, 90))} {items[k][1]} {say(40)}", "en", "a") for k in range(80)]
     got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got >= {(k, k) for k in range(80)}
+
+
+def test_leaks_ignore_case_and_marks(spark):
+    """Upper-cased copies of accented items, and copies with marks at the edges of words."""
+    item = "Été à Évian, où l'œuvre déjà née élève âmes et forêts çà et là. Réponse éclatée über straße."
+    noisy = " ".join(f"«{w}»!!" for w in item.split())
+    rows = [(1, f"x y z {item.upper()} a b", "fr", "a"), (2, f"x y z {noisy} a b", "fr", "a"), (3, "x y z - a b", "fr", "a"), (4, "« » !! —", "fr", "a")]
+    found = decontaminate.leaks(docs(spark, rows), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.lcs_share) for r in found} == {(1, 7, 1.0), (2, 7, 1.0)}
+
+
+def test_normal_words_keep_their_places():
+    import pyarrow as pa
+
+    texts = ["«Été» — a! b? (c)", None, "", "... !", "x\x0b«y»\tz_", "é! 5%", "don't stop-it"]
+    said = [data[a:b].tobytes().decode() for _, _, data, offsets in decontaminate.normal_buffers(pa.array(texts)) for a, b in zip(offsets[:-1], offsets[1:])]
+    assert said == ["été — a b c", "", "", "... !", "x\x0by\tz", "é 5", "don't stop-it"]
