@@ -7,7 +7,7 @@ weight on benchmark terms that the bound on the cosine is below the threshold ar
 item's rarest words finds each passage of up to twice an item's length that shares enough of its words with it, whatever the number of
 items or their length, so what the latent space loses isn't missed. Candidates are checked by the longest common subsequence of
 words between the item and the text around the window, and by how much of the item's answer (its last sentence, or what follows
-an `Answer:` mark) is there.
+an `Answer:` mark) is there; the latter is for paraphrases, so a passage with COPY of the item's words in order goes without.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from .words import U, mix, word_hashes
 TERMS = 1 << 16
 WINDOW, STRIDE = 48, 24
 RANK = 192
+COPY = 0.8  # share of an item's words in order within a short passage from which no answer is asked for
 HITS = 1 << 20  # pairs of a word and an item looked at together
 ITEM_BLOCK = 4000  # items compared in one pass over the documents; more items take more passes
 
@@ -289,7 +290,7 @@ class Items:
         first, end = lo + best, lo + best + wide
         around = words[max(0, first - size) : end + size].tolist()
         said = lcs_length(self.answers[item], around) / len(self.answers[item]) if self.answers[item] else 1.0
-        return (float(min(scores[best], 1.0)), share, said, first, end) if said >= answer else None
+        return (float(min(scores[best], 1.0)), share, said, first, end) if said >= answer or share >= max(COPY, overlap) - 1e-9 else None
 
     def search(self, words: np.ndarray, ends: np.ndarray, cosine: float, overlap: float, answer: float) -> list[tuple]:
         """(row, item, cosine, LCS share, answer share, first word, end word) of the items found in rows of words, best per row and item."""

@@ -406,3 +406,16 @@ def test_normal_words_keep_their_places():
     texts = ["«Été» — a! b? (c)", None, "", "... !", "x\x0b«y»\tz_", "é! 5%", "don't stop-it"]
     said = [data[a:b].tobytes().decode() for _, _, data, offsets in decontaminate.normal_buffers(pa.array(texts)) for a, b in zip(offsets[:-1], offsets[1:])]
     assert said == ["été — a b c", "", "", "... !", "x\x0by\tz", "é 5", "don't stop-it"]
+
+
+def test_leaks_of_copies_without_answer(spark):
+    """A nearly whole copy counts though its answer is missing; a looser passage without the answer doesn't."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    question, last = say(29), say(4)
+    loose = question.split()
+    loose[::4] = ["other"] * len(loose[::4])
+    rows = [(1, f"{say(60)} {question} {say(60)}", "en", "a"), (2, f"{say(60)} {' '.join(loose)} {say(60)}", "en", "a"), (3, f"{say(60)} {' '.join(loose)} {last} {say(60)}", "en", "a")]
+    found = decontaminate.leaks(docs(spark, rows), spark.createDataFrame([(7, f"{question}. {last}")], "item_id long, text string")).collect()
+    assert {r.doc_id: r.answer_share for r in found} == {1: 0.0, 3: 1.0}
