@@ -2,8 +2,7 @@
 
 Words are compared with case folded and the marks at their edges dropped. Terms are hashed words weighted by inverse document
 frequency over all documents. A randomised SVD of the TF-IDF rows of the benchmark's passages, run as distributed passes, gives a
-latent space. Every window of every document is projected into it and compared with every item by cosine; windows with so little
-weight on benchmark terms that the bound on the cosine is below the threshold are passed over. Beside these, an exact index of every
+latent space. Every window of every document is projected into it and compared with every item by cosine. Beside these, an exact index of every
 item's rarest words finds each passage of up to twice an item's length that shares enough of its words with it, whatever the number of
 items or their length, so what the latent space loses isn't missed. Candidates are checked by the longest common subsequence of
 words between the item and the text around the window, and by how much of the item's answer (its last sentence, or what follows
@@ -28,6 +27,7 @@ TERMS = 1 << 16
 WINDOW, STRIDE = 48, 24
 RANK = 192
 COPY = 0.8  # share of an item's words in order within a short passage from which no answer is asked for
+BLOCKS = 512  # blocks of STRIDE words projected together
 HITS = 1 << 20  # pairs of a word and an item looked at together
 ITEM_BLOCK = 4000  # items compared in one pass over the documents; more items take more passes
 
@@ -311,36 +311,44 @@ class Items:
         return [(row, self.ids[item], *v) for (row, item), v in sorted(found.items())]
 
     def latent(self, words: np.ndarray, term: np.ndarray, ends: np.ndarray, cosine: float, overlap: float, answer: float):
-        """Yield (row, item, (cosine, LCS share, answer share, first word, end word)) of the windows near an item in the latent space."""
-        for row, (first, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-            if first == end:
+        """Yield (row, item, (cosine, LCS share, answer share, first word, end word)) of the windows near an item in the latent space.
+
+        Windows are two blocks of STRIDE words, or all of a text within one block; each block is projected once, and every window compared.
+        """
+        blocks = -(-np.diff(ends) // STRIDE)
+        before = np.concatenate([[0], np.cumsum(blocks)])
+        row = np.repeat(np.arange(len(blocks)), blocks)
+        starts = ends[row] + (np.arange(before[-1]) - before[row]) * STRIDE
+        square = np.add.reduceat(self.square[term], starts)
+        starts = np.append(starts, len(words))
+        paired = np.append(row[1:] == row[:-1], False)
+        for lo in range(0, len(row), BLOCKS):
+            hi = min(len(row), lo + BLOCKS)
+            end = min(len(row), hi + 1)  # the last window's second block
+            first = int(starts[lo])
+            mine = np.flatnonzero(self.used[term[first : starts[end]]])
+            bound = np.searchsorted(mine, starts[lo : end + 1] - first)
+            some = np.flatnonzero(np.diff(bound))
+            if not len(some):
                 continue
-            yield from ((row, i, v) for i, v in self.windows(words[first:end], term[first:end], cosine, overlap, answer))
-
-    def windows(self, words: np.ndarray, term: np.ndarray, cosine: float, overlap: float, answer: float):
-        n = len(words)
-        square = self.square[term]
-        mine = self.used[term]
-        blocks = np.arange(0, n, STRIDE)
-        sums = np.add.reduceat(square, blocks)
-        ours = np.add.reduceat(np.where(mine, square, 0), blocks)
-        per = WINDOW // STRIDE
-        count = max(1, len(blocks) - per + 1)
-        roll = lambda x: np.convolve(x, np.ones(per), "valid") if len(x) >= per else np.array([x.sum()])
-        whole, part = roll(sums), roll(ours)
-        live = np.flatnonzero(part >= cosine * cosine * 0.8 * whole)  # the projection can't exceed the weight on benchmark terms
-        for k in live:
-            lo, hi = int(k) * STRIDE, min(n, int(k) * STRIDE + WINDOW) if k + 1 < count else n
-            inside = term[lo:hi][mine[lo:hi]]
-            x = self.rows[self.compact[inside]].sum(0)
-            size = float(np.linalg.norm(x))
-            if not size:
-                continue
-            scores = self.vectors @ x / max(size, float(np.sqrt(whole[k])))
-            for i in np.flatnonzero(scores >= cosine).tolist():
-                checked = self.checked(words, i, lo, hi, float(scores[i]), overlap, answer)
-                if checked:
-                    yield i, checked
+            projected = np.zeros((end - lo, self.rows.shape[1]), np.float32)
+            projected[some] = np.add.reduceat(self.rows[self.compact[term[first + mine]]], bound[:-1][some], axis=0)
+            pair = paired[lo:hi]
+            x, whole = projected[: hi - lo].copy(), square[lo:hi].copy()
+            second = np.flatnonzero(pair)
+            x[second] += projected[second + 1]
+            whole[second] += square[lo + second + 1]
+            size = np.linalg.norm(x, axis=1)
+            alone = pair | (blocks[row[lo:hi]] == 1)  # the last block of several stands in the window before it
+            live = np.flatnonzero((size > 0) & alone)
+            scores = x[live] @ self.vectors.T / np.maximum(size[live], np.sqrt(whole[live]))[:, None]
+            for k, i in np.argwhere(scores >= cosine).tolist():
+                at = lo + int(live[k])
+                a, b = int(ends[row[at]]), int(ends[row[at] + 1])
+                first_word = int(starts[at]) - a
+                new = self.checked(words[a:b], i, first_word, min(b - a, first_word + WINDOW), float(scores[k, i]), overlap, answer)
+                if new:
+                    yield int(row[at]), i, new
 
     def checked(self, words: np.ndarray, i: int, lo: int, hi: int, score: float, overlap: float, answer: float):
         """(cosine, LCS share, answer share, first word, end word) of item i around a window of one text's words, or None."""

@@ -419,3 +419,33 @@ def test_leaks_of_copies_without_answer(spark):
     rows = [(1, f"{say(60)} {question} {say(60)}", "en", "a"), (2, f"{say(60)} {' '.join(loose)} {say(60)}", "en", "a"), (3, f"{say(60)} {' '.join(loose)} {last} {say(60)}", "en", "a")]
     found = decontaminate.leaks(docs(spark, rows), spark.createDataFrame([(7, f"{question}. {last}")], "item_id long, text string")).collect()
     assert {r.doc_id: r.answer_share for r in found} == {1: 0.0, 3: 1.0}
+
+
+def test_latent_windows_with_repeats():
+    """Every window near an item is compared, also where a repeated word carries it; against one window at a time."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    vocabulary = [word() for _ in range(300)]
+    items = [(k, " ".join(r.choice(vocabulary) for _ in range(12))) for k in range(5)]
+    items.append((5, "again again again again"))
+    texts = [" ".join(r.choice([word(), word(), r.choice(vocabulary)]) for _ in range(n)) for n in (0, 1, 23, 24, 25, 48, 49, 72, 500, 0, 40000)]
+    texts += [" ".join(["again"] * 3 + [word() for _ in range(45)]), f"{items[2][1]} {word()}"]
+    data = "".join(texts).encode()
+    words, ends = word_hashes(np.frombuffer(data, np.uint8), np.cumsum([0] + [len(t) for t in texts]))
+    idf = np.full(decontaminate.TERMS, 2.0, np.float32)
+    terms = np.unique(np.concatenate([t for _, t, _ in decontaminate._rows([t for _, t in items], idf)]))
+    block = decontaminate.Items(items, idf, terms, np.eye(len(terms), dtype=np.float32), 0.6)
+    seen = []
+    block.checked = lambda w, i, lo, hi, score, *_: seen.append((len(w), i, lo, hi)) or (score, 1.0, 1.0, lo, hi)
+    term = decontaminate._term(words)
+    got = {(row, i, v[3], v[4]): v[0] for row, i, v in block.latent(words, term, ends, 0.3, 0.6, 0.5)}
+    want = {}
+    for row, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+        for lo in range(0, max(1, int(b - a) - decontaminate.STRIDE), decontaminate.STRIDE) if b > a else []:
+            t = term[a:b][lo : lo + decontaminate.WINDOW]
+            x = block.rows[block.compact[t[block.used[t]]]].sum(0)
+            for i, score in enumerate(block.vectors @ x / max(float(np.linalg.norm(x)), float(np.sqrt(block.square[t].sum())))):
+                if score >= 0.3:
+                    want[row, i, lo, min(int(b - a), lo + decontaminate.WINDOW)] = score
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+    assert any(row == 11 and i == 5 for row, i, _, _ in got)
