@@ -13,6 +13,7 @@ from .streaming.incremental import changed_rows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+QUOTES = 2000  # quotes that go to the tasks at once
 SQL_WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{0B}]"
 
 
@@ -83,23 +84,17 @@ def content_hash(t):
     return t("documents").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
-def _contained(t) -> DataFrame:
-    """(doc_id, item_id): a stated set of items against all documents. The items' own first words make the equi key, so only
-    documents with an item's opening are searched for it."""
-    gram = lambda c: F.concat_ws(" ", F.slice(F.split(c, r"\s+"), 1, 3))
-    items = t("benchmark").select("item_id", F.col("text").alias("quote"), gram(F.col("text")).alias("k")).where("quote <> ''")
-    words = F.split("text", r"\s+")
-    grams = t("documents").select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, 3))))).alias("k"))
-    return grams.join(items, "k").where(F.contains("text", "quote")).select("doc_id", "item_id").distinct()
-
-
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND b.text <> ''")
 def anchor_contains(t):
-    items = t("benchmark")
-    if items.count() <= 2000:  # a stated, small set of quotes is tested in one pass over the documents
-        quotes = F.broadcast(items.select("item_id", F.col("text").alias("quote")).where("quote <> ''"))
-        return t("documents").select("doc_id", "text").join(quotes, F.contains(F.col("text"), F.col("quote"))).select("doc_id", "item_id")
-    return _contained(t)
+    """A stated set of quotes against all documents, in blocks of about QUOTES: each block is tested in one pass over the documents."""
+    items = t("benchmark").select("item_id", F.col("text").alias("quote")).where("quote <> ''")
+    blocks = max(1, -(-items.count() // QUOTES))
+    docs, out = t("documents").select("doc_id", "text"), None
+    for k in range(blocks):
+        quotes = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(blocks)) == k)
+        part = docs.join(F.broadcast(quotes), F.contains(F.col("text"), F.col("quote"))).select("doc_id", "item_id")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("SELECT doc_id, array_to_string([lang, source], ',') AS ids FROM documents")

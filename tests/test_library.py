@@ -131,3 +131,16 @@ def test_catalogue(spark, name):
     ours = sorted((tuple(plain(x) for x in r) for r in rows.select(*columns).collect()), key=key)
     theirs = sorted((tuple(plain(x) for x in r) for r in said.project(", ".join(f'"{c}"' for c in columns)).fetchall()), key=key)
     assert ours == theirs
+
+
+def test_anchor_contains_of_many_quotes(spark, tmp_path):
+    """More quotes than go at once: short ones, quoted ones, ones within words, and repeated rows, as the query's SQL says."""
+    texts = [(1, 'He said "the old house is near" to all.'), (2, "one two three, four five"), (3, "x"), (3, "x"), (4, None), (5, "")] + [(100 + k, f"doc number {k} stands here, word{k} ends.") for k in range(60)]
+    quotes = ["the old house is", '"the old house is near"', "two three", "one two three,", "two", "wo thr", "x", "x", None, "", "ear"] + [f"number {k} stands here" for k in range(2500)] + [f"word{k}" for k in range(2500)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    said = con.sql(catalog.SQL["anchor_contains"]).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["anchor_contains"](spark, str(tmp_path)).collect())) == sorted(said)
