@@ -242,7 +242,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0, spans: bool =
 
 
 def confident(docs: DataFrame, model: Model, least: float = 0.5, penalty: float = 6.0) -> DataFrame:
-    """The rows of docs, columns unchanged, that are in a learned language by at least the share `least` of their letters."""
+    """The rows of docs, columns unchanged, that are in learned languages, one or several, by at least the share `least` of their letters."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
@@ -259,7 +259,7 @@ def confident(docs: DataFrame, model: Model, least: float = 0.5, penalty: float
                 ok = labels >= 0
                 weight = np.bincount(owner[ok] * k + labels[ok], letters[ok], len(texts) * k).reshape(len(texts), k)
                 total = np.maximum(np.bincount(owner, letters, len(texts)), 1)
-                keep = (weight.max(1) >= least * total) & np.array([_has_letter(w) for w in found], bool)
+                keep = (weight.sum(1) >= least * total) & np.array([_has_letter(w) for w in found], bool)
                 yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(released(run), schema)

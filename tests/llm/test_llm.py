@@ -449,3 +449,19 @@ def test_latent_windows_with_repeats():
                     want[row, i, lo, min(int(b - a), lo + decontaminate.WINDOW)] = score
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
     assert any(row == 11 and i == 5 for row, i, _, _ in got)
+
+
+def test_confident_keeps_mixed_documents(spark):
+    """Learned languages in equal parts, none with half of the letters, stay; a document mostly in none goes."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.train(table)
+    assert len(model.langs) >= 3
+    plain = {}
+    for row in language.identify(table, model).where("score > 0.99").join(table.select("doc_id", "text"), "doc_id").orderBy("doc_id").collect():
+        plain.setdefault(row.lang_pred, []).extend(re.findall(r"[^\W\d_]+", row.text))
+    parts = [" ".join(words[:80]) for _, words in sorted(plain.items())[:3] if len(words) >= 80]
+    assert len(parts) == 3
+    other = " ".join(["Ωμέγα"] * 300)
+    mixed = docs(spark, [(1, "\n".join(parts), None, None), (2, other, None, None), (3, parts[0], None, None), (4, f"{parts[0]} {other}", None, None)])
+    found = {r.doc_id: r.score for r in language.identify(mixed, model).collect()}
+    assert found[1] < 0.5 and {r.doc_id for r in language.confident(mixed, model).collect()} == {1, 3}
