@@ -465,3 +465,12 @@ def test_confident_keeps_mixed_documents(spark):
     mixed = docs(spark, [(1, "\n".join(parts), None, None), (2, other, None, None), (3, parts[0], None, None), (4, f"{parts[0]} {other}", None, None)])
     found = {r.doc_id: r.score for r in language.identify(mixed, model).collect()}
     assert found[1] < 0.5 and {r.doc_id for r in language.confident(mixed, model).collect()} == {1, 3}
+
+
+def test_licenses_of_very_long_lines(spark):
+    """A line of more words than the SQL check looks at, against brute force over its distinct word pairs."""
+    text = "Released under the MIT License. " * 25000
+    pairs = [set(zip(w, w[1:])) for w in (re.findall("[a-z0-9]+", t.lower()) for t in (text, licenses.TEMPLATES["MIT"][0]))]
+    got = licenses.scan(docs(spark, [(1, text, None, None)])).collect()
+    assert len(text.split()) > 100_001 and [(r.doc_id, r.unit, r.license) for r in got] == [(1, "line", "MIT")]
+    assert got[0].dice == pytest.approx(2 * len(pairs[0] & pairs[1]) / (len(pairs[0]) + len(pairs[1])))
