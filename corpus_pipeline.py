@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgate.llm import decontaminate, jaccard, language, mixing, sharding
-from quillgate.llm.shared import release, stored, table
+from quillgate.llm.shared import Scratch, release, remove, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,15 +18,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays, once where its row (doc_id and text) is repeated. Documents
-    without a doc_id link with nothing and stay."""
-    found = jaccard.near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    found = stored(found, "kept")
-    out = docs.join(found.where("n = 1"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
-    again = found.where("n > 1")
-    if again.limit(1).count():
-        out = out.unionByName(docs.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
-    return out
+    """The document with the smallest doc_id of each group stays, once where its row is repeated; `jaccard.one_of_each` states what
+    holds for several texts of one doc_id, nulls, wordless texts and empty tables."""
+    return jaccard.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{k}")
-            release(spark)
-    return docs
+    """The last stage's rows over `documents`. A stage's intermediate tables, and the result before it, are deleted once its own result is
+    stored; the last stored one stays, as the returned frame reads from it."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with Scratch(spark) as scratch:
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{k}")
+        if before:
+            remove(spark, before)
+        before = scratch.kept
+        release(spark)
+    return STAGES[-1][1](spark, docs, sf_dir)
