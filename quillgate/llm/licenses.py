@@ -2,12 +2,17 @@
 
 Units are the single lines of a text and its paragraphs (runs of lines between blank ones) of more than one line. A unit and
 a template are normalised alike: lower case, every run outside [a-z0-9] one blank. With |A| and |B| distinct bigrams,
-Dice >= t needs |A| t / (2 - t) <= |B| <= |A| (2 - t) / t, which prunes most templates before any comparison.
+Dice >= t needs |A| t / (2 - t) <= |B| <= |A| (2 - t) / t, which prunes most templates before any comparison. It also needs |A| t / (2 - t)
+or more of a template's bigrams in the unit, so of any |A| less that number, plus one, of its bigrams a unit holds one: texts, then units,
+that hold none of those bigrams (`keys`) of any template are refused, and texts without one of a few words that stand in them all (`marks`)
+even before they are normalised. Neither refuses a unit that reaches t.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +68,40 @@ def template_rows(templates: dict[str, list[str]] | None = None) -> list[tuple[s
     return [(name, i, b) for name, texts in sorted((templates or TEMPLATES).items()) for i, t in enumerate(texts) if (b := bigrams(normal_words(t)))]
 
 
+# Words too frequent in running text to tell licences from it.
+COMMON = set("a an and any are as at be by can for from has in is it its may not of on or other that the this to under was which with without you".split())
+
+
+def _weight(word: str) -> int:
+    return 0 if word in COMMON or word.isdigit() else len(word)
+
+
+def _least(template: list[str], least: float) -> int:
+    """How many of a template's bigrams stand in every unit that reaches `least`."""
+    return max(1, math.ceil(len(template) * least / (2 - least) - 1e-9))
+
+
+def keys(template: list[str], least: float) -> list[str]:
+    """Bigrams of a template, those with the most telling words, of which every unit that reaches `least` holds one."""
+    return sorted(template, key=lambda b: (-max(map(_weight, b.split())), b))[: len(template) - _least(template, least) + 1]
+
+
+def marks(templates: list[list[str]], least: float) -> list[str]:
+    """Words of which every text that holds a unit reaching `least` holds one: enough for each template that fewer bigrams than such a
+    unit shares with it are without any of them; chosen greedily, words of many bigrams and long ones first."""
+    chosen: list[str] = []
+    open_ = [list(t) for t in templates]
+    while any(len(t) >= _least(a, least) for t, a in zip(open_, templates)):
+        gain: dict[str, int] = {}
+        for t, a in zip(open_, templates):
+            if len(t) >= _least(a, least):
+                for word in {w for b in t for w in b.split()}:
+                    gain[word] = gain.get(word, 0) + 1 + 100 * _weight(word) ** 2
+        chosen.append(max(sorted(gain), key=gain.get))
+        open_ = [[b for b in t if chosen[-1] not in b.split()] for t in open_]
+    return [w for w in chosen if not any(o != w and o in w for o in chosen)]
+
+
 def _let(value, body):
     """body(value) with value computed once, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -96,12 +135,15 @@ def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, list[str]] |
     known = template_rows(templates)
     low, high = min(len(b) for *_, b in known) * least / (2 - least), max(len(b) for *_, b in known) * (2 - least) / least
     fixed = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(len(b)).alias("size"), F.array(*map(F.lit, b)).alias("bigrams")) for n, _, b in known])
-    text = F.regexp_replace(F.lower(column(docs, "text", "string")), "[^a-z0-9\\n]+", " ")
-    lines = F.split(text, "\n")
-    base = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), lines.alias("lines")).where("lines is not null")
+    held = f"(?<![a-z0-9])(?:{'|'.join(sorted({k for *_, b in known for k in keys(b, least)}))})(?![a-z0-9])"
+    lower = F.lower(column(docs, "text", "string"))
+    marked = reduce(lambda x, y: x | y, [F.contains("lower", F.lit(w)) for w in marks([b for *_, b in known], least)])
+    base = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), lower.alias("lower")).where(marked)
+    base = base.select("doc_id", F.regexp_replace("lower", "[^a-z0-9\\n]+", " ").alias("text"))
+    base = base.where(F.regexp_replace("text", "[ \n]+", " ").rlike(held)).select("doc_id", F.split("text", "\n").alias("lines"))
     units = base.select("doc_id", F.explode(_let(F.col("lines"), _units)).alias("u")).select("doc_id", "u.*")
     blanks = F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit("")))  # words less one, so at least as many as bigrams
-    units = units.where(blanks >= F.lit(low)).select("doc_id", "unit", "a", "b", F.explode(F.array(_let(F.split("t", " +"), _pairs))).alias("bigrams"))
+    units = units.where((blanks >= F.lit(low)) & F.col("t").rlike(held)).select("doc_id", "unit", "a", "b", F.explode(F.array(_let(F.split("t", " +"), _pairs))).alias("bigrams"))
     units = units.where(F.size("bigrams").between(F.lit(low), F.lit(high)))
     near = F.filter(fixed, lambda t: (t["size"] * least <= F.size("bigrams") * (2 - least)) & (F.size("bigrams") * least <= t["size"] * (2 - least)))
     scored = F.transform(near, lambda t: F.struct((-2.0 * F.size(F.array_intersect("bigrams", t["bigrams"])) / (F.size("bigrams") + t["size"])).alias("d"), t["license"].alias("license")))
