@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
+from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,27 +18,82 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (a single-machine session) is a folder of our own chosen and recorded in
-    the session.
+    Where that setting is absent, a folder of our own is chosen for the life of this process, but only where driver and
+    executors are one process; elsewhere each machine would have its own, so that is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="quillgate-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        if "root" not in _own:
+            _own["root"] = tempfile.mkdtemp(prefix="quillgate-")
+        root = _own["root"]
     return f"{root.rstrip('/')}/quillgate/{label}-{uuid.uuid4().hex}"
 
 
+_own: dict[str, str] = {}
+_scopes: list["Scratch"] = []
+
+
+class Scratch:
+    """While open, notes the folders that `stored` and others make, and deletes them at its end; what is given to `keep` outlives it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.kept = spark, [], None
+
+    def __enter__(self) -> "Scratch":
+        _scopes.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scopes.remove(self)
+        for path in self.made:
+            remove(self.spark, path)
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """The frame stored in the scope around this one; `kept` names its folder."""
+        inner = _scopes[_scopes.index(self) :]
+        del _scopes[-len(inner) :]
+        try:
+            self.kept = shared_folder(self.spark, label)
+            return _written(df, noted(self.kept))
+        finally:
+            _scopes.extend(inner)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through the file system that Spark itself writes it with."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def noted(path: str) -> str:
+    """The path, which the innermost open Scratch will delete."""
+    if _scopes:
+        _scopes[-1].made.append(path)
+    return path
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The frame written as Parquet in the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = shared_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, noted(shared_folder(df.sparkSession, label)))
+
+
+def filesystem(uri: str):
+    """(file system, path) of a folder on any store that Arrow can write."""
+    from pyarrow import fs
 
+    return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
 
-def small_batches(spark: SparkSession, limit: str = "16m") -> None:
+
+def small_batches(spark: SparkSession, limit: str = "4m") -> None:
     """Bounds what goes to a Python worker at once by bytes; by default only rows are counted, so long texts make batches of any size.
-    A limit that the session already has stays."""
+    A limit that the session already has stays. Every operator that sends texts to Python calls this first."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, limit)
@@ -78,6 +135,17 @@ def released(run):
     return wrapped
 
 
+def judged(run):
+    """A boolean column function from `run`, which makes one array of booleans from each array of texts. Rows stay in the JVM, so that Python
+    sees one column and answers with flags, however wide or long the rows are."""
+
+    def wrapped(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(texts)
+        trim()
+
+    return F.arrow_udf(wrapped, "boolean")
+
+
 def text_buffers(column_, step: int = 1 << 20):
     """Yield (first row, row count, bytes, offsets) over slices of an Arrow string column of about `step` bytes.
 
