@@ -1,15 +1,16 @@
 """Language identification: script ranges, then Viterbi over per-word scores with a switching penalty.
 
-A word (a run of letters) is scored for each language by naive Bayes over hashed character n-grams and the word itself;
-languages never seen with the word's script are out. A Viterbi path over the words, in which each change of language
+A word (a run of letters, lower-cased) is scored for each language by naive Bayes over hashed character n-grams and the word itself;
+languages never seen with the word's script are out. A Viterbi path over all words of a text, in which each change of language
 costs `penalty` nats, labels spans of mixed-language text; a document's language is the one whose spans hold most letters.
+
+Only the distinct words of a slice of texts are scored, as arrays of code points, and a text is from then on a row of 32-bit codes. Sequences
+are decoded together, step by step; one longer than PIECE words is decoded by pieces that are joined exactly (`best_paths`).
 """
 
 from __future__ import annotations
 
-import bisect
-import re
-import zlib
+from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column, released, small_batches
+from .shared import column, judged, released, small_batches
+from .words import U, mix
 
 BUCKETS = 1 << 14
-PIECE = 1024  # words; the path restarts after so many, which bounds the steps of a batch
-CACHE_WORDS = 200_000
+PIECE = 512  # words decoded in one go; longer sequences are joined from pieces without loss
+TOGETHER = 400_000  # words whose way back is kept at once
+GRAMS = 1_000_000  # n-grams looked up at once
 SLICE = 1200  # documents decoded together, and the bytes of their texts
-SLICE_BYTES = 3_000_000
-WORD = re.compile(r"[^\W\d_]+")
+SLICE_BYTES = 1_000_000
+_BASE = 0x9E3779B97F4A7C15
 
 # First code points of script ranges and the script that begins there.
 SCRIPTS = [
@@ -35,150 +38,208 @@ SCRIPTS = [
     (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB13, "Armenian"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFF00, "Latin"),
     (0xFF66, "Kana"), (0xFFA0, "Hangul"), (0x10000, "Other"), (0x20000, "Han"),
 ]
-_STARTS = [s for s, _ in SCRIPTS]
 SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
-
-
-def script_of(word: str) -> int:
-    return SCRIPT_NAMES.index(SCRIPTS[bisect.bisect_right(_STARTS, ord(word[0])) - 1][1])
-
-
-def features(word: str) -> list[int]:
-    """Buckets of the n-grams of order 1 to 4 of the lower-cased word between marks, and of the word itself."""
-    marked = f"<{word.lower()}>".encode("utf-32-le", "surrogatepass")  # four bytes a character, so slices need no encoding
-    n, crc = len(marked), zlib.crc32
-    return [crc(marked[i : i + w]) & (BUCKETS - 1) for w in (8, 12, 16) for i in range(0, n - w + 1, 4)] + [crc(marked + b"=") & (BUCKETS - 1)]
+_STARTS = np.array([s for s, _ in SCRIPTS], np.uint32)
+_KINDS = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS])
+
+
+def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(codes of all words in order, offsets of each text's words, the distinct words); a null text has none."""
+    bare = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())), r"\PL+", " ")
+    lists = pc.split_pattern(pc.utf8_trim(bare, " "), " ")
+    flat = pc.list_flatten(lists)
+    real = np.asarray(pc.binary_length(flat)) > 0  # a text without letters splits into one empty string
+    counts = np.asarray(pc.list_value_length(lists), np.int64)
+    before = np.concatenate([[0], np.cumsum(real)])
+    encoded = flat.filter(pa.array(real)).dictionary_encode()
+    codes = np.asarray(encoded.indices, np.int32) if len(encoded) else np.zeros(0, np.int32)
+    return codes, before[np.concatenate([[0], np.cumsum(counts)])], encoded.dictionary
+
+
+def _points(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of the words between marks < and >, offsets of the words)."""
+    mark = lambda c: pa.scalar(c, pa.large_string())
+    marked = pc.binary_join_element_wise(mark("<"), words.cast(pa.large_string()), mark(">"), mark(""))
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.utf8_length(marked), np.int64))])
+    return np.frombuffer("".join(marked.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32), offsets
+
+
+def features(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, offsets of each word's buckets): first for the n-grams of each of the orders 2, 3 and 4 of the marked words, then for
+    the words as wholes."""
+    points, offsets = _points(words)
+    lengths = np.diff(offsets)
+    place = np.arange(len(points)) - np.repeat(offsets[:-1], lengths)
+    left = np.repeat(lengths, lengths) - place
+    wide = points.astype(U)
+    for order in (2, 3, 4):
+        n = max(0, len(wide) - order + 1)
+        rolled = wide[:n].copy()
+        for j in range(1, order):
+            rolled = rolled * U(_BASE) + wide[j : n + j]
+        inside = left[:n] >= order
+        yield (mix(rolled[inside], order) >> U(50)).astype(np.int64), np.concatenate([[0], np.cumsum(np.maximum(lengths - order + 1, 0))])
+    power = np.full(int(lengths.max(initial=1)), _BASE, U)
+    power[0] = 1
+    power = np.cumprod(power, dtype=U)
+    whole = np.add.reduceat(wide * power[place], offsets[:-1]) if len(lengths) else np.zeros(0, U)
+    yield (mix(whole, 1) >> U(50)).astype(np.int64), np.arange(len(lengths) + 1)
+
+
+def scripts_of(words: pa.Array) -> np.ndarray:
+    """The script of each word's first letter, as a place in SCRIPT_NAMES."""
+    first = "".join(pc.utf8_slice_codeunits(words, 0, 1).to_pylist())
+    return _KINDS[np.searchsorted(_STARTS, np.frombuffer(first.encode("utf-32-le", "surrogatepass"), np.uint32), "right") - 1]
 
 
 class Model:
-    """Learned languages, log-probabilities (languages x buckets) and, by script, which languages use it."""
+    """Learned languages, log-probabilities (buckets x languages) and, by script, which languages use it."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray, words: np.ndarray):
+    def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray):
         self.langs = langs
         total = counts.sum(1, keepdims=True)
-        self.log_p = np.log((counts + 0.05) / (total + 0.05 * BUCKETS)).astype(np.float32) if langs else np.zeros((0, BUCKETS), np.float32)
-        share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
-        self.uses = share >= 0.001
-        self.fallback = int(np.argmax(words)) if langs else -1
+        self.log_p = np.log((counts + 0.05) / (total + 0.05 * BUCKETS)).astype(np.float32).T.copy() if langs else np.zeros((BUCKETS, 0), np.float32)
+        self.uses = scripts / np.maximum(scripts.sum(1, keepdims=True), 1) >= 0.001
+        self.fallback = int(np.argmax(scripts.sum(1))) if langs else -1
+
+    def scores(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(scores of each word by language, whether some language uses its script)."""
+        k = len(self.langs)
+        out, known = np.zeros((len(words), k), np.float32), np.zeros(len(words), bool)
+        step = max(1, GRAMS // (32 * max(k, 4)))
+        for lo in range(0, len(words), step):
+            part = words.slice(lo, step)
+            total, grams = np.zeros((len(part), k)), np.zeros(len(part))
+            for buckets, ends in features(part):
+                summed = np.concatenate([np.zeros((1, k)), np.cumsum(self.log_p[buckets], 0, np.float64)])
+                total += summed[ends[1:]] - summed[ends[:-1]]
+                grams += np.diff(ends)
+            uses = self.uses[:, scripts_of(part)].T
+            known[lo : lo + step] = uses.any(1)
+            # n-grams of a word overlap, so their evidence isn't added in full
+            out[lo : lo + step] = np.where(uses | ~uses.any(1, keepdims=True), total / np.sqrt(grams)[:, None], -1e4)
+        return out, known
 
 
 def train(docs: DataFrame, max_documents: int = 6000) -> Model:
-    """Fit on a seeded sample of the rows of docs with non-null lang and text whose crc32(doc_id) mod 5 is not 0, or has no
-    doc_id. `max_documents` bounds the expected sample; feature counts are summed by Spark and at most
-    (languages x (buckets + scripts)) sums reach the driver. Only text and lang are features or labels.
+    """Fit on a seeded sample of at most `max_documents` distinct rows of docs(doc_id, text, lang, ...) with non-null lang and text whose
+    crc32(doc_id) mod 5 is not 0, or has no doc_id. Rows of equal doc_id, text and lang count once. Feature counts are summed by Spark and
+    at most (languages x (buckets + scripts)) sums reach the driver. Only text and lang are features or labels. An empty table, or
+    one without labels, gives a model without languages. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text"), column(docs, "lang", "string").alias("lang"))
-    rows = rows.where("lang is not null and coalesce(crc32(cast(doc_id as string)) % 5, 1) <> 0")
-    share = min(1.0, max_documents / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("languages")), F.lit(1 << 20)) < int(share * (1 << 20))).where("text is not null")
+    rows = rows.where("text is not null and lang is not null and coalesce(crc32(cast(doc_id as string)) % 5, 1) <> 0")
+    rows = rows.withColumn("at", F.xxhash64("doc_id", "text", "lang", F.lit("languages")))
+    share = min(1.0, 1.2 * max_documents / max(1, rows.count()))
+    rows = rows.where(F.pmod("at", F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
+    last = rows.select("at").distinct().orderBy("at").limit(max_documents).agg(F.max("at").alias("at")).first()["at"]
+    sample = rows.where(F.col("at") <= F.lit(last).cast("bigint")).dropDuplicates(["at"])
 
     def count(batches):
-        from collections import Counter
-
-        by_lang: dict[str, Counter] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                by_lang.setdefault(lang, Counter()).update(WORD.findall(text))
-        out: dict[tuple[str, int], int] = {}
-        for lang, words in by_lang.items():
-            for word, n in words.items():
-                for f in (*features(word), BUCKETS + script_of(word)):
-                    out[lang, f] = out.get((lang, f), 0) + n
-        if out:
-            yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in out], "f": [k[1] for k in out], "n": list(out.values())})
-
-    sums = sample.select("text", "lang").mapInArrow(released(count), "lang string, f long, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(sums["lang"].unique())
-    all_counts = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)))
-    all_counts[[langs.index(x) for x in sums["lang"]], sums["f"]] = sums["n"]
-    return Model(langs, all_counts[:, :BUCKETS], all_counts[:, BUCKETS:], all_counts[:, BUCKETS:].sum(1))
-
-
-class Scorer:
-    """Rows of scores by word, kept for up to CACHE_WORDS distinct words."""
-
-    def __init__(self, model: Model):
-        self.model, k = model, len(model.langs)
-        self.rows: dict[str, int] = {}
-        self.scores = np.zeros((CACHE_WORDS, k), np.float32)
-        self.known = np.zeros(CACHE_WORDS, bool)  # whether some language uses the word's script
-
-    def _add(self, new: list[str]) -> None:
-        at, flat, ends = len(self.rows), [], []
-        for w in new:
-            flat += features(w)
-            ends.append(len(flat))
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        sums = np.add.reduceat(self.model.log_p[:, flat], starts, axis=1).T
-        mean = sums / np.sqrt(np.diff([0, *ends]))[:, None]  # n-grams of a word overlap, so their evidence isn't added in full
-        uses = self.model.uses[:, [script_of(w) for w in new]].T
-        self.known[at : at + len(new)] = uses.any(1)
-        self.scores[at : at + len(new)] = np.where(uses | ~uses.any(1, keepdims=True), mean, -1e4)
-        self.rows.update(zip(new, range(at, at + len(new))))
-
-    def index(self, words: list[str]) -> np.ndarray:
-        new = set(words).difference(self.rows)
-        if len(self.rows) + len(new) > CACHE_WORDS:
-            self.rows.clear()
-            new = set(words)
-            if len(new) > CACHE_WORDS:
-                self.scores = np.zeros((len(new), len(self.model.langs)), np.float32)
-                self.known = np.zeros(len(new), bool)
-        if new:
-            new = list(new)
-            for lo in range(0, len(new), 8192):  # the features of a part at a time
-                self._add(new[lo : lo + 8192])
-        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-
-
-def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
-    """Labels of concatenated sequences (rows of scores) of the given lengths, all decoded together, step by step."""
-    order = np.argsort(-lengths, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)[order]
-    lengths = lengths[order]
-    labels = np.zeros(len(scores), np.int64)
-    if not len(scores):
-        return labels
-    steps = int(lengths[0])
-    live = np.searchsorted(-lengths, -np.arange(steps), "left")  # sequences longer than t
-    value = scores[starts[: live[0]]].astype(np.float32)
-    back: list[tuple[np.ndarray, np.ndarray]] = []
-    last = np.zeros(len(lengths), np.int64)
-    for t in range(1, steps):
+        sums: dict[str, np.ndarray] = {}
+        for whole in batches:
+            for batch in _slices(whole):
+                for lang in batch.column("lang").unique().to_pylist():
+                    codes, _, words = text_words(batch.column("text").filter(pc.equal(batch.column("lang"), lang)))
+                    if not len(words):
+                        continue
+                    times = np.bincount(codes, minlength=len(words))
+                    total = sums.setdefault(lang, np.zeros(BUCKETS + len(SCRIPT_NAMES)))
+                    total[BUCKETS:] += np.bincount(scripts_of(words), times, len(SCRIPT_NAMES))
+                    for buckets, ends in features(words):
+                        total[:BUCKETS] += np.bincount(buckets, np.repeat(times, np.diff(ends)), BUCKETS)
+        for lang, total in sums.items():
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(used), pa.string()), "f": used, "n": total[used].astype(np.int64)})
+
+    sums = sample.select("text", "lang").mapInArrow(released(count), "lang string, f long, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(sums.column("lang").unique().to_pylist())
+    counts = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)))
+    if langs:
+        counts[np.asarray(pc.index_in(sums.column("lang"), pa.array(langs))), sums.column("f").to_numpy()] = sums.column("n").to_numpy()
+    return Model(langs, counts[:, :BUCKETS], counts[:, BUCKETS:])
+
+
+def _forward(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bias: np.ndarray, penalty: float, keep: bool):
+    """Values of all last labels of sequences (longest first) of rows of `table`, and, if asked for, the choices made at each step.
+
+    Values stand relative to the best of a step, whose sum is kept apart in full precision, so no length wears them down.
+    """
+    live = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left")  # sequences longer than t
+    final, gained, back = np.zeros(bias.shape), np.zeros(len(lengths)), []
+    value = table[codes[starts]] + bias
+    for t in range(1, len(live)):
         n = int(live[t])
         if n < len(value):
-            last[n : len(value)] = value[n:].argmax(1)
+            final[n : len(value)] = value[n:] + gained[n : len(value), None]
             value = value[:n]
         top = value.argmax(1)
-        jump = value[np.arange(n), top][:, None] - penalty
-        stay = value >= jump
-        back.append((top, stay))
-        value = np.where(stay, value, jump) + scores[starts[:n] + t]
-    last[: len(value)] = value.argmax(1)
-    state = last
-    for t in range(steps - 1, 0, -1):
-        top, stay = back[t - 1]
-        n = len(top)
-        labels[starts[:n] + t] = state[:n]
-        state[:n] = np.where(stay[np.arange(n), state[:n]], state[:n], top)
-    labels[starts[: live[0]]] = state[: live[0]]
+        best = value[np.arange(n), top]
+        value = value - best[:, None]
+        if keep:
+            back.append((top.astype(np.int16), value >= -penalty))
+        gained[:n] += best
+        value = np.maximum(value, -penalty) + table[codes[starts[:n] + t]]
+    final[: len(value)] = value + gained[: len(value), None]
+    return final, back
+
+
+def best_paths(table: np.ndarray, codes: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
+    """Labels of concatenated sequences of the given lengths, whose scores are rows of `table`: the best path of each, whatever its length.
+
+    A sequence of more than PIECE words is cut. For each piece but the first, the best values from each label before it to each of its
+    last labels are found; walking along the pieces then says with which labels the whole's best path enters and leaves each, and only
+    then are the ways within the pieces found, so pieces don't show in the result.
+    """
+    k = table.shape[1]
+    labels = np.zeros(len(codes), np.int16)
+    pieces = np.maximum(1, -(-lengths // PIECE)) * (lengths > 0)
+    first = np.concatenate([[0], np.cumsum(pieces)]).astype(np.int64)
+    owner = np.repeat(np.arange(len(lengths)), pieces)
+    nth = np.arange(first[-1]) - first[owner]
+    begin = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    starts = begin[owner] + nth * PIECE
+    sizes = np.minimum(PIECE, begin[owner + 1] - starts)
+    enter, leave = np.full(len(owner), -1), np.full(len(owner), -1)  # label before a piece, and its last (-1: free)
+    switch = -penalty * (1 - np.eye(k))
+    cut = np.flatnonzero(pieces[owner] > 1)
+    if len(cut):
+        cut = cut[np.argsort(-sizes[cut], kind="stable")]
+        free = np.repeat((nth[cut] == 0)[:, None, None], k, 1)
+        bias = np.where(free, 0.0, switch[None]).reshape(-1, k)
+        across = np.empty((len(owner), k, k))
+        across[cut] = _forward(table, codes, np.repeat(starts[cut], k), np.repeat(sizes[cut], k), bias, penalty, False)[0].reshape(len(cut), k, k)
+    for i in np.flatnonzero(pieces > 1):
+        mine = range(first[i], first[i + 1])
+        value, choices = across[mine[0]][0], []
+        for step in across[mine[1] : mine[-1] + 1]:
+            through = value[:, None] + step
+            choices.append(through.argmax(0))
+            value = through.max(0) - through.max()
+        leave[mine[-1]] = value.argmax()
+        for at in range(len(mine) - 1, 0, -1):
+            enter[mine[at]] = leave[mine[at - 1]] = choices[at - 1][leave[mine[at]]]
+    order = np.argsort(-sizes, kind="stable")
+    upto = np.concatenate([[0], np.cumsum(sizes[order])])
+    lo = 0
+    while lo < len(order):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + TOGETHER, "right")) - 1)
+        part = order[lo:hi]
+        bias = np.where(enter[part, None] >= 0, switch[enter[part]], 0.0)
+        final, back = _forward(table, codes, starts[part], sizes[part], bias, penalty, True)
+        state = np.where(leave[part] >= 0, leave[part], final.argmax(1)).astype(np.int16)
+        for t in range(int(sizes[part[0]]) - 1, 0, -1):
+            top, stay = back[t - 1]
+            n = len(top)
+            labels[starts[part[:n]] + t] = state[:n]
+            state[:n] = np.where(stay[np.arange(n), state[:n]], state[:n], top)
+        labels[starts[part]] = state
+        lo = hi
     return labels
 
 
-def _decode(scorer: Scorer, texts: list[str | None], penalty: float):
-    """(words by text, label by word (-1: a script that no language uses), document of each word, letters of each word)."""
-    found = [WORD.findall(t.lower()) if t else [] for t in texts]
-    lengths = np.array([len(w) for w in found], np.int64)
-    words = [w for f in found for w in f]
-    rows = scorer.index(words)
-    pieces = [min(PIECE, n - lo) for n in lengths for lo in range(0, n, PIECE)]
-    labels = best_paths(scorer.scores[rows], np.array(pieces, np.int64), penalty)
-    labels[~scorer.known[rows]] = -1
-    return found, labels, np.repeat(np.arange(len(texts)), lengths), np.fromiter(map(len, words), np.int64, len(words))
-
-
-def _slices(whole: pa.RecordBatch):
+def _slices(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in slices of up to SLICE rows and SLICE_BYTES of text; a single longer text is a slice of its own."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(whole.column("text")), 0), np.int64))
     lo = 0
@@ -189,8 +250,37 @@ def _slices(whole: pa.RecordBatch):
         lo = hi
 
 
-def _has_letter(words: list[str]) -> bool:
-    return any(c.isalpha() for w in words for c in w)
+def _decode(model: Model, texts: pa.Array, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label of each word, -1 in a script that no language uses; offsets of each text's words; letters of each word)."""
+    codes, ends, words = text_words(texts)
+    if not len(model.langs) or not len(codes):
+        return np.full(len(codes), -1, np.int16), ends, np.ones(len(codes), np.int64)
+    table, known = model.scores(words)
+    labels = best_paths(table, codes, np.diff(ends), penalty)
+    labels[~known[codes]] = -1
+    return labels, ends, np.asarray(pc.utf8_length(words), np.int64)[codes]
+
+
+def _letters(labels: np.ndarray, ends: np.ndarray, letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(letters by text and language, letters by text)."""
+    n, owner = len(ends) - 1, np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    said = labels >= 0
+    return np.bincount(owner[said] * max(k, 1) + labels[said], letters[said], n * max(k, 1)).reshape(n, max(k, 1)), np.bincount(owner, letters, n)
+
+
+_SPAN = pa.struct([("lang", pa.string()), ("first", pa.int64()), ("end", pa.int64())])
+
+
+def _spans(labels: np.ndarray, ends: np.ndarray, names: pa.Array) -> pa.Array:
+    """Runs of words of equal label by text, as (language, first word, end word); names has `und` at its end, for -1."""
+    starts = np.zeros(len(labels) + 1, bool)
+    starts[1:-1] = labels[1:] != labels[:-1]
+    starts[ends[:-1]] = starts[ends[1:]] = True
+    first = np.flatnonzero(starts[:-1])
+    end = np.append(first[1:], len(labels))
+    base = ends[np.searchsorted(ends, first, "right") - 1]
+    own = pa.StructArray.from_arrays([names.take(pa.array(labels[first] % len(names))), pa.array(first - base, pa.int64()), pa.array(end - base, pa.int64())], fields=list(_SPAN))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, ends), pa.int32()), own)
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = 6.0, spans: bool = False) -> DataFrame:
@@ -198,43 +288,27 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0, spans: bool =
 
     score is the share of the text's letters within spans of lang_pred. Null text, or one without a letter: `und` and 0.
     Letters, but in scripts that no learned language uses: the most frequent language, and 0. With no learned language all
-    is `und`. Equal shares go to the language first by code point. spans are (lang, first word, end word), in order.
-    Repeated rows give repeated results; an empty table an empty result; other columns are ignored.
+    is `und`. Equal shares go to the language first by code point. spans are (lang, first word, end word), in order; `und` where
+    no learned language uses the script. Texts of any length are labelled by one unbroken path. Repeated rows give repeated results; an
+    empty table an empty result; a null doc_id stays null; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets numbers, whatever the input
 
     def run(batches):
-        scorer = Scorer(shared.value)
-        langs, k = scorer.model.langs, len(scorer.model.langs)
+        model = shared.value
+        k = len(model.langs)
+        names = pa.array([*model.langs, "und"], pa.string())
         for whole in batches:
             for batch in _slices(whole):
-                texts = batch.column("text").to_pylist()
-                if not k:
-                    found, labels, owner, letters = [[]] * len(texts), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                else:
-                    found, labels, owner, letters = _decode(scorer, texts, penalty)
-                ok = labels >= 0
-                weight = np.bincount(owner[ok] * max(k, 1) + labels[ok], letters[ok], len(texts) * max(k, 1)).reshape(len(texts), -1)
-                total = np.bincount(owner, letters, len(texts))
-                best = weight.argmax(1)
-                names, scores = [], []
-                for i, words in enumerate(found):
-                    if not k or not _has_letter(words):
-                        names.append("und")
-                        scores.append(0.0)
-                    else:
-                        names.append(langs[best[i]] if weight[i].any() else langs[scorer.model.fallback])
-                        scores.append(float(weight[i, best[i]] / total[i]))
-                out = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+                labels, ends, letters = _decode(model, batch.column("text"), penalty)
+                weight, total = _letters(labels, ends, letters, k)
+                best, some = weight.argmax(1), weight.any(1)
+                lang = np.where((total > 0) & (k > 0), np.where(some, best, model.fallback), k)
+                score = np.where(some, weight[np.arange(len(best)), best] / np.maximum(total, 1), 0.0)
+                out = [batch.column("doc_id"), names.take(pa.array(lang)), pa.array(score, pa.float64())]
                 if spans:
-                    marks: list[list] = [[] for _ in texts]
-                    ends = np.cumsum([len(w) for w in found])
-                    for i, end in enumerate(ends):
-                        own = labels[end - len(found[i]) : end]
-                        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if len(own) else [0]
-                        marks[i] = [{"lang": langs[own[a]] if own[a] >= 0 else "und", "first": a, "end": b} for a, b in zip(cuts[:-1], cuts[1:])]
-                    out.append(pa.array(marks, pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("end", pa.int64())]))))
+                    out.append(_spans(labels, ends, names))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang_pred", "score", "spans"][: len(out)])
 
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text"))
@@ -242,24 +316,22 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0, spans: bool =
 
 
 def confident(docs: DataFrame, model: Model, least: float = 0.5, penalty: float = 6.0) -> DataFrame:
-    """The rows of docs, columns unchanged, that are in learned languages, one or several, by at least the share `least` of their letters."""
+    """The rows of docs, columns unchanged, that are in learned languages, one or several, by at least the share `least` of their letters.
+
+    Null texts and those without a letter go; repeated rows and null doc_ids are judged like others; an empty table stays empty. Only
+    texts go to the Python workers, and only a flag comes back.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema
 
-    def run(batches):
-        scorer = Scorer(shared.value)
-        k = len(scorer.model.langs)
-        for whole in batches:
-            for batch in _slices(whole):
-                texts = batch.column("text").to_pylist()
-                if not k:
-                    continue
-                found, labels, owner, letters = _decode(scorer, texts, penalty)
-                ok = labels >= 0
-                weight = np.bincount(owner[ok] * k + labels[ok], letters[ok], len(texts) * k).reshape(len(texts), k)
-                total = np.maximum(np.bincount(owner, letters, len(texts)), 1)
-                keep = (weight.sum(1) >= least * total) & np.array([_has_letter(w) for w in found], bool)
-                yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(released(run), schema)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shared.value
+        k = len(model.langs)
+        for whole in texts:
+            keep = []
+            for batch in _slices(pa.RecordBatch.from_arrays([whole], ["text"])):
+                weight, total = _letters(*_decode(model, batch.column("text"), penalty), k)
+                keep.append((total > 0) & (k > 0) & (weight.sum(1) >= least * total))
+            yield pa.array(np.concatenate(keep) if keep else np.zeros(0, bool))
+
+    return docs.where(judged(run)(column(docs, "text", "string")))
