@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import Scratch, stored
 
 
 def _state(edges: DataFrame):
@@ -35,18 +35,20 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     the driver but one count and one checksum a round; each round is written to the shared folder.
     """
     edges = links.where("a is not null and b is not null and a <> b")
-    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = _state(edges)
-    for _ in range(max_rounds):
-        if not before["n"]:
-            break
-        edges = stored(_star(_star(edges, True), False), "edges")
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    with Scratch(links.sparkSession) as scratch:
+        edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        before = _state(edges)
+        for _ in range(max_rounds):
+            if not before["n"]:
+                break
+            edges = stored(_star(_star(edges, True), False), "edges")
+            after = _state(edges)
+            if after == before:
+                break
+            before = after
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        edges = scratch.keep(edges, "components")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
     )

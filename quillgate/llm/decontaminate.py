@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column, released, stored, text_buffers
+from .shared import column, judged, released, small_batches, stored, text_buffers
 from .words import U, mix, word_hashes
 
 TERMS = 1 << 16
@@ -28,8 +28,8 @@ WINDOW, STRIDE = 48, 24
 RANK = 192
 COPY = 0.8  # share of an item's words in order within a short passage from which no answer is asked for
 BLOCKS = 512  # blocks of STRIDE words projected together
-HITS = 1 << 20  # pairs of a word and an item looked at together
-ITEM_BLOCK = 4000  # items compared in one pass over the documents; more items take more passes
+HITS = 1 << 18  # pairs of a word and an item looked at together
+ITEM_BLOCK, ITEM_WORDS = 4000, 500_000  # items, and their words, compared in one pass over the documents; more take more passes
 
 
 def _term(words: np.ndarray) -> np.ndarray:
@@ -370,11 +370,14 @@ def _item_blocks(docs: DataFrame, benchmark: DataFrame, rank: int, overlap: floa
     items = benchmark.select(column(benchmark, "item_id", "bigint").alias("item_id"), column(benchmark, "text", "string").alias("text")).where("item_id is not null and text is not null")
     terms, basis = latent_space(items, idf, rank)
     block: list[tuple[int, str]] = []
+    size = 0
     for r in items.orderBy("item_id", "text").toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        if len(block) == ITEM_BLOCK:
+        words = len(r["text"].split())
+        if block and (len(block) == ITEM_BLOCK or size + words > ITEM_WORDS):
             yield Items(block, idf, terms, basis, overlap)
-            block = []
+            block, size = [], 0
+        block.append((r["item_id"], r["text"]))
+        size += words
     if block:
         yield Items(block, idf, terms, basis, overlap)
 
@@ -384,10 +387,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, overlap: f
     window of each pair.
 
     Null or wordless texts and items, and rows with a null item_id, match nothing; a null doc_id stays null. Repeated rows
-    repeat their results. Empty tables give an empty result. Items go through in blocks of ITEM_BLOCK, each a pass over
+    repeat their results. Empty tables give an empty result. Items go through in blocks of ITEM_BLOCK items or ITEM_WORDS words, each a pass over
     all documents, so a larger benchmark takes more passes, not more memory. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text"))
     out = None
     for items in _item_blocks(docs, benchmark, rank, overlap):
@@ -411,19 +415,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, overlap: f
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, overlap: float = 0.6, answer: float = 0.5, rank: int = RANK) -> DataFrame:
-    """The rows of docs, columns unchanged, in which no benchmark item is found."""
-    out = docs
+    """The rows of docs, columns unchanged, in which no benchmark item is found; what matches nothing for `leaks` stays, each repeated row is
+    judged for itself, and an empty table stays empty.
+
+    Only texts go to the Python workers, and only a flag comes back. After each block of items but the last, what is left is stored.
+    """
+    small_batches(docs.sparkSession)
+    out, last = docs, None
     for items in _item_blocks(docs, benchmark, rank, overlap):
+        if last is not None:
+            out = stored(out.where(last), "clean")
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for row, _, data, offsets in normal_buffers(batch.column("text")):
+        def run(texts, shared=shared):
+            for whole in texts:
+                keep = np.ones(len(whole), bool)
+                for row, _, data, offsets in normal_buffers(whole):
                     words, ends = word_hashes(data, offsets)
                     for i, *_ in shared.value.search(words, ends, cosine, overlap, answer):
                         keep[row + i] = False
-                yield batch.filter(pa.array(keep))
+                yield pa.array(keep)
 
-        out = out.mapInArrow(released(run), docs.schema)
-    return out
+        last = judged(run)(column(docs, "text", "string"))
+    return out if last is None else out.where(last)

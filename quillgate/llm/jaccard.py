@@ -9,8 +9,8 @@ all non-empty segments, then all their neighbourhoods, and empty segments, which
 contains the cheaper ones, so of two sets the one with the narrower choice is sure of a match that the other has
 indexed too. Which shingles are frequent is counted over all documents and changes the cost only, never the result.
 
-Copies collapse first: a set of shingles is a class, known by a 64-bit sum of mixed hashes, and all that follows works on
-classes. A signature shared by many classes gives a star (each class with the smallest), not all pairs; map tasks form their
+Copies collapse first: a set of shingles is a class, known by a 64-bit sum of mixed hashes (by a second, independent one where two
+classes share the first, so by 128 bits in all), and all that follows works on classes. A signature shared by many classes gives a star (each class with the smallest), not all pairs; map tasks form their
 stars before the shuffle, so a hot signature sends one row per flush. Signatures whose members end in different
 components get further stars around other leaders while they would make many pairs, and in the end all their pairs
 between different components are compared by sketch, in memory, and verified, so no link between components is lost. Before sets are compared, odd sketches (parities of hashed counts) give an exact lower
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import column, release, released, small_batches, stored, text_buffers
+from .shared import Scratch, column, release, released, small_batches, stored, text_buffers
 from .words import U, mix, shingle_hashes, word_hashes
 
 FLUSH_ROWS = 800_000
@@ -44,11 +44,25 @@ PACKED_ROWS = 32768
 _SPREAD = 0.28  # segments per shingle of a band's largest set: above 1/4, so most sets need no empty segment
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """A 64-bit identity of a set of shingles, as a signed integer."""
-    with np.errstate(over="ignore"):
-        total = mix(shingles, 0x2545F4914F6CDD1D).sum(dtype=U) + U(len(shingles)) * U(0xA0761D6478BD642F)
-    return int(mix(np.array([total], U), 0xE7037ED1A0B428DB).view(np.int64)[0])
+class Names:
+    """Names of sets of shingles as signed 64-bit integers: a sum of mixed hashes, or, where that is in `clashing`, a second such sum.
+    `bits` below 64 leaves fewer first names, for tests."""
+
+    def __init__(self, clashing: frozenset[int] = frozenset(), bits: int = 64):
+        self.clashing, self.bits = clashing, bits
+
+    def both(self, shingles: np.ndarray) -> tuple[int, int]:
+        with np.errstate(over="ignore"):
+            first = mix(shingles, 0x2545F4914F6CDD1D).sum(dtype=U) + U(len(shingles)) * U(0xA0761D6478BD642F)
+            second = mix(shingles, 0x3C79AC492BA7B653).sum(dtype=U) + U(len(shingles)) * U(0x1C69B3F74AC4AE35)
+        names = mix(np.array([first, second], U), 0xE7037ED1A0B428DB)
+        if self.bits < 64:
+            names[0] &= U((1 << self.bits) - 1)
+        return tuple(names.view(np.int64).tolist())
+
+    def __call__(self, shingles: np.ndarray) -> int:
+        first, second = self.both(shingles)
+        return second if first in self.clashing else first
 
 
 def configurations(n: int) -> list[tuple[int, int, int]]:
@@ -152,24 +166,31 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             yield row + i, shingles
 
 
-def document_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls, sketch) per row; cls is null for an empty set, which links with nothing."""
+def document_classes(docs: DataFrame, names: Names) -> DataFrame:
+    """(doc_id, text_key, n_shingles, cls, second, sketch) per row; cls is null for an empty set, which links with nothing. text_key
+    is a hash of the text, which tells texts of one doc_id apart."""
 
     def run(batches):
         kind = pa.list_(pa.int64())
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
-                sizes, classes, sketches = [0] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
+                sizes, classes, seconds, sketches = [0] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
                 for i, shingles in _sets(batch):
                     if len(shingles):
-                        sizes[i], classes[i], sketches[i] = len(shingles), class_of(shingles), odd_sketch(shingles)
+                        sizes[i], sketches[i] = len(shingles), odd_sketch(shingles)
+                        classes[i], seconds[i] = names.both(shingles)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, kind)], ["doc_id", "n_shingles", "cls", "sketch"]
+                    [batch.column("doc_id"), batch.column("text_key"), *(pa.array(x, pa.int64()) for x in (sizes, classes, seconds)), pa.array(sketches, kind)],
+                    ["doc_id", "text_key", "n_shingles", "cls", "second", "sketch"],
                 )
 
-    rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    return rows.mapInArrow(released(run), "doc_id long, n_shingles long, cls long, sketch array<long>")
+    rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), text_key(docs).alias("text_key"), column(docs, "text", "string").alias("text"))
+    return rows.mapInArrow(released(run), "doc_id long, text_key long, n_shingles long, cls long, second long, sketch array<long>")
+
+
+def text_key(docs: DataFrame):
+    return F.xxhash64(column(docs, "text", "string"))
 
 
 def _star_rows(sig: np.ndarray, ids: np.ndarray):
@@ -220,7 +241,7 @@ def unpack(data: bytes, columns: int) -> list[np.ndarray]:
     return out
 
 
-def _indexed(docs: DataFrame, buckets: int) -> DataFrame:
+def _indexed(docs: DataFrame, buckets: int, names: Names) -> DataFrame:
     """(bucket, packed): a task's smallest class of each signature, packed by ranges of signatures; others, which already know that class,
     stand as (sig, id, leader) in pieces with buckets below 0, which may go anywhere."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))  # 2^FREQUENT_BITS bits
@@ -234,19 +255,19 @@ def _indexed(docs: DataFrame, buckets: int) -> DataFrame:
             top_sig, top, sig, ids, leader = _star_rows(s >> U(64 - SIGNATURE_BITS), i)
             at = ((top_sig >> U(SIGNATURE_BITS - 32)) * U(buckets) >> U(32)).astype(np.int64)
             cuts = np.union1d(np.flatnonzero(np.diff(at)) + 1, np.arange(0, len(at) + PACKED_ROWS, PACKED_ROWS).clip(max=len(at)))
-            names = [int(at[lo]) for lo in cuts[:-1]]
+            places = [int(at[lo]) for lo in cuts[:-1]]
             packed = [pack(top_sig[lo:hi], top[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:])]
             for lo in range(0, len(sig), PACKED_ROWS):
                 part = slice(lo, lo + PACKED_ROWS)
-                names.append(-1 - int(mix(sig[lo : lo + 1] ^ ids[lo : lo + 1].view(U))[0] >> U(2)))
+                places.append(-1 - int(mix(sig[lo : lo + 1] ^ ids[lo : lo + 1].view(U))[0] >> U(2)))
                 packed.append(pack(sig[part], ids[part], leader[part]))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
         for batch in batches:
             for _, shingles in _sets(batch):
                 found = signatures(shingles, frequent)
                 if len(found):
-                    held.append((found, np.full(len(found), class_of(shingles), np.int64)))
+                    held.append((found, np.full(len(found), names(shingles), np.int64)))
                     count += len(found)
                 if count >= FLUSH_ROWS:
                     yield from flush()
@@ -284,14 +305,14 @@ def _linked_to_first(batches):
         yield from rows(*_star_rows(*(np.concatenate(x) for x in zip(*held)))[2:])
 
 
-def stars(docs: DataFrame, shingles: int) -> DataFrame:
+def stars(docs: DataFrame, shingles: int, names: Names) -> DataFrame:
     """(sig, id, leader): every class that shares a signature, tied to a smaller class with that signature. `shingles`, of all
     documents, sets how finely signatures are dealt out."""
-    packed = _indexed(docs, min(1 << 30, max(16, shingles // BUCKET_ROWS)))
+    packed = _indexed(docs, min(1 << 30, max(16, shingles // BUCKET_ROWS)), names)
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(_linked_to_first), "sig long, id long, leader long")
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, names: Names) -> DataFrame:
     """(cls, shingles) of the wanted (doc_id, cls), recomputed from the texts."""
     small = wanted.count() <= BROADCAST_IDS
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text"))
@@ -303,7 +324,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             cls = batch.column("cls").to_pylist()
             ids, sets, size = [], [], 0
             for i, shingles in _sets(batch):
-                if class_of(shingles) == cls[i]:  # a doc_id may stand in several rows
+                if names(shingles) == cls[i]:  # a doc_id may stand in several rows
                     ids.append(cls[i])
                     sets.append(shingles.view(np.int64))
                     size += len(shingles)
@@ -316,11 +337,11 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("cls", "text").mapInArrow(released(run), "cls long, shingles array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, names: Names) -> DataFrame:
     """The (a, b) of `pairs` with 100 * |intersection| >= percent * |union|."""
     ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = stored(classes.join(ids, "cls").select("doc_id", "cls"), "wanted")
-    sets = _shingle_sets(docs, wanted)
+    sets = _shingle_sets(docs, wanted, names)
     left = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("of_b"))
     right = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("of_a"))
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -398,22 +419,36 @@ def _near_in_signatures(members: DataFrame, sketches: DataFrame, percent: int) -
     return rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(released(run), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of docs(doc_id, text, ...); other columns are ignored.
+def near_duplicates(docs: DataFrame, percent: int = 80, keyed: bool = False, bits: int = 64) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of docs(doc_id, text, ...); other columns are ignored. With `keyed` also text_key, a hash of the
+    text, and root, which rows share that are linked, whatever their doc_ids; null for an empty set and a null doc_id.
 
     Null or wordless text: an empty set, linked with nothing, its own component. A null doc_id takes no part in links and has
     a null component_id. Repeated rows give repeated results. An empty table gives an empty result. Only 80 percent
-    (the threshold the segments are laid out for) or more is allowed.
+    (the threshold the segments are laid out for) or more is allowed. `bits` is for tests (see Names).
     """
     if percent < 80:
         raise ValueError("the segments are laid out for a similarity of 0.8 or more")
     small_batches(docs.sparkSession)
-    members = stored(document_classes(docs), "classes")
+    with Scratch(docs.sparkSession) as scratch:
+        found = scratch.keep(_components_of_rows(docs, percent, bits), "groups")
+    release(docs.sparkSession)
+    return found if keyed else found.drop("text_key", "root")
+
+
+def _components_of_rows(docs: DataFrame, percent: int, bits: int) -> DataFrame:
+    """The rows of near_duplicates with all their columns."""
+    members = stored(document_classes(docs, Names(bits=bits)), "classes")
+    # classes whose first names clash: n^2 / 2^65 pairs expected among n distinct sets, a few hundred of 10^11
+    clashing = members.groupBy("cls").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a <> b").select("cls")
+    names = Names(frozenset(r["cls"] for r in clashing.collect()), bits)
+    if names.clashing:
+        members = members.withColumn("cls", F.when(F.col("cls").isin(*names.clashing), F.col("second")).otherwise(F.col("cls")))
     lowest = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sketch"))
     classes = stored(members.where("cls is not null and doc_id is not null").groupBy("cls").agg(lowest.alias("x")).select("cls", "x.*"), "reps")
     shingles = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
     release(docs.sparkSession)
-    star = stored(stars(docs, shingles), "stars")
+    star = stored(stars(docs, shingles, names), "stars")
     release(docs.sparkSession)
     fit = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     sizes = classes.select("cls", "n")
@@ -426,7 +461,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     met = stored(star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "met")
     tried = stored(likely(met), "pairs")
     release(docs.sparkSession)
-    links = stored(verified(docs, tried, classes, percent), "links")
+    links = stored(verified(docs, tried, classes, percent, names), "links")
     release(docs.sparkSession)
     roots = components(links)
     # signatures whose star left its members in several components
@@ -442,7 +477,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         pairs = open_.join(lead, "sig").where(F.col("root") != F.col("lead.root"))
         pairs = pairs.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
         pairs = stored(pairs, "met")
-        more = stored(verified(docs, stored(likely(pairs), "pairs"), classes, percent), "links")
+        more = stored(verified(docs, stored(likely(pairs), "pairs"), classes, percent, names), "links")
         met, links = met.unionByName(pairs), links.unionByName(more)
         if not more.limit(1).count():
             break
@@ -454,12 +489,40 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     again = a.join(b, "sig").where("a < b and ra <> rb").where(fit(F.col("na"), F.col("nb"))).select("a", "b").distinct()
     again = again.unionByName(_near_in_signatures(open_, classes.select(F.col("cls").alias("id"), "sketch"), percent)).distinct()
     again = stored(likely(again.join(met, ["a", "b"], "left_anti")), "pairs")
-    more = stored(verified(docs, again, classes, percent), "links")
+    more = stored(verified(docs, again, classes, percent, names), "links")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
     named = classes.join(roots.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(lowest, "root").select("cls", "component_id")
-    return members.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    of_class = named.join(lowest, "root").select("cls", "component_id", "root")
+    own = F.col("doc_id").isNotNull()
+    return members.select("doc_id", "n_shingles", "cls", "text_key").join(of_class, "cls", "left").select(
+        "doc_id", "n_shingles", F.when(own, F.coalesce("component_id", "doc_id")).alias("component_id"), "text_key", F.when(own, F.col("root")).alias("root")
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs(doc_id, text, ...), columns unchanged, but for near copies: of each group of linked rows, the one with the smallest
+    doc_id (of several texts of that doc_id, the one with the smallest hash; of rows that repeat both, the least by their columns)
+    stays. Rows without doc_id and those without words link with nothing and all stay. An empty table stays empty.
+
+    Up to BROADCAST_IDS kept rows are looked up in a broadcast; beyond, they are joined.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        found = near_duplicates(docs, percent, keyed=True)
+        rows = found.where("root is not null").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+        kept = scratch.keep(rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_key", "n")).alias("x")).select(F.col("x.doc_id").alias("_doc"), F.col("x.text_key").alias("_key"), F.col("x.n").alias("_n")), "kept")
+    release(docs.sparkSession)
+    free = column(docs, "doc_id", "bigint").isNull() | ~F.coalesce(column(docs, "text", "string").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    sizes = kept.agg(F.count("*").alias("rows"), F.coalesce(F.max("_n"), F.lit(0)).alias("n")).first()
+    hint = F.broadcast if sizes["rows"] <= BROADCAST_IDS else lambda x: x
+    here = lambda keys: (column(docs, "doc_id", "bigint") == keys["_doc"]) & (text_key(docs) == keys["_key"])
+    single = kept.where("_n = 1")
+    out = docs.join(hint(single), here(single), "left_semi").unionByName(docs.where(free))
+    if sizes["n"] > 1:
+        again = kept.where("_n > 1")
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        rows = docs.select(row, column(docs, "doc_id", "bigint").alias("doc"), text_key(docs).alias("key"))
+        least = rows.join(hint(again), (rows["doc"] == again["_doc"]) & (rows["key"] == again["_key"])).groupBy("doc", "key").agg(F.min("row").alias("row"))
+        out = out.unionByName(least.select("row.*"))
+    return out
