@@ -1,24 +1,28 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a Parquet folder of (key, n), sorted by key: in how many documents of its batches a line's 128-bit hash was seen. A new batch
-merge-anti-joins the runs against keys that are closed already (their count has reached the threshold) and adds the rest
-as a run of level 0; `fanout` runs of a level are compacted into one of the next, counts summed. At no time does a task
-hold more than a bounded buffer of keys.
+A run is a table of (key, n): in how many documents of its batches a line's 128-bit hash was seen. It is dealt by key into a store's buckets, one
+file each, sorted by key, so that a batch dealt and sorted alike meets the runs in sort-merge anti-joins that neither move nor sort
+a run: keys that are closed already (their count has reached the threshold in some run) go, and the rest becomes a run of level 0. `fanout` runs of a level
+are merged into one of the next, counts summed, again without moving them. Which runs there are stands in the store's folder, so a later
+session opens it and goes on. At no time does a task hold more than a bounded buffer of keys.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column, released, shared_folder
+from .shared import Scratch, column, filesystem, noted, released, shared_folder, small_batches
 
 WHITE = b" \t\n\x0b\x0c\r"
 FLUSH_KEYS = 400_000
 BROADCAST_KEYS = 200_000
+BUCKET_KEYS = 4_000_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -36,71 +40,125 @@ def _texts(batch: pa.RecordBatch, step: int = 1000):
         yield lo, part, [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
 
 
-def line_counts(docs: DataFrame, least_points: int = 1) -> DataFrame:
-    """(key, n): per line hash, the number of rows of docs(text, ...) that hold it; counted in the tasks, then summed."""
+def line_counts(docs: DataFrame, least_points: int = 1, batches: int = 1) -> DataFrame:
+    """(batch, key, n): per line hash, the number of rows of docs(text, ...) that hold it; counted in the tasks, then summed. Rows are dealt to
+    batches by a hash of doc_id and text."""
 
-    def run(batches):
-        counts: dict[bytes, int] = {}
+    def run(batches_):
+        counts: dict[tuple[int, bytes], int] = {}
 
         def flush():
             keys = list(counts)
             for lo in range(0, len(keys), 50_000):
                 part = keys[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([counts[k] for k in part], pa.int64())], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in part], pa.int32()), pa.array([k for _, k in part], pa.binary()), pa.array([counts[k] for k in part], pa.int64())], ["batch", "key", "n"])
 
-        for batch in batches:
-            for _, _, texts in _texts(batch):
-                for text in texts:
+        for whole in batches_:
+            for _, part, texts in _texts(whole):
+                for batch, text in zip(part.column("batch").to_pylist(), texts):
                     for key in {line_key(x) for x in text.split(b"\n")}:
                         if key and (least_points == 1 or len(key.decode("utf-8", "replace")) >= least_points):
-                            h = _hash(key)
-                            counts[h] = counts.get(h, 0) + 1
-                if len(counts) >= FLUSH_KEYS:
-                    yield from flush()
-                    counts.clear()
+                            at = batch, _hash(key)
+                            counts[at] = counts.get(at, 0) + 1
+                    if len(counts) >= FLUSH_KEYS:
+                        yield from flush()
+                        counts.clear()
         yield from flush()
 
-    return docs.select(column(docs, "text", "string").alias("text")).mapInArrow(released(run), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    small_batches(docs.sparkSession)
+    batch = F.pmod(F.xxhash64(column(docs, "doc_id", "bigint"), column(docs, "text", "string"), F.lit("lines")), F.lit(batches)).cast("int")
+    rows = docs.select(batch.alias("batch"), column(docs, "text", "string").alias("text"))
+    return rows.mapInArrow(released(run), "batch int, key binary, n long").groupBy("batch", "key").agg(F.sum("n").alias("n"))
 
 
 class LineRuns:
-    """A store of runs below one shared folder."""
+    """A store of runs below one shared folder. `buckets` stays as it is for the store's life: about one per BUCKET_KEYS distinct lines
+    expected in it."""
 
-    def __init__(self, spark: SparkSession, threshold: int, fanout: int = 4, folder: str | None = None):
-        self.spark, self.threshold, self.fanout = spark, threshold, fanout
-        self.folder = folder or shared_folder(spark, "lines")
+    def __init__(self, spark: SparkSession, threshold: int, fanout: int = 4, folder: str | None = None, buckets: int = 8):
+        self.spark, self.threshold, self.fanout, self.buckets = spark, threshold, fanout, buckets
+        self.folder = folder or noted(shared_folder(spark, "lines"))
         self.levels: dict[int, list[str]] = {}
-        self.made = 0
-
-    def _write(self, counts: DataFrame, level: int) -> None:
-        path = f"{self.folder}/run-{level}-{self.made}"
-        self.made += 1
-        counts.select("key", "n").repartition("key").sortWithinPartitions("key").write.parquet(path)
-        self.levels.setdefault(level, []).append(path)
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("key binary, n long").parquet(*paths)
-
-    def paths(self) -> list[str]:
-        return [p for level in sorted(self.levels) for p in self.levels[level]]
+        self.tables: dict[str, str] = {}  # names in this session, by run
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # one file a bucket, so its order is the bucket's
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> "LineRuns":
+        """The store that an earlier session left in a folder."""
+        store, root = filesystem(folder)
+        with store.open_input_file(f"{root}/store.json") as file:
+            said = json.loads(file.read())
+        out = cls(spark, said["threshold"], said["fanout"], folder, said["buckets"])
+        out.levels = {int(level): runs for level, runs in said["levels"].items()}
+        return out
+
+    def _save(self) -> None:
+        """The list of runs, put in place as a whole, after the runs it names."""
+        store, root = filesystem(self.folder)
+        store.create_dir(root, recursive=True)
+        fresh = f"{root}/store.json.{uuid.uuid4().hex}"
+        with store.open_output_stream(fresh) as file:
+            file.write(json.dumps({"threshold": self.threshold, "fanout": self.fanout, "buckets": self.buckets, "levels": self.levels}).encode())
+        store.move(fresh, f"{root}/store.json")
+
+    def _dealt(self, counts: DataFrame) -> DataFrame:
+        return counts.select("key", "n").repartition(self.buckets, "key").sortWithinPartitions("key")
+
+    def _write(self, dealt: DataFrame, level: int) -> None:
+        run = f"run_{level}_{uuid.uuid4().hex}"
+        dealt.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.folder}/{run}").format("parquet").saveAsTable(f"quillgate_{run}")
+        self.tables[run] = f"quillgate_{run}"
+        self.levels.setdefault(level, []).append(run)
+
+    def _read(self, run: str) -> DataFrame:
+        if run not in self.tables:  # made by another session
+            name = f"quillgate_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} (key BINARY, n BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{run}'")
+            self.tables[run] = name
+        return self.spark.table(self.tables[run])
+
+    def runs(self) -> list[str]:
+        return [r for level in sorted(self.levels) for r in self.levels[level]]
+
+    def fresh(self, counts: DataFrame) -> DataFrame:
+        """The keys of a batch (key, n) that no run has closed, dealt and sorted as the runs are."""
+        dealt = self._dealt(counts)
+        for run in self.runs():
+            dealt = dealt.join(self._read(run).where(F.col("n") >= self.threshold).hint("merge"), "key", "left_anti")
+        return dealt
+
+    def merged(self, runs: list[str]) -> DataFrame:
+        """(key, n) of several runs, counts summed bucket by bucket: a union of tables dealt alike is dealt like them."""
+        out = self._read(runs[0])
+        for run in runs[1:]:
+            out = out.unionByName(self._read(run))
+        return out.groupBy("key").agg(F.sum("n").alias("n"))
 
     def add(self, counts: DataFrame) -> None:
         """One batch of (key, n)."""
-        if self.paths():
-            closed = self._read(self.paths()).where(F.col("n") >= self.threshold).select("key").distinct()
-            counts = counts.join(closed, "key", "left_anti")
-        self._write(counts, 0)
-        level = 0
+        self._write(self.fresh(counts), 0)
+        level, old = 0, []
         while len(self.levels.get(level, [])) >= self.fanout:
-            runs = self.levels.pop(level)
-            self._write(self._read(runs).groupBy("key").agg(F.sum("n").alias("n")), level + 1)
+            old += (runs := self.levels.pop(level))
+            self._write(self.merged(runs).sortWithinPartitions("key"), level + 1)
             level += 1
+        self._save()
+        self._forget(old)
+
+    def _forget(self, runs: list[str]) -> None:
+        for run in runs:
+            if name := self.tables.pop(run, None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        """Takes the runs' names out of the session; the store stays in its folder."""
+        self._forget(list(self.tables))
 
     def frequent(self) -> DataFrame:
         """(key): the lines found in at least `threshold` documents so far."""
-        if not self.paths():
+        if not self.runs():
             return self.spark.createDataFrame([], "key binary")
-        return self._read(self.paths()).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= self.threshold).select("key")
+        return self.merged(self.runs()).where(F.col("n") >= self.threshold).select("key")
 
 
 def drop_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -109,6 +167,7 @@ def drop_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     Up to BROADCAST_KEYS keys go to the tasks; more are joined to the documents that hold them.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text"))
     small = frequent.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     shared = spark.sparkContext.broadcast({bytes(r["key"]) for r in frequent.collect()}) if small else None
@@ -154,8 +213,20 @@ def deduplicate_lines(docs: DataFrame, threshold: int = 10, least_points: int =
     too. An empty table gives an empty result. The table goes in by `batches` batches of documents, as a growing
     corpus would.
     """
-    runs = LineRuns(docs.sparkSession, threshold)
-    for b in range(batches):
-        part = docs.where(F.pmod(F.xxhash64(column(docs, "doc_id", "bigint"), F.lit("lines")), F.lit(batches)) == b)
-        runs.add(line_counts(part, least_points))
-    return drop_lines(docs, runs.frequent())
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        counts = stored_by_batch(line_counts(docs, least_points, batches))
+        keys = counts.count()
+        runs = LineRuns(spark, threshold, buckets=min(1 << 16, max(8, -(-keys // BUCKET_KEYS))))
+        for b in range(batches):
+            runs.add(counts.where(F.col("batch") == b))
+        frequent = scratch.keep(runs.frequent(), "frequent")
+        runs.close()
+    return drop_lines(docs, frequent)
+
+
+def stored_by_batch(counts: DataFrame) -> DataFrame:
+    """The counts of all batches from one pass over the documents, a folder a batch."""
+    path = noted(shared_folder(counts.sparkSession, "counts"))
+    counts.write.partitionBy("batch").parquet(path)
+    return counts.sparkSession.read.schema("key binary, n long, batch int").parquet(path)
