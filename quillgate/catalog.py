@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import gate, manifest, markers, rules, segment
+from .operators import gate, manifest, markers, quotes, rules, segment
+from .plans import compiling
+from .plans.questions import data_block
 from .sources.files import reflow
 from .sources.html import html_blocks
 from .streaming.incremental import changed_rows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-QUOTES = 2000  # quotes that go to the tasks at once
 SQL_WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{0B}]"
 
 
@@ -55,28 +56,38 @@ def heading_lines(t):
 
 
 def _outline(t) -> DataFrame:
-    """A Markdown text per region: the region, its nations and, below, body lines."""
-    nation = t("nation").withColumn("part", F.concat(F.lit("## "), F.col("n_name"), F.lit("\n\nKey "), F.col("n_nationkey").cast("string"), F.lit(".")))
-    body = nation.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "part"))), lambda x: x["part"]), "\n\n").alias("body"))
-    return t("region").join(body, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_regionkey").alias("doc_id"), F.concat(F.lit("# "), F.col("r_name"), F.lit("\n\n"), F.col("body")).alias("text"))
+    """Every document as a Markdown text with repeated headings, a level left out, a comment, a code fence that holds a heading's form, and white space to be cleared."""
+    line = F.concat(F.regexp_replace("text", "[^A-Za-z0-9]+", " "), F.lit("."))
+    parts = [
+        F.lit("<!-- # not this\n-->Before any heading comes this.\r\n\n\n\n# "), F.col("source"), F.lit("\n"), line, F.lit("   \n\n## Part One ##\n\n"), F.col("lang"), F.lit(" is its language.\n## Part One\n~~~\n# no heading\n\n``` not the end\n~~~\n"),
+        F.lit("#### Deep & Far\nIt ends here.\n\n## Part One\n\n# Empty\n\n# "), F.col("source"), F.lit("\nLast words, "), F.col("doc_id").cast("string"), F.lit(".\n"),
+    ]
+    return t("documents").select("doc_id", F.concat(*parts).alias("text"))
 
 
-@query("""SELECT n_regionkey AS doc_id, n_name AS heading, 2 AS level, 'Key ' || n_nationkey || '.' AS text, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1 AS sec_pos FROM nation""")
+OUTLINE = r"""d AS (SELECT doc_id, source, lang, regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g') || '.' AS line FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT doc_id, source, unnest([
+  {'sec_pos': 0, 'heading': '', 'level': 1, 'text': 'Before any heading comes this.', 'id': 'section'}, {'sec_pos': 1, 'heading': source, 'level': 1, 'text': trim(line), 'id': source},
+  {'sec_pos': 2, 'heading': 'Part One', 'level': 2, 'text': lang || ' is its language.', 'id': source || '/part-one'},
+  {'sec_pos': 3, 'heading': 'Part One', 'level': 2, 'text': '~~~' || chr(10) || '# no heading' || chr(10) || chr(10) || '``` not the end' || chr(10) || '~~~', 'id': source || '/part-one-2'},
+  {'sec_pos': 4, 'heading': 'Deep & Far', 'level': 4, 'text': 'It ends here.', 'id': source || '/part-one-2/section/deep-far'}, {'sec_pos': 5, 'heading': 'Part One', 'level': 2, 'text': '', 'id': source || '/part-one-3'},
+  {'sec_pos': 6, 'heading': 'Empty', 'level': 1, 'text': '', 'id': 'empty'}, {'sec_pos': 7, 'heading': source, 'level': 1, 'text': 'Last words, ' || doc_id || '.', 'id': source || '-2'}]) AS x FROM d)"""
+
+
+@query(f"WITH {OUTLINE} SELECT doc_id, x.sec_pos::BIGINT AS sec_pos, x.heading AS heading, x.level AS level, x.text AS text FROM s WHERE x.text <> ''")
 def segment_sections(t):
-    return segment.population(segment.sections(segment.blocks(_outline(t)))).select("doc_id", "heading", "level", "text", "sec_pos")
+    return segment.population(segment.sections(segment.blocks(_outline(t).where("text is not null")))).select("doc_id", "sec_pos", "heading", "level", "text")
 
 
-@query(r"""WITH s AS (SELECT r_regionkey AS doc_id, lower(r_name) AS r, r_name FROM region),
-slug AS (SELECT n_regionkey AS doc_id, n_nationkey, regexp_replace(regexp_replace(lower(n_name), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS n FROM nation)
-SELECT doc_id, regexp_replace(r, '[^\p{L}\p{N}]+', '-', 'g') AS id FROM s UNION ALL SELECT slug.doc_id, regexp_replace(r, '[^\p{L}\p{N}]+', '-', 'g') || '/' || n FROM slug JOIN s USING (doc_id)""")
+@query(f"WITH {OUTLINE} SELECT doc_id, x.sec_pos::BIGINT AS sec_pos, x.id AS id FROM s")
 def heading_path_ids(t):
-    found = segment.sections(segment.blocks(_outline(t)))
-    return segment.heading_ids(found).select("doc_id", "id")
+    found = segment.sections(segment.blocks(_outline(t).where("text is not null")))
+    return segment.heading_ids(found).select("doc_id", "sec_pos", "id")
 
 
 @query("SELECT doc_id, source || '/' || doc_id AS id FROM documents")
 def namespace_ids(t):
-    return t("documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("id"))
+    return t("documents").select("doc_id", segment.namespaced(F.col("source"), F.col("doc_id").cast("string")).alias("id"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha FROM documents")
@@ -86,15 +97,7 @@ def content_hash(t):
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND b.text <> ''")
 def anchor_contains(t):
-    """A stated set of quotes against all documents, in blocks of about QUOTES: each block is tested in one pass over the documents."""
-    items = t("benchmark").select("item_id", F.col("text").alias("quote")).where("quote <> ''")
-    blocks = max(1, -(-items.count() // QUOTES))
-    docs, out = t("documents").select("doc_id", "text"), None
-    for k in range(blocks):
-        quotes = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(blocks)) == k)
-        part = docs.join(F.broadcast(quotes), F.contains(F.col("text"), F.col("quote"))).select("doc_id", "item_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return quotes.contained(t("documents").select("doc_id", "text"), t("benchmark").select("item_id", "text"))
 
 
 @query("SELECT doc_id, array_to_string([lang, source], ',') AS ids FROM documents")
@@ -135,8 +138,8 @@ def gate_coverage(t):
 @query("""SELECT doc_id, CASE WHEN quality IS NULL THEN 'not_found' WHEN NOT contains(text, 'the') THEN 'anchor_missing' WHEN quality <> 1 THEN 'wrong' ELSE 'correct' END AS reason FROM documents LEFT JOIN labels USING (doc_id)""")
 def gate_outcome_reason(t):
     rows = t("documents").select("doc_id", "text").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
-    reason = F.when(F.col("quality").isNull(), "not_found").when(~F.contains("text", F.lit("the")), "anchor_missing").when(F.col("quality") != 1, "wrong").otherwise("correct")
-    return rows.select("doc_id", reason.alias("reason"))
+    reason = gate.outcome_reason(F.col("quality").isNotNull(), F.contains("text", F.lit("the")), F.col("quality") == 1)
+    return rows.select("doc_id", F.coalesce(reason, F.lit("correct")).alias("reason"))
 
 
 @query("""WITH p AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O'), a AS (SELECT l_orderkey AS id FROM lineitem WHERE l_linenumber <= 2)
@@ -154,45 +157,54 @@ def population_diff(t):
     return gate.difference(docs.where("lang <> 'de'").select("doc_id", F.sha2("text", 256).alias("sha")), docs.where("lang <> 'fr'").select("doc_id", F.sha2(edited, 256).alias("sha")), "doc_id", "sha")
 
 
-@query("""SELECT 'tampered' AS status, count(*) FILTER (WHERE contains(url, '1')) AS unexpected, count(*) FILTER (WHERE contains(url, '2') AND NOT contains(url, '1')) AS missing FROM pages""")
+@query("""WITH p AS (SELECT page_id % 10 AS g, url, sha256(html) AS sha FROM pages),
+listed AS (SELECT g, url, sha FROM p WHERE g NOT IN (1, 4) OR url NOT LIKE '%1'), here AS (SELECT g, url, CASE WHEN g = 3 THEN sha256(sha) ELSE sha END AS sha FROM p WHERE g NOT IN (2, 4) OR url NOT LIKE '%2'),
+c AS (SELECT coalesce(l.g, h.g) AS g, count(*) FILTER (WHERE l.url IS NULL) AS unexpected, count(*) FILTER (WHERE h.url IS NULL) AS missing, count(*) FILTER (WHERE l.sha <> h.sha) AS modified FROM listed l FULL JOIN here h ON l.url = h.url AND l.g = h.g GROUP BY 1)
+SELECT g, CASE WHEN unexpected > 0 THEN 'tampered' WHEN missing > 0 OR modified > 0 THEN 'stale' ELSE 'ok' END AS status, unexpected, missing, modified FROM c""")
 def output_integrity(t):
-    pages = t("pages").select("url", F.sha2("html", 256).alias("sha"))
-    found = gate.difference(pages.where("not contains(url, '1')"), pages.where("not contains(url, '2') or contains(url, '1')"), "url", "sha")
-    counts = found.agg(F.count_if(F.col("state") == "unknown").alias("unexpected"), F.count_if(F.col("state") == "missing").alias("missing"), F.count_if(F.col("state") == "changed").alias("modified"))
-    return counts.select(gate.integrity_status(F.col("unexpected"), F.col("missing"), F.col("modified")).alias("status"), "unexpected", "missing")
+    """A check for each of ten bundles of pages: some lose files, some gain some, some have changed ones."""
+    pages = t("pages").select((F.col("page_id") % 10).alias("g"), "url", F.sha2("html", 256).alias("sha"))
+    listed = pages.where("g not in (1, 4) or url not like '%1'").withColumn("at", F.struct("g", "url"))
+    here = pages.where("g not in (2, 4) or url not like '%2'").withColumn("sha", F.when(F.col("g") == 3, F.sha2("sha", 256)).otherwise(F.col("sha"))).withColumn("at", F.struct("g", "url"))
+    found = gate.difference(listed, here, "at", "sha").select("at.g", "state")
+    counts = pages.select("g").distinct().join(found, "g", "left").groupBy("g").agg(*[F.count_if(F.col("state") == state).alias(name) for state, name in (("unknown", "unexpected"), ("missing", "missing"), ("changed", "modified"))])
+    return counts.select("g", gate.integrity_status(F.col("unexpected"), F.col("missing"), F.col("modified")).alias("status"), "unexpected", "missing", "modified")
 
 
 @query("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
 def missing_chapters(t):
-    return t("nation").join(t("supplier").where("s_acctbal > 5000"), F.col("n_nationkey") == F.col("s_nationkey"), "left_anti").select("n_nationkey")
+    listed = t("nation").select(F.col("n_nationkey").alias("path"))
+    return gate.missing_files(listed, t("supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("path"))).select(F.col("path").alias("n_nationkey"))
 
 
 @query("SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents WHERE ceil(length(text) / 4.0) > CASE WHEN source = 'src0' THEN 4000 WHEN source = 'src1' THEN 1500 ELSE 1000 END")
 def budget_check(t):
     path = F.when(F.col("source") == "src0", "SKILL.md").when(F.col("source") == "src1", "glossary.md").otherwise("chapters/ch01-x.md")
-    return t("documents").select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"), X.budget(path).alias("most")).where("tokens > most").select("doc_id", "tokens")
+    return markers.over_budget(t("documents").select("doc_id", path.alias("path"), F.col("text").alias("content"))).select("doc_id", F.col("n").alias("tokens"))
 
 
-@query("""SELECT doc_id, count(*) FILTER (WHERE contains(l, 'the')) / count(*)::DOUBLE AS ratio FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> '' AND NOT starts_with(trim(l), '#') GROUP BY doc_id""")
+@query("""SELECT doc_id, count(*) FILTER (WHERE contains(l, 'the')) / count(*)::DOUBLE AS ratio FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_replace(l, '{WS}+', '', 'g') <> '' AND NOT starts_with(regexp_replace(l, '^{WS}+', ''), '#') GROUP BY doc_id""")
 def anchor_ratio(t):
-    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).where("trim(l) <> '' and not startswith(trim(l), '#')")
-    return lines.groupBy("doc_id").agg((F.count_if(F.contains("l", F.lit("the"))) / F.count("*")).alias("ratio"))
+    return markers.anchor_ratio(t("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")), "the").select(F.col("path").alias("doc_id"), "ratio")
 
 
 @query("""SELECT DISTINCT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) WHERE href NOT IN (SELECT url FROM pages)""")
 def broken_links(t):
-    links = t("pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))).alias("href"))
-    return links.join(t("pages").select(F.col("url").alias("href")), "href", "left_anti").select("page_id", "href")
+    found = markers.links(t("pages").select("page_id", F.col("html").alias("content")), 'href="([^"]*)"')
+    return gate.missing_files(found, t("pages").select(F.col("url").alias("path"))).select("page_id", F.col("path").alias("href"))
 
 
-@query("""SELECT event_type AS term, arg_min(value, event_id) AS definition, min(event_id) AS first FROM events GROUP BY event_type""")
+@query("""SELECT event_type AS term, arg_min(value, event_id)::VARCHAR AS definition, list_sort(list_distinct(list(user_id % 7)))::VARCHAR[] AS chapters FROM events GROUP BY event_type""")
 def glossary_first_def(t):
-    return t("events").groupBy(F.col("event_type").alias("term")).agg(F.min_by("value", "event_id").alias("definition"), F.min("event_id").alias("first"))
+    rows = t("events").select(F.lit("GLOSSARY").alias("kind"), F.col("event_type").alias("term"), F.col("value").cast("string").alias("text"), (F.col("user_id") % 7).alias("chapter_pos"), F.col("event_id").alias("line_pos"), (F.col("user_id") % 7).cast("string").alias("chapter_file"))
+    return markers.glossary(rows.withColumn("chapter_pos", F.lit(0)).withColumn("chapter_file", F.col("chapter_file"))).select("term", "definition", F.array_sort("chapters").alias("chapters"))
 
 
-@query("""SELECT o_orderpriority AS kind, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders WHERE left(o_orderpriority, 1) IN ('1', '2', '3') GROUP BY 1""")
+@query("""SELECT o_orderpriority AS kind, count(*) AS n, string_agg(o_orderkey::VARCHAR, chr(10) ORDER BY o_orderkey) AS keys FROM orders WHERE left(o_orderpriority, 1) IN ('1', '2', '3') GROUP BY 1""")
 def patterns_grouped(t):
-    return t("orders").where(F.substring("o_orderpriority", 1, 1).isin("1", "2", "3")).groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+    kinds = [r[0] for r in t("orders").select("o_orderpriority").distinct().where("left(o_orderpriority, 1) in ('1', '2', '3')").orderBy("o_orderpriority").collect()]
+    rows = t("orders").select(F.col("o_orderpriority").alias("kind"), F.lit(0).alias("chapter_pos"), F.col("o_orderkey").alias("line_pos"))
+    return markers.grouped(rows, F.col("line_pos").cast("string"), tuple(kinds)).select("kind", "n", F.col("text").alias("keys"))
 
 
 @query("""SELECT doc_id, running, CASE WHEN c > 500 THEN 'too_many' WHEN n_chars > 20000 THEN 'too_large' WHEN running > 1000000 THEN 'total_too_large' END AS breach
@@ -204,13 +216,14 @@ def running_bytes_cap(t):
 
 @query("SELECT conv_id, turn, n FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user') WHERE n <= 3")
 def top_k_questions(t):
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    return t("conversations").where("role = 'user'").select("conv_id", "turn", F.row_number().over(order).alias("n")).where("n <= 3")
+    return gate.first_of_each(t("conversations").where("role = 'user'"), "conv_id", 3, "turn").select("conv_id", "turn", "n")
 
 
-@query("SELECT conv_id, turn, turn % 3 = 0 AS correct FROM conversations")
+@query(r"""SELECT conv_id, turn, regexp_matches(upper(regexp_replace(said, '^[\s*_`"]+|[\s*_`".!]+$', '', 'g')), '^CORRECT$') AS correct
+FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '**"Correct."**' WHEN 1 THEN 'CORRECT, because ' || role WHEN 2 THEN ' _correct_! ' ELSE left(text, 12) END AS said FROM conversations)""")
 def verdict_parse(t):
-    said = F.when(F.col("turn") % 3 == 0, F.lit('**"Correct."**')).when(F.col("turn") % 3 == 1, F.concat(F.lit("CORRECT, because "), F.col("role"))).otherwise(F.lit("not correct"))
+    turn = F.col("turn") % 4
+    said = F.when(turn == 0, F.lit('**"Correct."**')).when(turn == 1, F.concat(F.lit("CORRECT, because "), F.col("role"))).when(turn == 2, F.lit(" _correct_! ")).otherwise(F.left("text", F.lit(12)))
     return t("conversations").select("conv_id", "turn", X.is_correct(said).alias("correct"))
 
 
@@ -231,9 +244,10 @@ def secret_scan(t):
     return t("documents").select("doc_id", F.array_contains(found, "AWS access key id").alias("aws"), F.array_contains(found, "private key block").alias("pem"))
 
 
-@query("SELECT page_id, ['pdf', 'docx', 'text', 'html'][(page_id % 4)::INT + 1] AS kind FROM pages")
+@query(r"""SELECT page_id, CASE WHEN lower(p) LIKE '%.pdf' THEN 'pdf' WHEN lower(p) LIKE '%.docx' THEN 'docx' WHEN regexp_matches(lower(p), '\.(txt|md|markdown)$') THEN 'text' WHEN regexp_matches(lower(p), '\.html?$') THEN 'html' END AS kind
+FROM (SELECT page_id, url || ['.PDF', '.docx', '.md', '.HTM', '', '.Txt', '.markdown', '.exe'][(page_id % 8)::INT + 1] AS p FROM pages)""")
 def format_route(t):
-    ends = F.get(F.array(*map(F.lit, (".PDF", ".docx", ".md", ".HTM"))), (F.col("page_id") % 4).cast("int"))
+    ends = F.get(F.array(*map(F.lit, (".PDF", ".docx", ".md", ".HTM", "", ".Txt", ".markdown", ".exe"))), (F.col("page_id") % 8).cast("int"))
     return t("pages").select("page_id", X.route(F.concat("url", ends)).alias("kind"))
 
 
@@ -252,7 +266,16 @@ def html_page_blocks(t):
     return t("pages").select("page_id", html_blocks(F.col("html")).alias("blocks"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT r_regionkey + 1 AS pos, r_name, n_name, n_nationkey, 'chapters/ch0' || (r_regionkey + 1) || '-' || regexp_replace(lower(r_name), '[^\p{L}\p{N}]+', '-', 'g') || '.md' AS path,
+  '**' || n_name || '** — nation of the region. [§' || r_name || ']' || chr(10) || '- [RULE] Use key ' || n_nationkey || '.' AS line FROM nation JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT pos, r_name, path, string_agg(line, chr(10) ORDER BY line) AS body, string_agg(n_name, ', ' ORDER BY n_name) AS ids FROM l GROUP BY ALL),
+f AS (SELECT path, body || chr(10) AS content FROM c
+UNION ALL SELECT 'glossary.md', '# Glossary' || chr(10) || chr(10) || string_agg('**' || n_name || '** — nation of the region. [§' || r_name || '] (`' || path || '`)', chr(10) || chr(10) ORDER BY n_name) || chr(10) FROM l
+UNION ALL SELECT 'cheatsheet.md', '# Cheatsheet' || chr(10) || chr(10) || string_agg('- Use key ' || n_nationkey || '. (`' || path || '`)', chr(10) ORDER BY pos, line) || chr(10) FROM l
+UNION ALL SELECT 'patterns.md', '# Patterns' || chr(10) || chr(10) || '(no patterns extracted.)' || chr(10)
+UNION ALL SELECT 'SKILL.md', array_to_string(['---', 'name: "regions"', 'description: "Regions"', '---', '', '# Regions', '', '## Chapter index', '', string_agg('- `' || path || '` — ' || r_name || ' (source sections: ' || ids || ')', chr(10) ORDER BY pos), '', '## Reference files', '',
+  '- `glossary.md` — key terms', '- `patterns.md` — techniques, procedures, anti-patterns', '- `cheatsheet.md` — decision tables and quick rules', ''], chr(10)) FROM c)
+SELECT path, content, ceil(length(content) / 4.0)::BIGINT AS est_tokens FROM f""")
 def assemble_bundle(t):
     lines = F.concat(F.lit("**"), F.col("n_name"), F.lit("** — nation of the region. [§"), F.col("r_name"), F.lit("]\n- [RULE] Use key "), F.col("n_nationkey").cast("string"), F.lit("."))
     rows = t("region").join(t("nation"), F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_regionkey", "r_name").agg(F.array_join(F.array_sort(F.collect_list(lines)), "\n").alias("body"), F.array_sort(F.collect_list("n_name")).alias("section_ids"))
@@ -272,16 +295,17 @@ def incremental_rows(t):
     return changed_rows(known, arriving, "doc_id", "text")
 
 
-@query("""SELECT l_linenumber AS pos, l_orderkey, p_partkey AS id, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45""")
+@query("""SELECT l_orderkey AS chapter_pos, p_partkey AS id, p_name, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1)::INT AS k FROM (SELECT * FROM lineitem WHERE l_quantity > 45) LEFT JOIN part ON l_partkey = p_partkey QUALIFY p_partkey % 9 <> 0""")
 def chapter_sections(t):
-    plan = t("lineitem").where("l_quantity > 45").select("l_orderkey", F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("id"))
-    return plan.join(t("part").select(F.col("p_partkey").alias("id"), "p_name"), "id").select("pos", "l_orderkey", "id", "p_name")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"])
+    plan = t("lineitem").where("l_quantity > 45").groupBy(F.col("l_orderkey").alias("chapter_pos")).agg(ids.alias("section_ids"))
+    return compiling.chapter_sections(plan, t("part").where("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("id"), "p_name")).select("chapter_pos", "id", "p_name", "k")
 
 
 @query("""SELECT doc_id, coalesce(source, '') AS chapter_file FROM labels LEFT JOIN (SELECT doc_id, source FROM documents WHERE lang <> 'de') USING (doc_id)""")
 def question_chapter(t):
-    placed = t("documents").where("lang <> 'de'").select("doc_id", "source")
-    return t("labels").select("doc_id").join(placed, "doc_id", "left").select("doc_id", F.coalesce("source", F.lit("")).alias("chapter_file"))
+    placed = t("documents").where("lang <> 'de'").select(F.col("doc_id").alias("section_id"), F.col("source").alias("chapter_file"))
+    return gate.placed_questions(t("labels").select(F.col("doc_id").alias("section_id")), placed).select(F.col("section_id").alias("doc_id"), "chapter_file")
 
 
 @query("""WITH c AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1)
@@ -291,7 +315,7 @@ SELECT 'sections without questions and their failures differ', s_suppkey || '-q0
 SELECT 'asked differs from loads', 'all' WHERE (SELECT count(*) * 20 FROM c) <> (SELECT count(*) FROM c) UNION ALL
 SELECT 'correct differs from asked less failures', 'all' WHERE (SELECT sum(n) FROM c) <> (SELECT count(*) * 20 FROM c) - (SELECT count(*) FROM customer WHERE c_nationkey = 3) UNION ALL
 SELECT 'pass rate differs from the counts', 'all' WHERE abs(0.25 - (SELECT sum(n) / (count(*) * 20)::DOUBLE FROM c)) > 1e-9 UNION ALL
-SELECT 'verdict contradicts the counts', 'all'""")
+SELECT 'verdict contradicts the counts', 'all' WHERE TRUE <> (0.25 >= 0.9 - 1e-9 AND (SELECT count(*) * 20 FROM c) > 0 AND (SELECT count(*) FROM supplier WHERE s_nationkey = 5) = 0)""")
 def gate_violations(t):
     seen = t("orders").groupBy(F.col("o_custkey").alias("id")).count()
     chapters = seen.select(F.col("id").cast("string").alias("file"), F.lit(20).cast("bigint").alias("asked"), F.col("count").alias("correct"))
@@ -325,6 +349,116 @@ def listed_ids(t):
     return first.join(docs.groupBy("source").agg(F.count("*").alias("total")), "source").select("source", X.listed(F.col("a"), F.col("total")).alias("ids"))
 
 
+@query(r"""WITH l AS (SELECT doc_id, source, lang, unnest([0, 1, 2, 3]) AS line_pos FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
+SELECT doc_id AS chapter_pos, line_pos, ['GLOSSARY', 'PATTERN', 'ANTI-PATTERN', 'RULE'][line_pos + 1] AS kind, CASE WHEN line_pos = 0 THEN source END AS term, CASE line_pos WHEN 0 THEN 'in ' || lang || ' — too' WHEN 3 THEN doc_id::VARCHAR ELSE source END AS text, lang AS chapter_file FROM l""")
+def marker_lines(t):
+    lines = [F.concat(F.lit("  **"), F.col("source"), F.lit("**  —  in "), F.col("lang"), F.lit(" — too ")), F.concat(F.lit("- [pattern]"), F.col("source")), F.concat(F.lit("-  [Anti-Pattern]  "), F.col("source")), F.concat(F.lit("- [RULE] "), F.col("doc_id").cast("string"))]
+    others = [F.lit(x) for x in ("plain", "**no dash** - here", "- [OTHER] x", "- [RULE]", "")]
+    rows = t("documents").where("lang is not null and source is not null")
+    return markers.marker_lines(rows.select(F.col("doc_id").alias("chapter_pos"), F.col("lang").alias("chapter_file"), F.array_join(F.array(*lines, *others), "\n").alias("body")))
+
+
+@query("""SELECT n_nationkey, n_name || CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN '-2' WHEN 2 THEN '-3' ELSE '-2' END AS name FROM nation""")
+def free_names(t):
+    name = F.col("n_name")
+    taken = [F.array(F.concat(name, F.lit("-2"))), F.array(name), F.array(F.concat(name, F.lit("-2")), name), F.array(name, F.concat(name, F.lit("-3")), F.lit("x"))]
+    used = F.get(F.array(*taken), (F.col("n_nationkey") % 4).cast("int"))
+    return t("nation").select("n_nationkey", segment.free_name(name, used).alias("name"))
+
+
+@query("""SELECT doc_id, source AS ref FROM documents""")
+def section_refs(t):
+    said = F.get(F.array(F.concat(F.lit("[§"), F.col("source"), F.lit("]")), F.concat(F.lit(" §"), F.col("source")), F.concat(F.col("source"), F.lit(" \n"))), (F.col("doc_id") % 3).cast("int"))
+    return t("documents").select("doc_id", X.section_ref(said).alias("ref"))
+
+
+PATHS = ["chapters/ch01-a.md", "chapters/../x.md", "manifest.json", "dist/.env", "dist/a/.DS_Store", "README.md", "src/x.ts", "dist/id_rsa", "dist/b.Key", "dist/config.json", "dist/.quillgate/s", "dist/.npmrc", "dist/ok.js", "chapters/한국-1.md"]
+
+
+@query(rf"""SELECT page_id, regexp_matches(p, '^chapters/[\p{{L}}\p{{N}}-]+\.md$') AS chapter, p = 'manifest.json' OR regexp_matches(p, '(^|/)\.[^/]*$') AS harmless,
+CASE WHEN regexp_matches(p, '(^|/)\.env(\..+)?$') THEN 'env file' WHEN regexp_matches(p, '(^|/)config\.json$') THEN 'config.json' WHEN regexp_matches(lower(p), '\.(pem|key|p12|pfx)$') OR regexp_matches(p, '(^|/)id_(rsa|ed25519|ecdsa|dsa)$') THEN 'private key file'
+WHEN regexp_matches(p, '(^|/)(\.npmrc|\.git|\.github)(/|$)') THEN 'npm/git config' WHEN contains('/' || p, '/.quillgate/') THEN 'own state folder' WHEN NOT (starts_with(p, 'dist/') OR p IN ('package.json', 'LICENSE', 'README.md', 'README.ko.md')) THEN 'outside the publish allowlist' END AS forbidden
+FROM (SELECT page_id, {PATHS!r}[(page_id % {len(PATHS)})::INT + 1] AS p FROM pages)""")
+def path_rules(t):
+    path = F.get(F.array(*map(F.lit, PATHS)), (F.col("page_id") % len(PATHS)).cast("int"))
+    return t("pages").select("page_id", path.alias("p")).select("page_id", X.is_chapter_path(F.col("p")).alias("chapter"), X.harmless_stranger(F.col("p")).alias("harmless"), X.forbidden_reason(F.col("p")).alias("forbidden"))
+
+
+@query(r"""SELECT doc_id, regexp_matches(s, '^[a-z0-9]+(-[a-z0-9]+)*$') AND length(s) <= 64 AS slug, NOT regexp_matches(s, '\p{Cc}') AND s <> '' AS single, trim(s) <> '' AND NOT starts_with(trim(s), '#') AS substantive
+FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN lower(source) || '-x' WHEN 1 THEN '# ' || lang WHEN 2 THEN 'a' || chr(10) || lang WHEN 3 THEN repeat('ab-', 22) || 'c' ELSE lang || '-' END AS s FROM documents)""")
+def line_rules(t):
+    k = F.col("doc_id") % 5
+    s = F.when(k == 0, F.concat(F.lower("source"), F.lit("-x"))).when(k == 1, F.concat(F.lit("# "), "lang")).when(k == 2, F.concat(F.lit("a\n"), "lang")).when(k == 3, F.lit("ab-" * 22 + "c")).otherwise(F.concat("lang", F.lit("-")))
+    return t("documents").select("doc_id", s.alias("s")).select("doc_id", X.is_slug(F.col("s")).alias("slug"), X.is_single_line(F.col("s")).alias("single"), X.substantive_line(F.col("s")).alias("substantive"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN NULL ELSE regexp_replace(role, '[^A-Za-z]', '', 'g') END AS role FROM conversations""")
+def role_tags(t):
+    role = F.regexp_replace("role", "[^A-Za-z]", "")
+    said = F.when(F.col("turn") % 3 == 2, F.lit("no tag [quillgate]")).otherwise(F.concat(F.lit("Text [quillgate:"), role, F.lit("] more [quillgate:other]")))
+    return t("conversations").select("conv_id", "turn", X.role_tag(said).alias("role"))
+
+
+@query("""SELECT doc_id, [NULL, 'missing_block', 'syntax', 'not_a_map', 'missing_field', 'invalid_field', 'invalid_field', NULL][(doc_id % 8)::INT + 1] AS problem,
+CASE WHEN doc_id % 8 IN (0, 7) THEN lang || '-x' END AS name, CASE WHEN doc_id % 8 = 0 THEN source || ': "it"' WHEN doc_id % 8 = 7 THEN source END AS description, CASE WHEN doc_id % 8 = 7 THEN 'colour' ELSE '' END AS unknown FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""")
+def frontmatter_check(t):
+    head = lambda *lines: F.concat_ws("\n", F.lit("---"), *lines, F.lit("---"), F.lit("Body."))
+    name, text = F.concat(F.lit("name: "), "lang", F.lit("-x")), F.concat(F.lit("description: "), "source")
+    forms = [
+        head(name, F.concat(F.lit("description: '"), "source", F.lit(": \"it\"'"))), F.concat("source", F.lit("\n---\nname: a\n---")), head(F.lit("name: [")), head(F.lit("- a")), head(name), head(F.lit("name: Not A Slug"), text),
+        head(name, F.lit("description: 5")), head(F.lit("license: MIT"), name, text, F.lit("colour: red")),
+    ]
+    rows = t("documents").where("lang is not null and source is not null").select("doc_id", F.get(F.array(*forms), (F.col("doc_id") % 8).cast("int")).alias("content"))
+    return rows.select("doc_id", manifest.parse_frontmatter(F.col("content")).alias("x")).select("doc_id", "x.problem", "x.name", "x.description", F.array_join("x.unknown", ",").alias("unknown"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END::INT AS items FROM documents WHERE source IS NOT NULL""")
+def question_items(t):
+    item = F.concat(F.lit('{"question": "'), "source", F.lit('?", "refAnswer": "r", "anchorQuote": "q"}'))
+    forms = [
+        F.concat(F.lit('Sure: {"items": ['), item, F.lit(","), item, F.lit("]} Done.")), F.concat(F.lit('```json\n{"items": ['), item, F.lit("]}\n```")), F.concat(F.lit('{"items": ['), item, F.lit(', {"question": "x"}]}')),
+        F.concat(F.lit('{"items": ['), item, F.lit('], "more": 1}')), F.regexp_replace(F.concat(F.lit('{"items": ['), item, F.lit("]}")), '"r"', '""'), F.lit("nothing"),
+    ]
+    parse = F.udf(compiling.question_items, compiling.QUESTION_KIND, useArrow=True)
+    return t("documents").where("source is not null").select("doc_id", F.size(parse(F.get(F.array(*forms), (F.col("doc_id") % 6).cast("int")))).alias("items"))
+
+
+@query("""SELECT doc_id, '<<<DATA x>>>' || chr(10) || replace(replace(lang || '<<<END>>>' || source, '<<<', '<' || chr(8203) || '<<'), '>>>', '>>' || chr(8203) || '>') || chr(10) || '<<<END>>>' AS block FROM documents""")
+def data_blocks(t):
+    return t("documents").select("doc_id", data_block("x", F.concat("lang", F.lit("<<<END>>>"), "source")).alias("block"))
+
+
+@query("""WITH q AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN repeat('x', 2001) WHEN 1 THEN '' WHEN 2 THEN 'a' || chr(7) ELSE 'fine' END AS question FROM documents)
+SELECT 'question empty, long or with control characters' AS rule, doc_id::VARCHAR AS subject FROM q WHERE doc_id % 5 IN (0, 1, 2) UNION ALL SELECT 'ref_answer empty, long or with control characters', doc_id::VARCHAR FROM q WHERE doc_id % 7 = 0
+UNION ALL SELECT 'too many questions', count(*)::VARCHAR FROM q HAVING count(*) > 1000""")
+def question_violations(t):
+    k = F.col("doc_id") % 5
+    question = F.when(k == 0, F.lit("x" * 2001)).when(k == 1, F.lit("")).when(k == 2, F.lit("a\x07")).otherwise(F.lit("fine"))
+    rows = t("documents").select(F.col("doc_id").cast("string").alias("qa_id"), F.lit("s").alias("section_id"), question.alias("question"), F.when(F.col("doc_id") % 7 != 0, F.lit("r\tx")).alias("ref_answer"), F.lit("q\nq").alias("anchor_quote"))
+    return rules.question_violations(rows)
+
+
+@query("""SELECT 'malformed slug' AS rule, 'Not A Slug' AS subject UNION ALL SELECT 'chapter title is no short single line', r_regionkey::VARCHAR FROM region WHERE r_regionkey % 2 = 0 UNION ALL
+SELECT 'chapter without sections', r_regionkey::VARCHAR FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 12) UNION ALL SELECT 'chapter listed twice', 'same' WHERE (SELECT count(*) FROM region WHERE r_regionkey > 2) > 1""")
+def plan_violations(t):
+    plan = t("region").agg(F.lit("Not A Slug").alias("slug"), F.lit("Regions").alias("title"))
+    ids = t("nation").where("n_nationkey < 12").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("section_ids"))
+    rows = t("region").join(ids, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    title = F.when(F.col("r_regionkey") % 2 == 0, F.concat("r_name", F.lit("\n"))).otherwise(F.col("r_name"))
+    return rules.plan_violations(plan, rows.select(F.col("r_regionkey").alias("chapter_pos"), F.when(F.col("r_regionkey") > 2, F.lit("same")).otherwise(F.col("r_name")).alias("id"), title.alias("title"), F.coalesce("section_ids", F.array().cast("array<string>")).alias("section_ids")))
+
+
+@query("""WITH f AS (SELECT 'chapters/ch' || n_nationkey || '.md' AS path, n_nationkey AS n FROM nation WHERE n_nationkey % 4 <> 1)
+SELECT 'error' AS severity, 'broken_link' AS code, 'chapters/ch' || n_nationkey || '.md' AS file FROM nation WHERE n_nationkey % 4 = 1
+UNION ALL SELECT 'warning', 'low_anchor_ratio', path FROM f WHERE n % 3 = 0 UNION ALL SELECT 'error', 'budget_exceeded', path FROM f WHERE n % 5 = 0""")
+def structural_issues(t):
+    nation = t("nation").withColumn("path", F.concat(F.lit("chapters/ch"), F.col("n_nationkey").cast("string"), F.lit(".md")))
+    index = nation.agg(F.concat(F.lit("# Index\n"), F.array_join(F.collect_list(F.concat(F.lit("- `"), "path", F.lit("` and `"), "path", F.lit("`"))), "\n")).alias("content")).select(F.lit("SKILL.md").alias("path"), "content")
+    anchored = F.when(F.col("n_nationkey") % 3 == 0, F.lit("# Title [§x]\n\nNo mark.\nNone.\nOne [§a].")).otherwise(F.lit("# Title\n\nOne [§a].\nNone."))
+    body = F.when(F.col("n_nationkey") % 5 == 0, F.concat(anchored, F.lit(" long" * 1000))).otherwise(anchored)
+    return markers.issues(index.unionByName(nation.where("n_nationkey % 4 <> 1").select("path", body.alias("content")))).select("severity", "code", "file")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

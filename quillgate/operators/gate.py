@@ -14,6 +14,29 @@ def per_chapter(chapters: DataFrame, outcomes: DataFrame) -> DataFrame:
     return chapters.select("file").distinct().join(counts, "file", "left").select("file", F.coalesce("asked", F.lit(0)).alias("asked"), F.coalesce("correct", F.lit(0)).alias("correct"))
 
 
+def placed_questions(questions: DataFrame, chapter_of: DataFrame) -> DataFrame:
+    """questions(section_id, ...) with the chapter_file of their section, of chapter_of(section_id, chapter_file); '' where no chapter has it. Of several
+    rows of a section the last by name counts, so that no question is asked twice."""
+    last = chapter_of.groupBy("section_id").agg(F.max("chapter_file").alias("chapter_file"))
+    return questions.join(last, "section_id", "left").withColumn("chapter_file", F.coalesce("chapter_file", F.lit("")))
+
+
+def missing_files(listed: DataFrame, there: DataFrame) -> DataFrame:
+    """The rows of listed(path, ...) whose path is not in there(path)."""
+    return listed.join(there.select("path"), "path", "left_anti")
+
+
+def outcome_reason(selected, quoted, right):
+    """Why a question failed, null if it didn't: no such chapter, no such quote in it, or a wrong answer, whichever came first."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    return F.when(no(selected), "not_found").when(no(quoted), "anchor_missing").when(no(right), "wrong")
+
+
+def first_of_each(rows: DataFrame, key: str, most: int, *order: str) -> DataFrame:
+    """rows with n, their place within their key in the given order, up to `most`."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("n") <= most)
+
+
 def pass_rate(correct, asked):
     return F.coalesce(F.try_divide(correct.cast("double"), asked.cast("double")), F.lit(0.0))
 
@@ -51,8 +74,10 @@ def integrity_status(unexpected, missing, modified):
 
 def first_limit_breach(files: DataFrame, order: str, size: str, most_files: int, most_each: int, most_total: int) -> DataFrame:
     """files with their running total and the limit that each breaks, if any. The order of a listing is global, so the running total is
-    summed per range of `order` first; only one row a range goes through a single window."""
-    ranged = files.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    summed per range of `order` first; only one row a range goes through a single window. Ranges are cut at quantiles of `order` that are computed once and
+    stand in the plan as values, so every branch sees the same ones."""
+    cuts = _cuts(files, order)
+    ranged = files.withColumn("_part", F.aggregate(F.array(*cuts), F.lit(0), lambda n, c: n + F.coalesce((c <= F.col(order)).cast("int"), F.lit(0)))) if cuts else files.withColumn("_part", F.lit(0))
     sums = ranged.groupBy("_part").agg(F.sum(size).alias("s"), F.count("*").alias("c"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"))
@@ -61,3 +86,13 @@ def first_limit_breach(files: DataFrame, order: str, size: str, most_files: int,
     total, count = F.col("s0") + F.col("s1"), F.col("c0") + F.col("c1")
     breach = F.when(count > most_files, "too_many").when(F.col(size) > most_each, "too_large").when(total > most_total, "total_too_large")
     return rows.select(*files.columns, total.alias("running"), breach.alias("breach"))
+
+
+def _cuts(files: DataFrame, order: str) -> list:
+    """Values of `order` that cut the table into ranges of about equal counts, as many as the session shuffles into; taken from its distinct values with the
+    smallest hashes, 64 a range, so they are the same in every run."""
+    ranges = max(1, min(1000, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    some = files.select(order).distinct().orderBy(F.xxhash64(order), order).limit(64 * ranges)
+    values = [r[0] for r in some.orderBy(order).collect() if r[0] is not None]
+    kind = files.schema[order].dataType
+    return [F.lit(values[i]).cast(kind) for i in sorted({len(values) * k // ranges for k in range(1, ranges)}) if 0 < i < len(values)]

@@ -3,12 +3,29 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KNOWN_FIELDS = ("name", "description")
-MOST_DESCRIPTION = 1024
+# Keys that a bundle's frontmatter may have, the first two of which it must have.
+KNOWN_FIELDS = ("name", "description", "license", "allowed-tools", "metadata", "compatibility")
+REQUIRED = KNOWN_FIELDS[:2]
+MOST_NAME, MOST_DESCRIPTION = 64, 1024
+_SLUG = re.compile(r"[a-z0-9]+(-[a-z0-9]+)*")
+
+
+def _fault(field: str, value) -> str | None:
+    """What is wrong with a required field, if anything."""
+    if not isinstance(value, str):
+        return "must be text"
+    if field == "name":
+        return None if _SLUG.fullmatch(value) and len(value) <= MOST_NAME else "must be a slug: lower-case letters, digits and single hyphens, at most 64"
+    if not value.strip():
+        return "must not be blank"
+    if len(value.encode("utf-16-le")) // 2 > MOST_DESCRIPTION:
+        return f"must have at most {MOST_DESCRIPTION} characters"
+    return "must not have control characters" if re.search("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", value) else None
 
 
 def frontmatter(content: str) -> dict:
@@ -17,24 +34,26 @@ def frontmatter(content: str) -> dict:
     import yaml
 
     out = dict.fromkeys(("problem", "detail", "name", "description", "body")) | {"unknown": []}
-    text = (content or "").replace("\r\n", "\n")
-    if not text.startswith("---\n") or "\n---" not in text[3:]:
+    lines = (content or "").split("\n")
+    marks = [i for i, line in enumerate(lines) if line.removesuffix("\r") == "---"]
+    if len(marks) < 2 or marks[0] != 0:
         return out | {"problem": "missing_block"}
-    head, _, body = text[4:].partition("\n---")
-    out["body"] = body.removeprefix("\n")
+    out["body"] = "\n".join(lines[marks[1] + 1 :])
     try:
-        fields = yaml.safe_load(head)
+        fields = yaml.safe_load("\n".join(lines[1 : marks[1]]))
     except yaml.YAMLError as e:
-        return out | {"problem": "syntax", "detail": str(e)[:200]}
+        return out | {"problem": "syntax", "detail": str(e).split("\n")[0][:200]}
     if not isinstance(fields, dict):
         return out | {"problem": "not_a_map"}
-    out["unknown"] = sorted(str(k) for k in fields if k not in KNOWN_FIELDS)
-    for name in KNOWN_FIELDS:
-        if fields.get(name) is None:
-            return out | {"problem": "missing_field", "detail": name}
-        if not isinstance(fields[name], str) or not fields[name].strip() or (name == "description" and len(fields[name]) > MOST_DESCRIPTION):
-            return out | {"problem": "invalid_field", "detail": name}
-        out[name] = fields[name]
+    missing = [k for k in REQUIRED if k not in fields]
+    if missing:
+        return out | {"problem": "missing_field", "detail": ", ".join(missing)}
+    for name in REQUIRED:
+        fault = _fault(name, fields[name])
+        if fault:
+            return out | {"problem": "invalid_field", "detail": f"{name} {fault}"}
+    out |= {name: fields[name] for name in REQUIRED}
+    out["unknown"] = [str(k) for k in fields if k not in KNOWN_FIELDS]
     return out
 
 

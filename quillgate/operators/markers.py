@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import gate
+
+
+# The forms of marker lines.
+TERM_LINE = r"\A\*\*(.+?)\*\*\s*—\s*(.+)\z"
+KIND_LINE = r"(?i)\A-\s*\[(PATTERN|ANTI-PATTERN|PROCEDURE|RULE)\]\s*(.+)\z"
 
 
 def marker_lines(chapters: DataFrame) -> DataFrame:
     """(chapter_pos, line_pos, kind, term, text, chapter_file) of chapters(chapter_pos, chapter_file, body)."""
     lines = chapters.select("chapter_pos", "chapter_file", F.posexplode(F.split("body", "\n")).alias("line_pos", "line")).withColumn("line", X.trim(F.col("line")))
-    term, definition = (F.regexp_extract("line", r"\A\*\*(.+?)\*\*\s*—\s*(.+)\z", k) for k in (1, 2))
-    kind = F.upper(F.regexp_extract("line", r"(?i)\A-\s*\[(PATTERN|ANTI-PATTERN|PROCEDURE|RULE)\]\s*(.+)\z", 1))
-    said = F.regexp_extract("line", r"(?i)\A-\s*\[(PATTERN|ANTI-PATTERN|PROCEDURE|RULE)\]\s*(.+)\z", 2)
+    term, definition = (F.regexp_extract("line", TERM_LINE, k) for k in (1, 2))
+    kind = F.upper(F.regexp_extract("line", KIND_LINE, 1))
+    said = F.regexp_extract("line", KIND_LINE, 2)
     out = lines.select(
         "chapter_pos", "line_pos", F.when(term != "", "GLOSSARY").when(kind != "", kind).alias("kind"), F.when(term != "", X.trim(term)).alias("term"),
         X.trim(F.when(term != "", definition).otherwise(said)).alias("text"), "chapter_file",
@@ -31,6 +37,13 @@ def glossary(markers: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.min_by("text", "pos").alias("definition"), F.array_distinct(seen).alias("chapters"))
 
 
+def grouped(markers: DataFrame, entry, kinds: tuple[str, ...] = ("PATTERN", "PROCEDURE", "ANTI-PATTERN")) -> DataFrame:
+    """(rank, kind, n, text): per kind in the given order its entries (a column) as lines in order of the markers; kinds without any are left out."""
+    rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")).cast("int")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("chapter_pos", "line_pos", entry.alias("v")))), lambda x: x["v"])
+    return markers.where(F.col("kind").isin(*kinds)).groupBy(rank.alias("rank"), "kind").agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("text"))
+
+
 @dataclass(frozen=True)
 class Bundle:
     slug: str
@@ -62,25 +75,40 @@ def assemble(bundle: Bundle, chapters: DataFrame) -> DataFrame:
 
     words = glossary(found)
     term = F.concat(F.lit("**"), F.col("term"), F.lit("** — "), F.col("definition"), F.lit(" ("), F.array_join(F.transform("chapters", ticks), ", "), F.lit(")\n"))
-    collated = words.withColumn("o", F.lower("term"))
-    terms = listing(2, "glossary.md", "Glossary", "no terms extracted.", X.trim(joined(term, "o", "term")))(collated)
+    words = words.withColumn("o", F.collate("term", "UNICODE"))
+    terms = listing(2, "glossary.md", "Glossary", "no terms extracted.", X.trim(joined(term, "o", "term")))(words)
     line = F.concat(F.lit("- "), F.col("text"), F.lit(" ("), ticks(F.col("chapter_file")), F.lit(")"))
-    kinds = [("PATTERN", "Patterns"), ("PROCEDURE", "Procedures"), ("ANTI-PATTERN", "Anti-patterns")]
-    groups = [F.concat(F.lit(f"## {label}\n\n"), F.nullif(joined_if, F.lit(""))) for k, label in kinds for joined_if in [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("chapter_pos", "line_pos", line.alias("v"))))), lambda x: x["v"]), "\n")]]
-    patterns = listing(3, "patterns.md", "Patterns", "no patterns extracted.", F.concat_ws("\n\n", *groups))(found)
+    title = F.element_at(F.create_map(*[F.lit(x) for pair in (("PATTERN", "Patterns"), ("PROCEDURE", "Procedures"), ("ANTI-PATTERN", "Anti-patterns")) for x in pair]), F.col("kind"))
+    groups = grouped(found, line).select("rank", F.concat(F.lit("## "), title, F.lit("\n\n"), F.col("text")).alias("v"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "v"))), lambda x: x["v"]), "\n\n")
+    patterns = listing(3, "patterns.md", "Patterns", "no patterns extracted.", text)(groups)
     rules = listing(4, "cheatsheet.md", "Cheatsheet", "no rules extracted.", joined(line, "chapter_pos", "line_pos"))(found.where("kind = 'RULE'"))
     files = index.unionByName(bodies).unionByName(terms).unionByName(patterns).unionByName(rules)
     content = F.when(F.col("content").endswith("\n"), F.col("content")).otherwise(F.concat("content", F.lit("\n")))
     return files.select("rank", "chapter_pos", "path", content.alias("content")).withColumn("est_tokens", X.estimate_tokens(F.col("content")))
 
 
+def over_budget(files: DataFrame) -> DataFrame:
+    """(path, n, most) of the files(path, content) with more tokens than their class allows; other columns stay."""
+    return files.withColumn("n", X.estimate_tokens(F.col("content"))).withColumn("most", X.budget(F.col("path"))).where("n > most")
+
+
+def links(pages: DataFrame, pattern: str = r"(chapters/[\p{L}\p{N}-]+\.md)") -> DataFrame:
+    """(*, path): a row for each distinct link, the first group of `pattern`, of pages(..., content), whose content is left out."""
+    kept = [F.col(f"`{c}`") for c in pages.columns if c != "content"]
+    return pages.select(*kept, F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), 1))).alias("path"))
+
+
+def anchor_ratio(files: DataFrame, mark: str = "[§") -> DataFrame:
+    """(path, ratio): the share of a file's lines of substance that hold `mark`; files without such lines are left out."""
+    lines = files.select("path", F.explode(F.split("content", "\n")).alias("line")).where(X.substantive_line(F.col("line")))
+    return lines.groupBy("path").agg((F.count_if(F.contains("line", F.lit(mark))) / F.count("*")).alias("ratio"))
+
+
 def issues(files: DataFrame) -> DataFrame:
     """(severity, code, file, message): budgets, broken chapter links and chapters with few anchored lines, of files(path, content)."""
-    sized = files.withColumn("n", X.estimate_tokens(F.col("content"))).withColumn("most", X.budget(F.col("path")))
-    over = sized.where("n > most").select(F.lit("error").alias("severity"), F.lit("budget_exceeded").alias("code"), F.col("path").alias("file"), F.format_string("%d tokens, %d allowed", "n", "most").alias("message"))
-    links = files.where("path = 'SKILL.md'").select(F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(chapters/[\p{L}\p{N}-]+\.md)"), 1))).alias("file"))
-    broken = links.join(files.select(F.col("path").alias("file")), "file", "left_anti").select(F.lit("error").alias("severity"), F.lit("broken_link").alias("code"), "file", F.lit("no such chapter").alias("message"))
-    lines = files.where(F.col("path").startswith("chapters/")).select("path", F.explode(F.split("content", "\n")).alias("line")).where("trim(line) <> '' and not startswith(trim(line), '#')")
-    low = lines.groupBy("path").agg((F.count_if(F.col("line").contains("[§")) / F.count("*")).alias("r")).where("r < 0.5")
-    low = low.select(F.lit("warning").alias("severity"), F.lit("low_anchor_ratio").alias("code"), F.col("path").alias("file"), F.format_string("%.2f of the lines", "r").alias("message"))
+    over = over_budget(files).select(F.lit("error").alias("severity"), F.lit("budget_exceeded").alias("code"), F.col("path").alias("file"), F.format_string("%d tokens, %d allowed", "n", "most").alias("message"))
+    broken = gate.missing_files(links(files.where("path = 'SKILL.md'").select("content")), files).select(F.lit("error").alias("severity"), F.lit("broken_link").alias("code"), F.col("path").alias("file"), F.lit("no such chapter").alias("message"))
+    low = anchor_ratio(files.where(F.col("path").startswith("chapters/"))).where("ratio < 0.5")
+    low = low.select(F.lit("warning").alias("severity"), F.lit("low_anchor_ratio").alias("code"), F.col("path").alias("file"), F.format_string("%.2f of the lines", "ratio").alias("message"))
     return over.unionByName(broken).unionByName(low)

@@ -138,6 +138,11 @@ def name_space_prefixes(paths: list[str]) -> list[str]:
     return out
 
 
+def namespaced(prefix, id_):
+    """An id below its file's name space; an empty prefix leaves it as it is."""
+    return F.when(F.coalesce(prefix, F.lit("")) == "", id_).otherwise(F.concat_ws("/", prefix, id_))
+
+
 def population(sections_: DataFrame) -> DataFrame:
     """Sections with a text that isn't blank."""
     return sections_.where(F.col("text").rlike(f"[^{X.WS_CHARS}]"))

@@ -18,17 +18,19 @@ from ..functions import text as X
 from ..operators import gate, manifest, markers, rules, segment
 from ..sources import files as source_files
 from .questions import Calls, data_block, evaluate
+from .reports import outline_report
 
 EXCERPT = 400
 QUESTION_KIND = "array<struct<question:string,refAnswer:string,anchorQuote:string>>"
 
 
 class CompileError(RuntimeError):
-    """A compile that can't go on; `stage` names where."""
+    """A compile that can't go on; `stage` names where. A provider's failure comes with its kind, whether it is retryable and the calls made so far; a
+    failed validation with its issues."""
 
-    def __init__(self, stage: str, message: str):
+    def __init__(self, stage: str, message: str, kind: str | None = None, retryable: bool = False, calls: int = 0, issues: DataFrame | None = None):
         super().__init__(f"{stage}: {message}")
-        self.stage = stage
+        self.stage, self.message, self.kind, self.retryable, self.calls, self.issues = stage, message, kind, retryable, calls, issues
 
 
 @dataclass
@@ -51,7 +53,7 @@ def named_sections(extracted: DataFrame) -> DataFrame:
     prefixes = extracted.sparkSession.createDataFrame(list(zip(paths, segment.name_space_prefixes(paths))), "path string, prefix string")
     found = segment.sections(segment.blocks(extracted, "path"), "path")
     rows = segment.population(found.join(segment.heading_ids(found, "path").withColumnRenamed("sec_pos", "p"), ["path"]).where("sec_pos = p").drop("p"))
-    rows = rows.join(F.broadcast(prefixes), "path").withColumn("id", F.when(F.col("prefix") == "", F.col("id")).otherwise(F.concat_ws("/", "prefix", "id")))
+    rows = rows.join(F.broadcast(prefixes), "path").withColumn("id", segment.namespaced(F.col("prefix"), F.col("id")))
     twice = rows.groupBy("id").count().where("count > 1").limit(1).collect()
     if twice:
         raise CompileError("sources", f"two sections are called {twice[0].id}")
@@ -92,7 +94,7 @@ def outline(sections: DataFrame, calls: Calls) -> tuple[str, str, DataFrame]:
     ask = sections.agg(_ordered(_shown(EXCERPT), "pos").alias("t")).select(F.lit("outline").alias("request_id"), F.lit("outline").alias("role"), data_block("sections", F.col("t")).alias("prompt"))
     said = calls.answer(ask).first()
     if said.error is not None:
-        raise CompileError("outline", said.error)
+        raise CompileError("outline", said.error, said.kind, said.retryable, calls.made)
     plan, problem = parse_plan(said.answer)
     if plan is None:
         raise CompileError("outline", problem)
@@ -100,9 +102,11 @@ def outline(sections: DataFrame, calls: Calls) -> tuple[str, str, DataFrame]:
     given = [(i + 1, c["id"], c["title"], c["sectionIds"]) for i, c in enumerate(plan["chapters"])]
     chapters = spark.createDataFrame(given, "chapter_pos int, id string, title string, section_ids array<string>").withColumn("section_ids", F.transform("section_ids", X.section_ref))
     broken = rules.plan_violations(head, chapters).limit(5).collect()
-    broken = broken or gate.outline_issues(sections.select("id"), chapters.select(F.explode("section_ids").alias("id"))).select(F.col("issue").alias("rule"), F.col("id").alias("subject")).limit(5).collect()
     if broken:
         raise CompileError("outline", "; ".join(f"{r.rule}: {r.subject}" for r in broken))
+    apart = outline_report(gate.outline_issues(sections.select("id"), chapters.select(F.explode("section_ids").alias("id"))))
+    if apart:
+        raise CompileError("outline", apart)
     return plan["slug"], plan["title"], chapters
 
 
@@ -118,29 +122,36 @@ def distil(chapters: DataFrame, sections: DataFrame, calls: Calls) -> DataFrame:
     said = calls.answer(ask)
     bad = said.where("answer is null").orderBy("request_id").limit(1).collect()
     if bad:
-        raise CompileError("distill", f"chapter {bad[0].request_id}: {bad[0].error}")
+        raise CompileError("distill", f"chapter {bad[0].request_id}: {bad[0].error}", bad[0].kind, bool(bad[0].retryable), calls.made)
     out = chapters.join(said.select(F.col("request_id").cast("int").alias("chapter_pos"), F.col("answer").alias("body")), "chapter_pos", "left")
     if out.where("body is null").limit(1).count():
         raise CompileError("distill", "a chapter has no body")
     return out
 
 
+ITEM = ("question", "refAnswer", "anchorQuote")
+
+
 def question_items(answer: str | None) -> list[tuple[str, str, str]]:
-    """The items of an answer {"items": [...]}; one malformed item makes the whole answer worthless."""
+    """The items of an answer {"items": [...]}; one malformed item, unknown keys and control characters among them, makes the whole answer worthless."""
+    import re
+
     text = answer or ""
     try:
-        items = json.loads(text[text.index("{") : text.rindex("}") + 1])["items"]
-        found = [(i["question"], i["refAnswer"], i["anchorQuote"]) for i in items]
+        told = json.loads(text[text.index("{") : text.rindex("}") + 1])
+        items = told["items"]
+        found = [tuple(i[k] for k in ITEM) for i in items]
+        strange = set(told) != {"items"} or any(set(i) != set(ITEM) for i in items)
     except (ValueError, KeyError, TypeError):
         return []
-    return found if all(isinstance(v, str) and 0 < len(v) <= rules.MOST_FIELD for i in found for v in i) else []
+    bad = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+    fit = lambda v: isinstance(v, str) and 0 < len(v.encode("utf-16-le", "surrogatepass")) // 2 <= rules.MOST_FIELD and not bad.search(v)
+    return found if not strange and all(fit(v) for i in found for v in i) else []
 
 
 def make_questions(sections: DataFrame, calls: Calls, each: int) -> DataFrame:
     """(qa_id, section_id, question, ref_answer, anchor_quote): up to `each` a section whose quote stands in it; a second request goes
     only to sections that are short of it."""
-    from pyspark.sql import Window
-
     parse = F.udf(question_items, QUESTION_KIND, useArrow=True)
     base = sections.select("id", "text", _shown().alias("shown"))
     found = None
@@ -155,8 +166,7 @@ def make_questions(sections: DataFrame, calls: Calls, each: int) -> DataFrame:
         need = base.join(have, "id", "left").withColumn("need", F.lit(each) - F.coalesce("count", F.lit(0))).where("need > 0").drop("count")
         if attempt == 0 and not need.limit(1).count():
             break
-    n = F.row_number().over(Window.partitionBy("id").orderBy("attempt", "k"))
-    rows = found.withColumn("n", n).where(F.col("n") <= each)
+    rows = gate.first_of_each(found, "id", each, "attempt", "k")
     return rows.select(F.concat("id", F.lit("-q"), F.col("n").cast("string")).alias("qa_id"), F.col("id").alias("section_id"), "question", F.col("refAnswer").alias("ref_answer"), F.col("anchorQuote").alias("anchor_quote"))
 
 
@@ -164,7 +174,7 @@ def run_gate(sections: DataFrame, chapter_of: DataFrame, files: DataFrame, calls
     """(gate tables, questions): chapter_of(section_id, chapter_file), files(path, content); questions are made unless they are given."""
     if questions is None:
         questions = make_questions(sections, calls, config.questions_per_section)
-    asked = questions.join(chapter_of, "section_id", "left").withColumn("chapter_file", F.coalesce("chapter_file", F.lit("")))
+    asked = gate.placed_questions(questions, chapter_of)
     index = files.where("path = 'SKILL.md'").first().content
     outcomes = evaluate(asked, index, files, calls)
     return rules.gate_tables(sections, chapter_of, questions, outcomes, config.questions_per_section, config.threshold), questions
@@ -197,12 +207,24 @@ def validate(files: DataFrame) -> DataFrame:
 
 def compile_documents(spark: SparkSession, paths: list[str], calls: Calls, config: Config = Config(), gated: bool = True) -> Result:
     """From files to a Result; nothing is published. The stages stop at the first that fails."""
-    listing = source_files.read_files(spark, *paths)
-    for problem in (source_files.limit_breaches(listing), source_files.first_error(source_files.extract(listing))):
-        row = problem.first()
-        if row is not None:
-            raise CompileError("sources", f"{row.path}: {row['breach'] if 'breach' in row else row['error']}")
-    sections = named_sections(source_files.extract(listing).select("path", "text")).cache()
+    if any("://" in p for p in paths):
+        listing = source_files.read_files(spark, *paths)
+        breach = source_files.limit_breaches(listing).first()
+        if breach is not None:
+            raise CompileError("sources", f"{breach.path}: {breach.breach}")
+    else:
+        try:
+            listed = source_files.list_files(*paths)
+        except source_files.ListingError as e:
+            raise CompileError("sources", str(e)) from e
+        if not listed:
+            raise CompileError("sources", f"no files at {', '.join(paths)}")
+        listing = source_files.read_listed(spark, listed)
+    extracted = source_files.extract(listing).cache()  # at most MOST_TOTAL bytes; parsed once
+    failed = source_files.first_error(extracted).first()
+    if failed is not None:
+        raise CompileError("sources", f"{failed.path}: {failed.error}")
+    sections = named_sections(extracted.select("path", "text")).cache()
     tokens = sections.agg(F.coalesce(F.sum(X.estimate_tokens(F.col("text"))), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
     if tokens.n == 0:
         raise CompileError("sources", "no section has a text")
@@ -219,7 +241,7 @@ def compile_documents(spark: SparkSession, paths: list[str], calls: Calls, confi
     tables = questions = passed = None
     broken = validate(files).where("severity = 'error'").limit(5).collect()
     if broken:
-        raise CompileError("validation", "; ".join(f"{r.file}: {r.code}" for r in broken))
+        raise CompileError("validation", "; ".join(f"{r.file}: {r.code}" for r in broken), issues=validate(files))
     if gated:
         tables, questions = run_gate(sections, chapter_of, files, calls, config)
         passed = tables["summary"].first().passed

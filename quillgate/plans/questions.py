@@ -1,13 +1,17 @@
 """The question gate as staged DataFrames around an opaque text provider.
 
-Each stage builds a request table (request_id, role, prompt); calls are counted exactly before any is made, and answers are written
-to the shared folder, so no later recomputation calls again.
+Each stage builds a request table (request_id, role, prompt); calls are counted exactly before any is made. Every answer is stored under its request's own name in
+the shared folder before the next request is made, and a task that is run again finds it there, so neither retries nor later recomputation call again.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import tempfile
 import uuid
+from functools import reduce
 from typing import Protocol
 
 import pyarrow as pa
@@ -15,14 +19,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.gate import outcome_reason
+
+# Kinds of failure of a provider, and whether the same request may succeed later.
+FAILURES = {"auth": False, "rate_limit": True, "network": True, "server": True, "bad_response": True, "refusal": False, "unknown": False}
+
+
+class ProviderError(RuntimeError):
+    """A provider's failure; `kind` is one of FAILURES, which says whether it is `retryable` unless the provider knows better."""
+
+    def __init__(self, kind: str, message: str = "", retryable: bool | None = None):
+        super().__init__(message or kind)
+        self.kind = kind if kind in FAILURES else "unknown"
+        self.retryable = FAILURES[self.kind] if retryable is None else retryable
 
 
 class Provider(Protocol):
+    """Answers with text or raises ProviderError; anything else that it raises counts as `unknown`. Retries are the caller's, so it makes none."""
+
     def complete(self, role: str, prompt: str) -> str: ...
 
 
 class Scripted:
-    """Answers by (role, prompt) or, failing that, by role; independent of the order of calls."""
+    """Answers by (role, prompt) or, failing that, by role; independent of the order of calls. An answer that is a ProviderError is raised."""
 
     def __init__(self, by_prompt: dict[tuple[str, str], str] | None = None, by_role: dict[str, str] | None = None):
         self.by_prompt, self.by_role = by_prompt or {}, by_role or {}
@@ -30,7 +49,9 @@ class Scripted:
     def complete(self, role: str, prompt: str) -> str:
         found = self.by_prompt.get((role, prompt), self.by_role.get(role))
         if found is None:
-            raise LookupError(f"nothing scripted for {role}")
+            raise ProviderError("unknown", f"nothing scripted for {role}")
+        if isinstance(found, ProviderError):
+            raise ProviderError(found.kind, str(found), found.retryable)
         return found
 
 
@@ -38,35 +59,78 @@ class CallCap(RuntimeError):
     """More calls than allowed; raised before the first of them."""
 
 
+def _filesystem(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
+
+
+def _answered(provider: Provider, role: str, prompt: str) -> dict:
+    """One call: {answer, error, kind, retryable}, of which an answer is never blank."""
+    out = dict.fromkeys(("answer", "error", "kind", "retryable"))
+    try:
+        out["answer"] = provider.complete(role, prompt)
+        if not isinstance(out["answer"], str) or not out["answer"].strip():
+            raise ProviderError("bad_response", "empty text")
+    except ProviderError as e:
+        out |= {"answer": None, "error": str(e)[:200], "kind": e.kind, "retryable": e.retryable}
+    except Exception as e:
+        out |= {"answer": None, "error": str(e)[:200], "kind": "unknown", "retryable": False}
+    return out
+
+
 class Calls:
+    """The calls to a provider, at most `most`; `made` and `tokens` (estimated, of prompts and answers) say what was spent."""
+
+    KIND = "request_id string, role string, prompt string, answer string, error string, kind string, retryable boolean"
+
     def __init__(self, provider: Provider, most: int = 300, slots: int = 4):
-        self.provider, self.most, self.slots, self.made = provider, most, slots, 0
+        self.provider, self.most, self.slots, self.made, self.tokens = provider, most, slots, 0, 0
+        self.said: list[DataFrame] = []
 
     def answer(self, requests: DataFrame) -> DataFrame:
-        """(request_id, answer, error) of requests(request_id, role, prompt)."""
+        """(request_id, answer, error, kind, retryable) of requests(request_id, role, prompt)."""
         n = requests.count()
         if self.made + n > self.most:
             raise CallCap(f"{self.made + n} calls, {self.most} allowed")
         self.made += n
         provider = self.provider
+        spark = requests.sparkSession
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            root = tempfile.mkdtemp(prefix="quillgate-")
+        path = f"{root.rstrip('/')}/quillgate/answers-{uuid.uuid4().hex}"
 
         def run(batches):
+            store, folder = _filesystem(f"{path}/single")
+            store.create_dir(folder, recursive=True)
             for batch in batches:
-                answers, errors = [], []
-                for role, prompt in zip(batch.column("role").to_pylist(), batch.column("prompt").to_pylist()):
-                    try:
-                        answers.append(provider.complete(role, prompt))
-                        errors.append(None)
-                    except Exception as e:
-                        answers.append(None)
-                        errors.append(str(e)[:200])
-                yield pa.RecordBatch.from_arrays([batch.column("request_id"), pa.array(answers, pa.string()), pa.array(errors, pa.string())], ["request_id", "answer", "error"])
-
-        spark = requests.sparkSession
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgate-")
-        path = f"{root}/quillgate/answers-{uuid.uuid4().hex}"
-        requests.select(F.col("request_id").cast("string").alias("request_id"), "role", "prompt").repartition(self.slots).mapInArrow(run, "request_id string, answer string, error string").write.parquet(path)
-        return spark.read.schema("request_id string, answer string, error string").parquet(path)
+                for row in batch.to_pylist():
+                    name = f"{folder}/{hashlib.sha256(json.dumps([row['request_id'], row['role'], row['prompt']]).encode()).hexdigest()}"
+                    if store.get_file_info(name).is_file:
+                        with store.open_input_file(name) as f:
+                            said = json.loads(f.read())
+                    else:
+                        said = _answered(provider, row["role"], row["prompt"])
+                        fresh = f"{name}.{uuid.uuid4().hex}"
+                        with store.open_output_stream(fresh) as f:
+                            f.write(json.dumps(said).encode())
+                        store.move(fresh, name)
+                    yield pa.RecordBatch.from_pylist([row | said], pa.schema([(k, pa.bool_() if k == "retryable" else pa.string()) for k in ("request_id", "role", "prompt", "answer", "error", "kind", "retryable")]))
+
+        asked = requests.select(F.col("request_id").cast("string").alias("request_id"), "role", "prompt").repartition(self.slots)
+        asked.mapInArrow(run, self.KIND).write.parquet(f"{path}/all")
+        out = spark.read.schema(self.KIND).parquet(f"{path}/all")
+        spent = F.coalesce(X.estimate_tokens(F.col("prompt")), F.lit(0)) + F.coalesce(X.estimate_tokens(F.col("answer")), F.lit(0))
+        self.tokens += out.agg(F.coalesce(F.sum(spent), F.lit(0)).alias("n")).first()["n"]
+        self.said.append(out)
+        return out.select("request_id", "answer", "error", "kind", "retryable")
+
+    def log(self) -> DataFrame | None:
+        """Every call made, as KIND; null before the first."""
+        return reduce(DataFrame.unionByName, self.said) if self.said else None
 
 
 def data_block(label: str, content):
@@ -83,12 +147,13 @@ def evaluate(questions: DataFrame, index: str, files: DataFrame, calls: Calls) -
     chosen = calls.answer(ask).select(F.col("request_id").alias("qa_id"), X.trim(F.coalesce("answer", F.lit(""))).alias("selected_file"))
     listed = files.where(X.is_chapter_path(F.col("path"))).select(F.col("path").alias("selected_file"), F.col("content"))
     rows = questions.join(chosen, "qa_id").join(listed, "selected_file", "left")
-    rows = rows.withColumn("reason", F.when(F.col("content").isNull(), "not_found").when(~F.contains("content", "anchor_quote"), "anchor_missing"))
+    there, quoted = F.col("content").isNotNull(), F.contains("content", "anchor_quote")
+    rows = rows.withColumn("reason", outcome_reason(there, quoted, F.lit(True)))
     left = rows.where("reason is null")
     reply = calls.answer(left.select(F.col("qa_id").alias("request_id"), F.lit("answer").alias("role"), F.concat(data_block("CONTEXT", F.concat(F.lit(index), F.lit("\n"), F.col("content"))), F.lit("\n"), data_block("QUESTION", F.col("question"))).alias("prompt")))
     left = left.join(reply.select(F.col("request_id").alias("qa_id"), F.col("answer").alias("reply")), "qa_id")
     marks = calls.answer(left.select(F.col("qa_id").alias("request_id"), F.lit("grade").alias("role"), F.concat(*[data_block(k, F.coalesce(F.col(c), F.lit(""))) for k, c in (("QUESTION", "question"), ("REFERENCE", "ref_answer"), ("QUOTE", "anchor_quote"), ("CANDIDATE", "reply"))]).alias("prompt")))
     marks = marks.select(F.col("request_id").alias("qa_id"), F.coalesce(X.is_correct(F.col("answer")), F.lit(False)).alias("right"))
     return rows.join(marks, "qa_id", "left").select(
-        "qa_id", "chapter_file", F.coalesce("right", F.lit(False)).alias("correct"), F.coalesce("reason", F.when(~F.coalesce("right", F.lit(False)), "wrong")).alias("failure_reason"), "selected_file"
+        "qa_id", "chapter_file", F.coalesce("right", F.lit(False)).alias("correct"), outcome_reason(there, quoted, F.col("right")).alias("failure_reason"), "selected_file"
     )

@@ -17,7 +17,7 @@ def gate_report(tables: dict[str, DataFrame]) -> str:
     """tables: summary, per_chapter, coverage, failures, as gate_tables makes them. A bundle has at most some thousand of these rows."""
     found = tables["summary"].first()
     if found is None:
-        return "Gate: SKIPPED. The bundle carries the mark of an unverified one."
+        return skipped_gate()
     out = [f"Gate: {'PASSED' if found.passed else 'FAILED'} ({found.pass_rate:.1%} right, {found.threshold:.0%} needed)", "", "Chapters:"]
     out += [f"  {r.file}: {r.correct} of {r.asked}" for r in tables["per_chapter"].orderBy("file").collect()]
     open_ = tables["coverage"].where("generated = 0").orderBy("section_id").collect()
@@ -32,6 +32,10 @@ def gate_report(tables: dict[str, DataFrame]) -> str:
     return "\n".join(out)
 
 
+def skipped_gate() -> str:
+    return "Gate: SKIPPED. The bundle carries the mark of an unverified one."
+
+
 def integrity_report(differences: DataFrame) -> tuple[str, str]:
     """(status, text) of differences(path, state) between a manifest's hashes and the files on disk."""
     by_state: dict[str, list[str]] = {}
@@ -67,3 +71,40 @@ def validation_report(issues: DataFrame) -> tuple[bool, str]:
     rows = issues.orderBy("severity", "file", "code", "message").collect()
     passed = not any(r.severity == "error" for r in rows)
     return passed, "\n".join([f"Validation: {'PASSED' if passed else 'FAILED'}", *([f"  [{r.severity.upper()}] {r.file} ({r.code}): {r.message}" for r in rows] or ["No issues."])])
+
+
+# What a reader of a failure may do about it, by kind.
+ADVICE = {
+    "auth": ("the provider did not accept the key", "set the provider's key in the environment or in .env"),
+    "rate_limit": ("the provider asks for fewer calls", "wait, or lower QA_PER_SECTION, and run it again"),
+    "network": ("the provider was not reached", "look at the network and run it again"),
+    "server": ("the provider failed", "run it again later"),
+    "bad_response": ("the answer was of no use", "run it again, or with another MODEL"),
+    "refusal": ("the provider refused the text", "look at the source; this request is not made again"),
+    "unknown": ("the call failed", "run it again, and report the message if it comes back"),
+}
+
+
+def call_failure(stage: str, kind: str, retryable: bool, detail: str, calls: int) -> str:
+    """A provider's failure in plain words: where, what, whether trying again may help, and what was spent."""
+    what, advice = ADVICE[kind if kind in ADVICE else "unknown"]
+    again = "may work if repeated" if retryable else "will not work if repeated"
+    out = [f"The {stage} stopped: {what} ({kind}; {again}). {calls} calls were made and nothing was written.", f"To do: {advice}."]
+    return "\n".join(out + ([f"The provider says: {detail}"] if detail and detail != kind else []))
+
+
+def compile_failure(error) -> str:
+    """A CompileError as text, with the report of a failed validation or the advice for a failed call where it has one."""
+    if error.kind:
+        return "Not compiled. " + call_failure(error.stage, error.kind, error.retryable, error.message, error.calls)
+    head = f"Not compiled: {error}"
+    return head if error.issues is None else f"{head}\n{validation_report(error.issues)[1]}"
+
+
+def outline_report(issues: DataFrame) -> str:
+    """issues(issue, id) of an outline in one line; '' where there are none."""
+    labels = {"missing": "missing from all chapters", "unknown": "unknown", "duplicate": "duplicate, in several places"}
+    rows: dict[str, list[str]] = {}
+    for r in issues.orderBy("issue", "id").collect():
+        rows.setdefault(r.issue, []).append(str(r.id))
+    return "; ".join(f"{labels[k]}: {listed(rows[k])}" for k in labels if k in rows)

@@ -72,8 +72,12 @@ def publish(files: DataFrame, manifest: dict, folder: str | Path, force: bool =
     target = Path(folder).absolute()
     rows = [(relative_path(r["path"]), r["content"]) for r in files.select("path", "content").toLocalIterator()]
     rows.append((MANIFEST, json.dumps(manifest, indent=2, ensure_ascii=False) + "\n"))
+    for place in (target, *target.parents):
+        if place.is_symlink() and not place.resolve().is_dir():
+            raise PublishError("link", f"{place} leads nowhere")
     if target.is_symlink():
         raise PublishError("link", f"{target} is a link")
+    target = target.parent.resolve() / target.name  # what stands above is pinned before anything is written
     if not force and target.exists() and (not target.is_dir() or any(target.iterdir())):
         raise PublishError("already_exists", f"{target} exists and is not empty")
     target.parent.mkdir(parents=True, exist_ok=True)
@@ -109,14 +113,56 @@ def read_bundle(spark: SparkSession, folder: str) -> DataFrame:
     return shown.selectExpr(f"substring(at, {start}) AS path", "content").where(f"path <> '{MANIFEST}'")
 
 
+_HASH = {"path": str, "sha256": str}
+# The parts of a manifest and their types; a list holds any number of its one entry, and a part in brackets may be absent.
+SHAPE = {
+    "version": int, "createdAt": str, "sourceFiles": [_HASH], "sections": [{"id": str, "sha256": str, "chapterFile": str}], "outputs": [str], "outputHashes": [_HASH],
+    "goldenQa": [{"id": str, "sectionId": str, "question": str, "refAnswer": str, "anchorQuote": str}],
+}
+GATE_SHAPE = {
+    "passRate": float, "threshold": float, "passed": bool, "perChapter": [{"file": str, "asked": int, "correct": int}], "coverage": [{"sectionId": str, "requested": int, "generated": int}],
+    "failures": [{"qaId": str, "reason": str}], "loadHistory": [{"qaId": str}],
+}
+
+
+def faults(value, shape, where: str = "") -> list[str]:
+    """Where a JSON value departs from a shape, in order."""
+    at = where or "manifest"
+    if isinstance(shape, dict):
+        if not isinstance(value, dict):
+            return [f"{at}: must be an object"]
+        return [f for k, part in shape.items() for f in ([f"{where}{'.' * bool(where)}{k}: is missing"] if k not in value else faults(value[k], part, f"{where}{'.' * bool(where)}{k}"))]
+    if isinstance(shape, list):
+        return [f for i, x in enumerate(value) for f in faults(x, shape[0], f"{where}.{i}")] if isinstance(value, list) else [f"{at}: must be a list"]
+    fits = isinstance(value, (int, float) if shape is float else shape) and (shape is bool or not isinstance(value, bool))
+    return [] if fits else [f"{at}: must be {dict(((str, 'text'), (int, 'a whole number'), (float, 'a number'), (bool, 'true or false')))[shape]}"]
+
+
+def manifest_faults(raw) -> list[str]:
+    found = faults(raw, SHAPE)
+    gate = raw.get("gate") if isinstance(raw, dict) else None
+    if isinstance(raw, dict) and not (isinstance(gate, dict) and gate.get("skipped") is True):
+        found += faults(gate, GATE_SHAPE, "gate")
+    return found
+
+
+def told(found: list[str], most: int = 5) -> str:
+    """The first faults, and how many more there are."""
+    return "; ".join(found[:most]) + (f"; +{len(found) - most} more" if len(found) > most else "")
+
+
 def manifest_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The manifest's parts as tables: outputs, hashes, sections, questions, per_chapter, coverage, failures, history, summary.
 
-    A part that a manifest lacks is an empty table, so that the rules judge it; text that isn't JSON raises ValueError.
+    Text that isn't JSON, and a manifest with a part missing or of another type, raise ValueError with the first faults. A link is not read.
     """
-    raw = json.loads((Path(folder) / MANIFEST).read_text("utf-8"))
-    if not isinstance(raw, dict):
-        raise ValueError("the manifest is no JSON object")
+    place = Path(folder) / MANIFEST
+    if place.is_symlink():
+        raise PublishError("link", f"{place} is a link")
+    raw = json.loads(place.read_text("utf-8"))
+    found = manifest_faults(raw)
+    if found:
+        raise ValueError(f"the manifest is not well formed: {told(found)}")
     gate = raw.get("gate") if isinstance(raw.get("gate"), dict) else {}
     pick = lambda rows, *keys: [tuple(r.get(k) for k in keys) for r in rows or []]
     make = spark.createDataFrame

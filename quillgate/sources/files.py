@@ -17,11 +17,75 @@ from .html import to_blocks
 
 MOST_FILES, MOST_EACH, MOST_TOTAL = 500, 25 << 20, 100 << 20
 MOST_ENTRIES, MOST_INFLATED = 200, 60 << 20
+MOST_PAGES = 500
 DEADLINE = 60.0
 
 
+# Folders that a listing passes over.
+PASSED_OVER = {".git", "node_modules"}
+
+
+class ListingError(ValueError):
+    """A path that isn't read; `kind` is link, not_a_file, or a limit's name."""
+
+    def __init__(self, kind: str, path: str):
+        super().__init__(f"{path}: {kind}")
+        self.kind, self.path = kind, path
+
+
+def list_files(*paths: str, most_files: int = MOST_FILES, most_each: int = MOST_EACH, most_total: int = MOST_TOTAL) -> list[str]:
+    """Real paths of the files given and of all below the folders given. A given path may be a link; below it links and whatever is no plain
+    file are refused. Limits are held by the sizes in the listing, before any file is opened."""
+    import os
+    import stat
+
+    out: list[str] = []
+    total = 0
+    for given in paths:
+        waiting = [os.path.realpath(given, strict=True)]
+        while waiting:
+            path = waiting.pop()
+            found = os.lstat(path)
+            if stat.S_ISLNK(found.st_mode):
+                raise ListingError("link", path)
+            if stat.S_ISDIR(found.st_mode):
+                waiting += [os.path.join(path, name) for name in sorted(os.listdir(path), reverse=True) if name not in PASSED_OVER]
+                continue
+            if not stat.S_ISREG(found.st_mode):
+                raise ListingError("not_a_file", path)
+            total += found.st_size
+            for kind, over in (("too_many", len(out) >= most_files), ("too_large", found.st_size > most_each), ("total_too_large", total > most_total)):
+                if over:
+                    raise ListingError(kind, path)
+            out.append(path)
+    return out
+
+
+def read_listed(spark: SparkSession, files: list[str], most_each: int = MOST_EACH, slots: int = 4) -> DataFrame:
+    """(path, length, content) of files named by list_files, hidden ones too, read by `slots` tasks on machines that see the paths. No link is followed, and a
+    file that has grown past `most_each` since its listing fails."""
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                handle = os.open(path, os.O_RDONLY | getattr(os, "O_NOFOLLOW", 0))
+                with os.fdopen(handle, "rb") as f:
+                    content = f.read(most_each + 1)
+                if len(content) > most_each:
+                    raise ListingError("too_large", path)
+                yield pa.RecordBatch.from_pydict({"path": [path], "length": [len(content)], "content": [content]})
+
+    named = spark.createDataFrame([(f,) for f in files], "path string")
+    return named.repartition(max(1, min(slots, len(files)))).mapInArrow(run, "path string, length long, content binary")
+
+
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, length, content): files and folders, walked. Spark leaves out names that begin with . or _."""
+    """(path, length, content): files and folders on any store that Spark reads, walked. Spark leaves out names that begin with . or _; on a local
+    disk `list_files` and `read_listed` hold the whole policy for listings."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("path", "length", "content")
 
 
@@ -44,16 +108,86 @@ def docx_text(content: bytes) -> str:
                     if total > MOST_INFLATED:
                         raise ValueError("inflated size over the limit")
         root = ElementTree.fromstring(z.read("word/document.xml"))
-    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    out = []
-    for p in root.iter(f"{w}p"):
-        text = "".join({f"{w}tab": "\t", f"{w}br": "\n"}.get(n.tag, n.text or "" if n.tag == f"{w}t" else "") for n in p.iter()).strip()
-        style = p.find(f"{w}pPr/{w}pStyle")
-        name = style.get(f"{w}val", "") if style is not None else ""
-        if text:
-            level = name[7:] if name.startswith("Heading") else ""
-            out.append(f"{'#' * int(level)} {text}" if level.isdigit() and 1 <= int(level) <= 6 else text)
-    return "\n\n".join(out)
+        links = ElementTree.fromstring(z.read("word/_rels/document.xml.rels")) if "word/_rels/document.xml.rels" in z.namelist() else []
+        forms = ElementTree.fromstring(z.read("word/numbering.xml")) if "word/numbering.xml" in z.namelist() else None
+    targets = {r.get("Id"): r.get("Target") for r in links}
+    ordered = _ordered_lists(forms)
+    out: list[str] = []
+    counts: dict[tuple[str, int], int] = {}
+    waiting = list(reversed(root.find(f"{_W}body") if root.find(f"{_W}body") is not None else root))
+    while waiting:
+        node = waiting.pop()
+        if node.tag == f"{_W}tbl":
+            for row in node.findall(f"{_W}tr"):
+                cells = [" ".join(t for t in (_run_text(p, targets) for p in cell.iter(f"{_W}p")) if t) for cell in row.findall(f"{_W}tc")]
+                out.append("\t".join(cells).strip())
+        elif node.tag == f"{_W}p":
+            out.append(_paragraph(node, targets, ordered, counts))
+        else:
+            waiting += reversed(node)
+    return _joined([x for x in out if x.strip()])
+
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _ordered_lists(forms) -> set[tuple[str, int]]:
+    """(list, level) of the numbered ones among a document's lists."""
+    if forms is None:
+        return set()
+    numbered = {}
+    for form in forms.findall(f"{_W}abstractNum"):
+        for level in form.findall(f"{_W}lvl"):
+            kind = level.find(f"{_W}numFmt")
+            if kind is not None and kind.get(f"{_W}val") not in ("bullet", "none"):
+                numbered.setdefault(form.get(f"{_W}abstractNumId"), set()).add(int(level.get(f"{_W}ilvl", 0)))
+    uses = {n.get(f"{_W}numId"): n.find(f"{_W}abstractNumId").get(f"{_W}val") for n in forms.findall(f"{_W}num")}
+    return {(n, level) for n, form in uses.items() for level in numbered.get(form, ())}
+
+
+def _run_text(node, targets: dict) -> str:
+    """Text of a paragraph: tabs, breaks, and links as [text](target)."""
+    parts = []
+    for n in node:
+        if n.tag == f"{_W}t":
+            parts.append(n.text or "")
+        elif n.tag in (f"{_W}tab", f"{_W}br"):
+            parts.append("\t" if n.tag.endswith("tab") else "\n")
+        elif n.tag == f"{_W}hyperlink" and targets.get(n.get(f"{_R}id")):
+            parts.append(f"[{_run_text(n, targets)}]({targets[n.get(f'{_R}id')]})")
+        elif n.tag != f"{_W}pPr":
+            parts.append(_run_text(n, targets))
+    return "".join(parts).strip() if node.tag == f"{_W}p" else "".join(parts)
+
+
+def _paragraph(p, targets: dict, ordered: set, counts: dict) -> str:
+    """A paragraph as a heading, an item of a list or plain text. `counts` holds the numbers that lists have reached."""
+    text = _run_text(p, targets)
+    style, number = p.find(f"{_W}pPr/{_W}pStyle"), p.find(f"{_W}pPr/{_W}numPr")
+    name = style.get(f"{_W}val", "") if style is not None else ""
+    level = name.removeprefix("Heading") if name.startswith("Heading") else ""
+    if text and level.isdigit() and 1 <= int(level) <= 6:
+        return f"{'#' * int(level)} {text}"
+    if not text or number is None or number.find(f"{_W}numId") is None:
+        return text
+    depth = number.find(f"{_W}ilvl")
+    at = number.find(f"{_W}numId").get(f"{_W}val"), int(depth.get(f"{_W}val")) if depth is not None else 0
+    counts[at] = counts.get(at, 0) + 1
+    for deeper in [k for k in counts if k[0] == at[0] and k[1] > at[1]]:
+        del counts[deeper]
+    return f"{'  ' * at[1]}{f'{counts[at]}.' if at in ordered else '-'} {text}"
+
+
+def _joined(blocks: list[str]) -> str:
+    """Blocks parted by blank lines, but items of a list by line ends."""
+    import re
+
+    item = re.compile(r" *(?:\d+\.|-) ")
+    out = ""
+    for before, block in zip(["", *blocks], blocks):
+        out += ("" if not out else "\n" if item.match(before) and item.match(block) else "\n\n") + block
+    return out
 
 
 def within(seconds: float, run):
@@ -103,12 +237,14 @@ def _parsed(kind: str, content: bytes) -> tuple[str | None, str | None]:
         if kind == "docx":
             text = docx_text(content)
         elif kind == "pdf":
-            return None, "unsupported"  # no parser of PDF text is installed; page texts go through reflow_pages
+            text = pdf_text(content)
         else:
             text = bytes(content).decode("utf-8")
             text = to_blocks(text) if kind == "html" else text
     except UnicodeDecodeError:
         return None, "invalid_utf8"
+    except NoParser:
+        return None, "unsupported"
     except TimeoutError:
         raise
     except Exception as e:  # any defect of a file is that file's error
@@ -116,6 +252,24 @@ def _parsed(kind: str, content: bytes) -> tuple[str | None, str | None]:
     return (text, None) if text.strip() else (None, "empty_text")
 
 
+class NoParser(RuntimeError):
+    """There is nothing to read a kind of file with."""
+
+
+def pdf_text(content: bytes) -> str:
+    """Pages of a PDF as paragraphs and headings, by the `pypdf` package where it is installed."""
+    try:
+        import pypdf
+    except ImportError:
+        raise NoParser("pypdf is not installed") from None
+    reader = pypdf.PdfReader(io.BytesIO(content))
+    if reader.is_encrypted:
+        raise ValueError("encrypted")
+    if len(reader.pages) > MOST_PAGES:
+        raise ValueError("too_many_pages")
+    return reflow_pages([page.extract_text() or "" for page in reader.pages])
+
+
 def extract(files: DataFrame) -> DataFrame:
     """(path, kind, text, error) of files(path, content): exactly one of text and error is set."""
     run = F.udf(lambda k, c: _extract(k, c), "struct<text:string,error:string>", useArrow=True)

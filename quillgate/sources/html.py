@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 # Elements without text of their own, and those that break a line of text.
 SKIPPED = {"script", "style", "noscript", "template", "head", "title", "svg", "canvas", "iframe", "object"}
 BREAKING = {
-    "address", "article", "aside", "blockquote", "body", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
-    "header", "hr", "html", "li", "main", "nav", "p", "pre", "section", "summary", "td", "th", "tr", "tbody", "thead", "tfoot",
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "nav", "p", "pre", "section", "summary", "td", "th", "tr", "tbody", "thead", "tfoot",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -54,14 +54,19 @@ def _squeeze(s: str) -> str:
 
 
 def _inline(node, raw: bool = False) -> str:
-    if isinstance(node, str):
-        return node
-    if node.tag in SKIPPED:
-        return ""
-    if node.tag == "br":
-        return "\n" if raw else " "
-    inner = "".join(_inline(k, raw) for k in node.kids)
-    return f" {inner} " if not raw and (node.tag in BREAKING or node.tag in ("ul", "ol", "table")) else inner
+    """All text below a node; breaking elements are set apart by blanks. Nodes wait on a stack, so no depth is too deep."""
+    parts: list[str] = []
+    waiting = [node]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, str):
+            parts.append(node)
+        elif node.tag == "br":
+            parts.append("\n" if raw else " ")
+        elif node.tag not in SKIPPED:
+            apart = [" "] if not raw and (node.tag in BREAKING or node.tag in ("ul", "ol", "table")) else []
+            waiting += [*apart, *reversed(node.kids), *apart]
+    return "".join(parts)
 
 
 def _table(table: _Node) -> str:
@@ -82,20 +87,23 @@ def _table(table: _Node) -> str:
     return "\n".join(captions + lines[:1] + ([f"| {' | '.join(['---'] * width)} |"] if rows else []) + lines[1:])
 
 
-def _list(node: _Node, depth: int = 0) -> list[str]:
-    out, n = [], 0
-    for kid in node.kids:
-        if isinstance(kid, str):
-            continue
-        if kid.tag in ("ul", "ol"):
-            out += _list(kid, depth + 1)
+def _list(top: _Node) -> list[str]:
+    """A line for each item, lists within lists further in; a list straight below a list counts as one within it."""
+    out: list[str] = []
+    open_ = [(top, 0, iter(top.kids), [0])]
+    while open_:
+        node, depth, kids, count = open_[-1]
+        kid = next((k for k in kids if not isinstance(k, str)), None)
+        if kid is None:
+            open_.pop()
+        elif kid.tag in ("ul", "ol"):
+            open_.append((kid, depth + 1, iter(kid.kids), [0]))
         elif kid.tag == "li":
-            n += 1
+            count[0] += 1
             inner = [k for k in kid.kids if not isinstance(k, str) and k.tag in ("ul", "ol")]
             own = "".join(_inline(k) for k in kid.kids if k not in inner)
-            out.append(f"{'  ' * depth}{f'{n}.' if node.tag == 'ol' else '-'} {_squeeze(own)}")
-            for k in inner:
-                out += _list(k, depth + 1)
+            out.append(f"{'  ' * depth}{f'{count[0]}.' if node.tag == 'ol' else '-'} {_squeeze(own)}")
+            open_ += [(k, depth + 1, iter(k.kids), [0]) for k in reversed(inner)]
     return out
 
 
@@ -114,13 +122,14 @@ def to_blocks(html: str) -> str:
             out.append(text)
         held.clear()
 
-    def walk(node) -> None:
-        if isinstance(node, str):
+    waiting: list = list(reversed(tree.top.kids))
+    while waiting:
+        node = waiting.pop()
+        if node is None:  # the end of a breaking element
+            flush()
+        elif isinstance(node, str):
             held.append(re.sub(r"\s+", " ", node))
-            return
-        if node.tag in SKIPPED:
-            return
-        if node.tag == "br":
+        elif node.tag == "br":
             held.append("\n")
         elif re.fullmatch("h[1-6]", node.tag):
             flush()
@@ -138,16 +147,11 @@ def to_blocks(html: str) -> str:
         elif node.tag in ("ul", "ol"):
             flush()
             out.extend(t for t in ["\n".join(_list(node))] if t)
-        else:
-            if node.tag in BREAKING:
+        elif node.tag not in SKIPPED:
+            breaks = node.tag in BREAKING
+            if breaks:
                 flush()
-            for kid in node.kids:
-                walk(kid)
-            if node.tag in BREAKING:
-                flush()
-
-    for kid in tree.top.kids:
-        walk(kid)
+            waiting += [None] * breaks + node.kids[::-1]
     flush()
     return "\n\n".join(out)
 

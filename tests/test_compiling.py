@@ -92,6 +92,53 @@ def test_bounds(spark, paths):
         compiling.compile_documents(spark, paths, Calls(provider()), config.Config(most_tokens=3))
 
 
+def test_failing_provider(spark, paths):
+    from quillgate.plans.questions import ProviderError, Scripted
+
+    calls = Calls(Scripted(by_role={"outline": ProviderError("rate_limit", "slow down")}))
+    with pytest.raises(compiling.CompileError) as e:
+        compiling.compile_documents(spark, paths, calls, PLAIN)
+    assert (e.value.kind, e.value.retryable, e.value.calls) == ("rate_limit", True, 1)
+    text = reports.compile_failure(e.value)
+    assert "rate_limit; may work if repeated" in text and "slow down" in text and "1 calls" in text
+    assert reports.compile_failure(compiling.CompileError("sources", "x")) == "Not compiled: sources: x"
+
+
+def test_calls_are_counted_and_kept(spark):
+    class Blank:
+        def complete(self, role, prompt):
+            return " " if role == "blank" else "four" * 4
+
+    calls = Calls(Blank(), most=3)
+    rows = spark.createDataFrame([("1", "blank", "p" * 8), ("2", "told", "p" * 8)], "request_id string, role string, prompt string")
+    got = {r.request_id: (r.answer, r.kind, r.retryable) for r in calls.answer(rows).collect()}
+    assert got == {"1": (None, "bad_response", True), "2": ("four" * 4, None, None)}
+    assert calls.made == 2 and calls.tokens == 2 + 2 + 4 and calls.log().count() == 2
+
+
+def test_commands(spark, paths, tmp_path, capsys, monkeypatch):
+    import sys
+
+    from quillgate.__main__ import main
+
+    monkeypatch.setitem(sys.modules, "told_provider", type(sys)("told_provider"))
+    sys.modules["told_provider"].make = lambda config: provider()
+    monkeypatch.setenv("QA_PER_SECTION", "1")
+    out = str(tmp_path / "made")
+    ask = ["--provider", "told_provider:make", "--env-file", str(tmp_path / "none")]
+    assert main(["compile", *paths, "--out", out, *ask]) == 0 and "Compiled:" in capsys.readouterr().out
+    assert main(["report", out]) == 0 and main(["validate", out]) == 0 and "PASSED" in capsys.readouterr().out
+    sys.modules["told_provider"].make = lambda config: provider(grade="no")
+    assert main(["eval", out, "--source", *paths, *ask]) == 1 and "FAILED" in capsys.readouterr().out
+    assert main(["compile", str(tmp_path / "nowhere"), "--out", out, *ask]) == 1
+
+
+def test_env_file(tmp_path):
+    (tmp_path / ".env").write_text("# note\nGATE_THRESHOLD=0.8\nexport MODEL='m 1'\nANTHROPIC_API_KEY=secret\nBAD\n")
+    got = config.load({"GATE_THRESHOLD": "0.7", "MODEL": " "}, str(tmp_path / ".env"))
+    assert (got.threshold, got.model, got.key) == (0.7, "m 1", "secret") and "secret" not in repr(got)
+
+
 def test_paths():
     assert bundle.relative_path("a/./b.md") == "a/b.md"
     for bad in ("", "..", "../a", "/a", "a/../../b", "C:\\a", "."):

@@ -8,6 +8,10 @@ def test_frontmatter(spark):
     assert M.frontmatter(head + "\nbody") | {"unknown": []} == {"problem": None, "detail": None, "name": "a-b", "description": 'Guide: "Setup"', "body": "body", "unknown": []}
     problems = ["no block", "---\na: [\n---\n", "---\n- a\n---\n", "---\nname: x\n---\n", "---\nname: 1\ndescription: y\n---\n"]
     assert [M.frontmatter(p)["problem"] for p in problems] == ["missing_block", "syntax", "not_a_map", "missing_field", "invalid_field"]
+    block = lambda name, text, *more: M.frontmatter("\n".join(["---", f"name: {name}", f"description: {text}", *more, "---", "rest"]))
+    assert block("a-b", "x", "license: MIT", "allowed-tools: all", "metadata: {a: 1}", "compatibility: any")["unknown"] == [] and block("a", "x")["body"] == "rest"
+    assert [block(*x)["problem"] for x in (("A", "x"), ("a--b", "x"), ("a" * 65, "x"), ("a", "' '"), ("a", "y" * 1025), ("a", '"\\x07"'))] == ["invalid_field"] * 6
+    assert block("a", "🐝" * 512)["problem"] is None and block("a", "🐝" * 513)["problem"] == "invalid_field"
     files = spark.createDataFrame([("SKILL.md", "---\nname: a\ndescription: b\nextra: c\n---\n")], "path string, content string")
     assert [(r.severity, r.message) for r in M.frontmatter_issues(files).collect()] == [("warning", "unknown field extra")]
     assert [r.code for r in M.frontmatter_issues(files.limit(0)).collect()] == ["missing_frontmatter"]
@@ -23,3 +27,14 @@ def test_manifest(spark):
     }
     assert {r.chapter_file: r.section_ids for r in M.chapters_of(sections).collect()}["a.md"] == ["s0", "s1"]
     assert (M.gate_call_bound(4, 3), M.evaluation_call_bound(12), M.compile_call_bound(2, 4, 3)) == (44, 36, 47)
+
+
+def test_manifest_shape():
+    from quillgate.sinks import bundle
+
+    fine = {"version": 1, "createdAt": "x", "sourceFiles": [], "sections": [], "outputs": ["a"], "outputHashes": [{"path": "a", "sha256": "b"}], "goldenQa": [], "gate": {"skipped": True}}
+    assert bundle.manifest_faults(fine) == [] and bundle.manifest_faults([]) == ["manifest: must be an object"]
+    bad = fine | {"version": True, "outputs": [1, "a"], "outputHashes": [{"path": "a"}], "gate": {"passRate": "1"}}
+    found = bundle.manifest_faults(bad)
+    assert found[:4] == ["version: must be a whole number", "outputs.0: must be text", "outputHashes.0.sha256: is missing", "gate.passRate: must be a number"]
+    assert bundle.told(found).endswith(f"; +{len(found) - 5} more") and bundle.told(found[:2]) == "; ".join(found[:2])
