@@ -3,7 +3,7 @@
 A run is a table of (key, n): in how many documents of its batches a line's 128-bit hash was seen. It is dealt by key into a store's buckets, one
 file each, sorted by key, so that a batch dealt and sorted alike meets the runs in sort-merge anti-joins that neither move nor sort
 a run: keys that are closed already (their count has reached the threshold in some run) go, and the rest becomes a run of level 0. `fanout` runs of a level
-are merged into one of the next, counts summed, again without moving them. Which runs there are stands in the store's folder, so a later
+are merged into one of the next, counts summed, which deals their keys anew. Which runs there are stands in the store's folder, so a later
 session opens it and goes on. At no time does a task hold more than a bounded buffer of keys.
 """
 
@@ -128,11 +128,10 @@ class LineRuns:
         return dealt
 
     def merged(self, runs: list[str]) -> DataFrame:
-        """(key, n) of several runs, counts summed bucket by bucket: a union of tables dealt alike is dealt like them."""
-        out = self._read(runs[0])
-        for run in runs[1:]:
-            out = out.unionByName(self._read(run))
-        return out.groupBy("key").agg(F.sum("n").alias("n"))
+        """(key, n) of several runs, counts summed, dealt and sorted as runs are. Runs are read as plain files here, so the deal is made anew: a
+        union of bucketed tables counts as dealt by key but does not bring their buckets together."""
+        out = self.spark.read.schema("key binary, n long").parquet(*[f"{self.folder}/{run}" for run in runs])
+        return out.repartition(self.buckets, "key").groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key")
 
     def add(self, counts: DataFrame) -> None:
         """One batch of (key, n)."""
@@ -140,7 +139,7 @@ class LineRuns:
         level, old = 0, []
         while len(self.levels.get(level, [])) >= self.fanout:
             old += (runs := self.levels.pop(level))
-            self._write(self.merged(runs).sortWithinPartitions("key"), level + 1)
+            self._write(self.merged(runs), level + 1)
             level += 1
         self._save()
         self._forget(old)

@@ -68,15 +68,35 @@ def test_token_files(spark, rows):
     hard = [(400, "Don't “stop” <|endoftext|> É… x's, 12.5!", None, None)]
     folder, manifest = token_files.write_token_files(docs(spark, rows + hard), path, 1)
     got = token_files.read_token_files(spark, folder, manifest).orderBy("start").collect()
-    tokenizer, start = Tokenizer.from_file(path), 0
-    for r, (i, t, *_) in zip(got, sorted(rows + hard, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), strict=True):
+    tokenizer, start, want = Tokenizer.from_file(path), 0, []
+    for i, t, *_ in rows + hard:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
-        assert tuple(r) == (i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
-        start += len(ids)
+        want.append((i, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=repr) == sorted(want, key=repr)
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda i: (i is not None, i or 0))
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
     folder, manifest = token_files.write_token_files(empty(spark), path, 1)
     assert manifest == [] and token_files.read_token_files(spark, folder, manifest).count() == 0
 
 
+def test_token_files_of_a_tokenizer_that_keeps_spaces(spark):
+    """Ids of words one by one would be wrong here; also rows without doc_id, of which many are alike, and clashing columns."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    assert not token_files.Encoder.of(path).splits and token_files.Encoder.of(public_tokenizers.path("word_bpe_49k.json")).splits
+    texts = ["a  b\n c", " lead", "x" * 50_000 + " end", None] + ["same text"] * 300 + [f"other {i}" for i in range(50)]
+    table = spark.createDataFrame([(None, t, b"x", 1) for t in texts], "doc_id long, text string, ids binary, tie long")
+    folder, manifest = token_files.write_token_files(table, path, 1)
+    got = token_files.read_token_files(spark, folder, manifest).collect()
+    want = [zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)) for t in texts for ids in [tokenizer.encode(t or "", add_special_tokens=False).ids + [1]]]
+    assert sorted(r.ids_crc32 for r in got) == sorted(want) and {r.doc_id for r in got} == {None}
+
+
 @pytest.mark.parametrize("width", [1, 5, 16, 17, 31])
 def test_packing(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 1000).astype(np.uint32)
@@ -84,20 +104,73 @@ def test_packing(width):
     assert len(packed) == 16 * width and (token_files.unpack(packed, width, 1000) == ids).all()
 
 
-def test_viterbi_is_optimal():
-    r = np.random.default_rng(3)
-    lengths = np.array([5, 1, 7, 3])
-    scores = r.normal(size=(16, 3)).astype(np.float32) * 3
-    labels, at = language.best_paths(scores, lengths, 2.0), 0
+@pytest.mark.parametrize("piece", [3, 64, language.PIECE])
+def test_viterbi_is_optimal(monkeypatch, piece):
+    """Unbroken best paths, however sequences are cut into pieces; against all paths, and one long walk for long sequences."""
     from itertools import product
 
+    monkeypatch.setattr(language, "PIECE", piece)
+    r = np.random.default_rng(3)
+    lengths = np.array([5, 0, 1, 7, 3, 3000, 700])
+    table = r.normal(size=(200, 3)).astype(np.float32) * 3
+    codes = r.integers(0, 200, lengths.sum()).astype(np.int32)
+    labels, at = language.best_paths(table, codes, lengths, 2.0), 0
     worth = lambda s, p: sum(s[i, k] for i, k in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:]))
     for n in lengths:
-        own = scores[at : at + n]
-        assert worth(own, labels[at : at + n]) == pytest.approx(max(worth(own, p) for p in product(range(3), repeat=int(n))), abs=1e-4)
+        own = table[codes[at : at + n]].astype(float)
+        if 0 < n < 8:
+            best = max(worth(own, p) for p in product(range(3), repeat=int(n)))
+        elif n:
+            value = own[0]
+            for x in own[1:]:
+                value = np.maximum(value, value.max() - 2.0) + x
+            best = value.max()
+        if n:
+            assert worth(own, labels[at : at + n].tolist()) == pytest.approx(best, abs=1e-3)
         at += n
 
 
+def test_language_spans(spark):
+    """Spans of a text in two languages and a script nobody learned; an unbroken text of 40,000 words; ties; repeated rows."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.train(table)
+    one, two = "the with and that this from have they " * 6, "und der die nicht das ist mit sich auch " * 6
+    n, m = len(one.split()), len(two.split())
+    long = one * 400 + two * 400
+    found = language.identify(docs(spark, [(1, f"{one} {two} Ωμέγα άλφα", None, None), (2, long, None, None), (2, long, None, None), (3, "", None, None), (4, None, None, None)]), model, spans=True).collect()
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in found}
+    assert got[1] == [("en", 0, n), ("de", n, n + m), ("und", n + m, n + m + 2)] and got[2] == [("en", 0, 400 * n), ("de", 400 * n, 400 * (n + m))]
+    assert got[3] == got[4] == [] and sum(r.doc_id == 2 for r in found) == 2
+    letters = lambda t: sum(c.isalpha() for c in t)
+    want = max(letters(one), letters(two)) / letters(one + two)
+    assert [r.score for r in found if r.doc_id == 2] == pytest.approx([want, want])
+    # of languages with equal shares the first by code point is named
+    even = language.Model(["b", "a"][::-1], np.ones((2, language.BUCKETS)), np.ones((2, len(language.SCRIPT_NAMES))))
+    assert {(r.lang_pred, r.score) for r in language.identify(docs(spark, [(1, "x y", None, None)]), even).collect()} == {("a", 1.0)}
+
+
+def test_language_features():
+    """n-grams and whole words hash alike wherever a word stands, and differ between words."""
+    import pyarrow as pa
+
+    words = ["a", "ab", "übung", "ab" * 40, "漢字", "b"]
+    together = [[b[lo:hi].tolist() for lo, hi in zip(e[:-1], e[1:])] for b, e in language.features(pa.array(words))]
+    for i, w in enumerate(words):
+        assert [x[i] for x in together] == [b.tolist() for b, _ in language.features(pa.array([w]))]
+        assert [len(x[i]) for x in together] == [len(w) + 1, len(w), max(0, len(w) - 1), 1]
+    assert len({x[0] for x in together[3]}) == len(words)
+    codes, ends, distinct = language.text_words(pa.array(["It's  é1x", None, "12 !", "IT é", ""]))
+    assert distinct.to_pylist() == ["it", "s", "é", "x"] and codes.tolist() == [0, 1, 2, 3, 0, 2] and ends.tolist() == [0, 4, 4, 4, 6, 6]
+
+
+def test_language_sample_is_bounded(spark):
+    """At most max_documents distinct rows are fitted, also where one row without doc_id is most of the table."""
+    rows = [(None, "same words here", "en", "a")] * 400 + [(None, f"word{i}", "en", "a") for i in range(100)]
+    whole, part = (language.train(docs(spark, rows), n) for n in (1000, 10))
+    assert whole.langs == part.langs == ["en"] and not np.array_equal(whole.log_p, part.log_p)
+    assert language.identify(docs(spark, rows), part).where("lang_pred = 'en'").count() == 500
+
+
 def test_language(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.train(table)
@@ -153,6 +226,23 @@ def test_signatures_meet():
             assert len(np.intersect1d(jaccard.signatures(a, frequent), jaccard.signatures(b, frequent)))
 
 
+def test_near_duplicates_where_names_clash(spark, rows):
+    """With two bits for a set's first name nearly all clash, and the second tells them apart."""
+    table = docs(spark, rows)
+    assert sorted(map(tuple, jaccard.near_duplicates(table, bits=2).collect()), key=repr) == sorted(map(tuple, jaccard.near_duplicates(table).collect()), key=repr)
+
+
+def test_one_of_each_with_several_texts_of_a_doc_id(spark, monkeypatch):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    given = [(2, a), (9, a.replace("a39", "x")), (9, b), (9, b.replace("b39", "y")), (12, c), (12, c), (13, ""), (13, None), (None, a), (None, a)]
+    table = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(given)], "doc_id long, text string, _doc long")
+    for most in (300_000, 0):
+        monkeypatch.setattr(jaccard, "BROADCAST_IDS", most)
+        got = [tuple(r) for r in jaccard.one_of_each(table).collect()]
+        assert sorted(k for *_, k in got if k not in (2, 3)) == [0, 4, 6, 7, 8, 9] and len([k for *_, k in got if k in (2, 3)]) == 1
+    assert jaccard.one_of_each(table.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 700])
 def test_packed_signatures(n):
     r = np.random.default_rng(n)
@@ -240,8 +330,8 @@ def test_sharding(spark, rows):
 
 def test_mixing(spark, rows):
     got = mixing.mixed(docs(spark, rows)).collect()
-    again = sorted(map(repr, mixing.mixed(docs(spark, rows)).collect()))
-    assert sorted(map(repr, got)) == again and all(0 <= r.taken <= 3 * r.size for r in got)
+    again = sorted(map(repr, mixing.mixed(docs(spark, rows).repartition(5)).collect()))
+    assert sorted(map(repr, got)) == again and all(0 <= r.taken <= 3 * r.size for r in got) and len(got) == len(rows)
     sizes = {}
     for i, t, _, s in rows:
         sizes[s] = sizes.get(s, 0) + len(words_of(t))
@@ -252,12 +342,60 @@ def test_mixing(spark, rows):
         taken = sum(r.taken for r in got if r.source_size == n and r.target == targets[s])
         assert abs(taken - targets[s]) <= 3
     assert mixing.source_targets({"a": 10, "b": 100}) == {"a": 30.0, "b": 80.0}
-    assert mixing.mixed(empty(spark)).count() == 0
-    made = mixing.mixed_documents(docs(spark, rows)).collect()
-    assert sum(len(words_of(r.text)) for r in made) == sum(r.taken for r in got)
-
-
-def test_exact_dedup(spark, rows):
+    assert mixing.mixed(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
+    made = mixing.mixed_documents(docs(spark, rows), blocks=200).collect()
+    assert sum(len(words_of(r.text)) for r in made) == sum(r.taken for r in mixing.mixed(docs(spark, rows), blocks=200).collect())
+
+
+def test_apportionment_by_brute_force():
+    """Seats one by one to the highest quotient, and quotas of (source, shard) that the blocks' takers keep exactly."""
+    r = random.Random(6)
+    for _ in range(40):
+        names = ["a", "b", "c", None][: r.randint(1, 4)]
+        targets, most = {s: r.random() * 100 for s in names}, {s: r.randint(0, 40) for s in names}
+        seats, shards = r.randint(0, 80), r.randint(1, 5)
+        want = {s: [0] * shards for s in names}
+        for t in range(seats):
+            open_ = [s for s in names if sum(want[s]) < most[s]]
+            if open_:
+                best = max(open_, key=lambda s: (targets[s] / (2 * sum(want[s]) + 1), -names.index(s)))
+                want[best][t % shards] += 1
+        got = mixing.apportion(targets, most, seats, shards)
+        assert got == want
+        for s in names:
+            n = r.randint(1, 15)
+            takers = mixing.block_takers(n, got[s], s, 17)
+            assert [sum(x.count(k) for x in takers) for k in range(shards)] == got[s]
+            assert max(map(len, takers)) - min(map(len, takers)) <= 1 and takers == mixing.block_takers(n, got[s], s, 17)
+
+
+def test_mix_keeps_lines_copies_and_shards(spark):
+    """Cut documents keep their white space; rows alike in all columns and rows without doc_id are spread; against the places of `mixed`."""
+    text = lambda k: "\n".join(f"w{k}-{i} x\ty  z" for i in range(30))
+    given = [(k, text(k), None, "a") for k in range(20)] + [(None, text(99), None, "b")] * 9 + [(50, text(50), None, "b")] * 2 + [(60, "", None, "b"), (61, None, None, None)]
+    table = docs(spark, given)
+    parts = mixing.mixed(table, blocks=100).collect()
+    made = mixing.mixed_documents(table, blocks=100, shard_column="mix_shard").collect()
+    want, shards = [], [0] * 8
+    for p in parts:
+        words = re.findall(r"\S+\s*", text(99 if p.doc_id is None else p.doc_id)) if p.size else []
+        for x in p.pieces or []:
+            for k in x.shards:
+                shards[k] += x.end - x.first
+        for copy in range(max((len(x.shards) for x in p.pieces or []), default=0)):
+            own = [x for x in p.pieces if len(x.shards) > copy]
+            want.append((p.doc_id, "".join("".join(words[x.first : x.end]) for x in own).rstrip(), own[0].shards[copy]))
+    assert sorted(((r.doc_id, r.text, r.mix_shard) for r in made), key=repr) == sorted(want, key=repr)
+    assert {r.sig for r in made} == {"x"} and all(r.n_chars == len(r.text) for r in made) and max(shards) - min(shards) <= 3 * max(1, sum(p.size for p in parts) // 100 + 1)
+    few = mixing.COPIES
+    try:
+        mixing.COPIES = 2  # copies of a row made by several tasks
+        assert sorted(map(repr, mixing.mixed(table, blocks=100).collect())) == sorted(map(repr, parts))
+    finally:
+        mixing.COPIES = few
+
+
+def test_exact_dedup(spark, rows, monkeypatch):
     groups = {}
     for i, t, *_ in rows:
         groups.setdefault(re.sub(SPACE, "", t or ""), []).append((i, len(t or "")))
@@ -265,10 +403,56 @@ def test_exact_dedup(spark, rows):
     for text, members in groups.items():
         keep = min(members, key=lambda m: (-m[1], m[0] is None, m[0] or 0))[0]
         want += [(i, keep, len(members), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i, _ in members]
-    assert sorted(map(tuple, exact_dedup.deduplicate(docs(spark, rows)).collect()), key=repr) == sorted(want, key=repr)
+    for most in (exact_dedup.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", most)
+        assert sorted(map(tuple, exact_dedup.deduplicate(docs(spark, rows)).collect()), key=repr) == sorted(want, key=repr)
     assert exact_dedup.deduplicate(empty(spark)).count() == 0
 
 
+def test_exact_dedup_without_ids(spark):
+    """Where a row without doc_id is the longest of its group, it alone stays, also among equals."""
+    given = [(1, "ab"), (None, "a  b"), (None, "a b"), (None, "x y"), (None, "x y"), (7, "pq"), (None, "pq"), (8, "lone"), (None, "alone")]
+    got = exact_dedup.deduplicate(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=repr) == sorted(
+        [(1, None, 3, False), (None, None, 3, True), (None, None, 3, False), (None, None, 2, True), (None, None, 2, False), (7, 7, 2, True), (None, 7, 2, False), (8, 8, 1, True), (None, None, 1, True)], key=repr
+    )
+
+
+@pytest.mark.parametrize("least", [0.8, 0.55, 1.0])
+def test_licenses_against_all_units(spark, least):
+    """Units of changed, cut and joined notices, with repeats, null ids and a clashing column, against brute force without any filter."""
+    r = random.Random(9)
+    notices = [t for texts in licenses.TEMPLATES.values() for t in texts]
+    rows = []
+    for i in range(150):
+        lines = []
+        for _ in range(r.randint(1, 5)):
+            words = r.choice(notices).split()
+            for _ in range(r.choice([0, 1, 3, 8])):
+                words[r.randrange(len(words))] = r.choice(["word", "the", "license", "MIT"])
+            words = words[: r.randint(1, len(words))] if r.random() < 0.3 else words
+            lines += [" ".join(words), ""] if r.random() < 0.5 else ["  " + " ".join(words[:6]).upper(), "\t".join(words[6:])]
+        rows.append((i if i % 10 else None, "\n".join(lines), None, None))
+    rows += rows[:5]
+    want = []
+    for doc, text, *_ in rows:
+        lines = [licenses.normal_words(x) for x in text.split("\n")]
+        units, lo = [("line", i, i + 1, x) for i, x in enumerate(lines) if x], 0
+        for i in range(len(lines) + 1):
+            if i == len(lines) or not lines[i]:
+                if i - lo > 1:
+                    units.append(("paragraph", lo, i, sum(lines[lo:i], [])))
+                lo = i + 1
+        for unit, a, b, words in units:
+            own = set(licenses.bigrams(words))
+            scores = [(-2.0 * len(own & set(t)) / (len(own) + len(t)), n) for n, _, t in licenses.template_rows()]
+            best = min((s for s in scores if s[0] <= -least), default=None)
+            if best:
+                want.append((doc, unit, a, b, best[1], -best[0]))
+    got = licenses.scan(docs(spark, rows), least).collect()
+    assert want and sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_licenses(spark):
     text = "x\nReleased under the MIT licence.\n\n" + licenses.TEMPLATES["ISC"][0].replace("fee is", "fee\nis") + "\n\nend"
     got = licenses.scan(docs(spark, [(1, text, None, None), (2, None, None, None), (3, "", None, None), (4, "Released under the MIT License.", None, None), (5, "plain words of a text", None, None)])).collect()
@@ -297,6 +481,68 @@ def test_line_dedup(spark, rows, small, monkeypatch):
     assert line_dedup.deduplicate_lines(empty(spark)).count() == 0
 
 
+def test_line_runs_in_a_later_session(spark, tmp_path):
+    """Batches into a store that is opened again by another session, against counting; joins neither move nor sort the runs."""
+    from quillgate.llm.shared import Scratch
+
+    r = random.Random(4)
+    batches = [[(f"line {min(r.randrange(60), r.randrange(60))}\nalways" if r.random() < 0.9 else None,) for _ in range(40)] for _ in range(7)]
+    counts: dict[str, int] = {}
+    session, folder = spark, f"file:{tmp_path}/store"
+    for at, batch in enumerate(batches):
+        for (t,) in batch:
+            for line in set((t or "").split("\n")) - {""}:
+                counts[line] = counts.get(line, 0) + 1
+        runs = line_dedup.LineRuns.open(session, folder) if at else line_dedup.LineRuns(session, 10, 3, folder, buckets=4)
+        table = line_dedup.line_counts(session.createDataFrame(batch, "text string"))
+        if at == 5:
+            plan = runs.fresh(table)._jdf.queryExecution().executedPlan().toString()
+            merges, scans = plan.count("SortMergeJoin"), plan.count("FileScan parquet spark_catalog")
+            assert merges == scans == len(runs.runs()) and "LeftAnti" in plan and plan.count("Exchange hashpartitioning(key") <= 2
+            assert plan.count("Sort [") <= 2  # the batch's own, before the joins and after its counts; none of a run
+        runs.add(table)
+        want = {hashlib.md5(x.encode()).digest() for x, n in counts.items() if n >= 10}
+        assert {bytes(x.key) for x in runs.frequent().collect()} == want
+        assert all(x["count"] == 1 for run in runs.runs() for x in runs._read(run).groupBy("key").count().collect())  # compaction sums
+        runs.close()
+        session = session.newSession()
+    assert max(runs.levels) >= 1 and len(runs.runs()) <= 4
+    with Scratch(spark) as scratch:
+        line_dedup.deduplicate_lines(spark.createDataFrame([("a",)], "text string"))
+    assert scratch.made
+
+
+def test_events_by_brute_force(spark):
+    """Random logs of messages, deltas, edits and regenerations with ties, nulls, repeated rows, long texts and clashing columns."""
+    r = random.Random(12)
+    log = []
+    for conv in [1, 2, 3, None]:
+        for _ in range(60):
+            event = r.choice(["message", "delta", "delta", "edit", "regenerate", None])
+            log.append((conv, r.choice([None, *range(25)]), event, r.choice([1, 2, 3, None]), r.choice(["user", "assistant", None]), r.choice([None, "", "<a&b>", "x" * r.randint(1, 9), "long " * 3000])))
+    log += log[:20]
+    want = {}
+    for key in {(c, m) for c, _, _, m, _, _ in log}:
+        own = sorted((s or 0, e or "message", t or "") for c, s, e, m, _, t in log if (c, m) == key)
+        last = max((x for x in own if x[1] != "delta"), default=None)
+        want[key] = "".join(t for s, e, t in own if last is None or (s, e, t) >= last)
+    events = spark.createDataFrame([(*x, "k", "k") for x in log], "conv_id long, seq long, event string, message long, role string, text string, turns string, `from` string")
+    got = chat.fold_events(events).collect()
+    assert {(x.conv_id, x.message): x.text for x in got} == want and len(got) == len(want)
+    for x in got:
+        said = [(s or 0, q) for c, s, _, m, q, _ in log if (c, m) == (x.conv_id, x.message) and q is not None]
+        assert x.role in ({q for s, q in said if s == max(said)[0]} or {""})
+
+
+def test_chat_of_odd_conversations(spark):
+    """Null turns first, repeated rows as turns of their own, null conv_id and role, a long text, extra columns with clashing names."""
+    rows = [(1, None, "user", "first"), (1, 2, None, None), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (None, 0, "assistant", "y" * 200_000), (2, 0, "assistant", "")]
+    table = spark.createDataFrame([(*x, "z", "z", 5) for x in rows], "conv_id long, turn long, role string, text string, formatted string, event string, seq int")
+    got = {x.conv_id: x for x in chat.read_back(chat.format_conversations(table)).collect()}
+    assert [tuple(t) for t in got[1].turns] == [("user", "first"), ("assistant", "b"), ("assistant", "b"), ("", "")] and got[1].learned == ["b", "b"]
+    assert got[None].learned == ["y" * 200_000] and got[2].learned == [""] and len(got) == 3
+
+
 def test_chat(spark):
     hard = "\\### <turn> & &lt; </turn>\n ok"
     log = [(1, 1, "message", 1, "user", "hi"), (1, 2, "message", 2, "assistant", "draft"), (1, 3, "delta", 2, None, " more"), (1, 4, "regenerate", 2, None, None), (1, 5, "delta", 2, None, hard), (1, 6, "delta", 2, None, "!"), (1, 7, "edit", 1, "user", "hello"), (None, None, None, None, None, None)]
@@ -360,6 +606,41 @@ def test_stage_keeps_documents_without_id(spark):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_sharding_by_brute_force(spark):
+    """Sizes, checksums and law of every row; shard sizes near equal at the shipped slack; and how much a ninth shard moves."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in table.collect()}
+    eight, nine = ({r.doc_id: r for r in sharding.shard_rows(table, n).collect()} for n in (8, 9))
+    assert set(eight) == set(texts)
+    for i, t in texts.items():
+        raw = t.encode()
+        assert (eight[i].size, eight[i].text_crc32, eight[i].law) == (len(raw) + 1, zlib.crc32(raw), "bytes")
+    total, largest = sum(r.size for r in eight.values()), max(r.size for r in eight.values())
+    for found, n in ((eight, 8), (nine, 9)):
+        loads = [sum(r.size for r in found.values() if r.shard == s) for s in range(n)]
+        assert sum(loads) == total and max(loads) <= total / n * 1.0005 + largest
+    # the ring itself, with many small slots: a ninth shard takes its ninth and moves little else
+    r = random.Random(3)
+    loads = {i: r.randint(900, 1100) for i in range(sharding.SLOTS)}
+    before, after = sharding.walk(loads, 8), sharding.walk(loads, 9)
+    for walked, n in ((before, 8), (after, 9)):
+        held = [0] * n
+        for slot, shard in walked.items():
+            held[shard] += loads[slot]
+        assert max(held) <= sum(held) / n * 1.0005 + 1100 and min(held) >= sum(held) / n * 0.99
+    assert sum(before[i] != after[i] for i in loads) < 0.25 * len(loads)
+
+
+def test_sharding_of_odd_rows(spark):
+    """Ties, repeated rows, nulls, a very long text, and columns that clash with inner names."""
+    given = [(1, "a"), (1, "a"), (1, "b"), (None, None), (None, ""), (2, "é" * 300_000), (3, None)]
+    table = spark.createDataFrame([(i, t, 7, "s") for i, t in given], "doc_id long, text string, size long, shard string")
+    got = sharding.shard_rows(table).collect()
+    want = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in given]
+    assert sorted(((r.doc_id, r.size, r.text_crc32) for r in got), key=repr) == sorted(want, key=repr)
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(8) for k in range(sum(r.shard == s for r in got))]
+
+
 def test_sharding_without_ids(spark):
     got = sharding.shard_rows(spark.createDataFrame([(None, f"text {i}") for i in range(400)], "doc_id long, text string")).collect()
     assert len({r.shard for r in got}) == 8 and len({r.ring_slot for r in got}) > 300
@@ -474,3 +755,90 @@ def test_licenses_of_very_long_lines(spark):
     got = licenses.scan(docs(spark, [(1, text, None, None)])).collect()
     assert len(text.split()) > 100_001 and [(r.doc_id, r.unit, r.license) for r in got] == [(1, "line", "MIT")]
     assert got[0].dice == pytest.approx(2 * len(pairs[0] & pairs[1]) / (len(pairs[0]) + len(pairs[1])))
+
+
+def test_leaks_recall_and_precision(spark):
+    """3000 items of 3 to 200 words: every verbatim copy, at least 0.9 of copies with a fifth of the words replaced, and little else."""
+    r = random.Random(21)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(20_000)]
+    say = lambda n: " ".join(vocabulary[min(int(r.paretovariate(0.6)) - 1, 19_999)] if r.random() < 0.1 else r.choice(vocabulary) for _ in range(n))
+    items = [(k, say(r.choice([3, 5, 8, 15, 30, 60, 120, 200]))) for k in range(3000)]
+    said = {k: t.split() for k, t in items}
+    rows, verbatim, changed = [], set(), set()
+    for k, text in r.sample(items, 600):
+        words = list(said[k])
+        if len(rows) % 2 and len(words) >= 15:
+            for i in r.sample(range(len(words) - 5), len(words) // 5):
+                words[i] = r.choice(vocabulary)
+            changed.add((k, k))
+        else:
+            verbatim.add((k, k))
+        rows.append((k, f"{say(r.randint(20, 90))} {' '.join(words)} {say(40)}", "en", "a"))
+    rows += [(5000 + k, say(300), "en", "a") for k in range(100)]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert verbatim <= got and len(changed & got) >= 0.9 * len(changed)
+    # what else is found holds 0.6 of its item's words in order within a passage twice as long
+    text = {k: t.split() for k, t, *_ in rows}
+    for doc, item in got - verbatim - changed:
+        own = said[item]
+        assert decontaminate.lcs_length(own, text[doc]) >= 0.6 * len(own)
+    assert not [d for d, i in got if d >= 5000 and len(said[i]) >= 15]
+
+
+def test_leaks_of_odd_rows(spark, monkeypatch):
+    """Repeated rows, null ids, equal items, a very long text and clashing columns; the same from several blocks of items."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    say = lambda n: " ".join(word() for _ in range(n))
+    items = [(1, say(20)), (2, say(20)), (3, say(9))]
+    items.append((4, items[0][1]))
+    given = [(10, f"{say(30)} {items[0][1]}"), (10, f"{say(30)} {items[0][1]}"), (None, items[1][1]), (11, f"{say(60_000)} {items[2][1]} {say(10)}"), (12, say(50)), (12, say(50)), (None, None), (13, "")]
+    table = spark.createDataFrame([(i, t, 1, "x") for i, t in given], "doc_id long, text string, item_id int, cosine string")
+    bench = spark.createDataFrame([(i, t, 0.0) for i, t in items], "item_id long, text string, doc_id double")
+    want = sorted([(10, 1), (10, 4), (10, 1), (10, 4), (None, 2), (11, 3)], key=repr)
+    for block, words in ((4000, 500_000), (2, 500_000), (4000, 1)):
+        monkeypatch.setattr(decontaminate, "ITEM_BLOCK", block)
+        monkeypatch.setattr(decontaminate, "ITEM_WORDS", words)
+        found = decontaminate.leaks(table, bench).collect()
+        assert sorted(((x.doc_id, x.item_id) for x in found), key=repr) == want and {x.lcs_share for x in found} == {1.0}
+        left = decontaminate.clean(table, bench)
+        assert left.columns == table.columns and sorted((x.doc_id for x in left.collect()), key=repr) == [12, 12, 13, None]
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    """Every stage on nulls, repeated rows, ties, a very long text and an extra column; then on an empty table."""
+    d = "/root/testdata/sf0.001"
+    kind = spark.read.parquet(f"{d}/documents.parquet").schema
+    plain = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    odd = [(None, None, None, None, None), (None, plain[0][1], None, None, None), (plain[1][0], *plain[1][1:]), (900_001, "", "en", None, 0), (900_002, plain[2][1] * 40, None, "src1", 1), (900_003, "Ωμέγα " * 50, None, "src1", 1)]
+    for name, rows in (("odd", plain + odd), ("empty", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, kind).withColumn("root", F.lit("clash")).write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{d}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+        table = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, folder)
+            assert out.columns == table.columns and (out.count() > 0) == bool(rows)
+        out = corpus_pipeline.run(spark, folder)
+        again = corpus_pipeline.run(spark, folder)
+        assert sorted(map(repr, out.collect())) == sorted(map(repr, again.collect())) and (out.count() > 0) == bool(rows)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["language ID"](spark, spark.read.parquet(f"{tmp_path}/odd/documents.parquet"), d).collect()}
+    assert 900_001 not in kept and 900_003 not in kept and None in kept
+
+
+def test_scratch_removes_what_is_not_kept(spark):
+    import os
+
+    from quillgate.llm.shared import Scratch, shared_folder, stored
+
+    folder = os.path.dirname(shared_folder(spark, "x"))
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    left = lambda: sorted(x[:3] for x in set(os.listdir(folder)) - before)
+    with Scratch(spark) as outer:
+        stored(spark.range(3), "a-a")
+        with Scratch(spark) as inner:
+            stored(spark.range(4), "b-b")
+            kept = inner.keep(spark.range(5), "c-c")
+        assert left() == ["a-a", "c-c"] and kept.count() == 5
+        last = outer.keep(kept, "d-d")
+    assert left() == ["d-d"] and last.count() == 5
