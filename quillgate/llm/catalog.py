@@ -24,8 +24,8 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = language.identify(docs, language.train(docs))
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score")
+    out = language.identify(docs, language.train(docs), spans=True)
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "pieces")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +86,9 @@ def queries() -> dict:
 
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS p FROM documents),
-w AS (SELECT doc_id, p, first_value(doc_id) OVER (PARTITION BY p ORDER BY length(t) DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY p) AS group_size FROM d)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(p) AS text_sha256 FROM w
+w AS (SELECT doc_id, p, first_value(doc_id) OVER (PARTITION BY p ORDER BY length(t) DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY p) AS group_size,
+  row_number() OVER (PARTITION BY p ORDER BY length(t) DESC, doc_id NULLS LAST) AS nth FROM d)
+SELECT doc_id, keep_id, group_size, CASE WHEN keep_id IS NULL THEN nth = 1 ELSE doc_id IS NOT DISTINCT FROM keep_id END AS kept, sha256(p) AS text_sha256 FROM w
 """
 
 OP9_SQL = r"""
@@ -104,9 +105,9 @@ OP10_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
 e AS (SELECT *, 20 + length(replace(replace(role, '&', '&amp;'), '<', '&lt;')) + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) AS n FROM c)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
 
@@ -121,7 +122,7 @@ l AS (SELECT r, doc_id, trim(unnest(a)) AS s, generate_subscripts(a, 1) - 1 AS i
 g AS (SELECT *, sum(CASE WHEN s = '' THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS p FROM l),
 u AS (SELECT r, doc_id, 'line' AS unit, i AS first_line, i + 1 AS end_line, s FROM l WHERE s <> ''
   UNION ALL SELECT r, doc_id, 'paragraph', min(i), max(i) + 1, string_agg(s, ' ' ORDER BY i) FROM g WHERE s <> '' GROUP BY r, doc_id, p HAVING count(*) > 1),
-w AS (SELECT *, string_split_regex(s, ' +') AS x FROM u WHERE length(s) - length(replace(s, ' ', '')) BETWEEN 1 AND 100000),
+w AS (SELECT *, string_split_regex(s, ' +') AS x FROM u WHERE length(s) > length(replace(s, ' ', ''))),
 v AS (SELECT r, doc_id, unit, first_line, end_line, list_distinct(list_transform(list_zip(x[:-2], x[2:]), lambda y: y[1] || ' ' || y[2])) AS b FROM w WHERE len(x) >= 2),
 m AS (SELECT r, doc_id, unit, first_line, end_line, license, 2.0::DOUBLE * len(list_intersect(v.b, t.b)) / (len(v.b) + len(t.b)) AS dice
   FROM v JOIN t ON len(t.b) * {least} <= len(v.b) * {2 - least} AND len(v.b) * {least} <= len(t.b) * {2 - least})

@@ -86,7 +86,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     """
     rows = conversations.select(
         column(conversations, "conv_id", "bigint").alias("conv_id"), column(conversations, "turn", "bigint").alias("seq"), F.lit("message").alias("event"),
-        column(conversations, "role", "string").alias("role"), column(conversations, "text", "string").alias("text"),
+        F.coalesce(column(conversations, "role", "string"), F.lit("")).alias("role"), F.coalesce(column(conversations, "text", "string"), F.lit("")).alias("text"),
     )
     order = Window.partitionBy("conv_id").orderBy("seq", "role", "text")
     return render(fold_events(rows.withColumn("message", F.row_number().over(order))))

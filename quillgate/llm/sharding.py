@@ -59,7 +59,8 @@ def shard_rows(docs: DataFrame, shards: int = 8, vnodes: int = 128, slack: float
 
     size is the text's UTF-8 bytes (null: none) plus 1; the law is `bytes`: sizes near equal. slot counts a shard's
     rows from 0 without gaps, by ring slot, then doc_id (nulls first), size and text_crc32. A row without doc_id is placed
-    by its size and text_crc32, so that many of them do not meet in one ring slot. Repeated rows stay apart by their slot. An empty table gives an empty result. Other columns are ignored.
+    by its size and text_crc32, so that many of them do not meet in one ring slot. Groups of equal texts are spread like other rows, as one of
+    them may be larger than a shard. Repeated rows stay apart by their slot. An empty table gives an empty result. Other columns are ignored.
     """
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text")).select(
         "doc_id",
