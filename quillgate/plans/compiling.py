@@ -176,7 +176,7 @@ def run_gate(sections: DataFrame, chapter_of: DataFrame, files: DataFrame, calls
         questions = make_questions(sections, calls, config.questions_per_section)
     asked = gate.placed_questions(questions, chapter_of)
     index = files.where("path = 'SKILL.md'").first().content
-    outcomes = evaluate(asked, index, files, calls)
+    outcomes = evaluate(asked, index, files, calls).cache()  # at most some thousand rows, of which five tables are made
     return rules.gate_tables(sections, chapter_of, questions, outcomes, config.questions_per_section, config.threshold), questions
 
 
