@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .shared import column, released, shared_folder
+from .shared import column, filesystem, noted, released, shared_folder, small_batches
 
 BLOCK = 4096
 MAGIC = b"QTOK0001"
@@ -64,13 +65,6 @@ def unpack(words: np.ndarray, width: int, count: int) -> np.ndarray:
     return np.ascontiguousarray(out.T).reshape(-1)[:count]
 
 
-def filesystem(uri: str):
-    """(file system, path) of a folder on any store that Arrow can write."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
-
-
 _MARKS = rb"[!-&(-/:-@\[-`{-~]+(?=[ \t\n\r\x0b\x0c]|\Z)"
 _AFTER_ASCII = re.compile(rb"(?<=[a-z])" + _MARKS)
 _AFTER_LATIN = re.compile(rb"(?<=[a-z\x80-\xbf])" + _MARKS)
@@ -106,9 +100,16 @@ class _Known(dict):
         return ids
 
 
+def _splits_at_spaces(tokenizer) -> bool:
+    """Whether white space parts words and leaves no trace, so that a text's ids are those of its words, one after the other."""
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    words = ["a", "12", "--", "it's", "é", "字"]
+    return all(ids(f"{gap}{x}{gap}{y}{gap}") == ids(x) + ids(y) for gap in (" ", "\t", "\n", "\x0b", "\x0c", "\r", "  ", " \n\t") for x in words for y in words)
+
+
 class Encoder:
-    """Whole texts to ids, word by word: the tokenizer never joins characters across ASCII white space, so each distinct
-    word goes through the library once while it is known."""
+    """Whole texts to ids. Where the tokenizer never joins characters across ASCII white space, each distinct word goes through the
+    library once while it is known; other tokenizers get each text as it is."""
 
     _made: dict[str, "Encoder"] = {}
 
@@ -119,6 +120,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         kinds = json.loads(self.tokenizer.to_str())
+        self.splits = _splits_at_spaces(self.tokenizer)
         self.folds = "Lowercase" in json.dumps(kinds["normalizer"]) and "\\\\p{L}" in json.dumps(kinds["pre_tokenizer"]) and "ByteLevel" in json.dumps(kinds["pre_tokenizer"])
         self.known = _Known(self.tokenizer)
         self.known.letters_only = self.folds
@@ -139,6 +141,9 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.splits:
+            found = [self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts]
+            return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
         ids = self.known.__getitem__
         return [b"".join(map(ids, self.words(t))) for t in texts]
 
@@ -224,15 +229,16 @@ class Reader:
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> tuple[str, list[tuple[str, int, int]]]:
     """Encode docs(doc_id, text, ...) with the tokenizer file at path `tokenizer` and write token files in ascending doc_id
-    order (null first, equal ids by text). Returns (folder, [(file, documents, ids)]), one entry a file.
+    order (null first; equal ids by a hash of their texts). Returns (folder, [(file, documents, ids)]), one entry a file.
 
-    Null and empty texts give a document of the end id alone. An empty table gives no file. Other columns are ignored.
-    A task writes under a name of its own and renames at its end, so a repeated task replaces its file by the same one.
-    The driver gathers one row a file.
+    Null and empty texts give a document of the end id alone. An empty table gives no file. Other columns are ignored. Rows of one
+    doc_id, or of none, are dealt to tasks by their texts; rows alike in both go through one task as a stream. A task writes under a
+    name of its own and renames at its end, so a repeated task replaces its file by the same one. The driver gathers one row a file.
     """
-    folder = folder or shared_folder(docs.sparkSession, "tokens")
-    rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    small_batches(docs.sparkSession)
+    folder = folder or noted(shared_folder(docs.sparkSession, "tokens"))
+    rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches):
         store, root = filesystem(folder)
