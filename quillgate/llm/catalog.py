@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard, language, licenses, line_dedup, mixing, sharding, token_files
+from . import chat, decontaminate, exact_dedup, jaccard, language, licenses, line_dedup, mixing, sharding, spelling, token_files, url_filter, whitening
 from .shared import table
 
 END_ID = 1
@@ -73,6 +73,26 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+# The stated rules.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose id is the last number of its path; that document's label is its URL's: blocked if toxic or of low quality."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    shown = pages.select("url", F.expr(r"try_cast(regexp_extract(url, '/([0-9]+)[^/0-9?#]*(?:/?[?#].*|/?)$', 1) AS bigint)").alias("doc_id"))
+    labelled = shown.join(labels, "doc_id").select("url", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked"))
+    return url_filter.judge(pages, labelled, URL_RULES)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     ops = [op1_token_files, op2_language_id, op3_ngram_jaccard, op4_decontamination, op5_sharding, op6_mixing, op7_exact_dedup, op8_license_scan, op9_line_dedup, op10_chat_format]
+    ops += [op11_embedding_whitening, op12_spelling_variants, op13_url_filter]
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
