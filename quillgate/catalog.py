@@ -48,7 +48,7 @@ def slugify(t):
     return t("part").select("p_partkey", X.slugify(F.col("p_name")).alias("slug"))
 
 
-@query(r"""SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE length(l) BETWEEN 1 AND 80 AND NOT regexp_matches(l, '[.!?:;,。！？：；，、]$') AND NOT regexp_matches(l, '^(\d+[.)]|[-*+•])\s') AND NOT contains(l, '](') AND NOT regexp_matches(l, '^#{1,6}[ \t]+.+')) AS headings
+@query(r"""SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE length(l) BETWEEN 1 AND 80 AND NOT regexp_matches(l, '[.!?:;,。．！？：；、]$') AND NOT regexp_matches(l, '^(\d+[.)]|[-*+•])\s') AND NOT contains(l, '](') AND NOT starts_with(l, '#')) AS headings
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id""")
 def heading_lines(t):
     lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
@@ -76,15 +76,55 @@ s AS (SELECT doc_id, source, unnest([
 
 @query(f"WITH {OUTLINE} SELECT doc_id, x.sec_pos::BIGINT AS sec_pos, x.heading AS heading, x.level AS level, x.text AS text FROM s WHERE x.text <> ''")
 def segment_sections(t):
-    return segment.population(segment.sections(segment.blocks(_outline(t).where("text is not null")))).select("doc_id", "sec_pos", "heading", "level", "text")
+    return segment.population(segment.sections(_outline(t).where("text is not null"))).select("doc_id", "sec_pos", "heading", "level", "text")
 
 
 @query(f"WITH {OUTLINE} SELECT doc_id, x.sec_pos::BIGINT AS sec_pos, x.id AS id FROM s")
 def heading_path_ids(t):
-    found = segment.sections(segment.blocks(_outline(t).where("text is not null")))
+    found = segment.sections(_outline(t).where("text is not null"))
     return segment.heading_ids(found).select("doc_id", "sec_pos", "id")
 
 
+# Lines that meet every rule of blocks: marks of fences of several lengths and kinds, headings in and out of place, white space beyond ASCII.
+HARD_LINES = ["", "Some words go here", " 　", "# Top", "```", "~~~~", "  ## Mid", "    # too far", "#　Wide", "````", "~~~", "        ~~~~", "```` x", "last, words", " ", "#none", "   ~~~~~  ", "终。", "``", "It ends."]
+HARD_SQL = f"""h AS (SELECT [{', '.join(f"'{x}'" for x in HARD_LINES)}] AS lines), d AS (SELECT doc_id, list_transform(range(0, 14), lambda k: lines[((doc_id * 7 + k * k * 13 + k * (doc_id % 11) + length(text)) % {len(HARD_LINES)})::INT + 1]) AS a FROM documents, h WHERE text IS NOT NULL)"""
+
+
+def _hard_texts(t) -> DataFrame:
+    """For every document a text of fourteen of HARD_LINES, which its number and length choose."""
+    at = lambda k: (F.col("doc_id") * 7 + k * k * 13 + k * (F.col("doc_id") % 11) + F.length("text")) % len(HARD_LINES)
+    lines = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(13).cast("bigint")), lambda k: F.get(F.array(*map(F.lit, HARD_LINES)), at(k).cast("int")))
+    return t("documents").where("text is not null").select("doc_id", F.array_join(lines, "\n").alias("text"))
+
+
+@query(rf"""WITH RECURSIVE {HARD_SQL}, w AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(array_to_string(a, chr(10)), '[ \t]+\n', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), '^{{WS}}+|{{WS}}+$', '', 'g'), chr(10)) AS a FROM d),
+l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM w),
+m AS (SELECT *, regexp_extract(line, '^ {{0,3}}(````*|~~~~*)', 1) AS mark, regexp_replace(line, '^{{WS}}+|{{WS}}+$', '', 'g') AS bare FROM l),
+s AS (SELECT doc_id, 0::BIGINT AS i, '' AS fence, 0 AS n, TRUE AS fresh, NULL::INT AS block FROM d UNION ALL
+SELECT s.doc_id, m.i, CASE WHEN s.fence = '' THEN m.mark WHEN m.mark <> '' AND m.mark[1] = s.fence[1] AND length(m.mark) >= length(s.fence) AND m.bare = m.mark THEN '' ELSE s.fence END,
+  CASE WHEN s.fence <> '' THEN s.n WHEN m.mark <> '' OR regexp_matches(m.line, '^ {{0,3}}#{{1,6}}{{WS}}+[^\s\x{{3000}}\x{{A0}}]') THEN s.n + 1 WHEN m.bare <> '' AND s.fresh THEN s.n + 1 ELSE s.n END,
+  CASE WHEN s.fence <> '' OR m.mark <> '' OR m.bare = '' THEN TRUE ELSE regexp_matches(m.line, '^ {{0,3}}#{{1,6}}{{WS}}+[^\s\x{{3000}}\x{{A0}}]') END,
+  CASE WHEN s.fence = '' AND m.mark = '' AND m.bare = '' THEN NULL ELSE 1 END FROM s JOIN m ON m.doc_id = s.doc_id AND m.i = s.i + 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n)::INT - 1 AS block_pos, block FROM (
+SELECT s.doc_id, s.n, regexp_replace(string_agg(m.line, chr(10) ORDER BY m.i), '^{{WS}}+|{{WS}}+$', '', 'g') AS block FROM s JOIN m ON m.doc_id = s.doc_id AND m.i = s.i WHERE s.block IS NOT NULL GROUP BY s.doc_id, s.n) WHERE block <> ''""")
+def text_blocks(t):
+    return segment.blocks(_hard_texts(t)).select("doc_id", "block_pos", "block")
+
+
+@query(r"""WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\x{FEFF}', '', 'g'), '\r\n?', chr(10), 'g'), '(?s)<!--.*?-->', '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), '^{WS}+|{WS}+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM n),
+c AS (SELECT *, regexp_replace(line, '{WS}+', '', 'g') = '' AS blank, regexp_matches(line, '^ {0,3}#{1,6}{WS}+[^\s]') AS atx FROM l),
+g AS (SELECT *, sum(CASE WHEN blank OR atx OR before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM (SELECT *, coalesce(lag(atx) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS before FROM c)),
+b AS (SELECT doc_id, b, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^{WS}+|{WS}+$', '', 'g') AS block FROM g WHERE NOT blank GROUP BY doc_id, b),
+k AS (SELECT *, regexp_matches(block, '^#{1,6}{WS}+[^\n]+$') OR (NOT contains(block, chr(10)) AND length(block) <= 80 AND NOT regexp_matches(block, '[.!?:;,。．！？：；、]$') AND NOT regexp_matches(block, '^(\d+[.)]|[-*+•]){WS}') AND NOT contains(block, '](')) AS head FROM b),
+s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY b) AS sec_pos FROM k)
+SELECT doc_id, sec_pos::BIGINT AS sec_pos, coalesce(max(CASE WHEN head THEN regexp_replace(regexp_replace(block, '^#{1,6}{WS}+', ''), '{WS}*#*$', '') END), '') AS heading,
+  sha256(coalesce(string_agg(block, chr(10) || chr(10) ORDER BY b) FILTER (WHERE NOT head), '')) AS sha FROM s GROUP BY doc_id, sec_pos""")
+def document_sections(t):
+    """Sections of the documents as they are: texts without a fence."""
+    return segment.sections(t("documents").where("text is not null")).select("doc_id", "sec_pos", "heading", F.sha2("text", 256).alias("sha"))
+
+
 @query("SELECT doc_id, source || '/' || doc_id AS id FROM documents")
 def namespace_ids(t):
     return t("documents").select("doc_id", segment.namespaced(F.col("source"), F.col("doc_id").cast("string")).alias("id"))
@@ -372,12 +412,12 @@ def section_refs(t):
     return t("documents").select("doc_id", X.section_ref(said).alias("ref"))
 
 
-PATHS = ["chapters/ch01-a.md", "chapters/../x.md", "manifest.json", "dist/.env", "dist/a/.DS_Store", "README.md", "src/x.ts", "dist/id_rsa", "dist/b.Key", "dist/config.json", "dist/.quillgate/s", "dist/.npmrc", "dist/ok.js", "chapters/한국-1.md"]
+PATHS = ["chapters/ch01-a.md", "chapters/../x.md", "manifest.json", "dist/.env", "dist/a/.DS_Store", "README.md", "src/x.ts", "dist/id_rsa", "dist/b.Key", "dist/config.json", "dist/.quillgate/s", "dist/.quillgate/x.pem", "dist/.quillgate", "dist/.npmrc", "dist/ok.js", "chapters/한국-1.md"]
 
 
 @query(rf"""SELECT page_id, regexp_matches(p, '^chapters/[\p{{L}}\p{{N}}-]+\.md$') AS chapter, p = 'manifest.json' OR regexp_matches(p, '(^|/)\.[^/]*$') AS harmless,
-CASE WHEN regexp_matches(p, '(^|/)\.env(\..+)?$') THEN 'env file' WHEN regexp_matches(p, '(^|/)config\.json$') THEN 'config.json' WHEN regexp_matches(lower(p), '\.(pem|key|p12|pfx)$') OR regexp_matches(p, '(^|/)id_(rsa|ed25519|ecdsa|dsa)$') THEN 'private key file'
-WHEN regexp_matches(p, '(^|/)(\.npmrc|\.git|\.github)(/|$)') THEN 'npm/git config' WHEN contains('/' || p, '/.quillgate/') THEN 'own state folder' WHEN NOT (starts_with(p, 'dist/') OR p IN ('package.json', 'LICENSE', 'README.md', 'README.ko.md')) THEN 'outside the publish allowlist' END AS forbidden
+CASE WHEN regexp_matches(p, '(^|/)\.env(\..+)?$') THEN 'env file' WHEN regexp_matches(p, '(^|/)config\.json$') THEN 'config.json' WHEN contains('/' || p, '/.quillgate/') THEN 'own state folder' WHEN regexp_matches(lower(p), '\.(pem|key|p12|pfx)$') OR regexp_matches(p, '(^|/)id_(rsa|ed25519|ecdsa|dsa)$') THEN 'private key file'
+WHEN regexp_matches(p, '(^|/)(\.npmrc|\.git|\.github)(/|$)') THEN 'npm/git config' WHEN NOT (starts_with(p, 'dist/') OR p IN ('package.json', 'LICENSE', 'README.md', 'README.ko.md')) THEN 'outside the publish allowlist' END AS forbidden
 FROM (SELECT page_id, {PATHS!r}[(page_id % {len(PATHS)})::INT + 1] AS p FROM pages)""")
 def path_rules(t):
     path = F.get(F.array(*map(F.lit, PATHS)), (F.col("page_id") % len(PATHS)).cast("int"))

@@ -2,77 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 
-FENCE = r"(?m)^ {0,3}(`{3,}|~{3,})"
+FENCE = r"\A {0,3}(`{3,}|~{3,})"
+HEADING_LINE = rf"(?md)^( {{0,3}}#{{1,6}}{X.WS_LINE}+[^{X.WS_CHARS}][^\n]*)$"
+BLANK_LINE = rf"\n{X.WS_LINE}*(?=\n)"
+LEVELS = 6
+
+
+def _fences(lines: Column) -> Column:
+    """array<struct<a, b>>: lines a to b - 1 of each code fence, in order. A line's effect on the fence that is open depends on its mark alone, so only
+    lines with a mark are folded: where none is open, a mark opens one; an open one closes on a mark of its kind, at least as long, that
+    is all there is on its line; other marks change nothing. A fence that nothing closes runs to the end."""
+    marked = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: x["line"].rlike(FENCE))
+    marks = F.transform(marked, lambda x: F.struct(x["at"].alias("at"), F.regexp_extract(x["line"], FENCE, 1).alias("mark"), X.trim(x["line"]).alias("bare")))
+    span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    state = lambda open_, at, done: F.struct(open_.alias("open"), at.cast("int").alias("at"), done.alias("done"))
+
+    def step(s, m):
+        closes = (s["open"] != "") & m["mark"].startswith(F.left(s["open"], F.lit(1))) & (F.length(m["mark"]) >= F.length(s["open"])) & (m["bare"] == m["mark"])
+        return F.when(s["open"] == "", state(m["mark"], m["at"], s["done"])).when(closes, state(F.lit(""), m["at"], F.array_append(s["done"], span(s["at"], m["at"] + 1)))).otherwise(s)
+
+    start = state(F.lit(""), F.lit(0), F.array().cast("array<struct<a:int,b:int>>"))
+    return F.aggregate(marks, start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], span(s["at"], F.size(lines)))))
+
+
+def _open_text(text: Column) -> Column:
+    """Blocks of a text outside of fences: heading lines alone, others parted by blank lines."""
+    parts = F.split(F.regexp_replace(text, HEADING_LINE, "\n$1\n"), BLANK_LINE)
+    return F.filter(F.transform(parts, X.trim), lambda b: b != "")
+
+
+def _fenced_text(lines: Column) -> Column:
+    """Blocks of a text with fences: what stands between them as `_open_text` says, each fence as one block."""
+    joined = lambda a, b: F.array_join(F.slice(lines, a + 1, b - a), "\n")
+
+    def pieces(spans):
+        def piece(k):
+            before = F.when(k == 0, F.lit(0)).otherwise(F.get(spans, k - 1)["b"])
+            here = F.get(spans, k)
+            return F.concat(_open_text(joined(before, F.coalesce(here["a"], F.size(lines)))), F.when(here.isNotNull(), F.array(X.trim(joined(here["a"], here["b"])))).otherwise(F.array().cast("array<string>")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), piece))
+
+    return X.let(_fences(lines), pieces)
+
+
+def block_list(text: Column) -> Column:
+    """The blocks of a text as an array: blank lines part them, a heading line stands alone, a code fence is one block. Null gives none."""
+    marks = lambda t: F.contains(t, F.lit("```")) | F.contains(t, F.lit("~~~"))
+    return X.let(X.normalize(F.coalesce(text, F.lit(""))), lambda t: F.when(marks(t), X.let(F.split(t, "\n"), _fenced_text)).otherwise(_open_text(t)))
 
 
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, block_pos, block): blank lines split, a heading line stands alone, a code fence is one block.
+    """(key, block_pos, block) of docs(key, text, ...), where each text is read: no shuffle, whether it holds fences or not."""
+    return docs.select(F.col(key), F.posexplode(block_list(F.col(text))).alias("block_pos", "block"))
 
-    Texts without a fence are split by expressions; only those with one go to a Python scan, which needs the fence's state.
-    """
-    rows = docs.select(F.col(key), X.normalize(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    plain = rows.where(~F.col("t").rlike(FENCE))
-    parts = F.split(F.regexp_replace("t", r"(?m)^(#{1,6}[ \t]+[^\n]*)$", "\n$1\n"), r"\n[ \t]*\n+")
-    parts = F.filter(F.transform(parts, lambda b: X.trim(b)), lambda b: b != "")
-    plain = plain.select(key, F.posexplode(parts).alias("block_pos", "block"))
-    kind = T.ArrayType(T.StringType())
-    scan = F.udf(lambda t: split_fenced(t), kind, useArrow=True)
-    fenced = rows.where(F.col("t").rlike(FENCE)).select(key, F.posexplode(scan("t")).alias("block_pos", "block"))
-    return plain.unionByName(fenced)
-
-
-def split_fenced(text: str) -> list[str]:
-    """Blocks of a text with code fences: a fence closes on its own mark, at least as long and alone on its line, or never."""
-    import re
 
-    out: list[str] = []
-    held: list[str] = []
-    mark = ""
-
-    def end() -> None:
-        joined = "\n".join(held).strip()
-        if joined:
-            out.append(joined)
-        held.clear()
-
-    for line in text.split("\n"):
-        opening = re.match(r" {0,3}(`{3,}|~{3,})", line)
-        if mark:
-            held.append(line)
-            bare = line.strip()
-            if len(bare) >= len(mark) and set(bare) == {mark[0]}:
-                end()
-                mark = ""
-        elif opening:
-            end()
-            held.append(line)
-            mark = opening[1]
-        elif not line.strip():
-            end()
-        elif re.match(r"#{1,6}[ \t]+\S", line):
-            end()
-            out.append(line.strip())
-        else:
-            held.append(line)
-    end()
-    return out
+def section_list(blocks_: Column) -> Column:
+    """array<struct<sec_pos, heading, level, text>>: a heading opens a section; text before the first one has heading ''. sec_pos counts the headings so far."""
+    section = lambda pos, heading, level, text: F.struct(pos.cast("bigint").alias("sec_pos"), heading.alias("heading"), level.cast("int").alias("level"), text.alias("text"))
+    told = F.transform(blocks_, lambda b, i: F.struct(i.alias("at"), X.heading_title(b).alias("title"), X.heading_level(b).alias("level")))
+
+    def cut(heads):
+        body = lambda a, b: F.array_join(F.slice(blocks_, a + 1, b - a), "\n\n")
+        first = F.coalesce(F.get(heads, F.lit(0))["at"], F.size(blocks_))
+        none = F.array().cast("array<struct<sec_pos:bigint,heading:string,level:int,text:string>>")
+        opening = F.when(first > 0, F.array(section(F.lit(0), F.lit(""), F.lit(1), body(F.lit(0), first)))).otherwise(none)
+        return F.concat(opening, F.transform(heads, lambda h, k: section(k + 1, h["title"], h["level"], body(h["at"] + 1, F.coalesce(F.get(heads, k + 1)["at"], F.size(blocks_))))))
 
+    return X.let(F.filter(told, lambda x: x["title"].isNotNull()), cut)
 
-def sections(blocks_: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, sec_pos, heading, level, text): a heading opens a section; text before the first one has heading ''."""
-    order = Window.partitionBy(key).orderBy("block_pos")
-    rows = blocks_.withColumn("title", X.heading_title(F.col("block"))).withColumn("lv", X.heading_level(F.col("block")))
-    rows = rows.withColumn("sec_pos", F.sum(F.col("title").isNotNull().cast("int")).over(order))
-    body = F.array_sort(F.collect_list(F.when(F.col("title").isNull(), F.struct("block_pos", "block"))))
-    return rows.groupBy(key, "sec_pos").agg(
-        F.coalesce(F.max("title"), F.lit("")).alias("heading"), F.coalesce(F.max("lv"), F.lit(1)).alias("level"), F.array_join(F.transform(body, lambda b: b["block"]), "\n\n").alias("text")
-    )
+
+def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, sec_pos, heading, level, text) of docs(key, text, ...): `section_list` of each text's blocks, made where the text is read."""
+    return docs.select(F.col(key), F.explode(X.let(block_list(F.col(text)), section_list)).alias("s")).select(key, "s.*")
 
 
 def free_name(base, used):
@@ -82,35 +89,56 @@ def free_name(base, used):
 
 
 def heading_ids(headings: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, sec_pos, id): the ids of the headings above, joined by '/', made unique within a document in its order."""
-    schema = T.StructType([T.StructField(key, headings.schema[key].dataType), T.StructField("sec_pos", T.LongType()), T.StructField("id", T.StringType())])
-    rows = headings.select(key, F.col("sec_pos").cast("bigint").alias("sec_pos"), F.col("level").cast("int").alias("level"), X.slugify(F.col("heading")).alias("slug"))
-
-    def run(pdf):
-        pdf = pdf.sort_values("sec_pos")
-        pdf["id"] = assign_ids(list(zip(pdf["level"], pdf["slug"])))
-        return pdf[[key, "sec_pos", "id"]]
+    """(key, sec_pos, id) of headings(key, sec_pos, heading, level): the ids of the headings above, joined by '/', 'section' where a level is left out, and
+    made unique within a document in its order by the first free of -2, -3, ...
 
-    return rows.groupBy(key).applyInPandas(run, schema)
-
-
-def assign_ids(headings: list[tuple[int, str]]) -> list[str]:
-    path: list[str] = []
-    used: set[str] = set()
-    count: dict[str, int] = {}
-    out = []
-    for level, slug in headings:
-        above = path[: level - 1] + ["section"] * (level - 1 - len(path))
-        base = "/".join([*above, slug])
-        name, n = base, count.get(base, 1)
-        while name in used:
-            n += 1
-            name = f"{base}-{n}"
-        count[base] = n
-        used.add(name)
-        out.append(name)
-        path = [*above, name.rsplit("/", 1)[-1]]
-    return out
+    Ids of one level have one number of parts, so they meet only others of their level below the same parent: level by level, windows give a heading the last
+    one of each level above it, and its number among those of the same slug there. That number is the suffix unless some other slug of the
+    level is the same but for a number at its end and one of them is repeated; documents with such a level are folded heading by heading.
+    Levels beyond 6 count as 6, those below 1 as 1.
+    """
+    rows = headings.select(F.col(key), F.col("sec_pos").cast("bigint").alias("sec_pos"), F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.col("level").cast("int"))).alias("level"), X.slugify(F.col("heading")).alias("slug"))
+    rows = rows.withColumn("family", F.regexp_replace("slug", r"(-[0-9]+)+\z", ""))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(key, "level", "family", "slug").orderBy("sec_pos")))
+    family = Window.partitionBy(key, "level", "family")
+    rows = rows.withColumn("mixed", (F.max("nth").over(family) > 1) & (F.min("slug").over(family) != F.max("slug").over(family)))
+    rows = rows.withColumn("mixed", F.max("mixed").over(Window.partitionBy(key))).drop("family", "nth")
+    return _ids_by_windows(rows.where("not mixed"), key).unionByName(_ids_by_fold(rows.where("mixed"), key))
+
+
+def _ids_by_windows(rows: DataFrame, key: str) -> DataFrame:
+    above = Window.partitionBy(key).orderBy("sec_pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select(key, "sec_pos", "level", "slug", F.lit("").alias("parent"), F.lit(None).cast("string").alias("id"))
+    for level in range(1, LEVELS + 1):
+        here = F.col("level") == level
+        nth = F.row_number().over(Window.partitionBy(key, here, "parent", "slug").orderBy("sec_pos"))
+        name = F.when(nth == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), nth.cast("string")))
+        rows = rows.withColumn("own", F.when(here, name))
+        rows = rows.withColumn("id", F.when(here, F.concat("parent", "own")).otherwise(F.col("id")))
+        if level < LEVELS:
+            last = F.last(F.when(F.col("level") <= level, F.when(here, F.col("own")).otherwise(F.lit("section"))), ignorenulls=True).over(above)
+            rows = rows.withColumn("up", F.coalesce(last, F.lit("section")))
+            rows = rows.withColumn("parent", F.when(F.col("level") > level, F.concat("parent", "up", F.lit("/"))).otherwise(F.col("parent"))).drop("up")
+        rows = rows.drop("own")
+    return rows.select(key, "sec_pos", "id")
+
+
+def _ids_by_fold(rows: DataFrame, key: str) -> DataFrame:
+    """The same for any headings, one document at a time; the work grows with the square of its headings."""
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sec_pos", "level", "slug"))).alias("heads"))
+    texts = F.array().cast("array<string>")
+
+    def step(s, h):
+        missing = F.greatest(F.lit(0), h["level"] - 1 - F.size(s["path"]))
+        above = F.concat(F.slice(s["path"], F.lit(1), h["level"] - 1), F.array_repeat(F.lit("section"), missing))
+
+        def named(base):
+            return X.let(free_name(base, s["ids"]), lambda name: F.struct(F.array_append(above, F.substring_index(name, "/", -1)).alias("path"), F.array_append(s["ids"], name).alias("ids")))
+
+        return X.let(F.array_join(F.array_append(above, h["slug"]), "/"), named)
+
+    ids = F.aggregate("heads", F.struct(texts.alias("path"), texts.alias("ids")), step, lambda s: s["ids"])
+    return listed.select(key, "heads", ids.alias("ids")).select(key, F.explode(F.arrays_zip(F.col("heads.sec_pos").alias("sec_pos"), F.col("ids").alias("id"))).alias("x")).select(key, "x.sec_pos", "x.id")
 
 
 def name_space_prefixes(paths: list[str]) -> list[str]:

@@ -51,7 +51,7 @@ def named_sections(extracted: DataFrame) -> DataFrame:
     several, numbered in the order of paths and sections. Two equal ids are an error."""
     paths = [r.path for r in extracted.select("path").distinct().orderBy("path").limit(source_files.MOST_FILES + 1).collect()]
     prefixes = extracted.sparkSession.createDataFrame(list(zip(paths, segment.name_space_prefixes(paths))), "path string, prefix string")
-    found = segment.sections(segment.blocks(extracted, "path"), "path")
+    found = segment.sections(extracted, "path")
     rows = segment.population(found.join(segment.heading_ids(found, "path").withColumnRenamed("sec_pos", "p"), ["path"]).where("sec_pos = p").drop("p"))
     rows = rows.join(F.broadcast(prefixes), "path").withColumn("id", segment.namespaced(F.col("prefix"), F.col("id")))
     twice = rows.groupBy("id").count().where("count > 1").limit(1).collect()
