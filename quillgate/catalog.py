@@ -62,7 +62,7 @@ def _outline(t) -> DataFrame:
         F.lit("<!-- # not this\n-->Before any heading comes this.\r\n\n\n\n# "), F.col("source"), F.lit("\n"), line, F.lit("   \n\n## Part One ##\n\n"), F.col("lang"), F.lit(" is its language.\n## Part One\n~~~\n# no heading\n\n``` not the end\n~~~\n"),
         F.lit("#### Deep & Far\nIt ends here.\n\n## Part One\n\n# Empty\n\n# "), F.col("source"), F.lit("\nLast words, "), F.col("doc_id").cast("string"), F.lit(".\n"),
     ]
-    return t("documents").select("doc_id", F.concat(*parts).alias("text"))
+    return t("documents").where("text is not null and source is not null and lang is not null").select("doc_id", F.concat(*parts).alias("text"))
 
 
 OUTLINE = r"""d AS (SELECT doc_id, source, lang, regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g') || '.' AS line FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL),
@@ -76,13 +76,12 @@ s AS (SELECT doc_id, source, unnest([
 
 @query(f"WITH {OUTLINE} SELECT doc_id, x.sec_pos::BIGINT AS sec_pos, x.heading AS heading, x.level AS level, x.text AS text FROM s WHERE x.text <> ''")
 def segment_sections(t):
-    return segment.population(segment.sections(_outline(t).where("text is not null"))).select("doc_id", "sec_pos", "heading", "level", "text")
+    return segment.population(segment.sections(_outline(t))).select("doc_id", "sec_pos", "heading", "level", "text")
 
 
 @query(f"WITH {OUTLINE} SELECT doc_id, x.sec_pos::BIGINT AS sec_pos, x.id AS id FROM s")
 def heading_path_ids(t):
-    found = segment.sections(_outline(t).where("text is not null"))
-    return segment.heading_ids(found).select("doc_id", "sec_pos", "id")
+    return segment.heading_ids(segment.headings(_outline(t))).select("doc_id", "sec_pos", "id")
 
 
 # Lines that meet every rule of blocks: marks of fences of several lengths and kinds, headings in and out of place, white space beyond ASCII.

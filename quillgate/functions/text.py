@@ -12,10 +12,12 @@ WS_CHARS = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}
 WS = f"[{WS_CHARS}]"
 # The same without the line feed, for patterns that stay within a line.
 WS_LINE = "[" + WS_CHARS.replace(r"\s", r"\t\x0B\f\r ") + "]"
+# Every character of that class.
+WS_EACH = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 # Marks that close a sentence or a clause; the full-width comma is none of them.
-TERMINAL = "[.!?:;,。．！？：；、]\\z"
+TERMINAL = "[.!?:;,。．！？：；、]"
 LIST_ITEM = rf"\A(?:\d+[.)]|[-*+\x{{2022}}]){WS}"
 HEADING = rf"\A(#{{1,6}}){WS}+([^\n\r\x{{2028}}\x{{2029}}]+?){WS}*#*\z"
 # Key formats and secret file names that must not be published.
@@ -50,7 +52,14 @@ def utf16_cut(c: Column, most: int) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"\\A{WS}+|{WS}+\\z", "")
+    """Without white space at its edges. Most pieces of a text have none there, which a look at both ends tells."""
+    return let(c, lambda x: F.when(F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).rlike(WS), F.regexp_replace(x, rf"\A{WS}++|(?<!{WS}){WS}++\z", "")).otherwise(x))
+
+
+def trim_whole(c: Column, most: int = 1 << 20) -> Column:
+    """The same for whole texts, where a pattern tried at every place costs most. The trim function's own memory is a multiple of the text, so texts beyond `most` bytes
+    have theirs cut by the pattern all the same."""
+    return let(c, lambda x: F.when(F.octet_length(x) <= most, F.btrim(x, F.lit(WS_EACH))).otherwise(trim(x)))
 
 
 def estimate_tokens(c: Column) -> Column:
@@ -68,21 +77,23 @@ def count_chars(c: Column) -> Column:
 def normalize(c: Column) -> Column:
     """Markdown text without marks, comments, trailing blanks and runs of blank lines. A step that finds nothing to do costs a plain search."""
 
-    def step(c: Column, marks: tuple[str, ...], pattern: str, to: str) -> Column:
+    def step(c: Column, marks: tuple[str, ...], change) -> Column:
         def body(x: Column) -> Column:
             some = F.contains(x, F.lit(marks[0]))
             for m in marks[1:]:
                 some = some | F.contains(x, F.lit(m))
-            return F.when(some, F.regexp_replace(x, pattern, to)).otherwise(x)
+            return F.when(some, change(x)).otherwise(x)
 
         return let(c, body)
 
-    c = step(c, ("\ufeff",), r"\x{FEFF}", "")
-    c = step(c, ("\r",), r"\r\n?", "\n")
-    c = step(c, ("<!--",), r"(?s)<!--.*?-->", "")
-    c = step(c, (" \n", "\t\n"), r"[ \t]+\n", "\n")
-    c = step(c, ("\n\n\n",), r"\n{3,}", "\n\n")
-    return let(c, lambda x: F.when(F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).rlike(WS), trim(x)).otherwise(x))
+    plain = lambda a, b: lambda x: F.replace(x, F.lit(a), F.lit(b))
+    pattern = lambda a, b: lambda x: F.regexp_replace(x, a, b)
+    c = step(c, ("\ufeff",), plain("\ufeff", ""))
+    c = step(c, ("\r",), lambda x: plain("\r", "\n")(plain("\r\n", "\n")(x)))
+    c = step(c, ("<!--",), pattern(r"(?s)<!--.*?-->", ""))
+    c = step(c, (" \n", "\t\n"), pattern(r"(?<![ \t])[ \t]++\n", "\n"))
+    c = step(c, ("\n\n\n",), pattern(r"\n{3,}", "\n\n"))
+    return trim_whole(c)
 
 
 def slugify(c: Column, most: int = 60) -> Column:
@@ -118,16 +129,19 @@ def sanitize(c: Column, most: int = 200) -> Column:
     return let(head, lambda x: F.when(short | (F.length(x) > most + 100), cut(x)).otherwise(let(line(c), cut)))
 
 
+def heading(block: Column) -> Column:
+    """(title, level) if a block is a heading, else null: marked by #, or a short line that closes no sentence, is no item of a list and holds no link."""
+    marked = F.struct(trim(F.regexp_extract(block, HEADING, 2)).alias("title"), F.length(F.regexp_extract(block, HEADING, 1)).alias("level"))
+    plain = (F.octet_length(block) <= 320) & (block != "") & ~block.contains("\n") & (utf16_length(block) <= 80) & ~F.right(block, F.lit(1)).rlike(TERMINAL) & ~block.rlike(LIST_ITEM) & ~block.contains("](")
+    return F.when(block.startswith("#") & block.rlike(HEADING), marked).when(plain, F.struct(block.alias("title"), F.lit(1).alias("level")))
+
+
 def heading_title(block: Column) -> Column:
-    """The title if a block is a heading, else null."""
-    marked = trim(F.regexp_extract(block, HEADING, 2))
-    plain = ~block.contains("\n") & (utf16_length(block) <= 80) & ~block.rlike(TERMINAL) & ~block.rlike(LIST_ITEM) & ~block.contains("](") & (block != "")
-    return F.when(block.startswith("#") & block.rlike(HEADING), marked).when(plain, block)
+    return heading(block)["title"]
 
 
 def heading_level(block: Column) -> Column:
-    marks = F.length(F.regexp_extract(block, HEADING, 1))
-    return F.when(heading_title(block).isNotNull(), F.when(marks > 0, marks).otherwise(1))
+    return heading(block)["level"]
 
 
 def anchors(c: Column) -> Column:

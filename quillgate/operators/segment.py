@@ -32,8 +32,8 @@ def _fences(lines: Column) -> Column:
 
 def _open_text(text: Column) -> Column:
     """Blocks of a text outside of fences: heading lines alone, others parted by blank lines."""
-    parts = F.split(F.regexp_replace(text, HEADING_LINE, "\n$1\n"), BLANK_LINE)
-    return F.filter(F.transform(parts, X.trim), lambda b: b != "")
+    apart = X.let(text, lambda t: F.when(F.contains(t, F.lit("#")), F.regexp_replace(t, HEADING_LINE, "\n$1\n")).otherwise(t))
+    return F.filter(F.transform(F.split(apart, BLANK_LINE), X.trim), lambda b: b != "")
 
 
 def _fenced_text(lines: Column) -> Column:
@@ -59,27 +59,35 @@ def block_list(text: Column) -> Column:
 
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, block_pos, block) of docs(key, text, ...), where each text is read: no shuffle, whether it holds fences or not."""
-    return docs.select(F.col(key), F.posexplode(block_list(F.col(text))).alias("block_pos", "block"))
+    rows = docs.select(F.col(key), F.posexplode_outer(block_list(F.col(text))).alias("block_pos", "block"))
+    return rows.where("block is not null")  # of a plain posexplode the planner asks first, by a filter of its own, whether the array is empty, and so makes it twice
 
 
-def section_list(blocks_: Column) -> Column:
-    """array<struct<sec_pos, heading, level, text>>: a heading opens a section; text before the first one has heading ''. sec_pos counts the headings so far."""
-    section = lambda pos, heading, level, text: F.struct(pos.cast("bigint").alias("sec_pos"), heading.alias("heading"), level.cast("int").alias("level"), text.alias("text"))
-    told = F.transform(blocks_, lambda b, i: F.struct(i.alias("at"), X.heading_title(b).alias("title"), X.heading_level(b).alias("level")))
+def section_list(blocks_: Column, texts: bool = True) -> Column:
+    """array<struct<sec_pos, heading, level, text>>: a heading opens a section; text before the first one has heading ''. sec_pos counts the headings so
+    far. Without `texts`, text is left empty."""
+    section = lambda pos, heading, level, text: F.struct(pos.cast("bigint").alias("sec_pos"), heading.alias("heading"), level.cast("int").alias("level"), (text if texts else F.lit("")).alias("text"))
+    told = F.filter(F.transform(blocks_, lambda b, i: F.struct(i.alias("at"), X.heading(b).alias("head"))), lambda x: x["head"].isNotNull())
 
     def cut(heads):
         body = lambda a, b: F.array_join(F.slice(blocks_, a + 1, b - a), "\n\n")
         first = F.coalesce(F.get(heads, F.lit(0))["at"], F.size(blocks_))
         none = F.array().cast("array<struct<sec_pos:bigint,heading:string,level:int,text:string>>")
         opening = F.when(first > 0, F.array(section(F.lit(0), F.lit(""), F.lit(1), body(F.lit(0), first)))).otherwise(none)
-        return F.concat(opening, F.transform(heads, lambda h, k: section(k + 1, h["title"], h["level"], body(h["at"] + 1, F.coalesce(F.get(heads, k + 1)["at"], F.size(blocks_))))))
+        return F.concat(opening, F.transform(heads, lambda h, k: section(k + 1, h["head"]["title"], h["head"]["level"], body(h["at"] + 1, F.coalesce(F.get(heads, k + 1)["at"], F.size(blocks_))))))
 
-    return X.let(F.filter(told, lambda x: x["title"].isNotNull()), cut)
+    return X.let(told, cut)
 
 
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, sec_pos, heading, level, text) of docs(key, text, ...): `section_list` of each text's blocks, made where the text is read."""
-    return docs.select(F.col(key), F.explode(X.let(block_list(F.col(text)), section_list)).alias("s")).select(key, "s.*")
+    return docs.select(F.col(key), F.explode_outer(X.let(block_list(F.col(text)), lambda b: section_list(b))).alias("s")).where("s is not null").select(key, "s.*")
+
+
+def headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, sec_pos, heading, level): `sections` without the texts, which are not put together."""
+    found = X.let(block_list(F.col(text)), lambda b: section_list(b, texts=False))
+    return docs.select(F.col(key), F.explode_outer(found).alias("s")).where("s is not null").select(key, "s.sec_pos", "s.heading", "s.level")
 
 
 def free_name(base, used):
@@ -98,7 +106,7 @@ def heading_ids(headings: DataFrame, key: str = "doc_id") -> DataFrame:
     Levels beyond 6 count as 6, those below 1 as 1.
     """
     rows = headings.select(F.col(key), F.col("sec_pos").cast("bigint").alias("sec_pos"), F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.col("level").cast("int"))).alias("level"), X.slugify(F.col("heading")).alias("slug"))
-    rows = rows.withColumn("family", F.regexp_replace("slug", r"(-[0-9]+)+\z", ""))
+    rows = rows.repartition(F.col(key)).withColumn("family", F.regexp_replace("slug", r"(-[0-9]+)+\z", ""))
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(key, "level", "family", "slug").orderBy("sec_pos")))
     family = Window.partitionBy(key, "level", "family")
     rows = rows.withColumn("mixed", (F.max("nth").over(family) > 1) & (F.min("slug").over(family) != F.max("slug").over(family)))
