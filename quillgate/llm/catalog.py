@@ -106,10 +106,11 @@ def queries() -> dict:
 
 
 OP7_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS p FROM documents),
-w AS (SELECT doc_id, p, first_value(doc_id) OVER (PARTITION BY p ORDER BY length(t) DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY p) AS group_size,
-  row_number() OVER (PARTITION BY p ORDER BY length(t) DESC, doc_id NULLS LAST) AS nth FROM d)
-SELECT doc_id, keep_id, group_size, CASE WHEN keep_id IS NULL THEN nth = 1 ELSE doc_id IS NOT DISTINCT FROM keep_id END AS kept, sha256(p) AS text_sha256 FROM w
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS p FROM documents),
+g AS (SELECT p, count(*) AS group_size, max(points) AS points FROM d GROUP BY p),
+s AS (SELECT d.p, min(d.r) AS r FROM d JOIN (SELECT d.p, g.points, min(d.doc_id) AS doc_id FROM d JOIN g ON g.p = d.p AND g.points = d.points GROUP BY ALL) m
+  ON m.p = d.p AND m.points = d.points AND m.doc_id IS NOT DISTINCT FROM d.doc_id GROUP BY d.p)
+SELECT d.doc_id, k.doc_id AS keep_id, group_size, d.r = k.r AS kept, sha256(d.p) AS text_sha256 FROM d JOIN g ON g.p = d.p JOIN s ON s.p = d.p JOIN d k ON k.r = s.r
 """
 
 OP9_SQL = r"""

@@ -20,10 +20,9 @@ def _groups(hashed: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) per row of docs(doc_id, text, ...).
 
-    Texts are equal when identical after deleting every character of [\\x20\\x09-\\x0D]; null counts as empty. Of equal texts
-    the row with the most code points stays, then the smallest doc_id (null last). Rows that repeat the kept doc_id
-    name the same document and are kept with it. Rows without doc_id are documents of their own: where one of them is the longest, keep_id is
-    null, and that one alone is kept (among equals any one). An empty table gives an empty result; other columns are ignored.
+    Texts are equal when identical after deleting every character of [\\x20\\x09-\\x0D]; null counts as empty. Of equal texts one row stays: one with the
+    most code points, of these one with the smallest doc_id (null last), of equal rows any one. keep_id is that row's doc_id, null if it has none. Other rows of that
+    doc_id go like all the rest. An empty table gives an empty result; other columns are ignored.
 
     Rows are grouped by MD5; only groups of several rows have their texts read again, and the least and greatest text of a
     group, found by pre-aggregation, must agree. Groups where they don't are split by the SHA-256 of the text. Rows get their group's choice from a
@@ -45,7 +44,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         hashed = hashed.join(unequal, "key", "left").withColumn("key", F.when(F.col("split"), F.concat("key", "sha")).otherwise(F.col("key"))).drop("split")
         groups = _groups(hashed)
     alone = F.col("best").isNull()
-    kept = F.when(F.col("best.doc").isNull(), F.col("row") == F.col("best.row")).otherwise(F.coalesce(F.col("doc_id") == F.col("best.doc"), F.lit(False)))
+    kept = F.coalesce(F.col("row") == F.col("best.row"), F.lit(False))
     return hashed.join(small(groups), "key", "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
         (alone | kept).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),

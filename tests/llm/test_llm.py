@@ -397,12 +397,12 @@ def test_mix_keeps_lines_copies_and_shards(spark):
 
 def test_exact_dedup(spark, rows, monkeypatch):
     groups = {}
-    for i, t, *_ in rows:
-        groups.setdefault(re.sub(SPACE, "", t or ""), []).append((i, len(t or "")))
+    for row, (i, t, *_) in enumerate(rows):
+        groups.setdefault(re.sub(SPACE, "", t or ""), []).append((-len(t or ""), i is None, i or 0, row))
     want = []
     for text, members in groups.items():
-        keep = min(members, key=lambda m: (-m[1], m[0] is None, m[0] or 0))[0]
-        want += [(i, keep, len(members), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i, _ in members]
+        best = min(members)[3]
+        want += [(rows[row][0], rows[best][0], len(members), row == best, hashlib.sha256(text.encode()).hexdigest()) for *_, row in members]
     for most in (exact_dedup.BROADCAST_KEYS, 0):
         monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", most)
         assert sorted(map(tuple, exact_dedup.deduplicate(docs(spark, rows)).collect()), key=repr) == sorted(want, key=repr)
@@ -418,6 +418,15 @@ def test_exact_dedup_without_ids(spark):
     )
 
 
+def test_exact_dedup_keeps_one_row(spark):
+    """Of rows of one doc_id, equal and unequal ones, a single row of a group stays, and it is the longest."""
+    given = [(1, "a b"), (1, "ab"), (1, "a b"), (2, "ab"), (3, "q"), (3, "q"), (4, "z"), (4, "y")]
+    got = exact_dedup.deduplicate(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == sorted(
+        [(1, 1, 4, True), (1, 1, 4, False), (1, 1, 4, False), (2, 1, 4, False), (3, 3, 2, True), (3, 3, 2, False), (4, 4, 1, True), (4, 4, 1, True)]
+    )
+
+
 @pytest.mark.parametrize("least", [0.8, 0.55, 1.0])
 def test_licenses_against_all_units(spark, least):
     """Units of changed, cut and joined notices, with repeats, null ids and a clashing column, against brute force without any filter."""
@@ -647,6 +656,20 @@ def test_sharding_without_ids(spark):
     assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(8) for k in range(sum(r.shard == s for r in got))]
 
 
+@pytest.mark.parametrize("doc", [None, 5])
+@pytest.mark.parametrize("same", [True, False])
+def test_sharding_balances_hot_ids(spark, monkeypatch, doc, same):
+    """Hundreds of rows of one doc_id or none, with one text or many, beside others: all shards hold about as many bytes."""
+    monkeypatch.setattr(sharding, "COPIES", 16)
+    given = [(doc, "one text of all" if same else f"text number {i:04}") for i in range(800)] + [(1000 + i, "x" * 20) for i in range(100)]
+    got = sharding.shard_rows(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()
+    want = [(i, len(t) + 1, zlib.crc32(t.encode())) for i, t in given]
+    assert sorted(((r.doc_id, r.size, r.text_crc32) for r in got), key=repr) == sorted(want, key=repr)
+    loads = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    assert max(loads) <= sum(loads) / 8 * 1.0005 + 21 and min(loads) >= sum(loads) / 8 - 3 * 21
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(8) for k in range(sum(r.shard == s for r in got))]
+
+
 @pytest.mark.parametrize("count", [2000, 4000])
 def test_leaks_of_many_items(spark, count):
     """Far more items than the latent space has dimensions: every planted copy is found."""
