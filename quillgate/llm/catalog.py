@@ -136,18 +136,20 @@ FROM e GROUP BY conv_id
 
 def _op8_sql(least: float = 0.8) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quote(n)}, [{', '.join(map(quote, b))}])" for n, _, b in licenses.template_rows())
+    told = lambda n, i: ", ".join(map(quote, licenses.versions(licenses.normal_words(licenses.TEMPLATES[n][i]))))
+    rows = ", ".join(f"({quote(n)}, [{', '.join(map(quote, b))}], [{told(n, i)}]::VARCHAR[])" for n, i, b in licenses.template_rows())
     return rf"""
-WITH t(license, b) AS (VALUES {rows}),
+WITH t(license, b, v) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(lower(text), '[^a-z0-9\n]+', ' ', 'g'), chr(10)) AS a FROM documents WHERE text IS NOT NULL),
 l AS (SELECT r, doc_id, trim(unnest(a)) AS s, generate_subscripts(a, 1) - 1 AS i FROM d),
 g AS (SELECT *, sum(CASE WHEN s = '' THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS p FROM l),
 u AS (SELECT r, doc_id, 'line' AS unit, i AS first_line, i + 1 AS end_line, s FROM l WHERE s <> ''
-  UNION ALL SELECT r, doc_id, 'paragraph', min(i), max(i) + 1, string_agg(s, ' ' ORDER BY i) FROM g WHERE s <> '' GROUP BY r, doc_id, p HAVING count(*) > 1),
+  UNION ALL SELECT r, doc_id, 'paragraph', min(i), max(i) + 1, string_agg(s, ' ' ORDER BY i) FROM g WHERE s <> '' GROUP BY r, doc_id, p HAVING count(*) > 1
+  UNION ALL SELECT g.r, g.doc_id, 'document', 0, any_value(z.n), string_agg(s, ' ' ORDER BY i) FROM g JOIN (SELECT r, len(a) AS n FROM d) z ON z.r = g.r WHERE s <> '' GROUP BY g.r, g.doc_id HAVING count(DISTINCT p) > 1),
 w AS (SELECT *, string_split_regex(s, ' +') AS x FROM u WHERE length(s) > length(replace(s, ' ', ''))),
-v AS (SELECT r, doc_id, unit, first_line, end_line, list_distinct(list_transform(list_zip(x[:-2], x[2:]), lambda y: y[1] || ' ' || y[2])) AS b FROM w WHERE len(x) >= 2),
+v AS (SELECT r, doc_id, unit, first_line, end_line, list_transform(regexp_extract_all(s, '{licenses.VERSION}', 1), lambda y: CASE WHEN contains(y, ' ') THEN y ELSE y || ' 0' END) AS told, list_distinct(list_transform(list_zip(x[:-2], x[2:]), lambda y: y[1] || ' ' || y[2])) AS b FROM w WHERE len(x) >= 2),
 m AS (SELECT r, doc_id, unit, first_line, end_line, license, 2.0::DOUBLE * len(list_intersect(v.b, t.b)) / (len(v.b) + len(t.b)) AS dice
-  FROM v JOIN t ON len(t.b) * {least} <= len(v.b) * {2 - least} AND len(v.b) * {least} <= len(t.b) * {2 - least})
+  FROM v JOIN t ON len(t.b) * {least} <= len(v.b) * {2 - least} AND len(v.b) * {least} <= len(t.b) * {2 - least} AND (len(v.told) = 0 OR len(t.v) = 0 OR list_has_any(v.told, t.v)))
 SELECT doc_id, unit, first_line::BIGINT AS first_line, end_line::BIGINT AS end_line, license, dice FROM m WHERE dice >= {least}
 QUALIFY row_number() OVER (PARTITION BY r, unit, first_line ORDER BY dice DESC, license) = 1
 """

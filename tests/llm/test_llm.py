@@ -452,9 +452,12 @@ def test_licenses_against_all_units(spark, least):
                 if i - lo > 1:
                     units.append(("paragraph", lo, i, sum(lines[lo:i], [])))
                 lo = i + 1
+        if re.search("x +x", "".join("x" if x else " " for x in lines)):
+            units.append(("document", 0, len(lines), sum(lines, [])))
         for unit, a, b, words in units:
-            own = set(licenses.bigrams(words))
-            scores = [(-2.0 * len(own & set(t)) / (len(own) + len(t)), n) for n, _, t in licenses.template_rows()]
+            own, said = set(licenses.bigrams(words)), set(licenses.versions(words))
+            known = [(n, t, licenses.versions(licenses.normal_words(licenses.TEMPLATES[n][i]))) for n, i, t in licenses.template_rows()]
+            scores = [(-2.0 * len(own & set(t)) / (len(own) + len(t)), n) for n, t, v in known if not said or not v or said & set(v)]
             best = min((s for s in scores if s[0] <= -least), default=None)
             if best:
                 want.append((doc, unit, a, b, best[1], -best[0]))
@@ -465,12 +468,31 @@ def test_licenses_against_all_units(spark, least):
 def test_licenses(spark):
     text = "x\nReleased under the MIT licence.\n\n" + licenses.TEMPLATES["ISC"][0].replace("fee is", "fee\nis") + "\n\nend"
     got = licenses.scan(docs(spark, [(1, text, None, None), (2, None, None, None), (3, "", None, None), (4, "Released under the MIT License.", None, None), (5, "plain words of a text", None, None)])).collect()
-    assert {(r.doc_id, r.unit, r.license) for r in got} == {(1, "paragraph", "ISC"), (4, "line", "MIT")}
+    assert {(r.doc_id, r.unit, r.license) for r in got} == {(1, "paragraph", "ISC"), (4, "line", "MIT"), (1, "document", "ISC")}  # the whole first text is little but its notice
     a, b = (set(licenses.bigrams(licenses.normal_words(t))) for t in ("Released under the MIT License.", licenses.TEMPLATES["MIT"][0]))
     assert {r.dice for r in got if r.doc_id == 4} == {2 * len(a & b) / (len(a) + len(b))}
     assert licenses.scan(empty(spark)).count() == 0
 
 
+GNU = "{what} is free software; you can redistribute it and/or modify\nit under the terms of the GNU {name} as published by\nthe Free Software Foundation; either version {version} of the License, or\n(at your option) any later version."
+
+
+def test_licenses_by_version_name_and_whole(spark):
+    heads = {
+        "GPL-2.0": GNU.format(what="This program", name="General Public License", version="2"), "GPL-3.0": GNU.format(what="This file", name="General Public License", version="3"),
+        "LGPL-2.1": GNU.format(what="This library", name="Lesser General Public License", version="2.1"), "LGPL-3.0": GNU.format(what="Foo", name="Lesser General Public License", version="3"),
+        "AGPL-3.0": GNU.format(what="This program", name="Affero General Public License", version="3").replace(";", ",").replace("software,", "software:"),
+        "MIT": "// SPDX-License-Identifier: MIT", "Apache-2.0": "# SPDX-License-Identifier: Apache-2.0", "EUPL-1.2": "Licensed under the EUPL, Version 1.2 or later", "Unlicense": "This is free and unencumbered software released into the public domain.",
+    }
+    rows = [(k, f"/* Some file.\n\n{t}\n\nmore words */", None, None) for k, t in enumerate(heads.values())]
+    whole = [(50 + k, "Copyright (c) 2024 Some One\n\n" + t[: len(t) // 2].replace(". ", ".\n") + "\n\n" + t[len(t) // 2 :], None, None) for k, t in enumerate(licenses.WHOLE.values())]
+    other = [(90, "This work is licensed under the GNU General Public License, version 1.", None, None), (91, "This work is licensed under a Creative Commons Attribution 3.0 International License.", None, None)]
+    got = licenses.scan(docs(spark, rows + whole + other)).collect()
+    assert {(r.doc_id, r.license) for r in got if r.doc_id < 50} == set(enumerate(heads))
+    assert {(r.doc_id, r.license) for r in got if r.unit == "document" and r.doc_id >= 50} == {(50 + k, n) for k, n in enumerate(licenses.WHOLE)}
+    assert not [r for r in got if r.doc_id >= 90]
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_line_dedup(spark, rows, small, monkeypatch):
     if not small:
