@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
+from .functions.reflow import reflow
 from .operators import gate, manifest, markers, quotes, rules, segment
 from .plans import compiling
 from .plans.questions import data_block
-from .sources.files import reflow
 from .sources.html import html_blocks
 from .streaming.incremental import changed_rows
 
@@ -139,6 +139,13 @@ def anchor_contains(t):
     return quotes.contained(t("documents").select("doc_id", "text"), t("benchmark").select("item_id", "text"))
 
 
+@query("SELECT d.doc_id, q.doc_id AS of_doc FROM documents d JOIN (SELECT doc_id, substr(text, 1 + (doc_id % 50)::INT, 5 + (doc_id % 60)::INT) AS quote FROM documents) q ON contains(d.text, q.quote) AND q.quote <> ''")
+def passages_quoted(t):
+    """A passage of every document, of 5 to 64 characters, sought in all documents."""
+    quote = F.substr("text", F.lit(1) + F.col("doc_id") % 50, F.lit(5) + F.col("doc_id") % 60)
+    return quotes.contained(t("documents").select("doc_id", "text"), t("documents").select(F.col("doc_id").alias("of_doc"), quote.alias("quote")))
+
+
 @query("SELECT doc_id, array_to_string([lang, source], ',') AS ids FROM documents")
 def anchor_extract(t):
     body = F.format_string("See [§%s], [§%s] and [§%s].", "lang", "source", "lang")
@@ -321,9 +328,20 @@ def assemble_bundle(t):
     return markers.assemble(markers.Bundle("regions", "Regions"), rows.select((F.col("r_regionkey") + 1).alias("chapter_pos"), F.col("r_name").alias("title"), "section_ids", "body")).select("path", "content", "est_tokens")
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, unnest(['One', text]) AS page, unnest([0, 1]) AS p FROM (SELECT doc_id, regexp_replace(text, '([^\n]{40}[^ \n]*) ', '\1' || chr(10), 'g') AS text FROM documents WHERE text IS NOT NULL)),
+n AS (SELECT doc_id, p, regexp_replace(regexp_replace(regexp_replace(page, '\x{FEFF}', '', 'g'), '\r\n?', chr(10), 'g'), '(?s)<!--.*?-->', '', 'g') AS t FROM w),
+r AS (SELECT doc_id, p, regexp_replace(unnest(string_split(t, chr(10))), '^{WS}+|{WS}+$', '', 'g') AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM n),
+l AS (SELECT *, length(line) < 0.7::DOUBLE * max(length(line)) OVER (PARTITION BY doc_id, p) AS short, regexp_matches(line, '[.!?:;,。．！？：；、]$') AS ends FROM r WHERE line <> ''),
+k AS (SELECT *, CASE WHEN ends AND short THEN 'closes' WHEN NOT ends AND short AND length(line) <= 60 AND NOT regexp_matches(line, '^(\d+[.)]|[-*+•]){WS}') THEN 'heading' ELSE 'goes on' END AS kind FROM l),
+s AS (SELECT *, coalesce(last_value(CASE WHEN kind <> 'heading' THEN kind END IGNORE NULLS) OVER w, 'closes') = 'closes' AS fresh, lag(line) OVER (PARTITION BY doc_id, p ORDER BY i) AS before FROM k
+  WINDOW w AS (PARTITION BY doc_id, p ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id, p ORDER BY i) AS n FROM s),
+o AS (SELECT doc_id, p, n, string_agg(CASE WHEN fresh AND kind = 'heading' THEN '# ' WHEN fresh OR (regexp_matches(before, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]$') AND regexp_matches(line, '^[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]')) THEN '' ELSE ' ' END || line, '' ORDER BY i) AS block FROM b GROUP BY doc_id, p, n)
+SELECT doc_id, string_agg(block, chr(10) || chr(10) ORDER BY p, n) AS text FROM o GROUP BY doc_id""")
 def pdf_reflow(t):
-    return t("documents").select("doc_id", reflow(F.array("text")).alias("text"))
+    """Every document's text wrapped at some forty characters as a page, after a page of one word."""
+    wrapped = F.regexp_replace("text", r"([^\n]{40}[^ \n]*) ", "$1\n")
+    return t("documents").where("text is not null").select("doc_id", reflow(F.array(F.lit("One"), wrapped)).alias("text"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE 'changed' END AS state FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0""")

@@ -28,6 +28,45 @@ def _fault(field: str, value) -> str | None:
     return "must not have control characters" if re.search("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", value) else None
 
 
+# YAML 1.2's core types of plain words; all others are text.
+CORE = [
+    ("null", r"\A(?:~|null|Null|NULL|)\Z", ["~", "n", "N", ""]), ("bool", r"\A(?:true|True|TRUE|false|False|FALSE)\Z", list("tTfF")),
+    ("int", r"\A(?:[-+]?[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+)\Z", list("-+0123456789")),
+    ("float", r"\A(?:[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN))\Z", list("-+0123456789.")),
+]
+_loaders: dict[str, type] = {}
+
+
+def _loader():
+    """A YAML loader by version 1.2's core types that refuses a key given twice; made once a process."""
+    import yaml
+
+    if "core" not in _loaders:
+
+        class Loader(yaml.SafeLoader):
+            yaml_implicit_resolvers: dict = {}
+
+            def construct_mapping(self, node, deep=False):
+                seen = set()
+                for key, _ in node.value:
+                    name = (key.tag, str(self.construct_object(key, deep=True)))
+                    if name in seen:
+                        raise yaml.constructor.ConstructorError(None, None, "map keys must be unique", key.start_mark)
+                    seen.add(name)
+                return super().construct_mapping(node, deep)
+
+            def flatten_mapping(self, node):
+                """A key << is a key like others."""
+
+        number = lambda kind: lambda loader, node: kind(loader.construct_scalar(node).lower())
+        Loader.add_constructor("tag:yaml.org,2002:int", number(lambda t: int(t, 0) if t[:2] in ("0o", "0x") else int(t)))
+        Loader.add_constructor("tag:yaml.org,2002:float", number(lambda t: float(t.replace(".inf", "inf").replace(".nan", "nan"))))
+        for name, pattern, first in CORE:
+            Loader.add_implicit_resolver(f"tag:yaml.org,2002:{name}", re.compile(pattern), first)
+        _loaders["core"] = Loader
+    return _loaders["core"]
+
+
 def frontmatter(content: str) -> dict:
     """{problem, detail, unknown, name, description, body} of a file's leading --- block. problem is null, or one of missing_block,
     syntax, not_a_map, missing_field, invalid_field."""
@@ -40,7 +79,7 @@ def frontmatter(content: str) -> dict:
         return out | {"problem": "missing_block"}
     out["body"] = "\n".join(lines[marks[1] + 1 :])
     try:
-        fields = yaml.safe_load("\n".join(lines[1 : marks[1]]))
+        fields = yaml.load("\n".join(lines[1 : marks[1]]), _loader())
     except yaml.YAMLError as e:
         return out | {"problem": "syntax", "detail": str(e).split("\n")[0][:200]}
     if not isinstance(fields, dict):

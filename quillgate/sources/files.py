@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.reflow import reflow
 from ..operators.gate import first_limit_breach
 from .html import to_blocks
 
@@ -19,6 +20,7 @@ MOST_FILES, MOST_EACH, MOST_TOTAL = 500, 25 << 20, 100 << 20
 MOST_ENTRIES, MOST_INFLATED = 200, 60 << 20
 MOST_PAGES = 500
 DEADLINE = 60.0
+PAGE = "\f"
 
 
 # Folders that a listing passes over.
@@ -257,7 +259,7 @@ class NoParser(RuntimeError):
 
 
 def pdf_text(content: bytes) -> str:
-    """Pages of a PDF as paragraphs and headings, by the `pypdf` package where it is installed."""
+    """The texts of a PDF's pages, parted by form feeds, by the `pypdf` package where it is installed."""
     try:
         import pypdf
     except ImportError:
@@ -267,47 +269,16 @@ def pdf_text(content: bytes) -> str:
         raise ValueError("encrypted")
     if len(reader.pages) > MOST_PAGES:
         raise ValueError("too_many_pages")
-    return reflow_pages([page.extract_text() or "" for page in reader.pages])
+    return PAGE.join((page.extract_text() or "").replace(PAGE, "\n") for page in reader.pages)
 
 
 def extract(files: DataFrame) -> DataFrame:
     """(path, kind, text, error) of files(path, content): exactly one of text and error is set."""
     run = F.udf(lambda k, c: _extract(k, c), "struct<text:string,error:string>", useArrow=True)
-    return files.select("path", X.route(F.col("path")).alias("kind"), "content").select("path", "kind", run("kind", "content").alias("x")).select("path", "kind", "x.text", "x.error")
+    rows = files.select("path", X.route(F.col("path")).alias("kind"), "content").select("path", "kind", run("kind", "content").alias("x"))
+    return rows.select("path", "kind", F.when(F.col("kind") == "pdf", reflow(F.split("x.text", PAGE))).otherwise(F.col("x.text")).alias("text"), "x.error")
 
 
 def first_error(extracted: DataFrame) -> DataFrame:
     """The first failing file in path order: it decides the outcome, whatever ran first."""
     return extracted.where("error is not null").orderBy("path").limit(1)
-
-
-def reflow_pages(pages: list[str]) -> str:
-    """Page texts of wrapped lines to paragraphs and headings. A line is a heading if the paragraph before it has ended, it has no
-    closing mark, at most 60 characters and under 0.7 of the longest line, and isn't a list item."""
-    import re
-
-    closing, item = re.compile(r"[.!?:;,。！？：；，、]$"), re.compile(r"^(?:\d+[.)]|[-*+•])\s")
-    cjk = re.compile(r"[ᄀ-ᇿ぀-ヿ㐀-鿿가-힯豈-﫿]")
-    out = []
-    for page in pages:
-        lines = [x.strip() for x in page.split("\n")]
-        longest = max(map(len, lines), default=0)
-        blocks: list[str] = []
-        held = ""
-        for line in lines:
-            if not line:
-                blocks, held = blocks + [held] * bool(held), ""
-            elif not held and not closing.search(line) and len(line) <= 60 and len(line) < 0.7 * longest and not item.match(line):
-                blocks.append(f"# {line}")
-            else:
-                glue = "" if not held or (cjk.match(held[-1]) and cjk.match(line[0])) else " "
-                held = held + glue + line
-                if re.search(r"[.!?。！？]$", line) and len(line) < 0.7 * longest:
-                    blocks, held = [*blocks, held], ""
-        out += blocks + [held] * bool(held)
-    return "\n\n".join(out)
-
-
-def reflow(pages):
-    """reflow_pages of an array column of page texts; null or empty gives ''."""
-    return F.udf(lambda p: reflow_pages([x or "" for x in p or []]), "string", useArrow=True)(pages)

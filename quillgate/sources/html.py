@@ -49,8 +49,13 @@ class _Tree(HTMLParser):
         self.at.kids.append(data)
 
 
+# What counts as white space, as in every other function of the library; Python's own class is another.
+WHITE = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+_RUN = re.compile(f"[{WHITE}]+")
+
+
 def _squeeze(s: str) -> str:
-    return " ".join(s.split())
+    return _RUN.sub(" ", s).strip(" ")
 
 
 def _inline(node, raw: bool = False) -> str:
@@ -128,7 +133,7 @@ def to_blocks(html: str) -> str:
         if node is None:  # the end of a breaking element
             flush()
         elif isinstance(node, str):
-            held.append(re.sub(r"\s+", " ", node))
+            held.append(node)  # line ends of the source stay line ends
         elif node.tag == "br":
             held.append("\n")
         elif re.fullmatch("h[1-6]", node.tag):
@@ -138,8 +143,8 @@ def to_blocks(html: str) -> str:
                 out.append("#" * int(node.tag[1]) + " " + text)
         elif node.tag == "pre":
             flush()
-            text = _inline(node, raw=True).strip("\n")
-            if text.strip():
+            text = _inline(node, raw=True).lstrip("\n").rstrip(WHITE)
+            if text:
                 out.append(f"```\n{text}\n```")
         elif node.tag == "table":
             flush()

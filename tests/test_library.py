@@ -8,7 +8,7 @@ from quillgate import catalog
 from quillgate.functions import text as X
 from quillgate.operators import gate, markers, segment
 from quillgate.plans.questions import CallCap, Calls, Scripted, evaluate
-from quillgate.sources.files import extract, first_error, limit_breaches, read_files, reflow_pages
+from quillgate.sources.files import extract, first_error, limit_breaches, read_files
 from quillgate.sources.html import to_blocks
 from quillgate.streaming.incremental import changed_rows
 
@@ -75,7 +75,7 @@ def test_assembly(spark):
 def test_html():
     assert "| a\\| b | c |" in to_blocks("<table><tr><th>a| b</th><th>c</th></tr><tr><td>only</td></tr></table>")
     assert to_blocks("<h1>T</h1><p>one<br>two</p><ul><li>x<ol><li>y</li></ol></li></ul><script>no</script><pre># k</pre>") == "# T\n\none\ntwo\n\n- x\n  1. y\n\n```\n# k\n```"
-    assert reflow_pages(["Heading\nthis line wraps over to the\nnext one."]) == "# Heading\n\nthis line wraps over to the next one."
+    assert to_blocks("<p>first line\nsecond&nbsp; line\n\n \u2003third</p><pre>\n\n  kept  in\n place  \n </pre><pre> \n</pre>") == "first line\nsecond line\nthird\n\n```\n  kept  in\n place\n```"
 
 
 def test_html_of_any_depth():

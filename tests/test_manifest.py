@@ -12,6 +12,9 @@ def test_frontmatter(spark):
     assert block("a-b", "x", "license: MIT", "allowed-tools: all", "metadata: {a: 1}", "compatibility: any")["unknown"] == [] and block("a", "x")["body"] == "rest"
     assert [block(*x)["problem"] for x in (("A", "x"), ("a--b", "x"), ("a" * 65, "x"), ("a", "' '"), ("a", "y" * 1025), ("a", '"\\x07"'))] == ["invalid_field"] * 6
     assert block("a", "🐝" * 512)["problem"] is None and block("a", "🐝" * 513)["problem"] == "invalid_field"
+    assert [block("a", x)["description"] for x in ("yes", "2024-05-01", "12:30", "no", "<<", "0o", "1_000")] == ["yes", "2024-05-01", "12:30", "no", "<<", "0o", "1_000"]
+    assert [block("a", x)["problem"] for x in ("true", "12", "0x1F", "0o17", "-1.5e3", ".inf", "~", "")] == ["invalid_field"] * 8
+    assert [block("a", "b", x)["problem"] for x in ("name: c", "metadata: {x: 1, x: 2}", "metadata: {x: 1, y: 1}")] == ["syntax", "syntax", None]
     files = spark.createDataFrame([("SKILL.md", "---\nname: a\ndescription: b\nextra: c\n---\n")], "path string, content string")
     assert [(r.severity, r.message) for r in M.frontmatter_issues(files).collect()] == [("warning", "unknown field extra")]
     assert [r.code for r in M.frontmatter_issues(files.limit(0)).collect()] == ["missing_frontmatter"]
