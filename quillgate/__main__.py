@@ -56,6 +56,7 @@ def _evaluate(spark, given, calls, config) -> int:
     from .plans import compiling, reports
     from .sinks import bundle
     from .sources import files as source_files
+    from .sources.documents import read_documents
 
     files, tables = bundle.read_bundle(spark, given.folder), bundle.manifest_tables(spark, given.folder)
     broken = compiling.stored_problems(tables).limit(5).collect()
@@ -64,7 +65,7 @@ def _evaluate(spark, given, calls, config) -> int:
         return 1
     sections = None
     if given.source:
-        listing = source_files.read_listed(spark, source_files.list_files(*given.source))
+        listing = read_documents(spark, *source_files.list_files(*given.source))
         sections = compiling.named_sections(source_files.extract(listing).select("path", "text"))
         found = compiling.gate.difference(tables["sections"], sections, "id", "sha256")
         print(reports.source_report(found) or reports.changed_note(found))

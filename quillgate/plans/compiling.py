@@ -17,6 +17,7 @@ from ..config import Config
 from ..functions import text as X
 from ..operators import gate, manifest, markers, rules, segment
 from ..sources import files as source_files
+from ..sources.documents import read_documents
 from .questions import Calls, data_block, evaluate
 from .reports import outline_report
 
@@ -219,7 +220,7 @@ def compile_documents(spark: SparkSession, paths: list[str], calls: Calls, confi
             raise CompileError("sources", str(e)) from e
         if not listed:
             raise CompileError("sources", f"no files at {', '.join(paths)}")
-        listing = source_files.read_listed(spark, listed)
+        listing = read_documents(spark, *listed, taskBytes=1 << 22)
     extracted = source_files.extract(listing).cache()  # at most MOST_TOTAL bytes; parsed once
     failed = source_files.first_error(extracted).first()
     if failed is not None:

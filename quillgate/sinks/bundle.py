@@ -1,43 +1,29 @@
 """Bundles on disk: publishing as a whole or not at all, reading back, and the folders they go to.
 
-A bundle is at most some hundred small files, so they pass through the driver; tables of any size are written by Spark itself.
+Files are written by the tasks that hold their rows and put in place by the driver, which sees their names alone.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import posixpath
 import re
-import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-MANIFEST = "manifest.json"
+from ..sources.documents import read_documents
+from .paths import MANIFEST, PublishError, relative_path  # noqa: F401
+from .staged import Bundle, checked_target, cleared, manifest_text
+
 # Where agents look for bundles, below the home folder.
 TARGETS = {"claude": ".claude/skills", "agents": ".agents/skills"}
 SLUG = re.compile(r"[a-z0-9]+(-[a-z0-9]+)*")
 
 
-class PublishError(ValueError):
-    """A refused target; `kind` is escapes, link, unsafe_slug or already_exists."""
-
-    def __init__(self, kind: str, message: str):
-        super().__init__(message)
-        self.kind = kind
-
-
-def relative_path(path: str) -> str:
-    """The path in normal form; refused if it is absolute, leaves the bundle or names the bundle itself."""
-    plain = posixpath.normpath(path.replace("\\", "/")) if path else "."
-    if plain in (".", "..") or plain.startswith(("/", "../")) or re.match(r"[A-Za-z]:", plain) or "\0" in plain:
-        raise PublishError("escapes", f"{path!r} does not lie below the bundle's folder")
-    return plain
-
-
 def safe_slug(slug: str) -> str:
     if not SLUG.fullmatch(slug) or len(slug) > 64:
         raise PublishError("unsafe_slug", f"{slug!r}: at most 64 lower-case letters, digits and single hyphens")
@@ -53,63 +39,38 @@ def rejected_folder(slug: str, parent: str | None = None) -> Path:
     return Path(tempfile.mkdtemp(prefix=f"quillgate-{safe_slug(slug)}-", dir=parent))
 
 
-def _write(root: Path, path: str, content: str) -> None:
-    place = root.joinpath(*path.split("/"))
-    place.parent.mkdir(parents=True, exist_ok=True)
-    if not place.parent.resolve().is_relative_to(root.resolve()):
-        raise PublishError("link", f"{path!r} leads out of the bundle's folder")
-    handle = os.open(place, os.O_WRONLY | os.O_CREAT | os.O_EXCL | getattr(os, "O_NOFOLLOW", 0), 0o644)
-    with os.fdopen(handle, "w", encoding="utf-8", newline="") as f:
-        f.write(content)
-
-
 def publish(files: DataFrame, manifest: dict, folder: str | Path, force: bool = False) -> Path:
-    """files(path, content) and the manifest as the folder's whole content, or the folder as it was.
+    """files(path, content) and the manifest as the folder's whole content, or the folder as it was: `staged` says how.
 
-    All is written to a neighbouring folder first, which then takes the place by renaming. Without `force`, a folder that holds
-    anything is refused. With it the previous content goes as a whole, and comes back if the renaming fails.
+    Without `force`, a folder that holds anything is refused. With it the previous content goes as a whole, and comes back if the renaming fails.
     """
-    target = Path(folder).absolute()
-    rows = [(relative_path(r["path"]), r["content"]) for r in files.select("path", "content").toLocalIterator()]
-    rows.append((MANIFEST, json.dumps(manifest, indent=2, ensure_ascii=False) + "\n"))
-    for place in (target, *target.parents):
-        if place.is_symlink() and not place.resolve().is_dir():
-            raise PublishError("link", f"{place} leads nowhere")
-    if target.is_symlink():
-        raise PublishError("link", f"{target} is a link")
-    target = target.parent.resolve() / target.name  # what stands above is pinned before anything is written
-    if not force and target.exists() and (not target.is_dir() or any(target.iterdir())):
-        raise PublishError("already_exists", f"{target} exists and is not empty")
-    target.parent.mkdir(parents=True, exist_ok=True)
+    target = checked_target(folder, force)
+    files.sparkSession.dataSource.register(Bundle)
     token = uuid.uuid4().hex[:12]
-    fresh, previous = (target.with_name(f".{target.name}.{part}-{token}") for part in ("new", "old"))
-    fresh.mkdir()
+    writer = files.select("path", "content").write.format(Bundle.name()).option("manifest", manifest_text(manifest)).option("token", token)
     try:
-        for path, content in rows:
-            _write(fresh, path, content)
-        moved = target.exists() and force
-        if moved:
-            target.rename(previous)
-        try:
-            fresh.rename(target)  # an empty folder is replaced, one that has filled up meanwhile refuses
-        except OSError as e:
-            if moved:
-                previous.rename(target)
-            raise PublishError("already_exists", f"{target} could not be replaced: {e}") from e
+        writer.mode("overwrite" if force else "append").save(str(target))
+    except PySparkException as e:
+        told = re.search(r"PublishError: \[(\w+)\] (.*)", str(e))
+        if not told:
+            raise
+        raise PublishError(told[1], told[2]) from e
     finally:
-        shutil.rmtree(fresh, ignore_errors=True)
-    if moved:
-        shutil.rmtree(previous, ignore_errors=True)
+        cleared(target, token)  # a sink is not always told that its job has failed
     return target
 
 
 def read_bundle(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) of a bundle's files, paths relative to it, the manifest left out."""
+    """(path, content) of a bundle's files, paths relative to it, the manifest left out. On a local disk all files are read, empty and hidden ones too; other
+    stores are read by Spark's own listing, which leaves those out."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(folder))
     full = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(full)
+    if full.startswith("file:"):
+        found = read_documents(spark, re.sub("^file:/+", "/", full), mostFiles=1 << 20, mostEach=1 << 30, mostTotal=1 << 40)
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(full)
     shown = found.selectExpr("regexp_replace(path, '^[a-z]+:/+', '/') AS at", "decode(content, 'UTF-8') AS content")
-    start = len(re.sub("^[a-z]+:/+", "/", full)) + 2
+    start = len(os.path.realpath(re.sub("^file:/+", "/", full)) if full.startswith("file:") else re.sub("^[a-z]+:/+", "/", full)) + 2
     return shown.selectExpr(f"substring(at, {start}) AS path", "content").where(f"path <> '{MANIFEST}'")
 
 

@@ -6,6 +6,7 @@ import io
 import signal
 import threading
 import zipfile
+from typing import Iterator
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,14 +36,13 @@ class ListingError(ValueError):
         self.kind, self.path = kind, path
 
 
-def list_files(*paths: str, most_files: int = MOST_FILES, most_each: int = MOST_EACH, most_total: int = MOST_TOTAL) -> list[str]:
-    """Real paths of the files given and of all below the folders given. A given path may be a link; below it links and whatever is no plain
+def listed_files(*paths: str, most_files: int = MOST_FILES, most_each: int = MOST_EACH, most_total: int = MOST_TOTAL) -> Iterator[tuple[str, int]]:
+    """(real path, size) of the files given and of all below the folders given, folder by folder. A given path may be a link; below it links and whatever is no plain
     file are refused. Limits are held by the sizes in the listing, before any file is opened."""
     import os
     import stat
 
-    out: list[str] = []
-    total = 0
+    count = total = 0
     for given in paths:
         waiting = [os.path.realpath(given, strict=True)]
         while waiting:
@@ -55,39 +55,21 @@ def list_files(*paths: str, most_files: int = MOST_FILES, most_each: int = MOST_
                 continue
             if not stat.S_ISREG(found.st_mode):
                 raise ListingError("not_a_file", path)
-            total += found.st_size
-            for kind, over in (("too_many", len(out) >= most_files), ("too_large", found.st_size > most_each), ("total_too_large", total > most_total)):
+            count, total = count + 1, total + found.st_size
+            for kind, over in (("too_many", count > most_files), ("too_large", found.st_size > most_each), ("total_too_large", total > most_total)):
                 if over:
                     raise ListingError(kind, path)
-            out.append(path)
-    return out
-
-
-def read_listed(spark: SparkSession, files: list[str], most_each: int = MOST_EACH, slots: int = 4) -> DataFrame:
-    """(path, length, content) of files named by list_files, hidden ones too, read by `slots` tasks on machines that see the paths. No link is followed, and a
-    file that has grown past `most_each` since its listing fails."""
-
-    def run(batches):
-        import os
-
-        import pyarrow as pa
+            yield path, found.st_size
 
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                handle = os.open(path, os.O_RDONLY | getattr(os, "O_NOFOLLOW", 0))
-                with os.fdopen(handle, "rb") as f:
-                    content = f.read(most_each + 1)
-                if len(content) > most_each:
-                    raise ListingError("too_large", path)
-                yield pa.RecordBatch.from_pydict({"path": [path], "length": [len(content)], "content": [content]})
 
-    named = spark.createDataFrame([(f,) for f in files], "path string")
-    return named.repartition(max(1, min(slots, len(files)))).mapInArrow(run, "path string, length long, content binary")
+def list_files(*paths: str, **limits: int) -> list[str]:
+    """The paths of `listed_files`, all of them or an error."""
+    return [path for path, _ in listed_files(*paths, **limits)]
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, length, content): files and folders on any store that Spark reads, walked. Spark leaves out names that begin with . or _; on a local
-    disk `list_files` and `read_listed` hold the whole policy for listings."""
+    disk the data source in `documents` holds the whole policy for listings."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("path", "length", "content")
 
 

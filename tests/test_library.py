@@ -114,7 +114,7 @@ def test_docx():
 
 
 def test_listing(spark, tmp_path):
-    from quillgate.sources import files
+    from quillgate.sources import documents, files
 
     (tmp_path / "d" / ".git").mkdir(parents=True)
     (tmp_path / "d" / "node_modules").mkdir()
@@ -122,7 +122,7 @@ def test_listing(spark, tmp_path):
         (tmp_path / name).write_text("# A\n\nB.")
     found = files.list_files(str(tmp_path))
     assert [f.removeprefix(str(tmp_path.resolve())) for f in found] == ["/a.md", "/d/.hidden.md", "/d/_b.md", "/d/z.md"]
-    assert {r.path: bytes(r.content) for r in files.read_listed(spark, found).collect()} == {f: b"# A\n\nB." for f in found}
+    assert {r.path: bytes(r.content) for r in documents.read_documents(spark, *found).collect()} == {f: b"# A\n\nB." for f in found}
     for kind, limits in (("too_many", {"most_files": 3}), ("too_large", {"most_each": 3}), ("total_too_large", {"most_total": 20})):
         with pytest.raises(files.ListingError) as e:
             files.list_files(str(tmp_path), **limits)
