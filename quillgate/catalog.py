@@ -344,6 +344,31 @@ def pdf_reflow(t):
     return t("documents").where("text is not null").select("doc_id", reflow(F.array(F.lit("One"), wrapped)).alias("text"))
 
 
+@query(r"""WITH c AS (SELECT o_custkey AS bundle, o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders),
+f AS (SELECT *, 'chapters/ch' || CASE WHEN pos < 10 THEN '0' ELSE '' END || pos || '-order-' || k || '.md' AS path FROM c),
+b AS (SELECT c_custkey AS bundle, c_name AS title, c_custkey % 2 = 0 AS verified FROM customer),
+i AS (SELECT bundle, string_agg('- `' || path || '` — Order ' || k || ' (source sections: ' || p || ')', chr(10) ORDER BY pos) AS t FROM f GROUP BY bundle),
+g AS (SELECT bundle, p, arg_min(k, pos) AS k, string_agg('`' || path || '`', ', ' ORDER BY pos) AS files FROM f GROUP BY bundle, p),
+t AS (SELECT bundle, string_agg('**' || p || '** — of order ' || k || ' (' || files || ')', chr(10) || chr(10) ORDER BY p) AS t FROM g GROUP BY bundle),
+r AS (SELECT bundle, string_agg('- Keep ' || k || '. (`' || path || '`)', chr(10) ORDER BY pos) AS t, '## Patterns' || chr(10) || chr(10) || string_agg('- status ' || s || ' (`' || path || '`)', chr(10) ORDER BY pos) AS u FROM f GROUP BY bundle),
+a AS (SELECT bundle, 'SKILL.md' AS path, '---' || chr(10) || 'name: "customer-' || bundle || '"' || chr(10) || 'description: "' || title || '"' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10)
+  || CASE WHEN verified THEN '' ELSE '> ⚠️ **unverified** — this bundle did not pass the question gate. Its accuracy has not been verified.' || chr(10) || chr(10) END || '## Chapter index' || chr(10) || chr(10) || coalesce(i.t, '') || chr(10) || chr(10)
+  || array_to_string(['## Reference files', '', '- `glossary.md` — key terms', '- `patterns.md` — techniques, procedures, anti-patterns', '- `cheatsheet.md` — decision tables and quick rules', ''], chr(10)) AS content FROM b LEFT JOIN i USING (bundle)
+UNION ALL SELECT bundle, path, '**' || p || '** — of order ' || k || chr(10) || '- [PATTERN] status ' || s || chr(10) || '- [RULE] Keep ' || k || '.' || chr(10) FROM f
+UNION ALL SELECT bundle, 'glossary.md', '# Glossary' || chr(10) || chr(10) || coalesce(t, '(no terms extracted.)') || chr(10) FROM b LEFT JOIN t USING (bundle)
+UNION ALL SELECT bundle, 'patterns.md', '# Patterns' || chr(10) || chr(10) || coalesce(u, '(no patterns extracted.)') || chr(10) FROM b LEFT JOIN r USING (bundle)
+UNION ALL SELECT bundle, 'cheatsheet.md', '# Cheatsheet' || chr(10) || chr(10) || coalesce(t, '(no rules extracted.)') || chr(10) FROM b LEFT JOIN r USING (bundle))
+SELECT bundle, path, sha256(content) AS sha, ceil(length(content) / 4.0)::BIGINT AS est_tokens FROM a""")
+def assemble_bundles(t):
+    """A bundle of every customer, a chapter of every order, all in one plan; customers without orders have bundles without chapters."""
+    key = F.col("o_orderkey").cast("string")
+    body = F.concat(F.lit("**"), "o_orderpriority", F.lit("** — of order "), key, F.lit("\n- [PATTERN] status "), "o_orderstatus", F.lit("\n- [RULE] Keep "), key, F.lit("."))
+    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    chapters = t("orders").select(F.col("o_custkey").alias("bundle"), pos.alias("chapter_pos"), F.concat(F.lit("Order "), key).alias("title"), F.array("o_orderpriority").alias("section_ids"), body.alias("body"))
+    bundles = t("customer").select(F.col("c_custkey").alias("bundle"), F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("slug"), F.col("c_name").alias("title"), (F.col("c_custkey") % 2 == 0).alias("verified"))
+    return markers.assemble_many(bundles, chapters).select("bundle", "path", F.sha2("content", 256).alias("sha"), "est_tokens")
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE 'changed' END AS state FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0""")
 def incremental_rows(t):
     docs = t("documents").select("doc_id", "text")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,31 +16,38 @@ TERM_LINE = r"\A\*\*(.+?)\*\*\s*—\s*(.+)\z"
 KIND_LINE = r"(?i)\A-\s*\[(PATTERN|ANTI-PATTERN|PROCEDURE|RULE)\]\s*(.+)\z"
 
 
+def _bundle(df: DataFrame) -> list[str]:
+    """The key that tells bundles apart, where a table has one."""
+    return [c for c in ("bundle",) if c in df.columns]
+
+
 def marker_lines(chapters: DataFrame) -> DataFrame:
-    """(chapter_pos, line_pos, kind, term, text, chapter_file) of chapters(chapter_pos, chapter_file, body)."""
-    lines = chapters.select("chapter_pos", "chapter_file", F.posexplode(F.split("body", "\n")).alias("line_pos", "line")).withColumn("line", X.trim(F.col("line")))
+    """(chapter_pos, line_pos, kind, term, text, chapter_file) of chapters(chapter_pos, chapter_file, body); a column `bundle` stays."""
+    key = _bundle(chapters)
+    lines = chapters.select(*key, "chapter_pos", "chapter_file", F.posexplode(F.split("body", "\n")).alias("line_pos", "line")).withColumn("line", X.trim(F.col("line")))
     term, definition = (F.regexp_extract("line", TERM_LINE, k) for k in (1, 2))
     kind = F.upper(F.regexp_extract("line", KIND_LINE, 1))
     said = F.regexp_extract("line", KIND_LINE, 2)
     out = lines.select(
-        "chapter_pos", "line_pos", F.when(term != "", "GLOSSARY").when(kind != "", kind).alias("kind"), F.when(term != "", X.trim(term)).alias("term"),
+        *key, "chapter_pos", "line_pos", F.when(term != "", "GLOSSARY").when(kind != "", kind).alias("kind"), F.when(term != "", X.trim(term)).alias("term"),
         X.trim(F.when(term != "", definition).otherwise(said)).alias("text"), "chapter_file",
     )
     return out.where("kind is not null")
 
 
 def glossary(markers: DataFrame) -> DataFrame:
-    """(term, definition, chapters): the first definition of each term, its chapters in first-seen order."""
+    """(term, definition, chapters): the first definition of each term, its chapters in first-seen order; by `bundle` where there is one."""
     rows = markers.where("kind = 'GLOSSARY'").withColumn("pos", F.struct("chapter_pos", "line_pos"))
     seen = F.transform(F.array_sort(F.collect_set(F.struct("chapter_pos", "chapter_file"))), lambda x: x["chapter_file"])
-    return rows.groupBy("term").agg(F.min_by("text", "pos").alias("definition"), F.array_distinct(seen).alias("chapters"))
+    return rows.groupBy(*_bundle(markers), "term").agg(F.min_by("text", "pos").alias("definition"), F.array_distinct(seen).alias("chapters"))
 
 
 def grouped(markers: DataFrame, entry, kinds: tuple[str, ...] = ("PATTERN", "PROCEDURE", "ANTI-PATTERN")) -> DataFrame:
-    """(rank, kind, n, text): per kind in the given order its entries (a column) as lines in order of the markers; kinds without any are left out."""
+    """(rank, kind, n, text): per kind in the given order its entries (a column) as lines in order of the markers; kinds without any are left out. By `bundle`
+    where there is one."""
     rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")).cast("int")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("chapter_pos", "line_pos", entry.alias("v")))), lambda x: x["v"])
-    return markers.where(F.col("kind").isin(*kinds)).groupBy(rank.alias("rank"), "kind").agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("text"))
+    return markers.where(F.col("kind").isin(*kinds)).groupBy(*_bundle(markers), rank.alias("rank"), "kind").agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("text"))
 
 
 @dataclass(frozen=True)
@@ -52,40 +58,52 @@ class Bundle:
 
 
 def assemble(bundle: Bundle, chapters: DataFrame) -> DataFrame:
-    """(file_pos, path, content, est_tokens) from chapters(chapter_pos, title, section_ids, body): index, chapters, glossary, patterns, rules.
+    """(rank, chapter_pos, path, content, est_tokens) of one bundle's chapters(chapter_pos, title, section_ids, body): `assemble_many` for a single key."""
+    one = chapters.sparkSession.range(1).select(F.lit(0).alias("bundle"), F.lit(bundle.slug).alias("slug"), F.lit(bundle.title).alias("title"), F.lit(bundle.verified).alias("verified"))
+    return assemble_many(one, chapters.withColumn("bundle", F.lit(0))).drop("bundle")
+
+
+# What stands in the files of a bundle besides its chapters.
+UNVERIFIED = "> ⚠️ **unverified** — this bundle did not pass the question gate. Its accuracy has not been verified.\n\n"
+REFERENCES = "\n## Reference files\n\n- `glossary.md` — key terms\n- `patterns.md` — techniques, procedures, anti-patterns\n- `cheatsheet.md` — decision tables and quick rules"
+LISTINGS = {"glossary.md": (2, "Glossary", "no terms extracted."), "patterns.md": (3, "Patterns", "no patterns extracted."), "cheatsheet.md": (4, "Cheatsheet", "no rules extracted.")}
+KIND_TITLES = {"PATTERN": "Patterns", "PROCEDURE": "Procedures", "ANTI-PATTERN": "Anti-patterns"}
+
+
+def assemble_many(bundles: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(bundle, rank, chapter_pos, path, content, est_tokens): all files of all bundles(bundle, slug, title, verified) from
+    chapters(bundle, chapter_pos, title, section_ids, body): index, chapters, glossary, patterns, rules.
 
-    One bundle is a handful of files, so each listing is one ordered aggregate of its markers.
+    Any number of bundles go through one plan: markers are grouped by bundle, so what one task holds is one bundle's listing. A bundle without chapters
+    has the index and empty listings.
     """
     rows = chapters.select("*", X.chapter_path(F.col("chapter_pos"), F.col("title")).alias("chapter_file"))
     found = marker_lines(rows)
     joined = lambda value, *order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, value.alias("v")))), lambda x: x["v"]), "\n")
     ticks = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
-    head = ["---", f"name: {json.dumps(bundle.slug, ensure_ascii=False)}", f"description: {json.dumps(bundle.title, ensure_ascii=False)}", "---", "", f"# {bundle.title}", ""]
-    if not bundle.verified:
-        head += ["> ⚠️ **unverified** — this bundle did not pass the question gate. Its accuracy has not been verified.", ""]
-    head += ["## Chapter index", ""]
-    tail = ["", "## Reference files", "", "- `glossary.md` — key terms", "- `patterns.md` — techniques, procedures, anti-patterns", "- `cheatsheet.md` — decision tables and quick rules"]
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"(?s)\A\[(.*)\]\z", "$1")
     entry = F.concat(F.lit("- "), ticks(F.col("chapter_file")), F.lit(" — "), F.col("title"), F.lit(" (source sections: "), F.array_join("section_ids", ", "), F.lit(")"))
-    index = rows.agg(F.concat_ws("\n", F.lit("\n".join(head)), joined(entry, "chapter_pos"), F.lit("\n".join(tail))).alias("content")).select(F.lit(0).alias("rank"), F.lit(0).alias("chapter_pos"), F.lit("SKILL.md").alias("path"), "content")
-    bodies = rows.select(F.lit(1).alias("rank"), "chapter_pos", F.col("chapter_file").alias("path"), F.col("body").alias("content"))
-
-    def listing(rank: int, path: str, title: str, empty: str, text) -> DataFrame:
-        content = F.when(text.isNull() | (text == ""), F.lit(f"# {title}\n\n({empty})")).otherwise(F.concat(F.lit(f"# {title}\n\n"), text))
-        return lambda df: df.agg(content.alias("content")).select(F.lit(rank).alias("rank"), F.lit(0).alias("chapter_pos"), F.lit(path).alias("path"), "content")
-
-    words = glossary(found)
-    term = F.concat(F.lit("**"), F.col("term"), F.lit("** — "), F.col("definition"), F.lit(" ("), F.array_join(F.transform("chapters", ticks), ", "), F.lit(")\n"))
-    words = words.withColumn("o", F.collate("term", "UNICODE"))
-    terms = listing(2, "glossary.md", "Glossary", "no terms extracted.", X.trim(joined(term, "o", "term")))(words)
     line = F.concat(F.lit("- "), F.col("text"), F.lit(" ("), ticks(F.col("chapter_file")), F.lit(")"))
-    title = F.element_at(F.create_map(*[F.lit(x) for pair in (("PATTERN", "Patterns"), ("PROCEDURE", "Procedures"), ("ANTI-PATTERN", "Anti-patterns")) for x in pair]), F.col("kind"))
-    groups = grouped(found, line).select("rank", F.concat(F.lit("## "), title, F.lit("\n\n"), F.col("text")).alias("v"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "v"))), lambda x: x["v"]), "\n\n")
-    patterns = listing(3, "patterns.md", "Patterns", "no patterns extracted.", text)(groups)
-    rules = listing(4, "cheatsheet.md", "Cheatsheet", "no rules extracted.", joined(line, "chapter_pos", "line_pos"))(found.where("kind = 'RULE'"))
-    files = index.unionByName(bodies).unionByName(terms).unionByName(patterns).unionByName(rules)
+    term = F.concat(F.lit("**"), F.col("term"), F.lit("** — "), F.col("definition"), F.lit(" ("), F.array_join(F.transform("chapters", ticks), ", "), F.lit(")\n"))
+    title = F.element_at(F.create_map(*[F.lit(x) for pair in KIND_TITLES.items() for x in pair]), F.col("kind"))
+    groups = grouped(found, line).select("bundle", "rank", F.concat(F.lit("## "), title, F.lit("\n\n"), F.col("text")).alias("v"))
+    texts = {
+        "glossary.md": glossary(found).withColumn("o", F.collate("term", "UNICODE")).groupBy("bundle").agg(X.trim(joined(term, "o", "term")).alias("text")),
+        "patterns.md": groups.groupBy("bundle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "v"))), lambda x: x["v"]), "\n\n").alias("text")),
+        "cheatsheet.md": found.where("kind = 'RULE'").groupBy("bundle").agg(joined(line, "chapter_pos", "line_pos").alias("text")),
+    }
+    file = lambda rank, path, content: (F.lit(rank).alias("rank"), F.lit(0).alias("chapter_pos"), F.lit(path).alias("path"), content.alias("content"))
+    head = F.concat(
+        F.lit("---\nname: "), quoted(F.col("slug")), F.lit("\ndescription: "), quoted(F.col("title")), F.lit("\n---\n\n# "), F.col("title"), F.lit("\n\n"),
+        F.when(F.col("verified"), F.lit("")).otherwise(F.lit(UNVERIFIED)), F.lit("## Chapter index\n\n"), F.coalesce("entries", F.lit("")), F.lit("\n" + REFERENCES),
+    )
+    index = bundles.join(rows.groupBy("bundle").agg(joined(entry, "chapter_pos").alias("entries")), "bundle", "left").select("bundle", *file(0, "SKILL.md", head))
+    files = index.unionByName(rows.select("bundle", F.lit(1).alias("rank"), "chapter_pos", F.col("chapter_file").alias("path"), F.col("body").alias("content")))
+    for path, (rank, name, empty) in LISTINGS.items():
+        text = F.when(F.coalesce("text", F.lit("")) == "", F.lit(f"({empty})")).otherwise(F.col("text"))
+        files = files.unionByName(bundles.select("bundle").join(texts[path], "bundle", "left").select("bundle", *file(rank, path, F.concat(F.lit(f"# {name}\n\n"), text))))
     content = F.when(F.col("content").endswith("\n"), F.col("content")).otherwise(F.concat("content", F.lit("\n")))
-    return files.select("rank", "chapter_pos", "path", content.alias("content")).withColumn("est_tokens", X.estimate_tokens(F.col("content")))
+    return files.select("bundle", "rank", "chapter_pos", "path", content.alias("content")).withColumn("est_tokens", X.estimate_tokens(F.col("content")))
 
 
 def over_budget(files: DataFrame) -> DataFrame:
