@@ -129,6 +129,15 @@ def namespace_ids(t):
     return t("documents").select("doc_id", segment.namespaced(F.col("source"), F.col("doc_id").cast("string")).alias("id"))
 
 
+@query(r"""WITH p AS (SELECT '/srv/shared/' || source || '/Doc ' || (doc_id % 200) || '.e' || (doc_id // 200) AS path FROM documents WHERE source IS NOT NULL),
+s AS (SELECT path, regexp_replace(lower(regexp_replace(regexp_replace(path, '^/srv/shared/', ''), '\.[^.]+$', '')), '[^a-z0-9]+', '-', 'g') AS slug FROM p)
+SELECT path, slug || CASE WHEN row_number() OVER (PARTITION BY slug ORDER BY path) = 1 THEN '' ELSE '-' || row_number() OVER (PARTITION BY slug ORDER BY path) END AS prefix FROM s""")
+def name_space_prefixes(t):
+    """A path of every document below a folder that all share; every slug is that of several paths."""
+    path = F.concat(F.lit("/srv/shared/"), "source", F.lit("/Doc "), (F.col("doc_id") % 200).cast("string"), F.lit(".e"), F.floor(F.col("doc_id") / 200).cast("string"))
+    return segment.name_spaces(t("documents").where("source is not null").select(path.alias("path")))
+
+
 @query("SELECT doc_id, sha256(text) AS sha FROM documents")
 def content_hash(t):
     return t("documents").select("doc_id", F.sha2("text", 256).alias("sha"))

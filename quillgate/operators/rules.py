@@ -50,50 +50,72 @@ def plan_violations(plan: DataFrame, chapters: DataFrame) -> DataFrame:
     )
 
 
+def _facts(df: DataFrame, space: str, key, **measures) -> DataFrame:
+    """(space, key, measures): what the rows of a table say about their key and, as space 'all', about the whole; read once for both."""
+    rows = df.select(key.cast("string").alias("key"), *[m.alias(n) for n, m in measures.items()])
+    at = F.explode(F.array(F.struct(F.lit(space).alias("space"), F.col("key").alias("key")), F.struct(F.lit("all").alias("space"), F.lit("all").alias("key"))))
+    return rows.select(at.alias("at"), *measures).select("at.*", *measures)
+
+
+def _judged(facts: list[DataFrame], rules: list[tuple], maxima: tuple[str, ...] = ()) -> DataFrame:
+    """(rule, subject) by one aggregate of the union of keyed facts. A rule is (space, name, how many rows it gives for a key as a column of the summed facts[, what they
+    name as their subject instead of the key])."""
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), facts)
+    sums = [(F.max(c) if c in maxima else F.coalesce(F.sum(c), F.lit(0))).alias(c) for c in union.columns if c not in ("space", "key")]
+    total = union.groupBy("space", "key").agg(*sums)
+    broken = F.array(*[F.when(F.col("space") == space, F.struct(F.lit(name).alias("rule"), F.coalesce(count, F.lit(1)).cast("long").alias("n"), (subject[0] if subject else F.col("key")).alias("subject"))) for space, name, count, *subject in rules])
+    found = total.select(F.explode(F.filter(broken, lambda r: r.isNotNull() & (r["n"] > 0))).alias("r"))
+    return found.select("r.rule", "r.subject", F.explode(F.sequence(F.lit(1).cast("long"), F.col("r.n")))).select("rule", "subject")
+
+
+def _flag(condition):
+    """1 where a condition holds or can't be told, else 0."""
+    return F.coalesce(condition, F.lit(True)).cast("long")
+
+
 def question_violations(questions: DataFrame) -> DataFrame:
-    """(rule, subject) of questions(qa_id, section_id, question, ref_answer, anchor_quote)."""
-    fields = [_broken(questions, ~(X.utf16_length(F.col(c)).between(1, MOST_FIELD) & X.is_multi_line(F.col(c))), f"{c} empty, long or with control characters", "qa_id") for c in ("question", "ref_answer", "anchor_quote")]
-    many = questions.agg(F.count("*").alias("n")).where(f"n > {MOST_QUESTIONS}").select(F.lit("too many questions").alias("rule"), F.col("n").cast("string").alias("subject"))
-    return _all(*fields, many, _again(questions, "qa_id", "question listed twice"))
+    """(rule, subject) of questions(qa_id, section_id, question, ref_answer, anchor_quote); the table is read once."""
+    fields = ("question", "ref_answer", "anchor_quote")
+    bad = {c: _flag(~(X.utf16_length(F.col(c)).between(1, MOST_FIELD) & X.is_multi_line(F.col(c)))) for c in fields}
+    per_key = [("qa", f"{c} empty, long or with control characters", F.col(c)) for c in fields]
+    many = ("all", "too many questions", (F.col("n") > MOST_QUESTIONS).cast("long"), F.col("n").cast("string"))
+    return _judged([_facts(questions, "qa", F.col("qa_id"), n=F.lit(1).cast("long"), **bad)], [*per_key, ("qa", "question listed twice", (F.col("n") > 1).cast("long")), many])
 
 
 def gate_violations(per_chapter: DataFrame, coverage: DataFrame, failures: DataFrame, history: DataFrame, summary: DataFrame) -> DataFrame:
     """(rule, subject) of a gate's tables: per_chapter(file, asked, correct), coverage(section_id, requested, generated),
     failures(qa_id, reason), history(qa_id) and summary(pass_rate, threshold, passed), one row.
 
-    The totals of all five tables are summed in one aggregate of their union, whatever their sizes.
+    Each table is read once: its rows say what they say about their key and about the whole, and one aggregate of all these facts answers every rule.
     """
-    graded = failures.where("reason <> 'qa_generation_failed'")
-    measures = ["asked", "correct", "graded", "loads", "uncovered"]
-    parts = [
-        per_chapter.select("asked", "correct"), graded.select(F.lit(1).alias("graded")), history.select(F.lit(1).alias("loads")),
-        coverage.where("generated = 0").select(F.lit(1).alias("uncovered")), summary.select("pass_rate", "threshold", "passed"),
+    one, whole = F.lit(1).cast("long"), lambda c: F.col(c).cast("long")
+    ungenerated = F.coalesce(F.col("reason") == "qa_generation_failed", F.lit(False)).cast("long")
+    open_ = (F.col("generated") == 0).cast("long")
+    at = lambda space, key: F.struct(F.lit(space).alias("space"), key.cast("string").alias("key"))
+    spots = F.array(at("section", F.col("section_id")), at("qa", F.when(open_ == 1, F.concat("section_id", F.lit("-q0")))), at("all", F.lit("all")))
+    sections = coverage.select(F.explode(spots).alias("at"), "requested", "generated")
+    sections = sections.select("at.*", (F.col("at.space") == "section").cast("long").alias("covered"), F.when(F.col("at.space") == "section", _flag(F.col("generated") > F.col("requested"))).otherwise(0).alias("beyond"), open_.alias("uncovered"))
+    facts = [
+        _facts(per_chapter, "chapter", F.col("file"), chapters=one, excess=_flag(F.col("correct") > F.col("asked")), asked=whole("asked"), correct=whole("correct")),
+        _facts(failures, "qa", F.col("qa_id"), failed=one, graded=1 - ungenerated, ungenerated=ungenerated),
+        _facts(history, "qa", F.col("qa_id"), loads=one),
+        sections.where("space <> 'qa' or key is not null"),
+        _facts(summary, "summary", F.lit("all"), judged=one, pass_rate=F.col("pass_rate"), threshold=F.col("threshold"), passed=whole("passed")),
     ]
-    total = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).agg(
-        *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures], F.max("pass_rate").alias("pass_rate"), F.max("threshold").alias("threshold"), F.bool_or("passed").alias("passed"), F.lit("all").alias("what")
-    )
-    total = total.where("passed is not null")
+    there = lambda condition: F.when((F.col("judged") > 0) & F.col("passed").isNotNull(), _flag(condition)).otherwise(0)
     rate = pass_rate(F.col("correct"), F.col("asked"))
     said = (F.col("asked") > 0) & (F.col("pass_rate") >= F.col("threshold") - EPSILON) & (F.col("uncovered") == 0)
-    named = lambda df, c: df.select(F.col(c).alias("subject"))
-    return _all(
-        _broken(per_chapter, F.col("correct") > F.col("asked"), "more correct than asked", "file"),
-        _again(per_chapter, "file", "chapter counted twice"),
-        _again(history, "qa_id", "question loaded twice"),
-        _again(failures, "qa_id", "failure listed twice"),
-        _again(coverage, "section_id", "section covered twice"),
-        _broken(coverage, F.col("generated") > F.col("requested"), "more generated than requested", "section_id"),
-        graded.join(history, "qa_id", "left_anti").select(F.lit("failure never loaded").alias("rule"), F.col("qa_id").alias("subject")),
-        _apart(
-            named(coverage.where("generated = 0").select(F.concat("section_id", F.lit("-q0")).alias("q")), "q"), named(failures.where("reason = 'qa_generation_failed'"), "qa_id"),
-            "sections without questions and their failures differ",
-        ),
-        _broken(total, F.col("asked") != F.col("loads"), "asked differs from loads", "what"),
-        _broken(total, F.col("correct") != F.col("asked") - F.col("graded"), "correct differs from asked less failures", "what"),
-        _broken(total, F.abs(F.col("pass_rate") - rate) > EPSILON, "pass rate differs from the counts", "what"),
-        _broken(total, ~F.col("threshold").between(0.5, 1.0), "threshold outside 0.5 to 1", "what"),
-        _broken(total, F.col("passed") != said, "verdict contradicts the counts", "what"),
-    )
+    more = lambda c: (F.col(c) > 1).cast("long")
+    rules = [
+        ("chapter", "more correct than asked", F.col("excess")), ("chapter", "chapter counted twice", more("chapters")), ("qa", "question loaded twice", more("loads")),
+        ("qa", "failure listed twice", more("failed")), ("section", "section covered twice", more("covered")), ("section", "more generated than requested", F.col("beyond")),
+        ("qa", "failure never loaded", F.when(F.col("loads") == 0, F.col("graded")).otherwise(0)),
+        ("qa", "sections without questions and their failures differ", ((F.col("uncovered") > 0) != (F.col("ungenerated") > 0)).cast("long")),
+        ("all", "asked differs from loads", there(F.col("asked") != F.col("loads"))), ("all", "correct differs from asked less failures", there(F.col("correct") != F.col("asked") - F.col("graded"))),
+        ("all", "pass rate differs from the counts", there(F.abs(F.col("pass_rate") - rate) > EPSILON)), ("all", "threshold outside 0.5 to 1", there(~F.col("threshold").between(0.5, 1.0))),
+        ("all", "verdict contradicts the counts", there((F.col("passed") == 1) != said)),
+    ]
+    return _judged(facts, rules, maxima=("pass_rate", "threshold", "passed"))
 
 
 def manifest_gate_violations(sections: DataFrame, questions: DataFrame, per_chapter: DataFrame, coverage: DataFrame, history: DataFrame) -> DataFrame:

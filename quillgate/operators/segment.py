@@ -149,29 +149,32 @@ def _ids_by_fold(rows: DataFrame, key: str) -> DataFrame:
     return listed.select(key, "heads", ids.alias("ids")).select(key, F.explode(F.arrays_zip(F.col("heads.sec_pos").alias("sec_pos"), F.col("ids").alias("id"))).alias("x")).select(key, "x.sec_pos", "x.id")
 
 
-def name_space_prefixes(paths: list[str]) -> list[str]:
-    """Slugs of the paths below their longest common folder, without extension, made unique; nothing for one path."""
-    if len(paths) <= 1:
-        return [""] * len(paths)
-    import re
-
-    split = [re.split(r"[\\/]+", p) for p in paths]
-    common = 0
-    while all(len(s) > common + 1 for s in split) and len({s[common] for s in split}) == 1:
-        common += 1
-    used: set[str] = set()
-    out = []
-    for s in split:
-        tail = "/".join(s[common:])
-        tail = re.sub(r"^(.+)\.[^.]+$", r"\1", tail)
-        base = re.sub(r"[\W_]+", "-", tail.strip().lower()).strip("-")[:60].rstrip("-") or "section"
-        name, n = base, 1
-        while name in used:
-            n += 1
-            name = f"{base}-{n}"
-        used.add(name)
-        out.append(name)
-    return out
+def unique_names(rows: DataFrame, base: str, order: str, name: str = "name") -> DataFrame:
+    """rows with `name`: their base, or the first of base-2, base-3, ... that no row before them in `order` has. Names can only meet within a family, bases alike but for
+    numbers at their end, so families are the partitions; where a base is repeated and others are of its family, the family is folded row by row."""
+    told = rows.withColumn("_family", F.regexp_replace(base, r"(-[0-9]+)+\z", ""))
+    told = told.withColumn("_nth", F.row_number().over(Window.partitionBy("_family", base).orderBy(order)))
+    family = Window.partitionBy("_family")
+    told = told.withColumn("_mixed", (F.max("_nth").over(family) > 1) & (F.min(base).over(family) != F.max(base).over(family)))
+    plain = told.where("not _mixed").withColumn(name, F.when(F.col("_nth") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), F.col("_nth").cast("string"))))
+    listed = told.where("_mixed").groupBy("_family").agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in rows.columns if c != order]))).alias("_rows"))
+    names = F.aggregate("_rows", F.array().cast("array<string>"), lambda used, r: F.array_append(used, free_name(r[base], used)))
+    folded = listed.select(F.explode(F.arrays_zip(F.col("_rows").alias("r"), names.alias("n"))).alias("x")).select("x.r.*", F.col("x.n").alias(name))
+    return plain.select(*rows.columns, name).unionByName(folded)
+
+
+def name_spaces(files: DataFrame) -> DataFrame:
+    """(path, prefix) of files(path), each path once: the slug of what stands below the folder that all paths share, without extension, made unique in the order of paths;
+    '' for a single path. The shared folder is what the least and the greatest path share, so no path but these is looked at together with others."""
+    rows = files.select("path", F.filter(F.split("path", r"[\\\\/]+"), lambda s: s != "").alias("parts"))
+    ends = rows.agg(F.min("parts").alias("a"), F.max("parts").alias("b"), F.min(F.size("parts")).alias("least"), F.count("*").alias("n"))
+    same = F.aggregate(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("least") - 1)), F.lit(0), lambda n, i: F.when((n == i) & (F.get("a", i) == F.get("b", i)) & (i < F.col("least") - 1), n + 1).otherwise(n))
+    ends = ends.select(F.coalesce(same, F.lit(0)).alias("shared"), (F.col("n") > 1).alias("several"))
+    rows = rows.join(F.broadcast(ends))  # one row
+    last = F.regexp_replace(F.element_at("parts", -1), r"(?s)(?<=.)\.[^.]+\z", "")
+    below = F.concat(F.slice("parts", F.col("shared") + 1, F.greatest(F.lit(0), F.size("parts") - F.col("shared") - 1)), F.array(last))
+    rows = rows.select("path", "several", X.slugify(F.array_join(F.filter(below, lambda s: s != ""), "-")).alias("slug"))
+    return unique_names(rows, "slug", "path").select("path", F.when(F.col("several"), F.col("name")).otherwise("").alias("prefix"))
 
 
 def namespaced(prefix, id_):

@@ -31,8 +31,14 @@ def test_scalars(spark):
     assert one(spark, X.secret_reason, "x/.env", "id_rsa", "a.txt") == ["env file", "private key file", None]
 
 
-def test_name_spaces():
-    assert segment.name_space_prefixes(["/srv/bees/hive.md", "/srv/bees/wax/comb.txt", "/srv/bees/faq.html"]) == ["hive", "wax-comb", "faq"]
+def test_name_spaces(spark):
+    """By hand: the shared folder goes, extensions go, both separators part, and equal slugs get numbers in the order of their paths."""
+    cases = [
+        {"/srv/bees/hive.md": "hive", "/srv/bees/wax/comb.txt": "wax-comb", "/srv/bees/faq.html": "faq"}, {"/one/file.md": ""}, {"A.md": "a", "a-2.md": "a-2", "a.md": "a-3", "a.txt": "a-4"},
+        {"C:\\x\\.env": "env", "C:\\x\\y.tar.gz": "y-tar"}, {"a/b": "b", "a/b/c.d": "b-c"}, {"x/1-2.md": "1-2", "x/1.md": "1", "x/1.txt": "1-3", "x/2.md": "2"}, {"p/!.md": "section", "p/?.md": "section-2"}, {},
+    ]
+    for case in cases:
+        assert {r.path: r.prefix for r in segment.name_spaces(spark.createDataFrame([(p,) for p in case], "path string")).collect()} == case
 
 
 def test_gate(spark):
