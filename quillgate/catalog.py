@@ -378,7 +378,64 @@ def assemble_bundles(t):
     return markers.assemble_many(bundles, chapters).select("bundle", "path", F.sha2("content", 256).alias("sha"), "est_tokens")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE 'changed' END AS state FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0""")
+@query(r"""SELECT source, sum(CASE WHEN text IS NULL THEN 0 ELSE n END)::BIGINT AS tokens, count(*) AS n, sum(CASE WHEN text IS NULL THEN 0 ELSE n END) > 300000 AS over FROM (SELECT source, text, length(text) - length(regexp_replace(text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]', '', 'g')) + ceil(length(regexp_replace(text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]', '', 'g')) / 4.0) AS n FROM documents) GROUP BY source""")
+def input_tokens(t):
+    return gate.token_totals(t("documents").select("source", "text"), 300_000, "source")
+
+
+@query("""SELECT doc_id::VARCHAR AS qa_id, CASE WHEN toxic = 1 THEN 'wrong' ELSE 'anchor_missing' END AS reason FROM labels WHERE quality = 0
+UNION ALL SELECT doc_id || '-q0', 'qa_generation_failed' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def gate_failures(t):
+    docs, labels = t("documents").select(F.col("doc_id").cast("string").alias("section_id"), F.col("source").alias("chapter_file")), t("labels")
+    asked = labels.select(F.col("doc_id").cast("string").alias("qa_id"), F.col("doc_id").cast("string").alias("section_id"))
+    reason = F.when(F.col("quality") == 0, F.when(F.col("toxic") == 1, "wrong").otherwise("anchor_missing"))
+    outcomes = labels.select(F.col("doc_id").cast("string").alias("qa_id"), (F.col("quality") == 1).alias("correct"), reason.alias("failure_reason")).join(docs.withColumnRenamed("section_id", "qa_id"), "qa_id")
+    return rules.gate_tables(docs.select(F.col("section_id").alias("id")), docs, asked, outcomes, 1, 0.5)["failures"]
+
+
+@query("""SELECT 'f' || (page_id % 7) AS chapter_file, array_to_string(list(url ORDER BY page_id DESC), ' ') AS ids FROM pages GROUP BY 1""")
+def manifest_chapters(t):
+    rows = t("pages").select((-F.col("page_id")).alias("pos"), F.col("url").alias("id"), F.concat(F.lit("f"), (F.col("page_id") % 7).cast("string")).alias("chapter_file"))
+    return manifest.chapters_of(rows).select("chapter_file", F.array_join("section_ids", " ").alias("ids"))
+
+
+@query("""SELECT source, count(*) * 2 + count(*) * 3 * 3 AS gate, count(*) * 3 AS evaluation, 1 + count(DISTINCT lang) + count(*) * 2 + count(*) * 3 * 3 AS compile FROM documents GROUP BY source""")
+def call_bounds(t):
+    n, chapters = F.col("n"), F.col("chapters")
+    rows = t("documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("chapters"))
+    return rows.select("source", manifest.gate_call_bound(n, 3).alias("gate"), manifest.evaluation_call_bound(n).alias("evaluation"), manifest.compile_call_bound(chapters, n, 3).alias("compile"))
+
+
+@query("""SELECT n_nationkey AS chapter_pos, n_name AS title, count(*) || ' customers' AS body FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
+def chapter_bodies(t):
+    bodies = t("customer").groupBy(F.col("c_nationkey").alias("chapter_pos")).agg(F.concat(F.count("*").cast("string"), F.lit(" customers")).alias("body"))
+    with_customers = t("nation").join(bodies, F.col("n_nationkey") == F.col("chapter_pos"), "left_semi")
+    return gate.with_bodies(with_customers.select(F.col("n_nationkey").alias("chapter_pos"), F.col("n_name").alias("title")), bodies).select("chapter_pos", "title", "body")
+
+
+@query("""WITH q AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'chapters/d' || (conv_id % 50) || '.md' WHEN 1 THEN 'SKILL.md' WHEN 2 THEN 'chapters/../d1.md' ELSE 'chapters/x' || conv_id || '.md' END AS selected_file FROM conversations)
+SELECT conv_id, turn, selected_file, doc_id, doc_id IS NULL AS missing FROM q LEFT JOIN documents ON selected_file = 'chapters/d' || doc_id || '.md'""")
+def selected_chapters(t):
+    """Questions and the chapters that they selected: real ones, the index, paths out of the folder, and names that nothing has."""
+    k = F.col("turn") % 4
+    named = F.when(k == 0, F.concat(F.lit("chapters/d"), (F.col("conv_id") % 50).cast("string"), F.lit(".md"))).when(k == 1, F.lit("SKILL.md")).when(k == 2, F.lit("chapters/../d1.md")).otherwise(F.concat(F.lit("chapters/x"), F.col("conv_id").cast("string"), F.lit(".md")))
+    files = t("documents").select(F.concat(F.lit("chapters/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("doc_id").alias("content"))
+    extra = t("region").select(F.when(F.col("r_regionkey") == 0, "SKILL.md").otherwise("chapters/../d1.md").alias("path"), F.lit(-1).cast("bigint").alias("content")).distinct()
+    return gate.loaded(t("conversations").select("conv_id", "turn", named.alias("selected_file")), files.unionByName(extra)).select("conv_id", "turn", "selected_file", F.col("content").alias("doc_id"), F.col("content").isNull().alias("missing"))
+
+
+@query("""SELECT 'error' AS severity, CASE WHEN k IN (0, 3) THEN 'missing_frontmatter' ELSE 'invalid_frontmatter' END AS code, CASE k WHEN 0 THEN 'missing_block' WHEN 1 THEN 'syntax' WHEN 2 THEN 'not_a_map' WHEN 3 THEN 'missing_field: description' ELSE 'invalid_field: description must be text' END AS message, count(*) AS n
+FROM (SELECT doc_id % 8 AS k FROM documents WHERE source IS NOT NULL) WHERE k < 5 GROUP BY ALL UNION ALL SELECT 'warning', 'invalid_frontmatter', 'unknown field ' || source, count(*) FROM documents WHERE source IS NOT NULL AND doc_id % 8 = 5 GROUP BY ALL""")
+def frontmatter_issues(t):
+    """Index files of eight kinds, one of every document: no block, broken YAML, a list, a field left out, a number for text, an unknown field, and two that are right."""
+    k, head = F.col("doc_id") % 8, lambda *lines: F.concat_ws("\n", F.lit("---"), F.lit("name: a-b"), *lines, F.lit("---"), F.col("source"))
+    forms = [F.col("source"), F.concat(F.lit("---\nname: [\n---\n"), "source"), F.concat(F.lit("---\n- "), "source", F.lit("\n---\n")), head(), head(F.lit("description: 12")), head(F.lit("description: yes"), F.concat("source", F.lit(": x"))), head(F.lit("description: 2024-05-01")), head(F.concat(F.lit("description: "), "source"))]
+    files = t("documents").where("source is not null").select(F.lit("SKILL.md").alias("path"), F.get(F.array(*forms), k.cast("int")).alias("content"))
+    told = F.when(F.col("message").startswith("syntax"), "syntax").otherwise(F.col("message"))
+    return manifest.frontmatter_issues(files).groupBy("severity", "code", told.alias("message")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown\' ELSE 'changed' END AS state FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0""")
 def incremental_rows(t):
     docs = t("documents").select("doc_id", "text")
     known = docs.where("doc_id % 3 <> 0").select("doc_id", F.sha2("text", 256).alias("sha256"))

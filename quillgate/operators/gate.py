@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 EPSILON = 1e-9
 
 
@@ -72,6 +74,25 @@ def integrity_status(unexpected, missing, modified):
     return F.when(unexpected > 0, "tampered").when(missing + modified > 0, "stale").otherwise("ok")
 
 
+def token_totals(texts: DataFrame, most: int, *by: str) -> DataFrame:
+    """(*by, tokens, n, over): estimated tokens of texts(*by, text), how many texts there are, and whether the tokens are more than `most`."""
+    total = texts.groupBy(*by).agg(F.coalesce(F.sum(X.estimate_tokens(F.col("text"))), F.lit(0)).alias("tokens"), F.count("*").alias("n"))
+    return total.withColumn("over", F.col("tokens") > most)
+
+
+def with_bodies(chapters: DataFrame, bodies: DataFrame, key: str = "chapter_pos") -> DataFrame:
+    """chapters with the body of bodies(key, body); a chapter without one fails the query that reads it."""
+    said = F.when(F.col("body").isNotNull(), F.col("body")).otherwise(F.raise_error(F.concat(F.lit("no body for chapter "), F.col(key).cast("string"))))
+    return chapters.join(bodies.select(key, "body"), key, "left").withColumn("body", said)
+
+
+def loaded(chosen: DataFrame, files: DataFrame) -> DataFrame:
+    """chosen(selected_file, ...) with the content of the chapter file that was selected, null where files(path, content) hold none of that name or the
+    name is no chapter's: an index or a listing counts as not found."""
+    listed = files.where(X.is_chapter_path(F.col("path"))).select(F.col("path").alias("selected_file"), "content")
+    return chosen.join(listed, "selected_file", "left")
+
+
 def first_limit_breach(files: DataFrame, order: str, size: str, most_files: int, most_each: int, most_total: int) -> DataFrame:
     """files with their running total and the limit that each breaks, if any. The order of a listing is global, so the running total is
     summed per range of `order` first; only one row a range goes through a single window. Ranges are cut at quantiles of `order` that are computed once and

@@ -144,6 +144,7 @@ def chapters_of(sections: DataFrame) -> DataFrame:
     return sections.groupBy("chapter_file").agg(ids.alias("section_ids"))
 
 
+# The bounds are plain arithmetic, on numbers and on columns alike.
 def gate_call_bound(sections: int, per_section: int) -> int:
     return sections * 2 + sections * per_section * 3
 

@@ -123,10 +123,10 @@ def distil(chapters: DataFrame, sections: DataFrame, calls: Calls) -> DataFrame:
     bad = said.where("answer is null").orderBy("request_id").limit(1).collect()
     if bad:
         raise CompileError("distill", f"chapter {bad[0].request_id}: {bad[0].error}", bad[0].kind, bool(bad[0].retryable), calls.made)
-    out = chapters.join(said.select(F.col("request_id").cast("int").alias("chapter_pos"), F.col("answer").alias("body")), "chapter_pos", "left")
-    if out.where("body is null").limit(1).count():
+    bodies = said.select(F.col("request_id").cast("int").alias("chapter_pos"), F.col("answer").alias("body"))
+    if chapters.join(bodies, "chapter_pos", "left_anti").limit(1).count():
         raise CompileError("distill", "a chapter has no body")
-    return out
+    return gate.with_bodies(chapters, bodies)
 
 
 ITEM = ("question", "refAnswer", "anchorQuote")
@@ -225,11 +225,11 @@ def compile_documents(spark: SparkSession, paths: list[str], calls: Calls, confi
     if failed is not None:
         raise CompileError("sources", f"{failed.path}: {failed.error}")
     sections = named_sections(extracted.select("path", "text")).cache()
-    tokens = sections.agg(F.coalesce(F.sum(X.estimate_tokens(F.col("text"))), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
+    tokens = gate.token_totals(sections, config.most_tokens).first()
     if tokens.n == 0:
         raise CompileError("sources", "no section has a text")
-    if tokens.t > config.most_tokens:
-        raise CompileError("sources", f"{tokens.t} tokens, {config.most_tokens} allowed")
+    if tokens.over:
+        raise CompileError("sources", f"{tokens.tokens} tokens, {config.most_tokens} allowed")
     slug, title, chapters = outline(sections, calls)
     count = chapters.count()
     bound = manifest.compile_call_bound(count, tokens.n, config.questions_per_section) if gated else 1 + count

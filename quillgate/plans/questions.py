@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators.gate import outcome_reason
+from ..operators.gate import loaded, outcome_reason
 
 # Kinds of failure of a provider, and whether the same request may succeed later.
 FAILURES = {"auth": False, "rate_limit": True, "network": True, "server": True, "bad_response": True, "refusal": False, "unknown": False}
@@ -145,8 +145,7 @@ def evaluate(questions: DataFrame, index: str, files: DataFrame, calls: Calls) -
     later stages call only for those left; the one who answers sees the index and the chosen chapter alone."""
     ask = questions.select(F.col("qa_id").alias("request_id"), F.lit("select").alias("role"), F.concat(data_block("INDEX", F.lit(index)), F.lit("\n"), data_block("QUESTION", F.col("question"))).alias("prompt"))
     chosen = calls.answer(ask).select(F.col("request_id").alias("qa_id"), X.trim(F.coalesce("answer", F.lit(""))).alias("selected_file"))
-    listed = files.where(X.is_chapter_path(F.col("path"))).select(F.col("path").alias("selected_file"), F.col("content"))
-    rows = questions.join(chosen, "qa_id").join(listed, "selected_file", "left")
+    rows = loaded(questions.join(chosen, "qa_id"), files)
     there, quoted = F.col("content").isNotNull(), F.contains("content", "anchor_quote")
     rows = rows.withColumn("reason", outcome_reason(there, quoted, F.lit(True)))
     left = rows.where("reason is null")
