@@ -131,9 +131,8 @@ def _ids_by_windows(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "sec_pos", "id")
 
 
-def _ids_by_fold(rows: DataFrame, key: str) -> DataFrame:
-    """The same for any headings, one document at a time; the work grows with the square of its headings."""
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sec_pos", "level", "slug"))).alias("heads"))
+def id_list(heads: Column) -> Column:
+    """The ids of an array of (level, slug) in order, by the rules of `heading_ids`; the work grows with the square of the headings."""
     texts = F.array().cast("array<string>")
 
     def step(s, h):
@@ -145,7 +144,26 @@ def _ids_by_fold(rows: DataFrame, key: str) -> DataFrame:
 
         return X.let(F.array_join(F.array_append(above, h["slug"]), "/"), named)
 
-    ids = F.aggregate("heads", F.struct(texts.alias("path"), texts.alias("ids")), step, lambda s: s["ids"])
+    return F.aggregate(heads, F.struct(texts.alias("path"), texts.alias("ids")), step, lambda s: s["ids"])
+
+
+def keyed_sections(text: Column) -> Column:
+    """array<struct<id, sha256>> of a text's sections that have a body, made from the text alone, so that it goes in streams, too."""
+
+    def keyed(sections_):
+        level = lambda s: F.greatest(F.lit(1), F.least(F.lit(LEVELS), s["level"]))
+        heads = F.transform(sections_, lambda s: F.struct(level(s).alias("level"), X.slugify(s["heading"]).alias("slug")))
+        pairs = F.zip_with(sections_, id_list(heads), lambda s, i: F.struct(i.alias("id"), s["text"].alias("text")))
+        filled = F.filter(pairs, lambda x: x["text"].rlike(f"[^{X.WS_CHARS}]"))
+        return F.transform(filled, lambda x: F.struct(x["id"].alias("id"), F.sha2(x["text"], 256).alias("sha256")))
+
+    return X.let(X.let(block_list(text), lambda b: section_list(b)), keyed)
+
+
+def _ids_by_fold(rows: DataFrame, key: str) -> DataFrame:
+    """The same for any headings, one document at a time."""
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sec_pos", "level", "slug"))).alias("heads"))
+    ids = id_list(F.col("heads"))
     return listed.select(key, "heads", ids.alias("ids")).select(key, F.explode(F.arrays_zip(F.col("heads.sec_pos").alias("sec_pos"), F.col("ids").alias("id"))).alias("x")).select(key, "x.sec_pos", "x.id")
 
 
