@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import io
-import signal
-import threading
 import zipfile
-from typing import Iterator
+from functools import reduce
+from typing import Iterator, Sequence
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..functions.reflow import reflow
 from ..operators.gate import first_limit_breach
 from .html import to_blocks
+from .parsing import MEMORY, Child, Extractor
 
 MOST_FILES, MOST_EACH, MOST_TOTAL = 500, 25 << 20, 100 << 20
 MOST_ENTRIES, MOST_INFLATED = 200, 60 << 20
@@ -174,70 +174,31 @@ def _joined(blocks: list[str]) -> str:
     return out
 
 
-def within(seconds: float, run):
-    """run(), or TimeoutError after so many seconds. On a main thread it is interrupted; elsewhere its late result is dropped."""
-    if threading.current_thread() is threading.main_thread() and hasattr(signal, "setitimer"):
+def plain_text(content: bytes) -> str:
+    return content.decode("utf-8")
 
-        def stop(*_):
-            raise TimeoutError
 
-        before = signal.signal(signal.SIGALRM, stop)
-        signal.setitimer(signal.ITIMER_REAL, seconds)
-        try:
-            return run()
-        finally:
-            signal.setitimer(signal.ITIMER_REAL, 0)
-            signal.signal(signal.SIGALRM, before)
-    found: list = []
+def html_text(content: bytes) -> str:
+    return to_blocks(content.decode("utf-8"))
 
-    def work():
-        try:
-            found.append((run(), None))
-        except Exception as e:
-            found.append((None, e))
-
-    thread = threading.Thread(target=work, daemon=True)
-    thread.start()
-    thread.join(seconds)
-    if not found:
-        raise TimeoutError
-    value, error = found[0]
-    if error is not None:
-        raise error
-    return value
-
-
-def _extract(kind: str, content: bytes, seconds: float = DEADLINE) -> tuple[str | None, str | None]:
-    try:
-        return within(seconds, lambda: _parsed(kind, content))
-    except TimeoutError:
-        return None, "timeout"
 
-
-def _parsed(kind: str, content: bytes) -> tuple[str | None, str | None]:
-    if kind is None:
-        return None, "unsupported"
-    try:
-        if kind == "docx":
-            text = docx_text(content)
-        elif kind == "pdf":
-            text = pdf_text(content)
-        else:
-            text = bytes(content).decode("utf-8")
-            text = to_blocks(text) if kind == "html" else text
-    except UnicodeDecodeError:
-        return None, "invalid_utf8"
-    except NoParser:
-        return None, "unsupported"
-    except TimeoutError:
-        raise
-    except Exception as e:  # any defect of a file is that file's error
-        return None, f"corrupt: {str(e)[:200]}"
-    return (text, None) if text.strip() else (None, "empty_text")
+# The kinds of files that are read, in the order in which they are tried; `functions.text.route` states the same types and endings as a column.
+EXTRACTORS = (
+    Extractor("pdf", "quillgate.sources.files:pdf_text", ("application/pdf",), (".pdf",)),
+    Extractor("docx", "quillgate.sources.files:docx_text", ("application/vnd.openxmlformats-officedocument.wordprocessingml.document",), (".docx",)),
+    Extractor("text", "quillgate.sources.files:plain_text", ("text/plain", "text/markdown", "text/x-markdown"), (".txt", ".md", ".markdown")),
+    Extractor("html", "quillgate.sources.files:html_text", ("text/html", "application/xhtml+xml"), (".html", ".htm")),
+)
 
 
-class NoParser(RuntimeError):
-    """There is nothing to read a kind of file with."""
+def routed(path: Column, mime: Column | None, extractors: Sequence[Extractor]) -> Column:
+    """The kind of the first extractor that supports a file's type or its name's ending."""
+    name, kind = F.lower(path), F.lower(mime) if mime is not None else F.lit("")
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for e in extractors:
+        fits = reduce(lambda a, b: a | b, [name.endswith(x.lower()) for x in e.endings], kind.isin(*e.types) if e.types else F.lit(False))
+        out = out.when(fits, F.lit(e.kind))
+    return out
 
 
 def pdf_text(content: bytes) -> str:
@@ -245,7 +206,7 @@ def pdf_text(content: bytes) -> str:
     try:
         import pypdf
     except ImportError:
-        raise NoParser("pypdf is not installed") from None
+        raise NotImplementedError("pypdf is not installed") from None
     reader = pypdf.PdfReader(io.BytesIO(content))
     if reader.is_encrypted:
         raise ValueError("encrypted")
@@ -254,10 +215,26 @@ def pdf_text(content: bytes) -> str:
     return PAGE.join((page.extract_text() or "").replace(PAGE, "\n") for page in reader.pages)
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """(path, kind, text, error) of files(path, content): exactly one of text and error is set."""
-    run = F.udf(lambda k, c: _extract(k, c), "struct<text:string,error:string>", useArrow=True)
-    rows = files.select("path", X.route(F.col("path")).alias("kind"), "content").select("path", "kind", run("kind", "content").alias("x"))
+def extract(files: DataFrame, extractors: Sequence[Extractor] = EXTRACTORS, seconds: float = DEADLINE, memory: int = MEMORY) -> DataFrame:
+    """(path, kind, text, error) of files(path, content) or files(path, mime, content): exactly one of text and error is set.
+
+    Further kinds of files are read by further extractors; those named first are tried first. Each task parses in a child process, so a parser that never ends, or takes
+    all memory, costs its own file and no other.
+    """
+    parsers = {e.kind: e.parser for e in extractors}
+
+    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        child = Child(seconds, memory)
+        try:
+            for kinds, contents in pairs:
+                found = [(None, "unsupported") if k is None else child.parse(parsers[k], c if c is not None else b"") for k, c in zip(kinds, contents)]
+                yield pd.DataFrame(found, columns=["text", "error"])
+        finally:
+            child.stop()
+
+    parse = F.pandas_udf(run, "text string, error string")
+    kind = routed(F.col("path"), F.col("mime") if "mime" in files.columns else None, extractors)
+    rows = files.select("path", kind.alias("kind"), "content").select("path", "kind", parse("kind", "content").alias("x"))
     return rows.select("path", "kind", F.when(F.col("kind") == "pdf", reflow(F.split("x.text", PAGE))).otherwise(F.col("x.text")).alias("text"), "x.error")
 
 

@@ -11,7 +11,6 @@ from quillgate.operators import rules
 from quillgate.plans import compiling, reports
 from quillgate.plans.questions import Calls
 from quillgate.sinks import bundle
-from quillgate.sources.files import within
 
 DOC = "# Guide\n\nIntro text here.\n\n## Setup\n\nMount the unit flat.\n\n## Care\n\nClean it weekly.\n"
 QUOTES = {"guide": "Intro text", "guide/setup": "Mount the unit flat", "guide/care": "Clean it weekly"}
@@ -156,19 +155,6 @@ def test_config():
             config.load(bad)
 
 
-def test_deadline():
-    import threading
-    import time
-
-    with pytest.raises(TimeoutError):
-        within(0.05, lambda: time.sleep(1))
-    got = []
-    t = threading.Thread(target=lambda: got.append(within(5, lambda: 7)))
-    t.start()
-    t.join()
-    assert got == [7] and within(5, lambda: 3) == 3
-
-
 def test_rules(spark):
     q = spark.createDataFrame([("a", "s", "x" * 2001, "r", "q"), ("a", "s", "x", "", None)], "qa_id string, section_id string, question string, ref_answer string, anchor_quote string")
     assert sorted(r.rule.split()[0] for r in rules.question_violations(q).collect()) == ["anchor_quote", "question", "question", "ref_answer"]
