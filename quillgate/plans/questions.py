@@ -15,7 +15,7 @@ from functools import reduce
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -35,7 +35,8 @@ class ProviderError(RuntimeError):
 
 
 class Provider(Protocol):
-    """Answers with text or raises ProviderError; anything else that it raises counts as `unknown`. Retries are the caller's, so it makes none."""
+    """Answers with text or raises ProviderError; anything else that it raises counts as `unknown`. Retries are the caller's, so it makes none. What a role is told before its
+    prompt, and how long its answer may be, is in `prompts.role(role)`. A provider with `at(role, turn)` is asked by turns instead, as InOrder is."""
 
     def complete(self, role: str, prompt: str) -> str: ...
 
@@ -55,6 +56,30 @@ class Scripted:
         return found
 
 
+class InOrder:
+    """Answers by role in a stated order: the n-th request of a role, over all tables of requests, each in the order of its request ids, gets the n-th answer, whichever task
+    asks. A role asked more often than scripted fails as `unknown`; an answer that is a ProviderError is raised. `unused` says what was not asked for."""
+
+    def __init__(self, **answers: list):
+        self.answers = {role: list(entries) for role, entries in answers.items()}
+
+    def complete(self, role: str, prompt: str) -> str:
+        raise ProviderError("unknown", "a script in order is asked by turns")
+
+    def at(self, role: str, turn: int) -> str:
+        entries = self.answers.get(role, [])
+        if turn >= len(entries):
+            raise ProviderError("unknown", f"the script of {role} has {len(entries)} answers; this is request {turn + 1}")
+        if isinstance(entries[turn], ProviderError):
+            raise ProviderError(entries[turn].kind, str(entries[turn]), entries[turn].retryable)
+        return entries[turn]
+
+    def unused(self, calls: "Calls") -> dict[str, int]:
+        """How many answers of each role are left after `calls`, roles without any left out."""
+        left = {role: len(entries) - calls.turns.get(role, 0) for role, entries in self.answers.items()}
+        return {role: n for role, n in left.items() if n > 0}
+
+
 class CallCap(RuntimeError):
     """More calls than allowed; raised before the first of them."""
 
@@ -65,11 +90,11 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
 
 
-def _answered(provider: Provider, role: str, prompt: str) -> dict:
+def _answered(provider: Provider, role: str, prompt: str, turn: int) -> dict:
     """One call: {answer, error, kind, retryable}, of which an answer is never blank."""
     out = dict.fromkeys(("answer", "error", "kind", "retryable"))
     try:
-        out["answer"] = provider.complete(role, prompt)
+        out["answer"] = provider.at(role, turn) if hasattr(provider, "at") else provider.complete(role, prompt)
         if not isinstance(out["answer"], str) or not out["answer"].strip():
             raise ProviderError("bad_response", "empty text")
     except ProviderError as e:
@@ -87,6 +112,15 @@ class Calls:
     def __init__(self, provider: Provider, most: int = 300, slots: int = 4):
         self.provider, self.most, self.slots, self.made, self.tokens = provider, most, slots, 0, 0
         self.said: list[DataFrame] = []
+        self.turns: dict[str, int] = {}
+
+    def _numbered(self, requests: DataFrame) -> DataFrame:
+        """requests with turn: how many of their role came before, in earlier tables or earlier in this one. A table has at most `most` rows."""
+        before = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in self.turns.items() for x in pair]), F.col("role")), F.lit(0)) if self.turns else F.lit(0)
+        rows = requests.withColumn("turn", (F.row_number().over(Window.partitionBy("role").orderBy("request_id", "prompt")) - 1 + before).cast("int"))
+        for row in requests.groupBy("role").count().collect():
+            self.turns[row["role"]] = self.turns.get(row["role"], 0) + row["count"]
+        return rows
 
     def answer(self, requests: DataFrame) -> DataFrame:
         """(request_id, answer, error, kind, retryable) of requests(request_id, role, prompt)."""
@@ -113,14 +147,15 @@ class Calls:
                         with store.open_input_file(name) as f:
                             said = json.loads(f.read())
                     else:
-                        said = _answered(provider, row["role"], row["prompt"])
+                        said = _answered(provider, row["role"], row["prompt"], row["turn"])
                         fresh = f"{name}.{uuid.uuid4().hex}"
                         with store.open_output_stream(fresh) as f:
                             f.write(json.dumps(said).encode())
                         store.move(fresh, name)
+                    row.pop("turn")
                     yield pa.RecordBatch.from_pylist([row | said], pa.schema([(k, pa.bool_() if k == "retryable" else pa.string()) for k in ("request_id", "role", "prompt", "answer", "error", "kind", "retryable")]))
 
-        asked = requests.select(F.col("request_id").cast("string").alias("request_id"), "role", "prompt").repartition(self.slots)
+        asked = self._numbered(requests.select(F.col("request_id").cast("string").alias("request_id"), "role", "prompt")).repartition(self.slots)
         asked.mapInArrow(run, self.KIND).write.parquet(f"{path}/all")
         out = spark.read.schema(self.KIND).parquet(f"{path}/all")
         spent = F.coalesce(X.estimate_tokens(F.col("prompt")), F.lit(0)) + F.coalesce(X.estimate_tokens(F.col("answer")), F.lit(0))
