@@ -147,17 +147,28 @@ def id_list(heads: Column) -> Column:
     return F.aggregate(heads, F.struct(texts.alias("path"), texts.alias("ids")), step, lambda s: s["ids"])
 
 
+def identified(sections_: Column) -> Column:
+    """array<struct<id, sec_pos, heading, level, text>> of `section_list`'s sections."""
+    level = lambda s: F.greatest(F.lit(1), F.least(F.lit(LEVELS), s["level"]))
+    heads = F.transform(sections_, lambda s: F.struct(level(s).alias("level"), X.slugify(s["heading"]).alias("slug")))
+    return F.zip_with(sections_, id_list(heads), lambda s, i: F.struct(i.alias("id"), s["sec_pos"].alias("sec_pos"), s["heading"].alias("heading"), s["level"].alias("level"), s["text"].alias("text")))
+
+
+def identified_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, id, sec_pos, heading, level, text) of docs(key, text, ...), each row a document: `sections` with the ids of `heading_ids`, both made where the text is read. For
+    documents of some hundred headings, as a compile's inputs are, that is less work than windows over all; for longer ones windows are."""
+    found = X.let(X.let(block_list(F.col(text)), lambda b: section_list(b)), identified)
+    return docs.select(F.col(key), F.explode_outer(found).alias("s")).where("s is not null").select(key, "s.*")
+
+
 def keyed_sections(text: Column) -> Column:
     """array<struct<id, sha256>> of a text's sections that have a body, made from the text alone, so that it goes in streams, too."""
 
-    def keyed(sections_):
-        level = lambda s: F.greatest(F.lit(1), F.least(F.lit(LEVELS), s["level"]))
-        heads = F.transform(sections_, lambda s: F.struct(level(s).alias("level"), X.slugify(s["heading"]).alias("slug")))
-        pairs = F.zip_with(sections_, id_list(heads), lambda s, i: F.struct(i.alias("id"), s["text"].alias("text")))
-        filled = F.filter(pairs, lambda x: x["text"].rlike(f"[^{X.WS_CHARS}]"))
+    def keyed(found):
+        filled = F.filter(found, lambda x: x["text"].rlike(f"[^{X.WS_CHARS}]"))
         return F.transform(filled, lambda x: F.struct(x["id"].alias("id"), F.sha2(x["text"], 256).alias("sha256")))
 
-    return X.let(X.let(block_list(text), lambda b: section_list(b)), keyed)
+    return X.let(X.let(X.let(block_list(text), lambda b: section_list(b)), identified), keyed)
 
 
 def _ids_by_fold(rows: DataFrame, key: str) -> DataFrame:

@@ -51,8 +51,7 @@ def named_sections(extracted: DataFrame) -> DataFrame:
     """(path, pos, id, heading, level, text, sha256) of extracted(path, text): sections with a body, ids prefixed per file where there are
     several, numbered in the order of paths and sections. Two equal ids are an error."""
     prefixes = segment.name_spaces(extracted.select("path").distinct())
-    found = segment.sections(extracted, "path")
-    rows = segment.population(found.join(segment.heading_ids(found, "path").withColumnRenamed("sec_pos", "p"), ["path"]).where("sec_pos = p").drop("p"))
+    rows = segment.population(segment.identified_sections(extracted, "path"))
     rows = rows.join(prefixes, "path").withColumn("id", segment.namespaced(F.col("prefix"), F.col("id")))
     twice = rows.groupBy("id").count().where("count > 1").limit(1).collect()
     if twice:

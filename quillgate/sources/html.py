@@ -5,9 +5,6 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Elements without text of their own, and those that break a line of text.
 SKIPPED = {"script", "style", "noscript", "template", "head", "title", "svg", "canvas", "iframe", "object"}
 BREAKING = {
@@ -17,6 +14,20 @@ BREAKING = {
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+# How a browser ends elements whose end tag is left out. A start tag ends the open elements on the left, looking up no further than those on the right.
+_TABLE_PARTS = {"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}
+ENDS = {
+    "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"tr", "td", "th", "caption"}, {"tbody", "thead", "tfoot", "table"}), **{tag: (_TABLE_PARTS, {"table"}) for tag in ("tbody", "thead", "tfoot", "caption", "colgroup")},
+}
+# Start tags that end an open paragraph, and elements that hold paragraphs of their own.
+ENDS_P = {
+    "address", "article", "aside", "blockquote", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "menu",
+    "nav", "ol", "p", "pre", "section", "summary", "table", "ul",
+}
+SCOPES = {"table", "td", "th", "caption", "button", "object", "template", "html"}
+
+
 class _Node:
     def __init__(self, tag: str, up: "_Node | None" = None):
         self.tag, self.up, self.kids = tag, up, []
@@ -27,8 +38,22 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.top = self.at = _Node("#")
 
+    def _end(self, tags: set[str], bounds: set[str]) -> None:
+        """Ends the outermost of the open elements named, up to the nearest that bounds them."""
+        node, last = self.at, None
+        while node.up is not None and node.tag not in bounds:
+            if node.tag in tags:
+                last = node
+            node = node.up
+        if last is not None:
+            self.at = last.up
+
     def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "tr", "td", "th") and self.at.tag == tag:  # an open one ends where the next begins
+        if tag in ENDS_P:
+            self._end({"p"}, SCOPES)
+        if tag in ENDS:
+            self._end(*ENDS[tag])
+        if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", self.at.tag):
             self.at = self.at.up
         node = _Node(tag, self.at)
         self.at.kids.append(node)
@@ -39,8 +64,13 @@ class _Tree(HTMLParser):
         self.at.kids.append(_Node(tag, self.at))
 
     def handle_endtag(self, tag):
+        """Ends the nearest open element of the name; one outside of the table cell or button that is open is left alone. A heading's end tag ends any heading."""
+        bounds = {"table", "html"} if tag in _TABLE_PARTS else SCOPES - {tag}
+        names = {f"h{k}" for k in range(1, 7)} if re.fullmatch("h[1-6]", tag) else {tag}
         node = self.at
-        while node.up is not None and node.tag != tag:
+        while node.up is not None and node.tag not in names:
+            if node.tag in bounds and tag not in ("table", "body", "html"):
+                return
             node = node.up
         if node.up is not None:
             self.at = node.up
@@ -161,5 +191,8 @@ def to_blocks(html: str) -> str:
     return "\n\n".join(out)
 
 
-def html_blocks(c: Column) -> Column:
+def html_blocks(c):
+    """to_blocks of a column, null of null."""
+    from pyspark.sql import functions as F
+
     return F.udf(lambda h: None if h is None else to_blocks(h), "string", useArrow=True)(c)

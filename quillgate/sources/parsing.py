@@ -102,7 +102,7 @@ def serve(memory: int) -> None:
     """A child's life: requests from its input until that ends. What a parser prints goes to the error stream, not among the answers."""
     answers, requests = os.fdopen(os.dup(1), "wb"), os.fdopen(os.dup(0), "rb")
     os.dup2(2, 1)
-    importlib.import_module("quillgate.sources.files")  # what the shipped parsers need, so that it is no part of a file's time
+    importlib.import_module("quillgate.sources.parsers")  # what the shipped parsers need, so that it is no part of a file's time
     try:
         import resource
 

@@ -95,11 +95,23 @@ def test_html_of_any_depth():
     assert to_blocks("<ol><li>p<ul><li>q</li></ul>r<ol><li>s</li><li>t</li></ol></li><li>u</li><ul><li>v</li></ul></ol>") == "1. pr\n  - q\n  1. s\n  2. t\n2. u\n  - v"
 
 
+def test_html_without_end_tags():
+    """Elements end where a browser ends them."""
+    assert to_blocks("<p>one<p>two<div>three</div>four") == "one\n\ntwo\n\nthree\n\nfour"
+    assert to_blocks("<p>one<b>bold<ul><li>x<p>y<li>z</ul>after") == "onebold\n\n- x y\n- z\n\nafter"
+    assert to_blocks("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == "- a\n  - b\n  - c\n- d"
+    assert to_blocks("<table><thead><tr><th>h<th>i<tbody><tr><td>1<td>2<tr><td>3</table>end") == "| h | i |\n| --- | --- |\n| 1 | 2 |\n| 3 |  |\n\nend"
+    assert to_blocks("<div><table><tr><td>a</div>b<td>c</table>d</div>e") == "| ab | c |\n| --- | --- |\n\nd\n\ne"
+    assert to_blocks("<dl><dt>t<dd>d1<dd>d2<dt>u</dl>") == "t\n\nd1\n\nd2\n\nu"
+    assert to_blocks("<h1>A<h2>B</h3>c</p>d") == "# A\n\n## B\n\ncd"
+    assert to_blocks("<table><caption>Cap<tr><td>x</table>") == "Cap\n| x |\n| --- |"
+
+
 def test_docx():
     import io
     import zipfile
 
-    from quillgate.sources import files
+    from quillgate.sources import parsers
 
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     para = lambda text, props="": f"<w:p><w:pPr>{props}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>"
@@ -116,7 +128,7 @@ def test_docx():
         z.writestr("word/document.xml", f'<w:document xmlns:w="{w}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><w:body>{body}</w:body></w:document>')
         z.writestr("word/numbering.xml", forms)
         z.writestr("word/_rels/document.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="https://bees.example"/></Relationships>')
-    assert files.docx_text(held.getvalue()) == "## Bees\n\n1. first\n  - inner\n2. second\n- dot\n\nsee [this](https://bees.example)\n\na b\tc\n\nd"
+    assert parsers.docx_text(held.getvalue()) == "## Bees\n\n1. first\n  - inner\n2. second\n- dot\n\nsee [this](https://bees.example)\n\na b\tc\n\nd"
 
 
 def test_listing(spark, tmp_path):

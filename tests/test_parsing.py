@@ -34,14 +34,14 @@ OWN = tuple(Extractor(name, f"tests.test_parsing:{name}", (f"x/{name}",), (f".{n
 
 
 def test_child():
-    child = Child(seconds=1.0, memory=2 << 30)
+    child = Child(seconds=8.0, memory=2 << 30)
     at = "tests.test_parsing:"
     try:
         assert child.parse(at + "noisy", b"abc") == ("ABC", None)
         first = child.process.pid
         assert child.parse(at + "noisy", b"x" * (5 << 20)) == ("X" * (5 << 20), None) and child.process.pid == first
         began = time.monotonic()
-        assert child.parse(at + "endless", b"") == (None, "timeout") and time.monotonic() - began < 5
+        assert child.parse(at + "endless", b"") == (None, "timeout") and time.monotonic() - began < 20
         assert child.parse(at + "noisy", b"on") == ("ON", None) and child.process.pid != first
         assert child.parse(at + "dying", b"") == (None, "corrupt: the parser's process died")
         assert child.parse(at + "greedy", b"") == (None, "memory")
@@ -56,7 +56,7 @@ def test_a_task_goes_on(spark):
     """One task, files of every kind: each bad one is its own error, those after it are read. Own extractors come first and may take an ending from the shipped ones."""
     rows = [("a.md", "# A", None), ("b.endless", "x", None), ("c.txt", "c", None), ("d.bin", "d", "x/noisy"), ("e.dying", "e", None), ("f.html", "<p>f</p>", None), ("g.bin", "g", None), ("h.MD", "h", None), ("i.noisy", None, None)]
     files = spark.createDataFrame([(p, (t or "").encode() if t is not None else None, m) for p, t, m in rows], "path string, content binary, mime string").coalesce(1)
-    got = {r.path: (r.kind, r.text, r.error) for r in extract(files, OWN + EXTRACTORS, seconds=1.5).collect()}
+    got = {r.path: (r.kind, r.text, r.error) for r in extract(files, OWN + EXTRACTORS, seconds=8.0).collect()}  # the first of these parsers has Spark to import
     assert got == {
         "a.md": ("text", "# A", None), "b.endless": ("endless", None, "timeout"), "c.txt": ("text", "c", None), "d.bin": ("noisy", "D", None), "e.dying": ("dying", None, "corrupt: the parser's process died"),
         "f.html": ("html", "f", None), "g.bin": (None, None, "unsupported"), "h.MD": ("text", "h", None), "i.noisy": ("noisy", None, "empty_text"),

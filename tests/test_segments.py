@@ -99,6 +99,14 @@ def test_blocks_and_sections(spark, texts):
     assert segment.sections(docs.limit(0)).count() == 0
 
 
+def test_identified_sections(spark, texts):
+    """In place, sections and ids are those that rows and windows give."""
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, id string")
+    rows = segment.sections(docs)
+    want = rows.join(segment.heading_ids(rows), ["doc_id", "sec_pos"]).select("doc_id", "id", "sec_pos", "heading", "level", "text")
+    assert sorted(map(tuple, segment.identified_sections(docs).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_one_rule_with_and_without_fences(spark):
     """A line of white space parts paragraphs in either kind of text; an indented heading stands alone; a fence closes at most three blanks in."""
     plain = "Head words go\nover two lines\n \nthen more\n  ## Sub title\nDetail of it."
