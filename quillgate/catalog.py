@@ -81,6 +81,12 @@ def segment_sections(t):
 
 @query(f"WITH {OUTLINE} SELECT doc_id, x.sec_pos::BIGINT AS sec_pos, x.id AS id FROM s")
 def heading_path_ids(t):
+    return segment.identified_sections(_outline(t), texts=False).select("doc_id", "sec_pos", "id")
+
+
+@query(f"WITH {OUTLINE} SELECT doc_id, x.sec_pos::BIGINT AS sec_pos, x.id AS id FROM s")
+def heading_window_ids(t):
+    """The same by windows over rows of headings, as documents of very many headings and headings of other sources have theirs."""
     return segment.heading_ids(segment.headings(_outline(t))).select("doc_id", "sec_pos", "id")
 
 

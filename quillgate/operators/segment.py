@@ -154,10 +154,10 @@ def identified(sections_: Column) -> Column:
     return F.zip_with(sections_, id_list(heads), lambda s, i: F.struct(i.alias("id"), s["sec_pos"].alias("sec_pos"), s["heading"].alias("heading"), s["level"].alias("level"), s["text"].alias("text")))
 
 
-def identified_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, id, sec_pos, heading, level, text) of docs(key, text, ...), each row a document: `sections` with the ids of `heading_ids`, both made where the text is read. For
+def identified_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
+    """(key, id, sec_pos, heading, level, text) of docs(key, text, ...), each row a document, text empty without `texts`: `sections` with the ids of `heading_ids`, both made where the text is read. For
     documents of some hundred headings, as a compile's inputs are, that is less work than windows over all; for longer ones windows are."""
-    found = X.let(X.let(block_list(F.col(text)), lambda b: section_list(b)), identified)
+    found = X.let(X.let(block_list(F.col(text)), lambda b: section_list(b, texts)), identified)
     return docs.select(F.col(key), F.explode_outer(found).alias("s")).where("s is not null").select(key, "s.*")
 
 
