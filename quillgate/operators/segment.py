@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,17 +181,58 @@ def _ids_by_fold(rows: DataFrame, key: str) -> DataFrame:
 
 
 def unique_names(rows: DataFrame, base: str, order: str, name: str = "name") -> DataFrame:
-    """rows with `name`: their base, or the first of base-2, base-3, ... that no row before them in `order` has. Names can only meet within a family, bases alike but for
-    numbers at their end, so families are the partitions; where a base is repeated and others are of its family, the family is folded row by row."""
-    told = rows.withColumn("_family", F.regexp_replace(base, r"(-[0-9]+)+\z", ""))
-    told = told.withColumn("_nth", F.row_number().over(Window.partitionBy("_family", base).orderBy(order)))
-    family = Window.partitionBy("_family")
-    told = told.withColumn("_mixed", (F.max("_nth").over(family) > 1) & (F.min(base).over(family) != F.max(base).over(family)))
-    plain = told.where("not _mixed").withColumn(name, F.when(F.col("_nth") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), F.col("_nth").cast("string"))))
-    listed = told.where("_mixed").groupBy("_family").agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in rows.columns if c != order]))).alias("_rows"))
-    names = F.aggregate("_rows", F.array().cast("array<string>"), lambda used, r: F.array_append(used, free_name(r[base], used)))
-    folded = listed.select(F.explode(F.arrays_zip(F.col("_rows").alias("r"), names.alias("n"))).alias("x")).select("x.r.*", F.col("x.n").alias(name))
-    return plain.select(*rows.columns, name).unionByName(folded)
+    """rows with `name`: their base, or the first of base-2, base-3, ... that no row before them in `order` has.
+
+    A name made from a base can only be another row's where that row's base is the name: a base x-k, k a number that x, itself repeated, may come to. All other bases,
+    however many they are and often they come, get their numbers by one window. Those so linked are gone through in their order, a family (bases alike but for numbers at
+    their end) at a time, with a state of one number for each base.
+    """
+    counts = rows.groupBy(F.col(base).alias("_base")).agg(F.count("*").alias("_n"))
+    cut = lambda k: F.regexp_extract("_base", NUMBERED, k)
+    children = counts.where(F.col("_base").rlike(NUMBERED)).select("_base", cut(1).alias("_above"), cut(2).try_cast("bigint").alias("_k"))
+    kids = children.groupBy("_above").agg(F.count("*").alias("_kids"))
+    repeated = counts.where("_n > 1").join(kids, F.col("_base") == F.col("_above")).select("_above", (F.col("_n") + F.col("_kids") + 1).alias("_most"))
+    linked = children.join(repeated, "_above").where("_k <= _most")
+    linked = linked.select(F.explode(F.array("_base", "_above")).alias("_base")).distinct().withColumn("_linked", F.lit(True))
+    told = rows.join(linked, F.col(base) == F.col("_base"), "left").drop("_base")
+    nth = F.row_number().over(Window.partitionBy(base).orderBy(order))
+    plain = told.where("_linked is null").select(*rows.columns, nth.alias("_nth"))
+    plain = plain.select(*rows.columns, F.when(F.col("_nth") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), F.col("_nth").cast("string"))).alias(name))
+    mixed = told.where("_linked").select(*rows.columns, F.regexp_replace(base, r"(-[0-9]+)+\z", "").alias("_family")).repartition("_family").sortWithinPartitions("_family", order)
+    return plain.unionByName(mixed.mapInArrow(_named_in_order(base, rows.columns, name), plain.schema))
+
+
+# A base and the number at its end, as names are made; longer numbers than these no base comes to.
+NUMBERED = r"(?s)\A(.+)-([2-9]|[1-9][0-9]{1,17})\z"
+
+
+def _named_in_order(base: str, columns: list[str], name: str):
+    """A mapInArrow function that names rows sorted by `_family` and order. What is taken is told by the bases that have themselves as a name and by how far each base's
+    numbers have come, as all below that number are taken."""
+    numbered = re.compile(r"(.+)-([2-9]|[1-9][0-9]{1,17})", re.S)
+
+    def run(batches):
+        import pyarrow as pa
+
+        family, own, next_ = None, set(), {}
+        for batch in batches:
+            names = []
+            for fam, b in zip(batch.column("_family").to_pylist(), batch.column(base).to_pylist()):
+                if fam != family:
+                    family, own, next_ = fam, set(), {}
+                cut = numbered.fullmatch(b)
+                if b not in own and not (cut and int(cut[2]) < next_.get(cut[1], 2)):
+                    own.add(b)
+                    names.append(b)
+                    continue
+                k = next_.get(b, 2)
+                while f"{b}-{k}" in own:
+                    k += 1
+                next_[b] = k + 1
+                names.append(f"{b}-{k}")
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(names, pa.string())], [*columns, name])
+
+    return run
 
 
 def name_spaces(files: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,24 @@ def test_heading_ids(spark):
 def test_free_name(spark):
     used = spark.createDataFrame([("a", ["a", "a-2"]), ("b", []), ("c", ["c"])], "b string, u array<string>")
     assert [r[0] for r in used.select(segment.free_name(F.col("b"), F.col("u"))).collect()] == ["a-3", "b", "c-2"]
+
+
+def test_unique_names(spark):
+    """Against going through the rows one by one; many rows of one family, and many of one base, take no time that grows with their square."""
+    r = random.Random(9)
+    given = [r.choice(["a", "a", "a-2", "a-3", "a-2-2", "a-02", "a-1", "a-40", "b", "b-7", "c-2", "c-2", "c", "-2", "d-99999999999999999999"]) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(given)), "at int, base string").repartition(7)
+    used, want = set(), {}
+    for at, base in enumerate(given):
+        name, n = base, 1
+        while name in used:
+            n += 1
+            name = f"{base}-{n}"
+        used.add(name)
+        want[at] = name
+    assert {x.at: x.name for x in segment.unique_names(rows, "base", "at").collect()} == want
+    many = spark.range(60000).selectExpr("id AS at", "CASE WHEN id % 2 = 0 THEN 'doc' WHEN id % 4 = 1 THEN concat('doc-', id % 3000 + 2) ELSE concat('other-', id % 200) END AS base")
+    began = time.perf_counter()
+    named = segment.unique_names(many, "base", "at")
+    assert named.select("name").distinct().count() == 60000 and time.perf_counter() - began < 60
+    assert segment.unique_names(rows.limit(0), "base", "at").count() == 0
