@@ -65,11 +65,11 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return rows.where("block is not null")  # of a plain posexplode the planner asks first, by a filter of its own, whether the array is empty, and so makes it twice
 
 
-def section_list(blocks_: Column, texts: bool = True) -> Column:
+def section_list(blocks_: Column, texts: bool = True, closing: bool = False) -> Column:
     """array<struct<sec_pos, heading, level, text>>: a heading opens a section; text before the first one has heading ''. sec_pos counts the headings so
-    far. Without `texts`, text is left empty."""
+    far. Without `texts`, text is left empty. `closing` is that of `heading`."""
     section = lambda pos, heading, level, text: F.struct(pos.cast("bigint").alias("sec_pos"), heading.alias("heading"), level.cast("int").alias("level"), (text if texts else F.lit("")).alias("text"))
-    told = F.filter(F.transform(blocks_, lambda b, i: F.struct(i.alias("at"), X.heading(b).alias("head"))), lambda x: x["head"].isNotNull())
+    told = F.filter(F.transform(blocks_, lambda b, i: F.struct(i.alias("at"), X.heading(b, closing).alias("head"))), lambda x: x["head"].isNotNull())
 
     def cut(heads):
         body = lambda a, b: F.array_join(F.slice(blocks_, a + 1, b - a), "\n\n")
@@ -81,9 +81,9 @@ def section_list(blocks_: Column, texts: bool = True) -> Column:
     return X.let(told, cut)
 
 
-def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sections(docs: DataFrame, key: str = "doc_id", text: str = "text", closing: bool = False) -> DataFrame:
     """(key, sec_pos, heading, level, text) of docs(key, text, ...): `section_list` of each text's blocks, made where the text is read."""
-    return docs.select(F.col(key), F.explode_outer(X.let(block_list(F.col(text)), lambda b: section_list(b))).alias("s")).where("s is not null").select(key, "s.*")
+    return docs.select(F.col(key), F.explode_outer(X.let(block_list(F.col(text)), lambda b: section_list(b, closing=closing))).alias("s")).where("s is not null").select(key, "s.*")
 
 
 def headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -278,3 +278,18 @@ def test_anchor_contains_of_many_quotes(spark, tmp_path):
         con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     said = con.sql(catalog.SQL["anchor_contains"]).fetchall()
     assert sorted(map(tuple, catalog.QUERIES["anchor_contains"](spark, str(tmp_path)).collect())) == sorted(said)
+
+
+def _over(spark, tmp_path, **tables):
+    """A folder of tables as the catalogue's queries read them."""
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_closing_marks(spark, tmp_path):
+    """Marks at the end of a short line are no part of the query's heading, as in its SQL; the operator's own headings keep them."""
+    docs = spark.createDataFrame([(1, "That*** so.###\n\nIt is.\n\n# Top ##"), (2, "#"), (3, "a ## ##")], "doc_id long, text string")
+    got = catalog.queries()["document_sections"](spark, _over(spark, tmp_path, documents=docs)).orderBy("doc_id", "sec_pos").collect()
+    assert [(r.doc_id, r.sec_pos, r.heading) for r in got] == [(1, 1, "That*** so."), (1, 2, "Top"), (2, 1, ""), (3, 1, "a ##")]
+    assert [r.heading for r in segment.sections(docs.where("doc_id = 1")).orderBy("sec_pos").collect()] == ["That*** so.###", "Top"]
