@@ -8,6 +8,7 @@ token it holds.
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,9 +18,6 @@ from .shared import Scratch, column, stored
 
 BLOCKED = "label=block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: How many labels of the host (from its end), segments of the path and keys of the query make tokens: rules are about these parts, and FP-growth's
-#: work grows with the combinations of a URL's tokens.
-HOST_PARTS, SEGMENTS, KEYS = 4, 3, 3
 
 
 def host(url: Column) -> Column:
@@ -33,15 +31,14 @@ def path(url: Column) -> Column:
 
 
 def tokens(url: Column, host_: Column, path_: Column) -> Column:
-    """A URL's distinct tokens, sorted; none without a host and a path."""
+    """A URL's distinct tokens, sorted, of all its parts however many; none without a host and a path."""
     plain = lambda c: F.regexp_replace(F.lower(c), r"\p{Nd}+", "0")
     labels = F.filter(F.split(host_, r"\."), lambda x: x != "")
-    labels = F.slice(labels, F.greatest(F.lit(1), F.size(labels) - HOST_PARTS + 1), HOST_PARTS)
     steps = F.filter(F.split(path_, "/"), lambda x: x != "")
-    steps = F.transform(F.slice(steps, 1, SEGMENTS), lambda x: F.concat(F.lit("path="), plain(x)))
+    steps = F.transform(steps, lambda x: F.concat(F.lit("path="), plain(x)))
     query_ = F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^?#]*\?([^#]*)", 1), F.lit(""))
-    keys = F.slice(F.filter(F.transform(F.split(query_, "&"), lambda x: F.regexp_replace(x, r"(?s)=.*\z", "")), lambda x: x != ""), 1, KEYS)
-    kind = F.regexp_extract(path_, r"\.([A-Za-z0-9]{1,8})\z", 1)
+    keys = F.filter(F.transform(F.split(query_, "&"), lambda x: F.regexp_replace(x, r"(?s)=.*\z", "")), lambda x: x != "")
+    kind = F.regexp_extract(path_, r"\.([A-Za-z0-9]+)\z", 1)
     every = F.concat(
         F.transform(labels, lambda x: F.concat(F.lit("host="), plain(x))), steps, F.when(kind != "", F.array(F.concat(F.lit("file="), plain(kind)))).otherwise(F.array().cast("array<string>")),
         F.transform(keys, lambda x: F.concat(F.lit("key="), plain(x))),
@@ -64,11 +61,15 @@ def mined_rules(labelled: DataFrame, least_support: float = 0.001, least_rows: i
     """(tokens array<string>, n, confidence, lift) of labelled(tokens array<string>, blocked boolean): token combinations of which `least_confidence` or more of the
     rows that hold them are blocked, found in blocked rows at least `least_support` of all rows and `least_rows` times; n counts those. Rules that hold all tokens
     of a rule of equal or higher confidence are left out. Rows with a null label or without tokens say nothing.
+
+    FP-growth's work doubles with each item that goes with others, and a URL has any number of tokens, so it sees only what can be in a rule and once: tokens in blocked rows
+    often enough, those that the very same rows hold (told by their number and 128 bits of their hashes) as one. Two of these in one rule say no more than
+    one, so the rules found stand for those with any of them in its place.
     """
     from pyspark.ml.fpm import FPGrowth
 
     rows = labelled.where("blocked is not null and size(tokens) > 0")
-    rows = stored(rows.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items")), "items")
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "tokens", "blocked"), "items")
     total = rows.count()
     none = rows.sparkSession.createDataFrame([], "tokens array<string>, n bigint, confidence double, lift double")
     if not total:
@@ -76,14 +77,23 @@ def mined_rules(labelled: DataFrame, least_support: float = 0.001, least_rows: i
     least = max(least_support, least_rows / total)
     if least > 1:
         return none
-    found = FPGrowth(itemsCol="items", minSupport=least, minConfidence=least_confidence).fit(rows).associationRules
+    each = rows.select("row", "blocked", F.explode("tokens").alias("token"))
+    held = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("blocked").alias("b"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")).where(F.col("b") >= math.ceil(least * total))
+    alike = stored(held.groupBy("n", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.col("members")[0].alias("item"), "members"), "alike")
+    items = each.join(alike.select("item", F.explode("members").alias("token")), "token").groupBy("row").agg(F.collect_set("item").alias("found"))
+    items = rows.join(items, "row", "left").select(F.concat(F.coalesce("found", F.array().cast("array<string>")), F.when(F.col("blocked"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=least, minConfidence=least_confidence).fit(stored(items, "itemsets")).associationRules
     found = found.where((F.element_at("consequent", 1) == BLOCKED) & (F.size("consequent") == 1))
     found = stored(found.select(F.array_sort("antecedent").alias("tokens"), F.round(F.col("support") * total).cast("bigint").alias("n"), "confidence", "lift"), "rules")
     # a wider rule is found by each of its tokens' narrower rules, themselves indexed by their first token
     wide = found.select("tokens", "confidence", F.explode("tokens").alias("t"))
     narrow = found.select(F.col("tokens").alias("fewer"), F.col("confidence").alias("as_sure"), F.col("tokens")[0].alias("t"))
     idle = wide.join(narrow, "t").where((F.size("fewer") < F.size("tokens")) & (F.size(F.array_except("fewer", "tokens")) == 0) & (F.col("as_sure") >= F.col("confidence")))
-    return found.join(idle.select("tokens").distinct(), "tokens", "left_anti")
+    kept = found.join(idle.select("tokens").distinct(), "tokens", "left_anti")
+    # one rule for each choice of a token from each of its items
+    choices = kept.select("*", F.explode("tokens").alias("item")).join(alike, "item").groupBy("tokens", "n", "confidence", "lift").agg(F.collect_list("members").alias("members"))
+    one_each = F.aggregate("members", F.array(F.array().cast("array<string>")), lambda done, some: F.flatten(F.transform(done, lambda d: F.transform(some, lambda t: F.array_append(d, t)))))
+    return choices.select(F.explode(one_each).alias("tokens"), "n", "confidence", "lift").withColumn("tokens", F.array_sort("tokens"))
 
 
 def index(rules: DataFrame, urls: DataFrame) -> DataFrame:
