@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
@@ -70,30 +71,35 @@ def _loader():
 def frontmatter(content: str) -> dict:
     """{problem, detail, unknown, name, description, body} of a file's leading --- block. problem is null, or one of missing_block,
     syntax, not_a_map, missing_field, invalid_field."""
-    import yaml
-
     out = dict.fromkeys(("problem", "detail", "name", "description", "body")) | {"unknown": []}
     lines = (content or "").split("\n")
     marks = [i for i, line in enumerate(lines) if line.removesuffix("\r") == "---"]
     if len(marks) < 2 or marks[0] != 0:
         return out | {"problem": "missing_block"}
     out["body"] = "\n".join(lines[marks[1] + 1 :])
+    told = _told("\n".join(lines[1 : marks[1]]))
+    return out | told | {"unknown": list(told.get("unknown", ()))}
+
+
+@functools.lru_cache(1024)
+def _told(block: str) -> dict:
+    """What `frontmatter` says of the text between its marks; blocks that come again are parsed once."""
+    import yaml
+
     try:
-        fields = yaml.load("\n".join(lines[1 : marks[1]]), _loader())
+        fields = yaml.load(block, _loader())
     except yaml.YAMLError as e:
-        return out | {"problem": "syntax", "detail": str(e).split("\n")[0][:200]}
+        return {"problem": "syntax", "detail": str(e).split("\n")[0][:200]}
     if not isinstance(fields, dict):
-        return out | {"problem": "not_a_map"}
+        return {"problem": "not_a_map"}
     missing = [k for k in REQUIRED if k not in fields]
     if missing:
-        return out | {"problem": "missing_field", "detail": ", ".join(missing)}
+        return {"problem": "missing_field", "detail": ", ".join(missing)}
     for name in REQUIRED:
         fault = _fault(name, fields[name])
         if fault:
-            return out | {"problem": "invalid_field", "detail": f"{name} {fault}"}
-    out |= {name: fields[name] for name in REQUIRED}
-    out["unknown"] = [str(k) for k in fields if k not in KNOWN_FIELDS]
-    return out
+            return {"problem": "invalid_field", "detail": f"{name} {fault}"}
+    return {name: fields[name] for name in REQUIRED} | {"unknown": [str(k) for k in fields if k not in KNOWN_FIELDS]}
 
 
 def parse_frontmatter(c: Column) -> Column:
@@ -109,12 +115,15 @@ def write_frontmatter(fields: dict[str, str]) -> str:
 
 def frontmatter_issues(files: DataFrame) -> DataFrame:
     """(severity, code, file, message) of the index file SKILL.md among files(path, content)."""
-    rows = files.where("path = 'SKILL.md'").select("path", parse_frontmatter(F.col("content")).alias("x")).select("path", "x.*")
-    code = F.when(F.col("problem").isin("missing_block", "missing_field"), "missing_frontmatter").otherwise("invalid_frontmatter")
-    errors = rows.where("problem is not null").select(F.lit("error").alias("severity"), code.alias("code"), F.col("path").alias("file"), F.concat_ws(": ", "problem", "detail").alias("message"))
-    odd = rows.select(F.lit("warning").alias("severity"), F.lit("invalid_frontmatter").alias("code"), F.col("path").alias("file"), F.explode("unknown").alias("k")).select("severity", "code", "file", F.concat(F.lit("unknown field "), "k").alias("message"))
+    rows = files.where("path = 'SKILL.md'").select("path", parse_frontmatter(F.col("content")).alias("x"))
+    issue = lambda severity, code, message: F.struct(F.lit(severity).alias("severity"), code.alias("code"), message.alias("message"))
+    code = F.when(F.col("x.problem").isin("missing_block", "missing_field"), "missing_frontmatter").otherwise("invalid_frontmatter")
+    error = F.when(F.col("x.problem").isNotNull(), F.array(issue("error", code, F.concat_ws(": ", "x.problem", "x.detail"))))
+    odd = F.transform("x.unknown", lambda k: issue("warning", F.lit("invalid_frontmatter"), F.concat(F.lit("unknown field "), k)))
+    found = rows.select("path", F.explode_outer(F.coalesce(error, odd)).alias("i")).where("i is not null")  # a plain explode would have each file parsed again to see whether it has any
+    found = found.select("i.severity", "i.code", F.col("path").alias("file"), "i.message")
     absent = files.agg(F.count_if(F.col("path") == "SKILL.md").alias("n")).where("n = 0").select(F.lit("error").alias("severity"), F.lit("missing_frontmatter").alias("code"), F.lit("SKILL.md").alias("file"), F.lit("no such file").alias("message"))
-    return errors.unionByName(odd).unionByName(absent)
+    return found.unionByName(absent)
 
 
 def manifest_violations(outputs: DataFrame, hashes: DataFrame, sections: DataFrame, questions: DataFrame) -> DataFrame:

@@ -20,6 +20,13 @@ def test_frontmatter(spark):
     assert [r.code for r in M.frontmatter_issues(files.limit(0)).collect()] == ["missing_frontmatter"]
 
 
+def test_each_file_is_parsed_once(spark):
+    files = spark.createDataFrame([("SKILL.md", "---\nname: a\ndescription: b\nextra: c\nmore: d\n---\n"), ("SKILL.md", "none"), ("x.md", "none")], "path string, content string")
+    issues = M.frontmatter_issues(files)
+    assert sorted(r.message for r in issues.collect()) == ["missing_block", "unknown field extra", "unknown field more"]
+    assert issues._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_manifest(spark):
     outputs = spark.createDataFrame([("a.md",), ("b.md",), ("b.md",)], "path string")
     hashes = spark.createDataFrame([("a.md", "0" * 64), ("c.md", "x")], "path string, sha256 string")
