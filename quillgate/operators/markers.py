@@ -23,16 +23,18 @@ def _bundle(df: DataFrame) -> list[str]:
 
 def marker_lines(chapters: DataFrame) -> DataFrame:
     """(chapter_pos, line_pos, kind, term, text, chapter_file) of chapters(chapter_pos, chapter_file, body); a column `bundle` stays."""
-    key = _bundle(chapters)
-    lines = chapters.select(*key, "chapter_pos", "chapter_file", F.posexplode(F.split("body", "\n")).alias("line_pos", "line")).withColumn("line", X.trim(F.col("line")))
-    term, definition = (F.regexp_extract("line", TERM_LINE, k) for k in (1, 2))
-    kind = F.upper(F.regexp_extract("line", KIND_LINE, 1))
-    said = F.regexp_extract("line", KIND_LINE, 2)
-    out = lines.select(
-        *key, "chapter_pos", "line_pos", F.when(term != "", "GLOSSARY").when(kind != "", kind).alias("kind"), F.when(term != "", X.trim(term)).alias("term"),
-        X.trim(F.when(term != "", definition).otherwise(said)).alias("text"), "chapter_file",
-    )
-    return out.where("kind is not null")
+    mark = lambda kind, term, text: F.struct(kind.alias("kind"), term.alias("term"), X.trim(text).alias("text"))
+
+    def told(x):
+        """What a line marks, or null. Its first characters tell which of the two forms it may have."""
+        term = X.let(F.regexp_extract(x, TERM_LINE, 1), lambda t: F.when(t != "", mark(F.lit("GLOSSARY"), X.trim(t), F.regexp_extract(x, TERM_LINE, 2))))
+        kind = X.let(F.upper(F.regexp_extract(x, KIND_LINE, 1)), lambda k: F.when(k != "", mark(k, F.lit(None).cast("string"), F.regexp_extract(x, KIND_LINE, 2))))
+        return F.when(x.startswith("**"), term).when(x.startswith("-"), kind)
+
+    found = F.transform(F.split("body", "\n"), lambda x, i: F.struct(i.alias("line_pos"), X.let(X.trim(x), told).alias("mark")))
+    found = F.filter(found, lambda x: x["mark"].isNotNull())
+    lines = chapters.select(*_bundle(chapters), "chapter_pos", "chapter_file", F.explode_outer(found).alias("x")).where("x is not null")
+    return lines.select(*_bundle(chapters), "chapter_pos", "x.line_pos", "x.mark.kind", "x.mark.term", "x.mark.text", "chapter_file")
 
 
 def glossary(markers: DataFrame) -> DataFrame:
@@ -85,13 +87,11 @@ def assemble_many(bundles: DataFrame, chapters: DataFrame) -> DataFrame:
     entry = F.concat(F.lit("- "), ticks(F.col("chapter_file")), F.lit(" — "), F.col("title"), F.lit(" (source sections: "), F.array_join("section_ids", ", "), F.lit(")"))
     line = F.concat(F.lit("- "), F.col("text"), F.lit(" ("), ticks(F.col("chapter_file")), F.lit(")"))
     term = F.concat(F.lit("**"), F.col("term"), F.lit("** — "), F.col("definition"), F.lit(" ("), F.array_join(F.transform("chapters", ticks), ", "), F.lit(")\n"))
-    title = F.element_at(F.create_map(*[F.lit(x) for pair in KIND_TITLES.items() for x in pair]), F.col("kind"))
-    groups = grouped(found, line).select("bundle", "rank", F.concat(F.lit("## "), title, F.lit("\n\n"), F.col("text")).alias("v"))
-    texts = {
-        "glossary.md": glossary(found).withColumn("o", F.collate("term", "UNICODE")).groupBy("bundle").agg(X.trim(joined(term, "o", "term")).alias("text")),
-        "patterns.md": groups.groupBy("bundle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "v"))), lambda x: x["v"]), "\n\n").alias("text")),
-        "cheatsheet.md": found.where("kind = 'RULE'").groupBy("bundle").agg(joined(line, "chapter_pos", "line_pos").alias("text")),
-    }
+    said = found.where("kind != 'GLOSSARY'").groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("chapter_pos", "line_pos", "kind", line.alias("v")))).alias("said"))
+    of_kind = lambda said, kind: F.array_join(F.transform(F.filter(said, lambda x: x["kind"] == kind), lambda x: x["v"]), "\n")
+    groups = lambda said: F.filter(F.array(*[F.when(F.exists(said, lambda x: x["kind"] == k), F.concat(F.lit(f"## {name}\n\n"), of_kind(said, k))) for k, name in KIND_TITLES.items()]), lambda v: v.isNotNull())
+    terms = glossary(found).withColumn("o", F.collate("term", "UNICODE")).groupBy("bundle").agg(X.trim(joined(term, "o", "term")).alias("text"))
+    listed = {"patterns.md": lambda said: F.array_join(groups(said), "\n\n"), "cheatsheet.md": lambda said: of_kind(said, "RULE")}
     file = lambda rank, path, content: (F.lit(rank).alias("rank"), F.lit(0).alias("chapter_pos"), F.lit(path).alias("path"), content.alias("content"))
     head = F.concat(
         F.lit("---\nname: "), quoted(F.col("slug")), F.lit("\ndescription: "), quoted(F.col("title")), F.lit("\n---\n\n# "), F.col("title"), F.lit("\n\n"),
@@ -99,9 +99,10 @@ def assemble_many(bundles: DataFrame, chapters: DataFrame) -> DataFrame:
     )
     index = bundles.join(rows.groupBy("bundle").agg(joined(entry, "chapter_pos").alias("entries")), "bundle", "left").select("bundle", *file(0, "SKILL.md", head))
     files = index.unionByName(rows.select("bundle", F.lit(1).alias("rank"), "chapter_pos", F.col("chapter_file").alias("path"), F.col("body").alias("content")))
-    for path, (rank, name, empty) in LISTINGS.items():
-        text = F.when(F.coalesce("text", F.lit("")) == "", F.lit(f"({empty})")).otherwise(F.col("text"))
-        files = files.unionByName(bundles.select("bundle").join(texts[path], "bundle", "left").select("bundle", *file(rank, path, F.concat(F.lit(f"# {name}\n\n"), text))))
+    body = lambda path, text: F.concat(F.lit(f"# {LISTINGS[path][1]}\n\n"), X.let(F.coalesce(text, F.lit("")), lambda x: F.when(x == "", F.lit(f"({LISTINGS[path][2]})")).otherwise(x)))
+    files = files.unionByName(bundles.select("bundle").join(terms, "bundle", "left").select("bundle", *file(LISTINGS["glossary.md"][0], "glossary.md", body("glossary.md", F.col("text")))))
+    both = F.array(*[F.struct(*file(LISTINGS[path][0], path, body(path, text(F.col("said"))))) for path, text in listed.items()])
+    files = files.unionByName(bundles.select("bundle").join(said, "bundle", "left").select("bundle", F.explode_outer(both).alias("x")).select("bundle", "x.*"))
     content = F.when(F.col("content").endswith("\n"), F.col("content")).otherwise(F.concat("content", F.lit("\n")))
     return files.select("bundle", "rank", "chapter_pos", "path", content.alias("content")).withColumn("est_tokens", X.estimate_tokens(F.col("content")))
 
