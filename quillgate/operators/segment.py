@@ -19,7 +19,7 @@ def _fences(lines: Column) -> Column:
     """array<struct<a, b>>: lines a to b - 1 of each code fence, in order. A line's effect on the fence that is open depends on its mark alone, so only
     lines with a mark are folded: where none is open, a mark opens one; an open one closes on a mark of its kind, at least as long, that
     is all there is on its line; other marks change nothing. A fence that nothing closes runs to the end."""
-    marked = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: x["line"].rlike(FENCE))
+    marked = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: F.left(x["line"], F.lit(6)).rlike(FENCE))  # a pattern is tried at every place of a line, wherever it must begin
     marks = F.transform(marked, lambda x: F.struct(x["at"].alias("at"), F.regexp_extract(x["line"], FENCE, 1).alias("mark"), X.trim(x["line"]).alias("bare")))
     span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
     state = lambda open_, at, done: F.struct(open_.alias("open"), at.cast("int").alias("at"), done.alias("done"))

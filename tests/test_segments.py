@@ -181,3 +181,20 @@ def test_unique_names(spark):
     named = segment.unique_names(many, "base", "at")
     assert named.select("name").distinct().count() == 60000 and time.perf_counter() - began < 60
     assert segment.unique_names(rows.limit(0), "base", "at").count() == 0
+
+
+def test_long_blocks_are_trimmed_without_a_pattern(spark):
+    """Blocks of 100,000 characters with white space at their edges, 60 MB in all; the same edges beyond the size where a pattern cuts them."""
+    from quillgate.functions import text as X
+
+    words = F.repeat(F.lit("words go here, and there "), 4000)
+    docs = spark.range(600, numPartitions=8).select(F.col("id").alias("doc_id"), F.concat(F.lit("```\ncode\n```\n\n 　"), words, F.lit("\t \n \nlast.")).alias("text"))
+    rows, took = segment.blocks(docs).select("block_pos", F.length("block").alias("n")), []
+    for _ in range(2):
+        began = time.perf_counter()
+        assert [tuple(r) for r in rows.groupBy("block_pos", "n").count().orderBy("block_pos").collect()] == [(0, 12, 600), (1, 99_999, 600), (2, 5, 600)]
+        took.append(time.perf_counter() - began)
+    assert min(took) < 8
+    long = F.concat(F.lit(" 　\n"), F.repeat(F.lit("a  b "), 300_000), F.lit("c﻿\t "))
+    got = spark.range(1).select(X.trim(long).alias("t"), F.repeat(F.lit("a  b "), 300_000).alias("a")).select((F.col("t") == F.concat("a", F.lit("c"))).alias("same")).first()
+    assert got.same
