@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, stored
+from .shared import Scratch, release, stored
 
 
 def _state(edges: DataFrame):
@@ -32,7 +32,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) links of long ids -> (id, root) for each linked id; root is the smallest id of its component.
 
     Nulls, self-links, repeats and an empty table are allowed: the first two carry no link. Nothing is gathered on
-    the driver but one count and one checksum a round; each round is written to the shared folder.
+    the driver but one count and one checksum a round; each round is written to the shared folder, and the plans of the one before are let go.
     """
     edges = links.where("a is not null and b is not null and a <> b")
     with Scratch(links.sparkSession) as scratch:
@@ -41,6 +41,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         for _ in range(max_rounds):
             if not before["n"]:
                 break
+            release(links.sparkSession)
             edges = stored(_star(_star(edges, True), False), "edges")
             after = _state(edges)
             if after == before:

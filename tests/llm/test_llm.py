@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small tables with nulls, empty and repeated rows, ties and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import struct
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quillgate.llm import catalog, chat, decontaminate, exact_dedup, jaccard, language, licenses, line_dedup, mixing, sharding, token_files
 from quillgate.llm.components import components
+from quillgate.llm.shared import release
 from quillgate.llm.words import word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sig string, key string, bucket string, size string"
@@ -887,3 +889,37 @@ def test_scratch_removes_what_is_not_kept(spark):
         assert left() == ["a-a", "c-c"] and kept.count() == 5
         last = outer.keep(kept, "d-d")
     assert left() == ["d-d"] and last.count() == 5
+
+
+def test_release_gives_the_drivers_freed_memory_back(spark):
+    """What the JVM has freed in the C library lies between blocks in use, where a collection doesn't reach it."""
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.management.ManagementFactory.getRuntimeMXBean()
+    smaps = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup"
+    if not os.path.exists(smaps) or int(runtime.getSpecVersion()) < 17:
+        pytest.skip("memory can't be read, or the JVM has no such operation")
+
+    def anonymous():
+        with open(smaps) as f:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    release(spark)
+    made = [jvm.java.util.zip.Deflater() for _ in range(400)]
+    for k, x in enumerate(made):
+        if k % 20 != 19:
+            x.end()
+    for _ in range(2):
+        jvm.System.gc()
+    before = anonymous()
+    release(spark)
+    assert before - anonymous() > 20
+    for x in made:
+        x.end()
+
+
+def test_mix_names_its_takers_once(spark):
+    """The plan with the texts doesn't hold the list of what each block gives, which Spark would write out for every stage."""
+    table = spark.createDataFrame([(i, " ".join(f"w{i * k % 97}" for k in range(40)), "ab"[i % 2]) for i in range(500)], "doc_id long, text string, source string")
+    made = mixing.mixed_documents(table)
+    assert made.count() > 400
+    assert len(made._jdf.queryExecution().toString()) < 60_000
